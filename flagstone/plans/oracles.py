@@ -260,7 +260,7 @@ def lead_reopened_sql() -> str:
     return (
         with_reviews(["L1"])
         + f"SELECT {L1_COLS} FROM l1_cases o WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.rule_id = 'L1'"
-        f" AND r.case_key = {L1_KEY_SQL.replace('COALESCE(', 'COALESCE(o.').replace('CAST(CAST(', 'CAST(CAST(o.')})"
+        " AND r.case_key = COALESCE(o.lead_id,'') || '|' || COALESCE(CAST(CAST(o.closed_at AS DATE) AS VARCHAR),''))"
         " ORDER BY next_state_updatedAt DESC"
     )
 
