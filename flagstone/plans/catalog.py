@@ -31,7 +31,7 @@ def _flagged_query(rule_id: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spec = find_rule(rule_id)
         base = fixture(spark, sf_dir, spec.base)
-        reviews = seed_reviews(spark, sf_dir, [rule_id])
+        reviews = seed_reviews(spark, sf_dir, [rule_id], params=PARAMS)
         return flagging.flag(spec, base, reviews, PARAMS)
 
     run.__name__ = rule_key(rule_id)
@@ -42,7 +42,7 @@ def lead_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = find_rule("L1")
     history = fixture(spark, sf_dir, "lead_history")
     cases = leads.lead_reopened_cases(history, PARAMS.reopen_min_gap_days)
-    out = flagging.unreviewed(cases, seed_reviews(spark, sf_dir, ["L1"]), ["L1"])
+    out = flagging.unreviewed(cases, seed_reviews(spark, sf_dir, ["L1"], params=PARAMS), ["L1"])
     return out.orderBy(*flagging.order_columns(spec, ("lead_id", "closed_at"))).select(*spec.columns)
 
 
@@ -51,7 +51,7 @@ def lead_misrouted(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = fixture(spark, sf_dir, "lead_history")
     bands = fixture(spark, sf_dir, "team_budget")
     cases = leads.lead_misrouted_cases(history, bands)
-    out = flagging.unreviewed(cases, seed_reviews(spark, sf_dir, ["L2"]), ["L2"])
+    out = flagging.unreviewed(cases, seed_reviews(spark, sf_dir, ["L2"], params=PARAMS), ["L2"])
     return out.orderBy(*flagging.order_columns(spec, ("expected_category",))).select(*spec.columns)
 
 
@@ -77,7 +77,7 @@ def all_flagged_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases per rule after review exclusion, all 18 rules, zero rows kept."""
-    keys = flagging.unreviewed(all_flagged_keys(spark, sf_dir), seed_reviews(spark, sf_dir))
+    keys = flagging.unreviewed(all_flagged_keys(spark, sf_dir), seed_reviews(spark, sf_dir, params=PARAMS))
     return flagging.counts(keys, spark)
 
 
@@ -89,4 +89,309 @@ def build_queries() -> dict[str, Query]:
     q["lead_reopened"] = lead_reopened
     q["lead_misrouted"] = lead_misrouted
     q["flagged_counts"] = flagged_counts
+    q.update(REVIEW_QUERIES)
+    q.update(MORE_QUERIES)
     return q
+
+
+# --- reviews (2.J) ---------------------------------------------------------------------
+
+REVIEW_RULE = "3"
+
+
+def review_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(seed reviews of rule 3 with their records, decision batch)."""
+    from flagstone.sources.fixtures import decisions
+
+    reviews = seed_reviews(spark, sf_dir, [REVIEW_RULE], with_record=True, params=PARAMS)
+    return reviews, decisions(spark, sf_dir)
+
+
+def review_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.reviews import validate_decisions
+    from flagstone.sources.fixtures import decisions
+
+    v = validate_decisions(decisions(spark, sf_dir))
+    return v.select("seq", "action", "rule_id", "case_key", *AUDIT, "valid", "reason")
+
+
+def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.reviews import apply_decisions
+
+    reviews, batch = review_inputs(spark, sf_dir)
+    new_reviews, _ = apply_decisions(reviews, batch)
+    return new_reviews
+
+
+def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.reviews import apply_decisions
+
+    reviews, batch = review_inputs(spark, sf_dir)
+    _, outcomes = apply_decisions(reviews, batch)
+    return outcomes
+
+
+def review_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits alone (J5): creates of the batch are left out, so edits of cases created in the
+    batch find nothing."""
+    from flagstone.operators.reviews import apply_decisions
+
+    reviews, batch = review_inputs(spark, sf_dir)
+    new_reviews, _ = apply_decisions(reviews, batch.where(F.col("action") == "edit"))
+    return new_reviews
+
+
+def flagged_after_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule 3 flagged against the review dataset produced by the batch."""
+    from flagstone.operators.reviews import apply_decisions
+
+    reviews, batch = review_inputs(spark, sf_dir)
+    new_reviews, _ = apply_decisions(reviews, batch)
+    base = fixture(spark, sf_dir, "assisted_orders")
+    return flagging.flag(find_rule(REVIEW_RULE), base, new_reviews, PARAMS)
+
+
+AUDIT = ("auditor", "decision_types", "decided_sales_person", "comments")
+
+
+def reviews_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewed cases of rule 3, last edited first, without the case key."""
+    from flagstone.operators.reviews import reviews_of
+
+    reviews = seed_reviews(spark, sf_dir, [REVIEW_RULE], with_record=True, params=PARAMS)
+    return reviews_of(reviews, REVIEW_RULE).drop("case_key", "rule_id")
+
+
+def reviewed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.reviews import reviewed_counts as counts_of
+
+    return counts_of(seed_reviews(spark, sf_dir, params=PARAMS))
+
+
+def distinct_decision_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct non-empty decision types of all reviews, sorted."""
+    from flagstone.operators.explore import distinct_values
+
+    return distinct_values(seed_reviews(spark, sf_dir, params=PARAMS), "decision_types")
+
+
+def person_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestion list for rule 3: person columns of flagged rows and past decisions (H1)."""
+    from flagstone.operators.explore import person_suggestions as suggest
+
+    reviews = seed_reviews(spark, sf_dir, [REVIEW_RULE], with_record=True, params=PARAMS)
+    base = fixture(spark, sf_dir, "assisted_orders")
+    flagged = flagging.flag(find_rule(REVIEW_RULE), base, reviews, PARAMS, ordered=False)
+    return suggest(flagged, reviews)
+
+
+REVIEW_QUERIES: dict[str, Query] = {
+    "review_validate": review_validate,
+    "review_apply": review_apply,
+    "review_outcomes": review_outcomes,
+    "review_edit": review_edit,
+    "flagged_after_review": flagged_after_review,
+    "reviews_list": reviews_list,
+    "reviewed_counts": reviewed_counts,
+    "distinct_decision_types": distinct_decision_types,
+    "person_suggestions": person_suggestions,
+}
+
+
+# --- scans, keys, lead stages ----------------------------------------------------------
+
+HELPERS = ("k", "s")
+
+
+def scan_assisted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-width scan of the order table (A1, B2): every column, helpers dropped."""
+    return fixture(spark, sf_dir, "assisted_orders").drop(*HELPERS)
+
+
+def scan_unassisted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "unassisted_orders").drop("k")
+
+
+def scan_lead_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "lead_history")
+
+
+def case_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rule_id, case_key) of every flagged case of the 18 rules before exclusion."""
+    return all_flagged_keys(spark, sf_dir)
+
+
+def unreviewed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rule_id, case_key) still flagged after the anti join with all reviews."""
+    return flagging.unreviewed(all_flagged_keys(spark, sf_dir), seed_reviews(spark, sf_dir, params=PARAMS))
+
+
+def lead_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = leads.lead_transitions(fixture(spark, sf_dir, "lead_history"))
+    return t.select("event_id", "lead_id", "state", "updatedAt", "prev_state", "next_state", "next_state_updatedAt")
+
+
+def lead_first_per_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leads.lead_first_per_agent(fixture(spark, sf_dir, "lead_history"))
+
+
+def lead_agent_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leads.lead_agent_rank(leads.lead_first_per_agent(fixture(spark, sf_dir, "lead_history")))
+
+
+def lead_latest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leads.lead_latest_value(fixture(spark, sf_dir, "lead_history"))
+
+
+def lead_expected_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = leads.lead_latest_value(fixture(spark, sf_dir, "lead_history"))
+    return leads.lead_expected_category(values, fixture(spark, sf_dir, "team_budget"))
+
+
+# --- order listing, roster ------------------------------------------------------------
+
+RANGE_FROM, RANGE_TO = "2026-03-01", "2026-03-31"
+
+
+def orders_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.ranges import orders_in_range as in_range
+
+    return in_range(scan_assisted_orders(spark, sf_dir), RANGE_FROM, RANGE_TO)
+
+
+def orders_last_30_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.ranges import recent
+
+    return recent(scan_assisted_orders(spark, sf_dir), "30", AS_OF)
+
+
+def orders_default_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.ranges import orders_in_range as in_range
+    from flagstone.operators.render import default_columns
+
+    base = scan_assisted_orders(spark, sf_dir).withColumn("added_later", F.lit("x"))
+    return default_columns(in_range(base, RANGE_FROM, RANGE_TO))
+
+
+ROSTER_SYSTEM = "audit_app"
+
+
+def roster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.roster import roster_members as members
+
+    return members(fixture(spark, sf_dir, "employees"), ROSTER_SYSTEM)
+
+
+# --- exploration and reports -----------------------------------------------------------
+
+
+def _flagged_3(spark: SparkSession, sf_dir: str, with_key: bool = False) -> DataFrame:
+    spec = find_rule(REVIEW_RULE)
+    base = fixture(spark, sf_dir, "assisted_orders")
+    reviews = seed_reviews(spark, sf_dir, [REVIEW_RULE], params=PARAMS)
+    return flagging.flag(spec, base, reviews, PARAMS, with_key=with_key, ordered=False)
+
+
+SEARCH_TEXT = "  Jan 2026, 1"
+SEARCH_AMOUNT = ",50,"
+
+
+def table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.explore import search_rows
+
+    return search_rows(_flagged_3(spark, sf_dir), SEARCH_TEXT)
+
+
+def table_search_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.explore import search_rows
+
+    return search_rows(_flagged_3(spark, sf_dir), SEARCH_AMOUNT)
+
+
+def table_sort_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First page of rule 3 sorted by ticket id descending (blanks first), digit runs as numbers."""
+    from flagstone.operators.explore import page, sort_keys
+
+    df = _flagged_3(spark, sf_dir, with_key=True)
+    keys = sort_keys(df, "tickets_id", True, base_order=[("order_date_time", False), ("case_key", False)])
+    return page(df, keys, 0).drop("case_key")
+
+
+def table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far beyond the end (clamped to the last) of rule 3 sorted by amount."""
+    from flagstone.operators.explore import page, sort_keys
+
+    df = _flagged_3(spark, sf_dir, with_key=True)
+    keys = sort_keys(df, "total_amount", False, base_order=[("order_date_time", False), ("case_key", False)])
+    return page(df, keys, 10**6).drop("case_key")
+
+
+def report_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.render import render_report
+
+    return render_report(_flagged_3(spark, sf_dir))
+
+
+def report_render_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.render import render_report
+
+    return render_report(lead_reopened(spark, sf_dir))
+
+
+def reviews_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.render import order_review_columns
+
+    return order_review_columns(reviews_list(spark, sf_dir))
+
+
+def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.operators.render import case_summary as summary
+
+    return summary(_flagged_3(spark, sf_dir))
+
+
+def snapshot_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rebuild the order snapshot as a new version and read it back (A2)."""
+    from flagstone.sources.snapshot import default_root, read_snapshot, refresh_snapshot
+
+    root = default_root(spark, "assisted_orders_" + sf_dir.rstrip("/").rsplit("/", 1)[-1])
+    refresh_snapshot(scan_assisted_orders(spark, sf_dir), root)
+    return read_snapshot(spark, root)
+
+
+def snapshot_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flagstone.sources.snapshot import committed_versions, default_root, refresh_snapshot
+    from flagstone.sources.snapshot import snapshot_info as info
+
+    root = default_root(spark, "assisted_orders_" + sf_dir.rstrip("/").rsplit("/", 1)[-1])
+    if not committed_versions(spark, root):
+        refresh_snapshot(scan_assisted_orders(spark, sf_dir), root)
+    return info(spark, root)
+
+
+MORE_QUERIES: dict[str, Query] = {
+    "scan_assisted_orders": scan_assisted_orders,
+    "scan_unassisted_orders": scan_unassisted_orders,
+    "scan_lead_history": scan_lead_history,
+    "case_keys": case_keys,
+    "unreviewed_cases": unreviewed_cases,
+    "lead_transitions": lead_transitions,
+    "lead_first_per_agent": lead_first_per_agent,
+    "lead_agent_rank": lead_agent_rank,
+    "lead_latest_value": lead_latest_value,
+    "lead_expected_category": lead_expected_category,
+    "orders_in_range": orders_in_range,
+    "orders_last_30_days": orders_last_30_days,
+    "orders_default_columns": orders_default_columns,
+    "roster_members": roster_members,
+    "table_search": table_search,
+    "table_search_amount": table_search_amount,
+    "table_sort_natural": table_sort_natural,
+    "table_page": table_page,
+    "report_render": report_render,
+    "report_render_leads": report_render_leads,
+    "reviews_report": reviews_report,
+    "case_summary": case_summary,
+    "snapshot_refresh": snapshot_refresh,
+    "snapshot_info": snapshot_info,
+}

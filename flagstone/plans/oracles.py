@@ -314,4 +314,363 @@ def build_oracles() -> dict[str, str]:
     o["lead_reopened"] = lead_reopened_sql()
     o["lead_misrouted"] = lead_misrouted_sql()
     o["flagged_counts"] = flagged_counts_sql()
+    for group in (REVIEW_ORACLES, SCAN_ORACLES, LISTING_ORACLES, EXPLORE_ORACLES):
+        o.update({k: f() for k, f in group.items()})
     return o
+
+
+# --- reviews (2.J) ---------------------------------------------------------------------
+
+R3_COLS = [
+    "approval_timestamp", "first_connected_time", "lead_sources", "mtd_form_filled_timestamp", "newest_order_no",
+    "oldest_order_number", "order_date_time", "sales_person", "ticket_created_at", "tickets_id", "total_amount",
+    "username_frontend",
+]  # rule 3 view columns, sorted (the seed dataset's column order)
+R3_TYPES = {
+    "approval_timestamp": "TIMESTAMP", "first_connected_time": "TIMESTAMP", "mtd_form_filled_timestamp": "TIMESTAMP",
+    "order_date_time": "TIMESTAMP", "ticket_created_at": "TIMESTAMP", "total_amount": "DOUBLE",
+}
+AUDIT4 = ["auditor", "decision_types", "decided_sales_person", "comments"]
+
+
+def seeded_reviews_r3_sql() -> str:
+    pred = ORACLE_RULES["3"][1]
+    return (
+        f"SELECT '3' AS rule_id, {ORDER_KEY_SQL} AS case_key, {', '.join(R3_COLS)}, {_audit_select()}"
+        f" FROM (SELECT *, k AS h FROM assisted_orders WHERE ({pred}) AND k%7=3) s"
+    )
+
+
+def _validated_sql() -> str:
+    order_ids = ", ".join(f"'{r}'" for r in ORDER_RULE_IDS)
+    known = ", ".join(f"'{r}'" for r in REGISTRY_ORDER)
+    t = {f: f"COALESCE({_utrim(f)}, '')" for f in AUDIT4}
+    key = f"CASE WHEN action = 'create' THEN (CASE WHEN rule_id IN ({order_ids}) THEN {ORDER_KEY_SQL} END) ELSE case_key END"
+    return f"""
+SELECT d.*, CASE
+    WHEN rule_id NOT IN ({known}) THEN 'Unknown investigation'
+    WHEN auditor = '' THEN 'Auditor is required.'
+    WHEN decision_types = '' THEN 'Decision type is required.'
+    WHEN length(auditor) > 200 OR length(decision_types) > 200 OR length(decided_sales_person) > 200
+      THEN 'Auditor, decision type and decided sales person must be 200 characters or fewer.'
+    WHEN length(comments) > 4000 THEN 'Comments must be 4000 characters or fewer.'
+    WHEN action = 'create' AND NOT COALESCE(has_record, FALSE) THEN 'Missing record.'
+    WHEN action = 'create' AND replace(case_key, '|', '') = '' THEN 'Record has no order number.'
+    WHEN action <> 'create' AND COALESCE(case_key = '', TRUE) THEN 'Missing case.'
+  END AS reason
+FROM (
+  SELECT seq, action, rule_id, has_record, {', '.join(R3_COLS)}, user_email, submitted_at,
+    {', '.join(f'{t[f]} AS {f}' for f in AUDIT4)},
+    {key} AS case_key
+  FROM decisions
+) d
+"""
+
+
+def review_ctes(edits_only: bool = False) -> str:
+    from flagstone.sources.fixtures import duckdb_decisions_ctes
+
+    dec = duckdb_decisions_ctes()
+    if edits_only:
+        dec["decisions"] = f"SELECT * FROM ({dec['decisions']}) x WHERE action = 'edit'"
+    typed = ", ".join(
+        f"TRY_CAST({c} AS {R3_TYPES[c]}) AS {c}" if c in R3_TYPES else c for c in R3_COLS
+    )
+    extra = {
+        **dec,
+        "reviews": seeded_reviews_r3_sql(),
+        "v": _validated_sql(),
+        "existing": "SELECT DISTINCT rule_id, case_key FROM reviews",
+        "creates": "SELECT * FROM v WHERE reason IS NULL AND action = 'create'",
+        "firsts": "SELECT rule_id, case_key, MIN(seq) AS win_seq FROM creates GROUP BY rule_id, case_key",
+        "fresh": "SELECT * FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM existing x"
+                 " WHERE x.rule_id = f.rule_id AND x.case_key = f.case_key)",
+        "saved": "SELECT c.* FROM creates c JOIN fresh f ON c.rule_id = f.rule_id AND c.case_key = f.case_key"
+                 " AND c.seq = f.win_seq",
+        "edits": "SELECT e.*, (x.case_key IS NOT NULL OR (f.win_seq IS NOT NULL AND f.win_seq < e.seq)) AS found"
+                 " FROM v e LEFT JOIN existing x ON x.rule_id = e.rule_id AND x.case_key = e.case_key"
+                 " LEFT JOIN fresh f ON f.rule_id = e.rule_id AND f.case_key = e.case_key"
+                 " WHERE e.reason IS NULL AND e.action = 'edit'",
+        "last_edit": "SELECT rule_id, case_key, " + ", ".join(
+            f"arg_max({c}, seq) AS {c}" for c in AUDIT4 + ["user_email", "submitted_at"]
+        ) + " FROM edits WHERE found GROUP BY rule_id, case_key",
+        "merged": "SELECT * FROM reviews UNION ALL SELECT rule_id, case_key, " + typed + ", "
+                  + ", ".join(AUDIT4) + ", user_email AS created_by, submitted_at AS created_at,"
+                  " user_email AS updated_by, submitted_at AS updated_at FROM saved",
+        "new_reviews": "SELECT m.rule_id, m.case_key, " + ", ".join(f"m.{c}" for c in R3_COLS) + ", "
+                       + ", ".join(f"CASE WHEN l.case_key IS NOT NULL THEN l.{c} ELSE m.{c} END AS {c}" for c in AUDIT4)
+                       + ", m.created_by, m.created_at,"
+                       " CASE WHEN l.case_key IS NOT NULL THEN l.user_email ELSE m.updated_by END AS updated_by,"
+                       " CASE WHEN l.case_key IS NOT NULL THEN l.submitted_at ELSE m.updated_at END AS updated_at"
+                       " FROM merged m LEFT JOIN last_edit l ON l.rule_id = m.rule_id AND l.case_key = m.case_key",
+    }
+    return duckdb_with("assisted_orders", extra=extra)
+
+
+def review_validate_sql() -> str:
+    return review_ctes() + "SELECT seq, action, rule_id, case_key, " + ", ".join(AUDIT4) + \
+        ", reason IS NULL AS valid, reason FROM v"
+
+
+def review_apply_sql() -> str:
+    return review_ctes() + "SELECT * FROM new_reviews"
+
+
+def review_edit_sql() -> str:
+    return review_ctes(edits_only=True) + "SELECT * FROM new_reviews"
+
+
+def review_outcomes_sql() -> str:
+    return review_ctes() + """
+SELECT seq, action, rule_id, case_key,
+  CASE WHEN reason = 'Unknown investigation' THEN 'not_found' ELSE 'invalid' END AS status, reason
+FROM v WHERE reason IS NOT NULL
+UNION ALL
+SELECT c.seq, c.action, c.rule_id, c.case_key,
+  CASE WHEN c.seq = f.win_seq THEN 'saved' ELSE 'conflict' END AS status,
+  CASE WHEN c.seq = f.win_seq THEN NULL ELSE 'This case has already been reviewed by someone else.' END AS reason
+FROM creates c LEFT JOIN fresh f ON f.rule_id = c.rule_id AND f.case_key = c.case_key
+UNION ALL
+SELECT seq, action, rule_id, case_key,
+  CASE WHEN found THEN 'edited' ELSE 'not_found' END AS status,
+  CASE WHEN found THEN NULL ELSE 'That case no longer exists.' END AS reason
+FROM edits
+"""
+
+
+def flagged_after_review_sql() -> str:
+    base, pred, key, cols, order = ORACLE_RULES["3"]
+    return (
+        review_ctes()
+        + f"SELECT {cols} FROM assisted_orders o WHERE ({pred}) AND NOT EXISTS (SELECT 1 FROM new_reviews r"
+        f" WHERE r.rule_id = '3' AND r.case_key = {key.replace('COALESCE(', 'COALESCE(o.')}) ORDER BY {order}"
+    )
+
+
+def reviews_list_sql() -> str:
+    return (
+        duckdb_with("assisted_orders", extra={"reviews": seeded_reviews_r3_sql()})
+        + "SELECT * EXCLUDE (case_key, rule_id) FROM reviews ORDER BY updated_at DESC NULLS LAST, case_key"
+    )
+
+
+def reviewed_counts_sql() -> str:
+    return with_reviews(REGISTRY_ORDER) + "SELECT rule_id, COUNT(*) AS reviewed FROM reviews GROUP BY rule_id"
+
+
+def distinct_decision_types_sql() -> str:
+    return (
+        with_reviews(REGISTRY_ORDER)
+        + "SELECT DISTINCT decision_types FROM reviews WHERE decision_types IS NOT NULL AND decision_types <> ''"
+        " ORDER BY decision_types"
+    )
+
+
+def person_suggestions_sql() -> str:
+    base, pred, key, cols, order = ORACLE_RULES["3"]
+    return (
+        duckdb_with("assisted_orders", extra={"reviews": seeded_reviews_r3_sql()})
+        + ", flagged AS (SELECT * FROM assisted_orders o WHERE (" + pred + ") AND NOT EXISTS (SELECT 1 FROM reviews r"
+        f" WHERE r.case_key = {key.replace('COALESCE(', 'COALESCE(o.')}))\n"
+        "SELECT DISTINCT suggestion FROM (SELECT sales_person AS suggestion FROM flagged"
+        " UNION ALL SELECT decided_sales_person FROM reviews) u"
+        " WHERE suggestion IS NOT NULL AND suggestion <> '' ORDER BY suggestion"
+    )
+
+
+REVIEW_ORACLES = {
+    "review_validate": review_validate_sql,
+    "review_apply": review_apply_sql,
+    "review_outcomes": review_outcomes_sql,
+    "review_edit": review_edit_sql,
+    "flagged_after_review": flagged_after_review_sql,
+    "reviews_list": reviews_list_sql,
+    "reviewed_counts": reviewed_counts_sql,
+    "distinct_decision_types": distinct_decision_types_sql,
+    "person_suggestions": person_suggestions_sql,
+}
+
+
+# --- scans, keys, lead stages ----------------------------------------------------------
+
+
+def lead_stage_ctes() -> str:
+    return duckdb_with("lead_history", "team_budget", extra={
+        "first_per_agent": f"""
+SELECT lead_id, assignedTo, MIN(updatedAt) AS first_assigned_at,
+  (array_agg(category ORDER BY updatedAt ASC NULLS FIRST, event_id))[1] AS agent_category
+FROM lead_history WHERE assignedTo IS NOT NULL AND {_utrim('assignedTo')} <> ''
+GROUP BY lead_id, assignedTo""",
+        "latest_value": """
+SELECT lead_id, (array_agg(final_order_value ORDER BY updatedAt DESC NULLS LAST, event_id DESC)
+  FILTER (WHERE final_order_value IS NOT NULL))[1] AS final_order_value
+FROM lead_history GROUP BY lead_id""",
+    })
+
+
+SCAN_ORACLES = {
+    "scan_assisted_orders": lambda: duckdb_with("assisted_orders") + "SELECT * EXCLUDE (k, s) FROM assisted_orders",
+    "scan_unassisted_orders": lambda: duckdb_with("unassisted_orders") + "SELECT * EXCLUDE (k) FROM unassisted_orders",
+    "scan_lead_history": lambda: duckdb_with("lead_history") + "SELECT * FROM lead_history",
+    "case_keys": lambda: with_reviews(REGISTRY_ORDER) + ", flagged AS (\n" + flagged_keys_sql() + "\n)\n"
+    "SELECT rule_id, case_key FROM flagged",
+    "unreviewed_cases": lambda: with_reviews(REGISTRY_ORDER) + ", flagged AS (\n" + flagged_keys_sql() + "\n)\n"
+    "SELECT rule_id, case_key FROM flagged f WHERE NOT EXISTS (SELECT 1 FROM reviews r"
+    " WHERE r.rule_id = f.rule_id AND r.case_key = f.case_key)",
+    "lead_transitions": lambda: duckdb_with("lead_history") + """
+SELECT event_id, lead_id, state, updatedAt,
+  LAG(state) OVER w AS prev_state,
+  FIRST_VALUE(CASE WHEN lower(state) <> 'closed' THEN state END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_state,
+  FIRST_VALUE(CASE WHEN lower(state) <> 'closed' THEN updatedAt END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_state_updatedAt
+FROM lead_history
+WINDOW w AS (PARTITION BY lead_id ORDER BY updatedAt ASC NULLS FIRST, event_id)""",
+    "lead_first_per_agent": lambda: lead_stage_ctes() + "SELECT * FROM first_per_agent",
+    "lead_agent_rank": lambda: lead_stage_ctes() + """
+SELECT *, ROW_NUMBER() OVER (PARTITION BY lead_id ORDER BY first_assigned_at ASC NULLS FIRST, assignedTo) AS assign_rank,
+  COUNT(*) OVER (PARTITION BY lead_id) AS agent_count
+FROM first_per_agent""",
+    "lead_latest_value": lambda: lead_stage_ctes() + "SELECT * FROM latest_value",
+    "lead_expected_category": lambda: lead_stage_ctes() + """
+SELECT v.lead_id, v.final_order_value, b.category AS expected_category
+FROM latest_value v LEFT JOIN team_budget b
+  ON v.final_order_value >= b.min_value AND (b.max_value IS NULL OR v.final_order_value < b.max_value)""",
+}
+
+# --- order listing, roster ------------------------------------------------------------
+
+DEFAULT_COLS = [
+    "date", "sales_person", "oldest_order_number", "customer_name", "current_order_status", "total_amount",
+    "newest_order_no", "tickets_id", "invoice_status", "lead_sources", "team", "order_limit_team_wise_investigate",
+    "final_assigned_to_name", "budget_team_mismatch_flag", "invalid_sales_team_flag",
+]
+
+LISTING_ORACLES = {
+    "orders_in_range": lambda: duckdb_with("assisted_orders") + "SELECT * EXCLUDE (k, s) FROM assisted_orders"
+    " WHERE date BETWEEN DATE '2026-03-01' AND DATE '2026-03-31' ORDER BY date DESC",
+    "orders_last_30_days": lambda: duckdb_with("assisted_orders") + "SELECT * EXCLUDE (k, s) FROM assisted_orders"
+    " WHERE date BETWEEN DATE '2026-09-03' AND DATE '2026-10-03' ORDER BY date DESC",
+    "orders_default_columns": lambda: duckdb_with("assisted_orders") + "SELECT " + ", ".join(DEFAULT_COLS)
+    + ", 'x' AS added_later FROM assisted_orders WHERE date BETWEEN DATE '2026-03-01' AND DATE '2026-03-31'",
+    "roster_members": lambda: duckdb_with("employees") + "SELECT work_email, lower(work_email) AS email_key,"
+    " COALESCE(display_name, work_email) AS name FROM employees"
+    f" WHERE len(list_filter(string_split(Project_id, ','), lambda p: lower({_utrim('p')}) = 'audit_app')) > 0",
+    "snapshot_refresh": lambda: duckdb_with("assisted_orders") + "SELECT * EXCLUDE (k, s),"
+    " strftime(order_date_time, '%Y-%m') AS order_month FROM assisted_orders",
+}
+
+# --- exploration and reports -----------------------------------------------------------
+
+R3_VIEW = [c.strip() for c in _B12.split(",")]
+R3_DISPLAY = {
+    "approval_timestamp": "datetime", "order_date_time": "datetime", "ticket_created_at": "datetime",
+    "first_connected_time": "datetime", "mtd_form_filled_timestamp": "datetime", "total_amount": "money",
+}
+
+
+def indian_sql(x: str) -> str:
+    """Indian digit grouping, at most 2 decimals, written without look-ahead (reversed digits)."""
+    s = f"ltrim(CAST(ROUND(CAST({x} AS DECIMAL(38,10)), 2) AS VARCHAR), '-')"
+    ip = f"split_part({s}, '.', 1)"
+    frac = f"rtrim(split_part({s}, '.', 2), '0')"
+    r = f"reverse({ip})"
+    grouped = (
+        f"reverse(substr({r}, 1, 3) || CASE WHEN substr({r}, 4) = '' THEN '' ELSE ',' || "
+        f"rtrim(regexp_replace(substr({r}, 4), '(\\d\\d)', '\\1,', 'g'), ',') END)"
+    )
+    return (f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || {grouped} || "
+            f"CASE WHEN {frac} = '' THEN '' ELSE '.' || {frac} END)")
+
+
+def display_sql(c: str, kind: str) -> str:
+    if kind == "datetime":
+        body = f"strftime({c}, '%d %b %Y, %H:%M')"
+    elif kind == "instant":
+        body = f"strftime({c} + INTERVAL 330 MINUTE, '%d %b %Y, %H:%M')"
+    elif kind == "money":
+        body = "'₹' || " + indian_sql(c)
+    elif kind == "int":
+        body = indian_sql(c)
+    else:
+        return f"COALESCE(CAST({c} AS VARCHAR), '')"
+    return f"CASE WHEN {c} IS NULL THEN '' ELSE {body} END"
+
+
+def raw_sql(c: str, kind: str) -> str:
+    if kind in ("datetime", "timestamp"):
+        return f"COALESCE(strftime({c}, '%Y-%m-%dT%H:%M:%S'), '')"
+    if kind == "money":
+        s = f"CAST(CAST({c} AS DECIMAL(38,10)) AS VARCHAR)"
+        return f"COALESCE(regexp_replace(regexp_replace({s}, '(\\.\\d*?)0+$', '\\1'), '\\.$', ''), '')"
+    return f"COALESCE(CAST({c} AS VARCHAR), '')"
+
+
+def flagged3_ctes() -> str:
+    base, pred, key, cols, order = ORACLE_RULES["3"]
+    flagged = (
+        f"SELECT {cols}, {key} AS case_key FROM assisted_orders o WHERE ({pred}) AND NOT EXISTS ("
+        f"SELECT 1 FROM reviews r WHERE r.rule_id = '3' AND r.case_key = {key.replace('COALESCE(', 'COALESCE(o.')})"
+    )
+    return with_reviews(["3"]) + ", flagged3 AS (" + flagged + ")\n"
+
+
+def search_sql(text: str) -> str:
+    parts = []
+    for c in R3_VIEW:
+        kind = R3_DISPLAY.get(c, "text")
+        parts += [display_sql(c, kind), raw_sql(c, kind)]
+    q = text.strip().lower().replace("'", "''")
+    hay = "lower(concat_ws(' ', " + ", ".join(parts) + "))"
+    return flagged3_ctes() + f"SELECT {', '.join(R3_VIEW)} FROM flagged3 WHERE strpos({hay}, '{q}') > 0"
+
+
+NATKEY = ("array_to_string(list_transform(regexp_extract_all({c}, '([0-9]+|[^0-9]+)', 1), "
+          "lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, 40, '0') ELSE x END), '')")
+
+
+def sort_natural_sql() -> str:
+    nk = NATKEY.format(c="tickets_id")
+    return flagged3_ctes() + (
+        f"SELECT {', '.join(R3_VIEW)} FROM flagged3 ORDER BY (tickets_id IS NULL OR tickets_id = '') DESC,"
+        f" {nk} DESC NULLS LAST, order_date_time ASC NULLS FIRST, case_key ASC LIMIT 50"
+    )
+
+
+def page_sql() -> str:
+    return flagged3_ctes() + (
+        f"SELECT {', '.join(R3_VIEW)} FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY total_amount IS NULL,"
+        " total_amount ASC NULLS FIRST, order_date_time ASC NULLS FIRST, case_key) AS rn FROM flagged3) t"
+        " WHERE rn > (SELECT (CAST(ceil(COUNT(*) / 50.0) AS BIGINT) - 1) * 50 FROM flagged3)"
+    )
+
+
+def render_sql() -> str:
+    cols = ", ".join(f"{display_sql(c, R3_DISPLAY.get(c, 'text'))} AS {c}" for c in R3_VIEW)
+    return flagged3_ctes() + f"SELECT {cols} FROM flagged3"
+
+
+def render_leads_sql() -> str:
+    kinds = {"closed_at": "instant", "next_state_updatedAt": "instant", "day_gap": "int"}
+    cols = ", ".join(f"{display_sql(c.strip(), kinds.get(c.strip(), 'text'))} AS {c.strip()}" for c in L1_COLS.split(","))
+    return (
+        with_reviews(["L1"])
+        + f"SELECT {cols} FROM l1_cases o WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.rule_id = 'L1'"
+        " AND r.case_key = COALESCE(o.lead_id,'') || '|' || COALESCE(CAST(CAST(o.closed_at AS DATE) AS VARCHAR),''))"
+    )
+
+
+def case_summary_sql() -> str:
+    cols = ["oldest_order_number", "sales_person", "total_amount", "tickets_id"]
+    sel = ", ".join(f"{display_sql(c, R3_DISPLAY.get(c, 'text'))} AS {c}" for c in cols)
+    return flagged3_ctes() + f"SELECT {sel} FROM flagged3"
+
+
+EXPLORE_ORACLES = {
+    "table_search": lambda: search_sql("  Jan 2026, 1"),
+    "table_search_amount": lambda: search_sql(",50,"),
+    "table_sort_natural": sort_natural_sql,
+    "table_page": page_sql,
+    "report_render": render_sql,
+    "report_render_leads": render_leads_sql,
+    "reviews_report": reviews_list_sql,
+    "case_summary": case_summary_sql,
+}

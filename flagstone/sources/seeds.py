@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flagstone.operators.flagging import flag_all, hits
 from flagstone.operators.leads import lead_misrouted_cases, lead_reopened_cases
-from flagstone.operators.rules import RULES, find_rule, rules_on
+from flagstone.operators.rules import RULES, RuleParams, find_rule, rules_on
 from flagstone.sources.fixtures import fixture
 
 SEED_AUDIT_SQL = {
@@ -42,7 +42,11 @@ def _with_audit(df: DataFrame) -> DataFrame:
 
 
 def seed_reviews(
-    spark: SparkSession, sf_dir: str, rule_ids: list[str] | None = None, with_record: bool = False
+    spark: SparkSession,
+    sf_dir: str,
+    rule_ids: list[str] | None = None,
+    with_record: bool = False,
+    params: RuleParams = RuleParams(),
 ) -> DataFrame:
     """Reviewed cases of the given rules (all by default): rule_id, case_key, [record], audit fields."""
     ids = set(rule_ids or [r.id for r in RULES])
@@ -50,7 +54,7 @@ def seed_reviews(
     order_specs = [r for r in rules_on("assisted_orders") if r.id in ids]
     if order_specs:
         a = fixture(spark, sf_dir, "assisted_orders")
-        h = flag_all(a, order_specs).where(F.col("k") % 7 == 3)
+        h = flag_all(a, order_specs, params).where(F.col("k") % 7 == 3)
         record = []
         if with_record:
             cols = sorted({c for s in order_specs for c in s.columns})
@@ -62,12 +66,12 @@ def seed_reviews(
         spec = find_rule("11")
         u = fixture(spark, sf_dir, "unassisted_orders")
         rec = list(spec.columns) if with_record else []
-        parts.append(hits(spec, u).where(F.col("k") % 7 == 3).select("rule_id", "case_key", *rec, F.col("k").alias("h")))
+        parts.append(hits(spec, u, params).where(F.col("k") % 7 == 3).select("rule_id", "case_key", *rec, F.col("k").alias("h")))
     if ids & {"L1", "L2"}:
         history = fixture(spark, sf_dir, "lead_history")
         if "L1" in ids:
             rec = list(find_rule("L1").columns) if with_record else []
-            l1 = lead_reopened_cases(history).where(F.col("event_id") % 7 == 3)
+            l1 = lead_reopened_cases(history, params.reopen_min_gap_days).where(F.col("event_id") % 7 == 3)
             parts.append(l1.select("rule_id", "case_key", *rec, F.col("event_id").alias("h")))
         if "L2" in ids:
             bands = fixture(spark, sf_dir, "team_budget")
