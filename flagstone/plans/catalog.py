@@ -200,7 +200,7 @@ REVIEW_QUERIES: dict[str, Query] = {
 
 # --- scans, keys, lead stages ----------------------------------------------------------
 
-HELPERS = ("k", "s")
+HELPERS = ("k", "s", "order_month")
 
 
 def scan_assisted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

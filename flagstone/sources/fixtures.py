@@ -10,6 +10,9 @@ tables, ``{NTZ}`` is the wall-clock timestamp literal keyword of the dialect.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 ASSISTED_ORDERS_SQL = """
@@ -134,10 +137,16 @@ SOURCE_COLUMNS = {
 
 
 def source_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A source table; a scan with fewer splits than the session's cores (one small file) is
+    spread round-robin so the derivation uses every core. Large inputs are left as split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived business table as a lazy DataFrame over the parquet sources."""
     text, sources = FIXTURE_SQL[name]
     text = text.replace("{NTZ}", "TIMESTAMP_NTZ")
@@ -145,6 +154,56 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **frames)
 
 
+def _fingerprint(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Hash of the fixture text and the size / modification time of its source files."""
+    text, sources = FIXTURE_SQL[name]
+    h = hashlib.sha1(text.encode())
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for s in sources:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{s}.parquet")
+        st = path.getFileSystem(conf).getFileStatus(path)
+        h.update(f"{path.toString()}|{st.getLen()}|{st.getModificationTime()}".encode())
+    return h.hexdigest()[:16]
+
+
+# Fixtures partitioned by month of the order time (rule date floors prune these partitions).
+MONTH_PARTITIONED = ("assisted_orders",)
+
+
+_RESOLVED: dict[tuple, DataFrame] = {}
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str, materialize: bool | None = None) -> DataFrame:
+    """A derived business table. By default it is materialised once, like the weekly snapshot
+    of the reference, as a committed version under ``spark.checkpoint.dir`` (keyed by a
+    fingerprint of its SQL and sources) and read back from there; the order table carries the
+    ``order_month`` partition column. ``materialize=False`` returns the lazy derivation.
+    Committed versions never change, so the resolved read is reused within a session."""
+    from flagstone.session import ensure_checkpoint_dir
+    from flagstone.sources.snapshot import committed_versions, read_snapshot, refresh_snapshot, with_month
+
+    if materialize is None:
+        materialize = spark.conf.get("flagstone.fixtures.materialize", "true").lower() == "true"
+    if not materialize or not FIXTURE_SQL[name][1]:
+        return derive(spark, sf_dir, name)
+    fp = _fingerprint(spark, sf_dir, name)
+    cache_key = (id(spark), sf_dir, name, fp)
+    if cache_key in _RESOLVED:
+        return _RESOLVED[cache_key]
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flagstone/fixtures/{name}-{fp}"
+    if not committed_versions(spark, root):
+        df = derive(spark, sf_dir, name)
+        if name in MONTH_PARTITIONED:
+            refresh_snapshot(with_month(df), root, version=uuid.uuid4().hex)
+        else:
+            cores = spark.sparkContext.defaultParallelism
+            refresh_snapshot(df.repartition(cores), root, version=uuid.uuid4().hex, partition_col=None)
+    out = read_snapshot(spark, root, version=committed_versions(spark, root)[0])
+    _RESOLVED[cache_key] = out
+    return out
+
+
 def duckdb_fixture(name: str) -> str:
     """The same fixture as DuckDB text over the pre-registered source views."""
     text, sources = FIXTURE_SQL[name]
