@@ -85,6 +85,7 @@ def sort_keys(
     c = F.col(column)
     blank = c.isNull() | (c.cast("string") == "")
     value = c.cast("double") if col_type in NUMERIC_TYPES or col_type == "bool" else natural_key(c)
+    value = F.when(~blank, value)  # two blanks compare equal: the base order decides
     keys: list[SortKey] = [(blank, descending), (value, descending)]
     keys += [(F.col(name), desc) for name, desc in (base_order or [])]
     return keys
