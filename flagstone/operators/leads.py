@@ -14,7 +14,9 @@ times is unspecified, as in the source system.
 Scale notes. K3/K5 are plain aggregations (partial aggregation before the shuffle, so a hot
 lead costs one row per map task). K2 needs the events of a lead in order; it is one window
 over ``lead_id`` evaluated with a single descending sort and running frames only (O(n) per
-lead). K4/K7 work on one row per (lead, agent), bounded by the number of agents.
+lead). A lead with more events than one task should hold is found by a pre-aggregated count
+and windowed in consecutive time segments, stitched at the edges (``lead_transitions``).
+K4/K7 work on one row per (lead, agent), bounded by the number of agents.
 """
 
 from __future__ import annotations
@@ -39,20 +41,16 @@ def _not_closed(state: Column) -> Column:
     return F.lower(state) != F.lit(CLOSED)
 
 
-def lead_transitions(history: DataFrame, tie: str | None = "event_id") -> DataFrame:
-    """Each event with ``prev_state`` and the first later non-closed ``next_state`` /
-    ``next_state_updatedAt`` (searched strictly after the row, NULLs skipped).
-
-    One window, ordered newest first: the previous event is ``lead(1)`` and "first match
-    after the row" is ``last(.., ignorenulls)`` over the rows already seen, a running frame
-    (unbounded preceding .. 1 preceding) instead of a shrinking forward frame.
-    """
-    newest_first = Window.partitionBy("lead_id").orderBy(*_order_cols(tie, descending=True))
+def _transitions_window(history: DataFrame, tie: str | None, part_cols: list[str]) -> DataFrame:
+    """Window form of the transitions over partitions ``part_cols`` (the lead, or the lead and a
+    time segment of it). Adds ``_first`` (no earlier row in the partition)."""
+    newest_first = Window.partitionBy(*part_cols).orderBy(*_order_cols(tie, descending=True))
     seen_after = newest_first.rowsBetween(Window.unboundedPreceding, -1)
     open_state = _not_closed(F.col("state"))
     return history.select(
         "*",
         F.lead("state", 1).over(newest_first).alias("prev_state"),
+        F.lead(F.lit(True), 1).over(newest_first).isNull().alias("_first"),
         F.last(F.when(open_state, F.col("updatedAt")), ignorenulls=True).over(seen_after).alias(
             "next_state_updatedAt"
         ),
@@ -60,6 +58,90 @@ def lead_transitions(history: DataFrame, tie: str | None = "event_id") -> DataFr
     )
 
 
+DEFAULT_MAX_EVENTS_PER_TASK = 5_000_000
+DEFAULT_BUCKET_SECONDS = 60
+
+
+def lead_transitions(
+    history: DataFrame,
+    tie: str | None = "event_id",
+    max_events_per_task: int | None = None,
+    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+) -> DataFrame:
+    """Each event with ``prev_state`` and the first later non-closed ``next_state`` /
+    ``next_state_updatedAt`` (searched strictly after the row, NULLs skipped).
+
+    One window, ordered newest first: the previous event is ``lead(1)`` and "first match
+    after the row" is ``last(.., ignorenulls)`` over the rows already seen, a running frame
+    (unbounded preceding .. 1 preceding) instead of a shrinking forward frame.
+
+    Skew: a lead with more than ``max_events_per_task`` events (spark conf
+    ``flagstone.leads.maxEventsPerTask``, default 5,000,000; 0 disables the check) is not
+    windowed as one partition. Its events are cut into consecutive time segments of about that
+    size (from a per-minute histogram, pre-aggregated before any shuffle), each segment is
+    windowed on its own, and the segment edges are stitched from one summary row per segment.
+    """
+    if max_events_per_task is None:
+        conf = history.sparkSession.conf.get("flagstone.leads.maxEventsPerTask", str(DEFAULT_MAX_EVENTS_PER_TASK))
+        max_events_per_task = int(conf)
+    if max_events_per_task <= 0:
+        return _transitions_window(history, tie, ["lead_id"]).drop("_first")
+    heavy_leads = (
+        history.groupBy("lead_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_events_per_task)
+    )
+    # Each heavy lead holds more than max_events_per_task rows, so there are at most
+    # total_rows / max_events_per_task of them; the count below is the runtime proof.
+    if heavy_leads.limit(1).count() == 0:
+        return _transitions_window(history, tie, ["lead_id"]).drop("_first")
+    keys = heavy_leads.select("lead_id")
+    normal = _transitions_window(history.join(keys, "lead_id", "left_anti"), tie, ["lead_id"]).drop("_first")
+    heavy = _transitions_segmented(history.join(keys, "lead_id", "left_semi"), tie, max_events_per_task, bucket_seconds)
+    return normal.unionByName(heavy)
+
+
+def _transitions_segmented(heavy: DataFrame, tie: str | None, max_rows: int, bucket_seconds: int) -> DataFrame:
+    """Transitions of heavy leads, windowed per (lead, time segment) and stitched at the edges."""
+    order_key = F.struct(*[F.col(c) for c in ["updatedAt"] + ([tie] if tie else [])])
+    # NULL times sort first: give them the lowest bucket
+    bucket = F.coalesce(
+        F.floor(F.unix_micros(F.col("updatedAt").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)),
+        F.lit(-(2**62)),
+    ).cast("long")
+    rows = heavy.withColumn("_bucket", bucket)
+    hist = rows.groupBy("lead_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(
+        F.sum("_n").over(Window.partitionBy("lead_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0),
+    )
+    seg_of_bucket = hist.select("lead_id", "_bucket", F.floor(before / F.lit(max_rows)).cast("long").alias("_seg"))
+    segmented = rows.join(seg_of_bucket, ["lead_id", "_bucket"]).drop("_bucket")
+    local = _transitions_window(segmented, tie, ["lead_id", "_seg"])
+
+    open_state = _not_closed(F.col("state"))
+    summary = segmented.groupBy("lead_id", "_seg").agg(
+        F.max_by("state", order_key).alias("_last_state"),
+        F.min_by(F.col("updatedAt"), F.when(open_state & F.col("updatedAt").isNotNull(), order_key)).alias("_open_t"),
+        F.min_by(F.col("state"), F.when(open_state, order_key)).alias("_open_state"),
+    )
+    w = Window.partitionBy("lead_id").orderBy("_seg")
+    later = w.rowsBetween(1, Window.unboundedFollowing)
+    carries = summary.select(
+        "lead_id",
+        "_seg",
+        F.lag("_last_state", 1).over(w).alias("_carry_prev"),
+        F.first("_open_t", ignorenulls=True).over(later).alias("_carry_t"),
+        F.first("_open_state", ignorenulls=True).over(later).alias("_carry_state"),
+    )
+    # one row per segment: at most (heavy rows / max_rows + heavy leads) rows
+    stitched = local.join(carries, ["lead_id", "_seg"], "left")
+    return stitched.select(
+        *[c for c in heavy.columns],
+        F.when(F.col("_first"), F.col("_carry_prev")).otherwise(F.col("prev_state")).alias("prev_state"),
+        F.coalesce(F.col("next_state_updatedAt"), F.col("_carry_t")).alias("next_state_updatedAt"),
+        F.coalesce(F.col("next_state"), F.col("_carry_state")).alias("next_state"),
+    )
+
+
 def lead_transitions_forward(history: DataFrame, tie: str | None = "event_id") -> DataFrame:
     """Literal twin of ``lead_transitions`` (LAG + forward frame); used by tests to prove the
     running-frame rewrite returns the same rows."""

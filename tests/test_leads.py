@@ -104,3 +104,23 @@ def test_agent_order_ties_null_category_and_untrimmed_names(spark):
     out = leads.lead_misrouted_cases(df, bands).collect()
     assert len(out) == 1
     assert out[0].first_assignee == "ann" and out[0].other_assignees == "zed (NA), ann  (silver)"
+
+
+def test_segmented_path_for_heavy_leads_equals_forward_frame(spark):
+    rnd = random.Random(11)
+    states = ["closed", "CLOSED", "Won", "New", None, "Follow up"]
+    events = []
+    for lead in range(12):
+        n = rnd.choice([1, 3, 40, 120])  # a few heavy leads
+        for _ in range(n):
+            day = rnd.randint(0, 300) if rnd.random() < 0.95 else None
+            events.append((f"L{lead}", rnd.choice(states), day))
+    rows = [(i, l, st, (D0 + dt.timedelta(days=d, minutes=rnd.randint(0, 3000))) if d is not None else None,
+             None, None, None) for i, (l, st, d) in enumerate(events)]
+    df = spark.createDataFrame(rows, HIST)
+    cols = ["event_id", "prev_state", "next_state", "next_state_updatedAt"]
+    ref = leads.lead_transitions_forward(df).select(*cols)
+    for limit, width in [(10, 60), (25, 86400), (7, 3600)]:
+        got = leads.lead_transitions(df, max_events_per_task=limit, bucket_seconds=width).select(*cols)
+        assert got.count() == ref.count()
+        assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0, (limit, width)
