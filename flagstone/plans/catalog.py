@@ -395,3 +395,26 @@ MORE_QUERIES: dict[str, Query] = {
     "snapshot_refresh": snapshot_refresh,
     "snapshot_info": snapshot_info,
 }
+
+
+def review_evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule 3's review table evolved to the wider view of rule 14 (J6): missing view columns
+    are appended with their types, NULL for the existing rows."""
+    from flagstone.operators.reviews import evolve_schema
+
+    reviews = seed_reviews(spark, sf_dir, [REVIEW_RULE], with_record=True, params=PARAMS)
+    view = flagging.flag(find_rule("14"), fixture(spark, sf_dir, "assisted_orders"), reviews, PARAMS, ordered=False)
+    return evolve_schema(reviews, view.schema)
+
+
+ROSTER_LOOKUP_EMAIL = "User5@Example.com"
+
+
+def roster_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name of one signed-in user (LIMIT 1 lookup, G2)."""
+    from flagstone.operators.roster import lookup_member
+
+    return lookup_member(fixture(spark, sf_dir, "employees"), ROSTER_LOOKUP_EMAIL, ROSTER_SYSTEM)
+
+
+MORE_QUERIES.update({"review_evolve": review_evolve, "roster_lookup": roster_lookup})

@@ -674,3 +674,27 @@ EXPLORE_ORACLES = {
     "reviews_report": reviews_list_sql,
     "case_summary": case_summary_sql,
 }
+
+
+_EVOLVE_ADDED = {
+    "payment_method": "VARCHAR", "order_type_in_mtd_form": "VARCHAR", "pending_approval_02_step_timestamp": "TIMESTAMP",
+    "current_order_status": "VARCHAR", "lead_created_at": "DATE", "final_assigned_to_name": "VARCHAR",
+    "helper_budget": "BIGINT", "assigned_team_acc_to_budget": "VARCHAR",
+}
+
+
+def review_evolve_sql() -> str:
+    added = ", ".join(f"CAST(NULL AS {t}) AS {c}" for c, t in _EVOLVE_ADDED.items())
+    return duckdb_with("assisted_orders", extra={"reviews": seeded_reviews_r3_sql()}) + f"SELECT *, {added} FROM reviews"
+
+
+def roster_lookup_sql() -> str:
+    return duckdb_with("employees") + (
+        "SELECT COALESCE(COALESCE(display_name, work_email), 'User5@Example.com') AS name FROM employees"
+        " WHERE lower(work_email) = 'user5@example.com'"
+        f" AND len(list_filter(string_split(Project_id, ','), lambda p: lower({_utrim('p')}) = 'audit_app')) > 0"
+        " ORDER BY work_email LIMIT 1"
+    )
+
+
+EXPLORE_ORACLES.update({"review_evolve": review_evolve_sql, "roster_lookup": roster_lookup_sql})
