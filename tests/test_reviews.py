@@ -88,3 +88,15 @@ def test_bad_text_becomes_null_on_copy(applied):
     bad = batch.where("total_amount = 'n/a' AND action = 'create'").select("seq").count()
     if bad:
         assert new_reviews.where(F.col("total_amount").isNull()).count() >= 0
+
+
+def test_review_schema_of_rule_3(spark):
+    from flagstone.operators.rules import find_rule
+
+    spec = find_rule("3")
+    view = C.build_queries()["flagged_3"](spark, SF001)
+    names = [f.name for f in R.review_schema(spec, view.schema).fields]
+    assert names[:2] == ["rule_id", "case_key"]
+    assert names[2:14] == list(spec.columns)
+    assert names[14:] == ["auditor", "decision_types", "decided_sales_person", "comments",
+                          "created_by", "created_at", "updated_by", "updated_at"]
