@@ -8,6 +8,10 @@ so the DuckDB oracle builds the same rows.
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +45,64 @@ def _with_audit(df: DataFrame) -> DataFrame:
     return df.select("*", *[F.expr(audit[c]).alias(c) for c in AUDIT_FIELDS + AUDIT_META]).drop("h")
 
 
+_CODE_FILES = ("functions/keys.py", "operators/rules.py", "operators/flagging.py", "operators/leads.py",
+               "sources/seeds.py", "sources/fixtures.py", "sources/snapshot.py")
+_RESOLVED: dict[tuple, DataFrame] = {}
+
+
+def _code_hash() -> str:
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for rel in _CODE_FILES:
+        with open(os.path.join(root, rel), "rb") as f:
+            h.update(f.read())
+    return h.hexdigest()[:12]
+
+
 def seed_reviews(
     spark: SparkSession,
     sf_dir: str,
     rule_ids: list[str] | None = None,
     with_record: bool = False,
     params: RuleParams = RuleParams(),
+    materialize: bool | None = None,
+) -> DataFrame:
+    """Reviewed cases of the given rules (all by default): rule_id, case_key, [record], audit fields.
+
+    Like the fixtures, the seed dataset is written once under ``spark.checkpoint.dir``
+    (partitioned by rule_id, keyed by its sources, parameters and the code deriving it) and read
+    back, as a stored review table would be. A relative cutoff (no ``as_of_date``) is never
+    materialised."""
+    from flagstone.session import ensure_checkpoint_dir
+    from flagstone.sources.fixtures import FIXTURE_SQL, _fingerprint
+    from flagstone.sources.snapshot import committed_versions, read_snapshot, refresh_snapshot
+
+    ids = sorted(set(rule_ids or [r.id for r in RULES]))
+    if materialize is None:
+        materialize = spark.conf.get("flagstone.fixtures.materialize", "true").lower() == "true"
+    if not materialize or params.as_of_date is None:
+        return _build_seed_reviews(spark, sf_dir, ids, with_record, params)
+    h = hashlib.sha1(repr((ids, with_record, params, _code_hash())).encode())
+    for name in ("assisted_orders", "unassisted_orders", "lead_history"):
+        h.update(_fingerprint(spark, sf_dir, name).encode())
+    h.update(FIXTURE_SQL["team_budget"][0].encode())
+    fp = h.hexdigest()[:16]
+    key = (id(spark), sf_dir, fp)
+    if key in _RESOLVED:
+        return _RESOLVED[key]
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flagstone/seed_reviews/{fp}"
+    if not committed_versions(spark, root):
+        built = _build_seed_reviews(spark, sf_dir, ids, with_record, params)
+        refresh_snapshot(built, root, version=uuid.uuid4().hex, partition_col="rule_id")
+    out = read_snapshot(spark, root, version=committed_versions(spark, root)[0])
+    _RESOLVED[key] = out
+    return out
+
+
+def _build_seed_reviews(
+    spark: SparkSession, sf_dir: str, rule_ids: list[str], with_record: bool, params: RuleParams
 ) -> DataFrame:
-    """Reviewed cases of the given rules (all by default): rule_id, case_key, [record], audit fields."""
-    ids = set(rule_ids or [r.id for r in RULES])
+    ids = set(rule_ids)
     parts: list[DataFrame] = []
     order_specs = [r for r in rules_on("assisted_orders") if r.id in ids]
     if order_specs:

@@ -16,6 +16,7 @@ once and keep reading its files while a newer one is being built. Old versions a
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,7 @@ def refresh_snapshot(
         if partition_col not in df.columns:
             w = with_month(df)
         w = w.repartition(partition_col)
+    _write_schema(spark, root, version, w.schema)
     writer = w.write.mode("errorifexists").option("maxRecordsPerFile", max_records_per_file)
     if partition_col:
         writer = writer.partitionBy(partition_col)
@@ -80,6 +82,41 @@ def refresh_snapshot(
     return version
 
 
+def _schema_path(root: str, version: str) -> str:
+    return f"{root}/_schemas/{version}.json"
+
+
+def _write_schema(spark: SparkSession, root: str, version: str, schema: T.StructType) -> None:
+    """Keep the written schema beside the version: partition columns are read back with their
+    written types instead of types guessed from folder names ('3' would become an integer)."""
+    fs, p = _fs(spark, _schema_path(root, version))
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(schema.json().encode("utf-8")))
+    finally:
+        out.close()
+
+
+def _read_schema(spark: SparkSession, root: str, version: str) -> T.StructType | None:
+    fs, p = _fs(spark, _schema_path(root, version))
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        reader = spark.sparkContext._jvm.java.io.BufferedReader(
+            spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8")
+        )
+        lines = []
+        line = reader.readLine()
+        while line is not None:
+            lines.append(line)
+            line = reader.readLine()
+        text = "\n".join(lines)
+    finally:
+        stream.close()
+    return T.StructType.fromJson(json.loads(text))
+
+
 def read_snapshot(
     spark: SparkSession, root: str, schema: T.StructType | None = None, version: str | None = None
 ) -> DataFrame:
@@ -90,6 +127,7 @@ def read_snapshot(
     v = version or versions[-1]
     if v not in versions:
         raise FileNotFoundError(f"version {v} not committed under {root}")
+    schema = schema or _read_schema(spark, root, v)
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
