@@ -110,7 +110,8 @@ def contains_chq(c: str) -> Column:
 def as_of(params: RuleParams) -> Column:
     if params.as_of_date is not None:
         return F.lit(params.as_of_date)
-    return F.to_date(F.from_utc_timestamp(F.current_timestamp(), CUTOFF_ZONE))
+    # today's date in the cutoff zone, independent of the session time zone
+    return F.to_date(F.convert_timezone(None, F.lit(CUTOFF_ZONE), F.current_timestamp()))
 
 
 def before_cutoff(c: str, params: RuleParams) -> Column:

@@ -82,7 +82,9 @@ def seed_reviews(
         materialize = spark.conf.get("flagstone.fixtures.materialize", "true").lower() == "true"
     if not materialize or params.as_of_date is None:
         return _build_seed_reviews(spark, sf_dir, ids, with_record, params)
-    h = hashlib.sha1(repr((ids, with_record, params, _code_hash())).encode())
+    # audit instants come from wall-clock literals read in the session zone
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    h = hashlib.sha1(repr((ids, with_record, params, _code_hash(), zone)).encode())
     for name in ("assisted_orders", "unassisted_orders", "lead_history"):
         h.update(_fingerprint(spark, sf_dir, name).encode())
     h.update(FIXTURE_SQL["team_budget"][0].encode())
