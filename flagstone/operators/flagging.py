@@ -109,11 +109,11 @@ def flag_all(
     key_cols = {s.key_cols for s in specs}
     if len(key_cols) != 1:
         raise ValueError("flag_all needs rules with one shared key")
-    ids = F.array_compact(F.array(*[F.when(s.predicate(params), F.lit(s.id)) for s in specs]))
-    any_hit = None
-    for s in specs:
-        c = s.predicate(params)
-        any_hit = c if any_hit is None else (any_hit | c)
+    preds = [s.predicate(params) for s in specs]
+    ids = F.array_compact(F.array(*[F.when(p, F.lit(s.id)) for p, s in zip(preds, specs)]))
+    any_hit = preds[0]
+    for p in preds[1:]:
+        any_hit = any_hit | p
     return (
         base.where(any_hit)  # cheap disjunction first: pushed to the scan where possible
         .select(F.explode(ids).alias("rule_id"), case_key(specs[0].key_cols).alias("case_key"), "*")

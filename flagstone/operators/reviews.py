@@ -66,13 +66,17 @@ def _record_key(spec: RuleSpec) -> Column:
 
 
 def _create_key(decisions: DataFrame, rules: tuple[RuleSpec, ...]) -> Column:
-    expr = None
+    """Key of a create, by the key columns of its rule (one branch per key shape)."""
+    shapes: dict[tuple[str, ...], list[str]] = {}
     for spec in rules:
         names = [k.partition(":")[0] for k in spec.key_cols]
-        if not all(n in decisions.columns for n in names):
-            continue
-        expr = (F.when(F.col("rule_id") == spec.id, _record_key(spec)) if expr is None
-                else expr.when(F.col("rule_id") == spec.id, _record_key(spec)))
+        if all(n in decisions.columns for n in names):
+            shapes.setdefault(spec.key_cols, []).append(spec.id)
+    expr = None
+    for key_cols, ids in shapes.items():
+        spec = next(r for r in rules if r.key_cols == key_cols)
+        cond = F.col("rule_id").isin(ids)
+        expr = F.when(cond, _record_key(spec)) if expr is None else expr.when(cond, _record_key(spec))
     return expr if expr is not None else F.lit(None).cast("string")
 
 
