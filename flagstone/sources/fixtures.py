@@ -197,8 +197,11 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, materialize: bool | Non
         if name in MONTH_PARTITIONED:
             refresh_snapshot(with_month(df), root, version=uuid.uuid4().hex)
         else:
+            # keep the scan's own splits; only a result in fewer pieces than cores is spread
             cores = spark.sparkContext.defaultParallelism
-            refresh_snapshot(df.repartition(cores), root, version=uuid.uuid4().hex, partition_col=None)
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+            refresh_snapshot(df, root, version=uuid.uuid4().hex, partition_col=None)
     out = read_snapshot(spark, root, version=committed_versions(spark, root)[0])
     _RESOLVED[cache_key] = out
     return out

@@ -63,8 +63,12 @@ def refresh_snapshot(
     max_records_per_file: int = 5_000_000,
 ) -> str:
     """Write ``df`` (all its columns, so a new source column is picked up by itself) as the
-    next version; returns the version. The write is repartitioned by the partition column
-    so each month is written by few tasks (few files) and files stay bounded in size."""
+    next version; returns the version.
+
+    The rows are range-partitioned on (partition value, row hash) before the write: each
+    partition value is spread over as many tasks as its size needs (a month or a rule holding a
+    third of the data is written by many tasks, never one), while a task still writes few
+    partition folders, so files stay few and bounded (``max_records_per_file``)."""
     version = version or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%fZ")
     spark = df.sparkSession
     if version in committed_versions(spark, root):
@@ -73,7 +77,7 @@ def refresh_snapshot(
     if partition_col:
         if partition_col not in df.columns:
             w = with_month(df)
-        w = w.repartition(partition_col)
+        w = w.repartitionByRange(F.col(partition_col), F.xxhash64(*[F.col(c) for c in w.columns]))
     _write_schema(spark, root, version, w.schema)
     writer = w.write.mode("errorifexists").option("maxRecordsPerFile", max_records_per_file)
     if partition_col:
