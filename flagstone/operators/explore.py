@@ -20,6 +20,12 @@ PERSON_KEYS = ("sales_person", "assignedTo", "first_assignee")
 NUMERIC_TYPES = ("money", "num", "int")
 DIGIT_RUN_WIDTH = 40  # digit runs are left-padded to this width for numeric comparison
 
+# Own scale limits (not from the reference). Rows one task may hold for the top-k of a page; ranges per refinement step (a collected
+# table of one small row per range); refinement steps before the top-k is taken as is.
+MAX_TASK_ROWS = 1_000_000
+MAX_RANGES = 4096
+MAX_REFINE_STEPS = 8
+
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """Distinct non-empty text values of one column, sorted."""
@@ -112,19 +118,116 @@ def page_count(df: DataFrame, page_size: int = PAGE_SIZE) -> int:
 
 
 def page(
-    df: DataFrame, keys: list[SortKey], number: int, page_size: int = PAGE_SIZE, total_rows: int | None = None
+    df: DataFrame,
+    keys: list[SortKey],
+    number: int,
+    page_size: int = PAGE_SIZE,
+    total_rows: int | None = None,
+    max_task_rows: int = MAX_TASK_ROWS,
 ) -> DataFrame:
     """One page of ``df`` in the order of ``keys`` (G4); the page number is clamped to the last
-    page. A page in the first half is a top-k (offset + limit after the sort: one
-    TakeOrderedAndProject); a page in the second half is taken as a top-k of the reversed
-    order, so no task ever holds more than half the rows plus a page, and the last page costs
-    one page. Nothing numbers all rows in one partition."""
+    page. While the rows that may precede the page exceed ``max_task_rows``, the rows are
+    range-partitioned on the sort keys and counted per range (one small row per range); only
+    the range(s) covering the page are kept, by a filter on their first and last key. The
+    page is then a top-k (offset + limit after the sort) inside those rows, so no task holds
+    more than about ``max_task_rows`` rows whatever the page number. Nothing numbers all rows
+    in one partition. ``keys`` should end in a unique column; exact ties are split by a hash
+    of the whole row, and a page inside one tie group takes any rows of that group."""
     n = total_rows if total_rows is not None else df.count()
     last = max(1, -(-n // page_size)) - 1
     safe = min(max(number, 0), last)
     start = safe * page_size
     size = max(0, min(page_size, n - start))
-    if start <= n - start - size:
+    if start + size <= max_task_rows:
         return df.orderBy(*_order(keys)).offset(start).limit(page_size)
-    tail = df.orderBy(*_order(keys, reverse=True)).offset(n - start - size).limit(size)
-    return tail.orderBy(*_order(keys))
+    keys = keys + [(F.xxhash64(*[F.col(c) for c in df.columns]), False)]
+    part, rows = df, n
+    for _ in range(MAX_REFINE_STEPS):
+        lo_text, hi_text, types, skipped, covered = _covering_ranges(part, keys, start, size, rows, max_task_rows)
+        lo = [_restore(v, t) for v, t in zip(lo_text, types)]
+        hi = [_restore(v, t) for v, t in zip(hi_text, types)]
+        if lo_text == hi_text:  # the page lies inside one group of equal keys: any rows of it
+            return part.where(_lex_equal(keys, lo)).limit(size)
+        part = part.where(~_lex_cmp(keys, lo, _before) & ~_lex_cmp(keys, hi, _after))
+        start, rows = start - skipped, covered
+        if start + size <= max_task_rows:
+            break
+    return part.orderBy(*_order(keys)).offset(start).limit(size)
+
+
+
+def _covering_ranges(part: DataFrame, keys: list[SortKey], start: int, size: int, rows: int, max_task_rows: int):
+    """Range-partition ``part`` on the sort keys, count rows per range and return the first key
+    of the range holding row ``start`` and the last key of the range holding the page's last row
+    (as exact text, with the key types), the rows before the first range and the rows of the
+    covering ranges."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    kdf = part.select(*[e.alias(nm) for (e, _), nm in zip(keys, names)])
+    order = _order([(F.col(nm), d) for nm, (_, d) in zip(names, keys)])
+    ranges = min(MAX_RANGES, max(2, -(-2 * rows // max_task_rows)))
+    types = [f.dataType for f in kdf.schema.fields]
+    carried = F.struct(*[_carry(F.col(nm), t).alias(nm) for nm, t in zip(names, types)])
+    stats = (
+        kdf.repartitionByRange(ranges, *order)
+        .sortWithinPartitions(*order)
+        .select(carried.alias("_b"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+        .groupBy("_p")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min_by("_b", "_i").alias("_lo"), F.max_by("_b", "_i").alias("_hi"))
+        .orderBy("_p")
+        .collect()
+    )
+    seen, first, skipped = 0, None, 0
+    for r in stats:
+        if first is None and seen + r._n > start:
+            first, skipped = r, seen
+        seen += r._n
+        if first is not None and seen >= start + size:
+            return list(first._lo), list(r._hi), types, skipped, seen - skipped
+    raise RuntimeError("rows changed between the count and the range statistics")
+
+
+def _carry(c: Column, t: T.DataType) -> Column:
+    """A key value as exact text for the driver (instants as microseconds)."""
+    return F.unix_micros(c).cast("string") if isinstance(t, T.TimestampType) else c.cast("string")
+
+
+def _restore(v: str | None, t: T.DataType) -> Column | None:
+    if v is None:
+        return None
+    if isinstance(t, T.TimestampType):
+        return F.timestamp_micros(F.lit(int(v)))
+    return F.lit(v).cast(t)
+
+
+def _before(x: Column, b: Column | None, desc: bool) -> Column:
+    """``x`` strictly before bound ``b`` in the key's order (ascending: NULLs first;
+    descending: NULLs last)."""
+    if not desc:
+        return F.lit(False) if b is None else (x.isNull() | F.coalesce(x < b, F.lit(False)))
+    return x.isNotNull() if b is None else F.coalesce(x > b, F.lit(False))
+
+
+def _after(x: Column, b: Column | None, desc: bool) -> Column:
+    if not desc:
+        return x.isNotNull() if b is None else F.coalesce(x > b, F.lit(False))
+    return F.lit(False) if b is None else (x.isNull() | F.coalesce(x < b, F.lit(False)))
+
+
+def _equal(x: Column, b: Column | None) -> Column:
+    return x.isNull() if b is None else F.coalesce(x == b, F.lit(False))
+
+
+def _lex_cmp(keys: list[SortKey], bound: list, cmp) -> Column:
+    """Lexicographic comparison of a row's keys with a bound: earlier keys equal, this one ``cmp``."""
+    out, prefix = F.lit(False), F.lit(True)
+    for (x, desc), b in zip(keys, bound):
+        out = out | (prefix & cmp(x, b, desc))
+        prefix = prefix & _equal(x, b)
+    return out
+
+
+def _lex_equal(keys: list[SortKey], bound: list) -> Column:
+    out = F.lit(True)
+    for (x, _), b in zip(keys, bound):
+        out = out & _equal(x, b)
+    return out

@@ -326,6 +326,18 @@ def table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(df, keys, 10**6).drop("case_key")
 
 
+def table_page_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle page of rule 3 sorted by amount, found by key ranges of at most 500 rows per
+    task (the row-bounded path of G4) instead of one top-k over half the rows."""
+    from flagstone.operators.explore import PAGE_SIZE, page, sort_keys
+
+    df = _flagged_3(spark, sf_dir, with_key=True)
+    keys = sort_keys(df, "total_amount", False, base_order=[("order_date_time", False), ("case_key", False)])
+    n = df.count()
+    middle = (max(1, -(-n // PAGE_SIZE)) - 1) // 2
+    return page(df, keys, middle, total_rows=n, max_task_rows=500).drop("case_key")
+
+
 def report_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flagstone.operators.render import render_report
 
@@ -388,6 +400,7 @@ MORE_QUERIES: dict[str, Query] = {
     "table_search_amount": table_search_amount,
     "table_sort_natural": table_sort_natural,
     "table_page": table_page,
+    "table_page_middle": table_page_middle,
     "report_render": report_render,
     "report_render_leads": report_render_leads,
     "reviews_report": reviews_report,

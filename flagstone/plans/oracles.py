@@ -643,6 +643,15 @@ def page_sql() -> str:
     )
 
 
+def page_middle_sql() -> str:
+    return flagged3_ctes() + (
+        f"SELECT {', '.join(R3_VIEW)} FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY total_amount IS NULL,"
+        " total_amount ASC NULLS FIRST, order_date_time ASC NULLS FIRST, case_key) AS rn FROM flagged3) t"
+        " WHERE rn > (SELECT ((CAST(ceil(COUNT(*) / 50.0) AS BIGINT) - 1) // 2) * 50 FROM flagged3)"
+        " AND rn <= (SELECT ((CAST(ceil(COUNT(*) / 50.0) AS BIGINT) - 1) // 2) * 50 + 50 FROM flagged3)"
+    )
+
+
 def render_sql() -> str:
     cols = ", ".join(f"{display_sql(c, R3_DISPLAY.get(c, 'text'))} AS {c}" for c in R3_VIEW)
     return flagged3_ctes() + f"SELECT {cols} FROM flagged3"
@@ -669,6 +678,7 @@ EXPLORE_ORACLES = {
     "table_search_amount": lambda: search_sql(",50,"),
     "table_sort_natural": sort_natural_sql,
     "table_page": page_sql,
+    "table_page_middle": page_middle_sql,
     "report_render": render_sql,
     "report_render_leads": render_leads_sql,
     "reviews_report": reviews_list_sql,

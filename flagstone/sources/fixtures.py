@@ -71,12 +71,15 @@ SELECT k, s,
   CASE WHEN k%4<>(k+1)%4 AND k%6=0 THEN 'Mismatch' ELSE NULL END AS budget_team_mismatch_flag,
   CASE WHEN k%15=2 THEN 'Invalid' ELSE NULL END AS invalid_sales_team_flag
 FROM (
-  SELECT o.*, c.c_name, c.c_mktsegment, o.o_orderkey AS k,
+  SELECT o.*, c.c_name, c.c_mktsegment, o.o_orderkey AS k, 0 AS s,
     {NTZ} '2025-07-01 00:00:00' + INTERVAL '1' DAY * ((o.o_orderkey*37)%460) + INTERVAL '1' MINUTE * ((o.o_orderkey*13)%1440) AS odt
   FROM {orders} o JOIN {customer} c ON c.c_custkey=o.o_custkey
+  UNION ALL
+  SELECT o.*, c.c_name, c.c_mktsegment, o.o_orderkey AS k, 1 AS s,
+    {NTZ} '2025-07-01 00:00:00' + INTERVAL '1' DAY * ((o.o_orderkey*37)%460) + INTERVAL '1' MINUTE * ((o.o_orderkey*13)%1440) AS odt
+  FROM {orders} o JOIN {customer} c ON c.c_custkey=o.o_custkey
+  WHERE o.o_orderkey%10=0
 ) x
-CROSS JOIN (SELECT 0 AS s UNION ALL SELECT 1 AS s) y
-WHERE s=0 OR k%10=0
 """
 
 UNASSISTED_ORDERS_SQL = """
@@ -255,17 +258,22 @@ SELECT (k*2+s)*8 + v AS seq,
   'auditor' || CAST((k+v)%4 AS STRING) || '@example.com' AS user_email,
   CAST({NTZ} '2026-10-01 00:00:00' + INTERVAL '1' SECOND * ((k*2+s)*8 + v) AS TIMESTAMP) AS submitted_at
 FROM (
-  SELECT * FROM assisted_orders_r3
+  SELECT r.*, 0 AS v FROM assisted_orders_r3 r WHERE k%3=0 OR k%89=0 OR k%97=0
+  UNION ALL
+  SELECT r.*, 1 AS v FROM assisted_orders_r3 r WHERE k%9=0
+  UNION ALL
+  SELECT r.*, 2 AS v FROM assisted_orders_r3 r WHERE k%7=3 AND k%2=0
+  UNION ALL
+  SELECT r.*, 3 AS v FROM assisted_orders_r3 r WHERE k%7=5 AND k%3=1
+  UNION ALL
+  SELECT r.*, 4 AS v FROM assisted_orders_r3 r WHERE k%3=0 AND k%4=0
+  UNION ALL
+  SELECT r.*, 5 AS v FROM assisted_orders_r3 r WHERE k%37=0
+  UNION ALL
+  SELECT r.*, 6 AS v FROM assisted_orders_r3 r WHERE k%53=0
+  UNION ALL
+  SELECT r.*, 7 AS v FROM assisted_orders_r3 r WHERE k%43=0
 ) a
-CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7)) AS t(v)
-WHERE (v=0 AND (k%3=0 OR k%89=0 OR k%97=0))
-   OR (v=1 AND k%9=0)
-   OR (v=2 AND k%7=3 AND k%2=0)
-   OR (v=3 AND k%7=5 AND k%3=1)
-   OR (v=4 AND k%3=0 AND k%4=0)
-   OR (v=5 AND k%37=0)
-   OR (v=6 AND k%53=0)
-   OR (v=7 AND k%43=0)
 """
 
 # Rows of rule 3 (before review exclusion), the source of the decision batch.

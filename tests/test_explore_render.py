@@ -65,3 +65,37 @@ def test_summary_and_review_order():
 def test_group_digits_negative_zero(spark):
     df = spark.createDataFrame([(-0.001,)], "x double")
     assert df.select(group_digits(F.col("x"))).first()[0] == "-0"
+
+
+def _ranged_pages_equal_topk(df, keys, n, page_size, max_task_rows):
+    pages = -(-n // page_size)
+    for number in range(pages):
+        small = explore.page(df, keys, number, page_size, total_rows=n)
+        ranged = explore.page(df, keys, number, page_size, total_rows=n, max_task_rows=max_task_rows)
+        assert [tuple(r) for r in ranged.collect()] == [tuple(r) for r in small.collect()], number
+
+
+def test_ranged_page_matches_topk_with_nulls_descending_and_text(spark):
+    rows = [(i, None if i % 9 == 0 else f"A{(i * 7) % 23}", None if i % 5 == 0 else float(i % 11)) for i in range(230)]
+    df = spark.createDataFrame(rows, "pos int, code string, amt double")
+    asc = explore.sort_keys(df, "code", False, "text", base_order=[("pos", False)])
+    desc = explore.sort_keys(df, "amt", True, "num", base_order=[("pos", True)])
+    _ranged_pages_equal_topk(df, asc, 230, 25, 40)
+    _ranged_pages_equal_topk(df, desc, 230, 25, 40)
+
+
+def test_ranged_page_with_timestamps_and_ties(spark):
+    base = dt.datetime(2026, 1, 1)
+    rows = [(i, base + dt.timedelta(minutes=(i * 13) % 37)) for i in range(150)]
+    df = spark.createDataFrame(rows, "pos int, t timestamp")
+    keys = [(F.col("t"), False), (F.col("pos"), False)]
+    _ranged_pages_equal_topk(df, keys, 150, 20, 30)
+
+
+def test_ranged_page_inside_one_tie_group(spark):
+    df = spark.createDataFrame([(1, "x")] * 120 + [(2, "y")] * 5, "v int, s string")
+    keys = [(F.col("v"), False)]
+    got = explore.page(df, keys, 1, 50, max_task_rows=30).collect()
+    assert len(got) == 50 and all(tuple(r) == (1, "x") for r in got)
+    tail = explore.page(df, keys, 2, 50, max_task_rows=30).collect()
+    assert sorted(tuple(r) for r in tail) == [(1, "x")] * 20 + [(2, "y")] * 5
