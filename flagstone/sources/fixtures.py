@@ -232,7 +232,8 @@ def duckdb_with(*names: str, extra: dict[str, str] | None = None) -> str:
 # never saved; 4 edit after a create in the same batch; 5 create whose key parts are all NULL;
 # 6 edit with an empty key; 7 create without a record. Field edge cases ride on k: blank
 # auditor, missing decision, 201 characters, 200 characters inside blanks, 4001-character comment,
-# unknown rule, unparseable amount.
+# unknown rule, unparseable amount. Each rule 3 row is read once and expanded into the eight
+# variants by a generator ({VARIANTS}: explode on Spark, unnest on DuckDB), then filtered.
 DECISIONS_SQL = """
 SELECT (k*2+s)*8 + v AS seq,
   CASE WHEN v IN (2,3,4,6) THEN 'edit' ELSE 'create' END AS action,
@@ -258,22 +259,16 @@ SELECT (k*2+s)*8 + v AS seq,
   'auditor' || CAST((k+v)%4 AS STRING) || '@example.com' AS user_email,
   CAST({NTZ} '2026-10-01 00:00:00' + INTERVAL '1' SECOND * ((k*2+s)*8 + v) AS TIMESTAMP) AS submitted_at
 FROM (
-  SELECT r.*, 0 AS v FROM assisted_orders_r3 r WHERE k%3=0 OR k%89=0 OR k%97=0
-  UNION ALL
-  SELECT r.*, 1 AS v FROM assisted_orders_r3 r WHERE k%9=0
-  UNION ALL
-  SELECT r.*, 2 AS v FROM assisted_orders_r3 r WHERE k%7=3 AND k%2=0
-  UNION ALL
-  SELECT r.*, 3 AS v FROM assisted_orders_r3 r WHERE k%7=5 AND k%3=1
-  UNION ALL
-  SELECT r.*, 4 AS v FROM assisted_orders_r3 r WHERE k%3=0 AND k%4=0
-  UNION ALL
-  SELECT r.*, 5 AS v FROM assisted_orders_r3 r WHERE k%37=0
-  UNION ALL
-  SELECT r.*, 6 AS v FROM assisted_orders_r3 r WHERE k%53=0
-  UNION ALL
-  SELECT r.*, 7 AS v FROM assisted_orders_r3 r WHERE k%43=0
+  SELECT r.*, {VARIANTS} AS v FROM assisted_orders_r3 r
 ) a
+WHERE (v=0 AND (k%3=0 OR k%89=0 OR k%97=0))
+   OR (v=1 AND (k%9=0))
+   OR (v=2 AND (k%7=3 AND k%2=0))
+   OR (v=3 AND (k%7=5 AND k%3=1))
+   OR (v=4 AND (k%3=0 AND k%4=0))
+   OR (v=5 AND (k%37=0))
+   OR (v=6 AND (k%53=0))
+   OR (v=7 AND (k%43=0))
 """
 
 # Rows of rule 3 (before review exclusion), the source of the decision batch.
@@ -288,7 +283,11 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r3 = spark.sql(
         RULE3_ROWS_SQL.replace("{NTZ}", "TIMESTAMP_NTZ"), assisted_orders=fixture(spark, sf_dir, "assisted_orders")
     )
-    text = DECISIONS_SQL.replace("{NTZ}", "TIMESTAMP_NTZ").replace("assisted_orders_r3", "{r3}")
+    text = (
+        DECISIONS_SQL.replace("{NTZ}", "TIMESTAMP_NTZ")
+        .replace("{VARIANTS}", "explode(sequence(0, 7))")
+        .replace("assisted_orders_r3", "{r3}")
+    )
     return spark.sql(text, r3=r3)
 
 
@@ -297,5 +296,7 @@ def duckdb_decisions_ctes() -> dict[str, str]:
     r3 = RULE3_ROWS_SQL.replace("{NTZ}", "TIMESTAMP").replace("{assisted_orders}", "assisted_orders")
     return {
         "assisted_orders_r3": r3,
-        "decisions": DECISIONS_SQL.replace("{NTZ}", "TIMESTAMP").replace("STRING", "VARCHAR"),
+        "decisions": DECISIONS_SQL.replace("{NTZ}", "TIMESTAMP")
+        .replace("{VARIANTS}", "unnest(range(0, 8))")
+        .replace("STRING", "VARCHAR"),
     }
