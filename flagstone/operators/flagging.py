@@ -134,10 +134,10 @@ def counts(flagged_keys: DataFrame, spark: SparkSession, rule_ids: list[str] | N
         ),
     )
     per_rule = flagged_keys.groupBy("rule_id").agg(F.count(F.lit(1)).alias("flagged"))
-    # the registry is a fixed list of 18 rules: broadcasting it is bounded by construction
+    # per_rule holds one row per rule id that has hits, and rule ids come from the registry (18
+    # rules): broadcasting it is bounded by construction, so the registry joins without a shuffle
     return (
-        F.broadcast(registry)
-        .join(per_rule, "rule_id", "left")
+        registry.join(F.broadcast(per_rule), "rule_id", "left")
         .select("rule_id", "title", F.coalesce("flagged", F.lit(0)).cast("long").alias("flagged"), "position")
         .orderBy("position")
         .drop("position")

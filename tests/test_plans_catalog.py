@@ -81,3 +81,15 @@ def test_orders_range_rejects_bad_dates():
             check_range(lo, hi)
     assert range_for("30", dt.date(2026, 10, 3)) == ("2026-09-03", "2026-10-03")
     assert range_for("all", dt.date(2026, 10, 3)) == ("2025-07-01", "2026-10-03")
+
+
+def test_no_cartesian_product_in_any_query(spark):
+    for name, make in C.build_queries().items():
+        text = plan_text(make(spark, SF001))
+        assert "CartesianProduct" not in text, name
+
+
+def test_registry_join_broadcasts_the_per_rule_counts(spark):
+    text = plan_text(C.build_queries()["flagged_counts"](spark, SF001))
+    assert "LeftOuter, BuildRight" in text
+    assert "SortMergeJoin" not in text
