@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,22 @@ from flagstone.operators.rules import RULES, RuleParams, RuleSpec, find_rule, ru
 MONTH_PARTITION = "order_month"
 
 
+_EXPRESSIONS: dict[tuple, object] = {}
+
+
+def _built_once(key: tuple, build):
+    """A Column expression tree depends only on the rule specs and parameters, not on any
+    DataFrame, but building one costs many JVM round trips; each is built once per gateway."""
+    k = (id(SparkContext._gateway),) + key
+    if k not in _EXPRESSIONS:
+        _EXPRESSIONS[k] = build()
+    return _EXPRESSIONS[k]
+
+
+def _spec_key(spec: RuleSpec) -> tuple:
+    return (spec, id(spec.predicate))
+
+
 def _pruning_hint(spec: RuleSpec, base: DataFrame) -> Column | None:
     """Derived predicate on the month partition implied by the rule's date floor (or None)."""
     if spec.floor_column == "order_date_time" and MONTH_PARTITION in base.columns and spec.floor_value:
@@ -37,7 +54,7 @@ def rule_filter(spec: RuleSpec, base: DataFrame, params: RuleParams = RuleParams
     """Rows of ``base`` matched by the rule's predicate (no review exclusion)."""
     if spec.predicate is None:
         raise ValueError(f"rule {spec.id} is a pipeline, not a predicate rule")
-    cond = spec.predicate(params)
+    cond = _built_once(("predicate", _spec_key(spec), params), lambda: spec.predicate(params))
     hint = _pruning_hint(spec, base)
     if hint is not None:
         cond = hint & cond
@@ -46,9 +63,8 @@ def rule_filter(spec: RuleSpec, base: DataFrame, params: RuleParams = RuleParams
 
 def hits(spec: RuleSpec, base: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
     """Flagged rows before review exclusion, with ``rule_id`` and ``case_key``."""
-    return rule_filter(spec, base, params).select(
-        F.lit(spec.id).alias("rule_id"), case_key(spec.key_cols).alias("case_key"), "*"
-    )
+    key = _built_once(("key", spec.key_cols), lambda: case_key(spec.key_cols))
+    return rule_filter(spec, base, params).select(F.lit(spec.id).alias("rule_id"), key.alias("case_key"), "*")
 
 
 def reviewed_keys(reviews: DataFrame, rule_ids: Iterable[str] | None = None) -> DataFrame:
@@ -109,15 +125,23 @@ def flag_all(
     key_cols = {s.key_cols for s in specs}
     if len(key_cols) != 1:
         raise ValueError("flag_all needs rules with one shared key")
+    any_hit, ids, key = _built_once(
+        ("flag_all", tuple(_spec_key(s) for s in specs), params), lambda: _flag_all_columns(specs, params)
+    )
+    return (
+        base.where(any_hit)  # cheap disjunction first: pushed to the scan where possible
+        .select(F.explode(ids).alias("rule_id"), key.alias("case_key"), "*")
+    )
+
+
+def _flag_all_columns(specs: list[RuleSpec], params: RuleParams) -> tuple[Column, Column, Column]:
+    """(any rule hits, array of the ids of the rules hit, case key) of ``flag_all``."""
     preds = [s.predicate(params) for s in specs]
     ids = F.array_compact(F.array(*[F.when(p, F.lit(s.id)) for p, s in zip(preds, specs)]))
     any_hit = preds[0]
     for p in preds[1:]:
         any_hit = any_hit | p
-    return (
-        base.where(any_hit)  # cheap disjunction first: pushed to the scan where possible
-        .select(F.explode(ids).alias("rule_id"), case_key(specs[0].key_cols).alias("case_key"), "*")
-    )
+    return any_hit, ids, case_key(specs[0].key_cols)
 
 
 def counts(flagged_keys: DataFrame, spark: SparkSession, rule_ids: list[str] | None = None) -> DataFrame:
