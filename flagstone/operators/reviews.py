@@ -135,7 +135,11 @@ def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleS
     """-> (new_reviews, outcomes). ``reviews`` must already carry every record column
     (see ``evolve_schema``)."""
     v = validate_decisions(decisions, rules)
-    existing = reviews.select(*KEYS).distinct().withColumn("_old", F.lit(True))
+    # Only review keys named by the batch matter: the semi join (the batch keys are the small
+    # side) filters the review table before its keys are made distinct, so a batch never
+    # shuffles every key of a large review table.
+    batch_keys = v.where(F.col("valid")).select(*KEYS)
+    existing = reviews.select(*KEYS).join(batch_keys, KEYS, "left_semi").distinct().withColumn("_old", F.lit(True))
 
     creates = v.where(F.col("valid") & (F.col("action") == "create"))
     first = creates.groupBy(*KEYS).agg(F.min("seq").alias("win_seq"))
