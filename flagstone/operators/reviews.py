@@ -133,27 +133,49 @@ def _typed_record(creates: DataFrame, target: T.StructType) -> list[Column]:
 
 def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES):
     """-> (new_reviews, outcomes). ``reviews`` must already carry every record column
-    (see ``evolve_schema``)."""
+    (see ``evolve_schema``).
+
+    One aggregation per case named by the batch (partial before the shuffle) gives the first
+    create and the last edit; the review keys say whether the case existed before the batch.
+    Each decision is joined back to its case's row once for its outcome."""
     v = validate_decisions(decisions, rules)
+    create = F.col("action") == "create"
+    edit = F.col("action") == "edit"
+    valid = v.where(F.col("valid") & (create | edit))
     # Only review keys named by the batch matter: the semi join (the batch keys are the small
     # side) filters the review table before its keys are made distinct, so a batch never
     # shuffles every key of a large review table.
-    batch_keys = v.where(F.col("valid")).select(*KEYS)
-    existing = reviews.select(*KEYS).join(batch_keys, KEYS, "left_semi").distinct().withColumn("_old", F.lit(True))
-
-    creates = v.where(F.col("valid") & (F.col("action") == "create"))
-    first = creates.groupBy(*KEYS).agg(F.min("seq").alias("win_seq"))
-    fresh = first.join(existing, KEYS, "left_anti")  # cases nobody reviewed before the batch
-
-    c = creates.join(fresh, KEYS, "left")
-    create_out = c.select(
+    existing = (
+        reviews.select(*KEYS).join(valid.select(*KEYS), KEYS, "left_semi").distinct().withColumn("_old", F.lit(True))
+    )
+    last_edit_of = F.struct(*AUDIT_FIELDS, "user_email", "submitted_at", F.col("seq").alias("_seq"))
+    per_case = (
+        valid.groupBy(*KEYS)
+        .agg(
+            F.min(F.when(create, F.col("seq"))).alias("win_seq"),
+            F.max_by(last_edit_of, F.when(edit, F.col("seq"))).alias("_e"),
+        )
+        .join(existing, KEYS, "left")
+    )
+    old = F.col("_old").isNotNull()
+    d = valid.join(per_case, KEYS, "left")
+    # a create wins when the case is new and it is the case's first create; an edit finds its
+    # case when it existed before the batch or a create of the batch came first
+    won = create & ~old & (F.col("seq") == F.col("win_seq"))
+    found = old | F.coalesce(F.col("win_seq") < F.col("seq"), F.lit(False))
+    decided_out = d.select(
         "seq", "action", *KEYS,
-        F.when(F.col("seq") == F.col("win_seq"), F.lit("saved")).otherwise(F.lit("conflict")).alias("status"),
-        F.when(F.col("seq") == F.col("win_seq"), F.lit(None).cast("string")).otherwise(F.lit(ALREADY_REVIEWED)).alias(
-            "reason"
-        ),
+        F.when(won, F.lit("saved"))
+        .when(create, F.lit("conflict"))
+        .when(found, F.lit("edited"))
+        .otherwise(F.lit("not_found"))
+        .alias("status"),
+        F.when(won | (edit & found), F.lit(None).cast("string"))
+        .when(create, F.lit(ALREADY_REVIEWED))
+        .otherwise(F.lit(NO_LONGER_EXISTS))
+        .alias("reason"),
     )
-    saved = c.where(F.col("seq") == F.col("win_seq"))
+    saved = d.where(won)
     new_rows = saved.select(
         "rule_id",
         "case_key",
@@ -164,21 +186,11 @@ def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleS
         F.col("user_email").alias("updated_by"),
         F.col("submitted_at").alias("updated_at"),
     )
-
-    edits = v.where(F.col("valid") & (F.col("action") == "edit"))
-    e = edits.join(existing, KEYS, "left").join(fresh, KEYS, "left")
-    found = F.col("_old").isNotNull() | (F.col("win_seq").isNotNull() & (F.col("win_seq") < F.col("seq")))
-    e = e.withColumn("_found", found)
-    edit_out = e.select(
-        "seq", "action", *KEYS,
-        F.when(F.col("_found"), F.lit("edited")).otherwise(F.lit("not_found")).alias("status"),
-        F.when(F.col("_found"), F.lit(None).cast("string")).otherwise(F.lit(NO_LONGER_EXISTS)).alias("reason"),
-    )
-    last_edit = (
-        e.where(F.col("_found"))
-        .groupBy(*KEYS)
-        .agg(F.max_by(F.struct(*AUDIT_FIELDS, "user_email", "submitted_at"), F.col("seq")).alias("_e"))
-    )
+    # the case's last edit applies when it found the case (the last edit overall is the last
+    # found one whenever any edit found it: found edits are those after the first create)
+    last_edit = per_case.where(
+        F.col("_e").isNotNull() & (old | F.coalesce(F.col("_e._seq") > F.col("win_seq"), F.lit(False)))
+    ).select(*KEYS, "_e")
 
     merged = reviews.unionByName(new_rows.select(*reviews.columns))
     edited = merged.join(last_edit, KEYS, "left")
@@ -201,7 +213,7 @@ def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleS
         F.when(F.col("reason") == UNKNOWN_RULE, F.lit("not_found")).otherwise(F.lit("invalid")).alias("status"),
         "reason",
     )
-    outcomes = invalid_out.unionByName(create_out).unionByName(edit_out)
+    outcomes = invalid_out.unionByName(decided_out)
     return new_reviews, outcomes
 
 
