@@ -11,6 +11,8 @@ need whole histories and stay batch jobs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from flagstone.operators.flagging import flag_all, unreviewed
@@ -24,17 +26,20 @@ def flag_stream(stream: DataFrame, params: RuleParams = RuleParams()) -> DataFra
 
 def start_flagging(
     stream: DataFrame,
-    reviews: DataFrame,
+    reviews: DataFrame | Callable[[], DataFrame],
     sink_path: str,
     checkpoint: str,
     params: RuleParams = RuleParams(),
     available_now: bool = True,
 ):
     """Append unreviewed hits of each micro-batch to ``sink_path/epoch=<id>/rule_id=..``; the
-    checkpoint folder (shared storage) makes the query restartable."""
+    checkpoint folder (shared storage) makes the query restartable. ``reviews`` may be a
+    function (for example ``lambda: read_reviews(spark, root)``): it is called for every
+    micro-batch, so a running stream excludes review versions committed after it started."""
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        out = unreviewed(batch, reviews)
+        current = reviews() if callable(reviews) else reviews
+        out = unreviewed(batch, current)
         out.write.mode("overwrite").partitionBy("rule_id").parquet(f"{sink_path}/epoch={epoch_id}")
 
     writer = flag_stream(stream, params).writeStream.foreachBatch(write_batch).option(

@@ -35,3 +35,19 @@ def test_review_store_versions_and_partition_filter(spark):
     assert "PartitionFilters: [isnotnull(rule_id" in only3._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert os.path.isdir(f"{root}/v=a/rule_id=3")
+
+
+def test_stream_reads_the_newest_review_version_per_batch(spark):
+    base = fixture(spark, SF001, "assisted_orders").drop("order_month")
+    work = tempfile.mkdtemp(prefix="flagstone-stream-rev-")
+    base.write.mode("overwrite").parquet(work + "/in")
+    seeds = seed_reviews(spark, SF001, params=C.PARAMS)
+    review_store.write_reviews_version(seeds.limit(0), work + "/reviews", version="a")
+    review_store.write_reviews_version(seeds, work + "/reviews", version="b")  # newest, resolved per batch
+    stream = spark.readStream.schema(base.schema).parquet(work + "/in")
+    q = start_flagging(stream, lambda: review_store.read_reviews(spark, work + "/reviews"), work + "/out",
+                       work + "/ckpt", C.PARAMS)
+    assert q.awaitTermination(240)
+    got = spark.read.parquet(work + "/out").select("rule_id", "case_key")
+    want = flagging.unreviewed(flagging.flag_all(base, params=C.PARAMS), seeds).select("rule_id", "case_key")
+    assert got.count() == want.count()
