@@ -222,6 +222,41 @@ def lead_latest_value(history: DataFrame, tie: str | None = "event_id") -> DataF
     return history.groupBy("lead_id").agg(F.max_by(v, F.when(v.isNotNull(), order_key)).alias("final_order_value"))
 
 
+def lead_ranked_agents(history: DataFrame, tie: str | None = "event_id") -> DataFrame:
+    """``lead_agent_rank(lead_first_per_agent(...))`` with the lead's ``final_order_value``
+    (``lead_latest_value``) on every row, from one scan and one shuffle of events.
+
+    Events are aggregated per (lead, agent) with blank agents kept as groups of their own
+    (partial aggregation before the shuffle, so a hot lead costs one row per agent and map
+    task). Each group carries its first time, first category and its own latest non-NULL value
+    with that value's order key. Windows over the lead's groups then give the lead's latest
+    value (latest over all groups) and the rank and count of its non-blank agents."""
+    v = F.col("final_order_value")
+    order_key = F.struct(*[F.col(c) for c in ["updatedAt"] + ([tie] if tie else [])])
+    value_key = F.when(v.isNotNull(), order_key)
+    per_agent = history.groupBy("lead_id", "assignedTo").agg(
+        F.min("updatedAt").alias("first_assigned_at"),
+        F.min_by("category", order_key).alias("agent_category"),
+        F.max_by(v, value_key).alias("_value"),
+        F.max(value_key).alias("_value_key"),
+    )
+    ok = F.col("assignedTo").isNotNull() & (blank_trim("assignedTo") != "")
+    agents = Window.partitionBy("lead_id", "_ok")
+    ranked = per_agent.withColumn("_ok", ok).select(
+        "lead_id",
+        "assignedTo",
+        "first_assigned_at",
+        "agent_category",
+        "_ok",
+        F.max_by("_value", "_value_key").over(Window.partitionBy("lead_id")).alias("final_order_value"),
+        F.row_number()
+        .over(agents.orderBy(F.col("first_assigned_at").asc_nulls_first(), F.col("assignedTo")))
+        .alias("assign_rank"),
+        F.count(F.lit(1)).over(agents).alias("agent_count"),
+    )
+    return ranked.where(F.col("_ok")).drop("_ok")
+
+
 def lead_expected_category(values: DataFrame, bands: DataFrame, max_broadcast_bands: int = 10000) -> DataFrame:
     """LEFT range join: value in [min_value, max_value), NULL max = open. Overlapping bands give
     one row per band; values in a gap get NULL.
@@ -279,8 +314,8 @@ def _norm(c: Column) -> Column:
 def lead_misrouted_cases(history: DataFrame, bands: DataFrame, tie: str | None = "event_id") -> DataFrame:
     """Leads with more than one agent where the first agent's category equals the budget
     category and no later agent's does; before review exclusion (``rule_id``, ``case_key``)."""
-    ranked = lead_agent_rank(lead_first_per_agent(history, tie))
-    expected = lead_expected_category(lead_latest_value(history, tie), bands).where(
+    # one row per (lead, non-blank agent, band holding the lead's latest value)
+    ranked = lead_expected_category(lead_ranked_agents(history, tie), bands).where(
         F.col("expected_category").isNotNull()
     )
     first = F.col("assign_rank") == 1
@@ -288,8 +323,7 @@ def lead_misrouted_cases(history: DataFrame, bands: DataFrame, tie: str | None =
     label = F.concat(F.col("assignedTo"), F.lit(" ("), F.coalesce(F.col("agent_category"), F.lit("NA")), F.lit(")"))
     later_items = F.collect_list(F.when(later, F.struct("first_assigned_at", "assignedTo", label.alias("label"))))
     grouped = (
-        ranked.join(expected, "lead_id")
-        .groupBy("lead_id", "final_order_value", "expected_category", "agent_count")
+        ranked.groupBy("lead_id", "final_order_value", "expected_category", "agent_count")
         .agg(
             F.max(F.when(first, F.col("assignedTo"))).alias("first_assignee"),
             F.max(F.when(first, F.col("agent_category"))).alias("first_assignee_category"),
