@@ -140,7 +140,7 @@ def page(
     size = max(0, min(page_size, n - start))
     if start + size <= max_task_rows:
         return df.orderBy(*_order(keys)).offset(start).limit(page_size)
-    keys = keys + [(F.xxhash64(*[F.col(c) for c in df.columns]), False)]
+    keys = keys + [(F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]), False)]
     part, rows = df, n
     for _ in range(MAX_REFINE_STEPS):
         lo_text, hi_text, types, skipped, covered = _covering_ranges(part, keys, start, size, rows, max_task_rows)

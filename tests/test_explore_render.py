@@ -99,3 +99,9 @@ def test_ranged_page_inside_one_tie_group(spark):
     assert len(got) == 50 and all(tuple(r) == (1, "x") for r in got)
     tail = explore.page(df, keys, 2, 50, max_task_rows=30).collect()
     assert sorted(tuple(r) for r in tail) == [(1, "x")] * 20 + [(2, "y")] * 5
+
+
+def test_ranged_page_with_dotted_column_names(spark):
+    df = spark.createDataFrame([(i, f"x{i % 7}") for i in range(90)], "`a.b` int, `c` string")
+    keys = [(F.col("c"), False), (F.col("`a.b`"), True)]
+    _ranged_pages_equal_topk(df, keys, 90, 20, 25)
