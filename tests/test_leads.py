@@ -124,3 +124,19 @@ def test_segmented_path_for_heavy_leads_equals_forward_frame(spark):
         got = leads.lead_transitions(df, max_events_per_task=limit, bucket_seconds=width).select(*cols)
         assert got.count() == ref.count()
         assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0, (limit, width)
+
+
+def test_ranked_agents_equal_the_separate_stages(spark):
+    from flagstone.sources.fixtures import fixture
+    from tests.conftest import SF001
+
+    history = fixture(spark, SF001, "lead_history")
+    fused = leads.lead_ranked_agents(history)
+    separate = leads.lead_agent_rank(leads.lead_first_per_agent(history)).join(
+        leads.lead_latest_value(history), "lead_id"
+    )
+    cols = sorted(separate.columns)
+    assert sorted(fused.columns) == cols
+    a, b = fused.select(*cols), separate.select(*cols)
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
