@@ -100,3 +100,29 @@ def test_review_schema_of_rule_3(spark):
     assert names[2:14] == list(spec.columns)
     assert names[14:] == ["auditor", "decision_types", "decided_sales_person", "comments",
                           "created_by", "created_at", "updated_by", "updated_at"]
+
+
+def test_hot_case_with_a_third_of_the_batch(spark, applied):
+    import datetime as dt
+
+    seeds = applied[0]
+    t0 = dt.datetime(2026, 10, 1)
+    hot = ("O9", "N9", "SP09")
+    rows = [(1, "edit", "3", "O9|N9|SP09", None, None, None, None, "early", "Fraud", None, "c", "e@x", t0)]
+    rows += [(2 + i, "create", "3", None, True, *hot, f"a{i}", "Genuine", None, "c", f"u{i}@x", t0) for i in range(300)]
+    rows += [(1000 + i, "edit", "3", "O9|N9|SP09", None, None, None, None, f"edit{i}", "Fraud", None, "c", "e@x", t0)
+             for i in range(300)]
+    rows += [(5000 + i, "create", "3", None, True, f"P{i}", f"Q{i}", "SP01", "b", "Genuine", None, "c", "v@x", t0)
+             for i in range(300)]
+    d = spark.createDataFrame(
+        rows,
+        "seq long, action string, rule_id string, case_key string, has_record boolean, oldest_order_number string,"
+        " newest_order_no string, sales_person string, auditor string, decision_types string,"
+        " decided_sales_person string, comments string, user_email string, submitted_at timestamp")
+    new_reviews, outcomes = R.apply_decisions(seeds, d)
+    by_status = {r.status: r["count"] for r in outcomes.groupBy("status").count().collect()}
+    assert by_status == {"not_found": 1, "saved": 301, "conflict": 299, "edited": 300}
+    hot_row = new_reviews.where("case_key = 'O9|N9|SP09'").collect()
+    assert len(hot_row) == 1
+    assert hot_row[0].auditor == "edit299" and hot_row[0].created_by == "u0@x"
+    assert new_reviews.count() == seeds.count() + 301
