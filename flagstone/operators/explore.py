@@ -155,7 +155,6 @@ def page(
     return part.orderBy(*_order(keys)).offset(start).limit(size)
 
 
-
 def _covering_ranges(part: DataFrame, keys: list[SortKey], start: int, size: int, rows: int, max_task_rows: int):
     """Range-partition ``part`` on the sort keys, count rows per range and return the first key
     of the range holding row ``start`` and the last key of the range holding the page's last row
