@@ -278,8 +278,37 @@ RULE3_ROWS_SQL = (
 )
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decision batch of FIXTURES.md §7 as a DataFrame."""
+def decisions(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> DataFrame:
+    """The decision batch of FIXTURES.md §7. Like the other derived inputs it is written once
+    under ``spark.checkpoint.dir`` (keyed by its SQL, the session zone of its instants and the
+    order fixture it reads) and read back, as a submitted batch would be a stored file; the
+    review jobs then read it instead of re-deriving it in every branch of their plans."""
+    from flagstone.session import ensure_checkpoint_dir
+    from flagstone.sources.snapshot import committed_versions, read_snapshot, refresh_snapshot
+
+    if materialize is None:
+        materialize = spark.conf.get("flagstone.fixtures.materialize", "true").lower() == "true"
+    if not materialize:
+        return _derive_decisions(spark, sf_dir)
+    h = hashlib.sha1((DECISIONS_SQL + RULE3_ROWS_SQL + spark.conf.get("spark.sql.session.timeZone")).encode())
+    h.update(_fingerprint(spark, sf_dir, "assisted_orders").encode())
+    fp = h.hexdigest()[:16]
+    cache_key = (id(spark), sf_dir, "decisions", fp)
+    if cache_key in _RESOLVED:
+        return _RESOLVED[cache_key]
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flagstone/fixtures/decisions-{fp}"
+    if not committed_versions(spark, root):
+        df = _derive_decisions(spark, sf_dir)
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+        refresh_snapshot(df, root, version=uuid.uuid4().hex, partition_col=None)
+    out = read_snapshot(spark, root, version=committed_versions(spark, root)[0])
+    _RESOLVED[cache_key] = out
+    return out
+
+
+def _derive_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r3 = spark.sql(
         RULE3_ROWS_SQL.replace("{NTZ}", "TIMESTAMP_NTZ"), assisted_orders=fixture(spark, sf_dir, "assisted_orders")
     )
