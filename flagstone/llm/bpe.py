@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flagstone.llm.common import in_arrow
+
 #: States and pieces that a worker keeps before it starts afresh; both only save time.
 MAX_STATES = 400_000
 MAX_PIECES = 400_000
@@ -280,7 +282,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[ident, "ids"])
 
     rows = docs.select(F.col(ident), F.col(text).alias("__text"))
-    return rows.mapInArrow(encoded, f"{schema_of(rows.select(ident))}, ids array<int>")
+    return in_arrow(rows, encoded, f"{schema_of(rows.select(ident))}, ids array<int>")
 
 
 def decode(encoded: DataFrame, rank_file: str, ids: str = "ids", out: str = "text", chunk: int = 4096) -> DataFrame:
@@ -306,7 +308,7 @@ def decode(encoded: DataFrame, rank_file: str, ids: str = "ids", out: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*others, out])
 
     rows = encoded.select(*[F.col(f"`{c}`") for c in others], F.col(ids))
-    return rows.mapInArrow(decoded, ", ".join(x for x in (schema_of(rows.drop(ids)), f"`{out}` string") if x))
+    return in_arrow(rows, decoded, ", ".join(x for x in (schema_of(rows.drop(ids)), f"`{out}` string") if x))
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ident: str = "doc_id") -> DataFrame:

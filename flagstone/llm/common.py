@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +25,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def served_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Puts a file into the application's own folder on the driver, from where Spark serves it; its path there."""
+    path = os.path.join(SparkFiles.getRootDirectory(), "served", name)
+    if not os.path.exists(path):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        Path(path).write_bytes(data)
+    return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Adds this package to the job, so that workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_flagstone_shipped", False):
+        return
+    package, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    name = f"flagstone-{hashlib.sha256(packed.getvalue()).hexdigest()[:16]}.zip"
+    sc.addPyFile(served_file(spark, name, packed.getvalue()))
+    sc._flagstone_shipped = True
+
+
+def in_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 

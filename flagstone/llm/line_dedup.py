@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flagstone.llm.common import BLANKS, written
+from flagstone.llm.common import BLANKS, in_arrow, written
 
 DROP, EDGE, MARK = 0, 1, 2
 ROWS = "doc long, row long, pos int, kind int, h1 long, h2 long, n_docs long"
@@ -128,11 +128,11 @@ def dropped_lines(rows: DataFrame, least: int, keep_first: bool, partitions: int
         stream.close(True)
         yield stream.taken()
 
-    keys = rows.mapInArrow(line_keys, "h1 long, h2 long, doc long, row long, pos int")
+    keys = in_arrow(rows, line_keys, "h1 long, h2 long, doc long, row long, pos int")
     order = ["h1", "h2", "doc", "row"]
     # the document is part of the range key, so the rows of one frequent line are spread over partitions
     ranged = keys.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order, "pos")
-    decided = written(ranged.mapInArrow(streamed, ROWS), "line-decisions")
+    decided = written(in_arrow(ranged, streamed, ROWS), "line-decisions")
     marks = decided.filter(F.col("kind") == MARK)
     totals = marks.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n"), F.min(F.struct("doc", "row", "pos")).alias("first"))
     edges = decided.filter(F.col("kind") == EDGE).join(totals.filter(F.col("n") >= least), ["h1", "h2"])
@@ -187,7 +187,7 @@ def keep_bitmaps(
             )
 
     both = sizes.join(lost, ["doc", "row"], "left").select("doc", "row", "n_lines", "lost")
-    return both.mapInArrow(bitmaps, "doc long, row long, n_lines long, n_dropped long, keep_bitmap binary")
+    return in_arrow(both, bitmaps, "doc long, row long, n_lines long, n_dropped long, keep_bitmap binary")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,4 +212,4 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, ident: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], done], names=[*batch.schema.names[:-1], "line_dedup"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return both.mapInArrow(cut, f"{fields}, line_dedup struct<n_lines: bigint, n_dropped: bigint, kept_text: string>")
+    return in_arrow(both, cut, f"{fields}, line_dedup struct<n_lines: bigint, n_dropped: bigint, kept_text: string>")

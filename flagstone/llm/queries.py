@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import bpe, line_dedup, quality, url_filter
+from flagstone.llm import bpe, line_dedup, near_dup, quality, url_filter
 from flagstone.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -41,13 +41,17 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_super_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars"]
     judged = quality.judge(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in fields])
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_line_dedup, op5_url_rules, op9_line_first_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_line_dedup, op5_url_rules, op8_super_min_hash, op9_line_first_quality)}
 
 SQL = {
     "op3_line_dedup": r"""

@@ -8,7 +8,6 @@ touches only the pages that a search visits.
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm.common import lower_ascii
+from flagstone.llm.common import in_arrow, lower_ascii, served_file
 
 #: Largest packed rule file that is handed to every executor.
 MAX_PACKED_BYTES = 512 * 1024 * 1024
@@ -104,12 +103,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
     if len(packed) > MAX_PACKED_BYTES:
         raise ValueError(f"{len(packed)} bytes of rules; at most {MAX_PACKED_BYTES}")
     name = f"url-rules-{hashlib.sha256(packed).hexdigest()[:24]}.bin"
-    path = os.path.join(SparkFiles.getRootDirectory(), "packed", name)  # the application's own folder on the driver, which serves it
-    if not os.path.exists(path):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(packed)
-        spark.sparkContext.addFile(path)
+    spark.sparkContext.addFile(served_file(spark, name, packed))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = DigestArray(SparkFiles.get(name))
@@ -134,4 +128,4 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
 
     parts = host_and_path(pages.select(F.col(ident), F.col(url).alias("__url")), "__url").select(ident, "host", "path")
     kind = parts.schema[ident].dataType.simpleString()
-    return parts.mapInArrow(judged, f"`{ident}` {kind}, host string, path string, rule string, verdict string")
+    return in_arrow(parts, judged, f"`{ident}` {kind}, host string, path string, rule string, verdict string")
