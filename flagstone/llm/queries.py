@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import bpe, line_dedup, near_dup, quality, url_filter
+from flagstone.llm import ann, bpe, langid, line_dedup, mixing, near_dup, quality, sharding, url_filter
 from flagstone.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,6 +26,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"), shards=8)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_docs=10))
@@ -37,10 +41,28 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    fields = ["topic", "n_tokens", F.round("mix.rate", 6).alias("rate"), "sampled"]
+    return mixed.select("doc_id", "source", "lang", *[F.col(f"mix.{c}").alias(c) if isinstance(c, str) else c for c in fields])
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds by crc32 of the id as text: remainder 0 of 5 is held out of the training."""
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    model = langid.train(docs.filter("not held_out").select("text", "lang", "doc_id"), F.xxhash64("doc_id"))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"])
+
+
 def op8_super_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
@@ -51,7 +73,20 @@ def op9_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in fields])
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_line_dedup, op5_url_rules, op8_super_min_hash, op9_line_first_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_byte_bpe,
+        op2_label_propagation,
+        op3_line_dedup,
+        op4_raked_mixture,
+        op5_url_rules,
+        op6_hnsw,
+        op7_language_id,
+        op8_super_min_hash,
+        op9_line_first_quality,
+    )
+}
 
 SQL = {
     "op3_line_dedup": r"""
