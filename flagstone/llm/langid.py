@@ -130,12 +130,18 @@ def fit(sample: pd.DataFrame, idf: np.ndarray, passes: int = 3, seed: int = 3) -
 
 
 def best_temperature(scores: np.ndarray, right: np.ndarray) -> float:
-    """The temperature with the least log loss, by golden-section search on its logarithm."""
+    """The temperature with the least log loss, by golden-section search on its logarithm.
+
+    The right answer counts for (n + 1) / (n + 2), so that n right ones don't make the model certain.
+    """
+    n, langs = scores.shape
+    target = np.full((n, langs), 1 / (n + 2) / max(langs - 1, 1))
+    target[np.arange(n), right] = (n + 1) / (n + 2)
 
     def loss(log_t: float) -> float:
         s = scores / np.exp(log_t)
         s = s - s.max(1, keepdims=True)
-        return float(np.mean(np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), right]))
+        return float(np.mean(np.log(np.exp(s).sum(1)) - (target * s).sum(1)))
 
     low, high, part = -4.0, 4.0, (5**0.5 - 1) / 2
     for _ in range(60):
