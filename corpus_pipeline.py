@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import bpe, line_dedup, quality
+from flagstone.llm import bpe, line_dedup, mixing, near_dup, quality
 from flagstone.llm.common import read, written
 from flagstone.llm.queries import PATTERN, RANKS
 
@@ -35,14 +35,28 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.filter(F.col("text").rlike(quality.WORD))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked at similarity 0.8 or more the one with the smallest id stays."""
+    kept = near_dup.near_duplicates(docs, percent=80).filter("kept").select("doc_id").distinct()
+    # null ids are linked with nothing
+    return docs.join(kept, "doc_id", "left_semi").union(docs.filter("doc_id is null")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that source, language and topic shares of the words come to their flattened targets."""
+    return mixing.mix(docs, kept_share=0.8).filter("mix.sampled").select(*docs.columns)
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the tokens and of the text decoded from them."""
-    return bpe.round_trip(docs, RANKS, PATTERN)
+    return bpe.digests(bpe.round_trip(docs, RANKS, PATTERN))
 
 
 STAGES = [
     ("quality rules", clean_lines),
     ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing", mix_sources),
     ("byte-level BPE", encode_tokens),
 ]
 

@@ -26,9 +26,9 @@ from flagstone.llm.shingles import GOLDEN, mix, shingles, word_hashes
 POSITIONS = 257
 #: Bands of ROWS positions each. At similarity 0.85 a pair misses all bands once in 4e8 times.
 BANDS, ROWS = 42, 6
-#: Share of equal positions below which a pair isn't compared in full; at similarity 0.85 that
-#: share lies over six standard deviations lower.
-LEAST_EQUAL = 0.7
+#: A pair isn't compared in full if the share of equal positions lies this far below the least
+#: similarity: over six standard deviations.
+MARGIN = 0.15
 #: A bucket whose open pairs are more than this many times its members is split by another band.
 OPEN_PER_MEMBER = 32
 #: Splits after which the rest is compared whatever it is; a pair at 0.85 shares 16 bands on average.
@@ -75,13 +75,16 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sig_a, sig_b) to the pairs (a, b) whose signatures agree often enough."""
-    for batch in batches:
-        if batch.num_rows:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, POSITIONS) for i in (2, 3))
-            good = pa.array((left == right).sum(1) >= LEAST_EQUAL * POSITIONS)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(good) for i in (0, 1)], names=["a", "b"])
+def likely(percent: int):
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, sig_a, sig_b) to the pairs (a, b) whose signatures agree often enough."""
+        for batch in batches:
+            if batch.num_rows:
+                left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, POSITIONS) for i in (2, 3))
+                good = pa.array((left == right).sum(1) >= (percent / 100 - MARGIN) * POSITIONS)
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(good) for i in (0, 1)], names=["a", "b"])
+
+    return agreeing
 
 
 def linked(percent: int):
@@ -111,7 +114,7 @@ def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int)
     """The pairs (a, b) that are links, as written (u, v)."""
     side = lambda df, k, c: df.select(F.col("doc").alias(k), F.col(c).alias(f"{c}_{k}"))
     near = pairs.join(side(sigs, "b", "sig"), "b").join(side(sigs, "a", "sig"), "a").select("a", "b", "sig_a", "sig_b")
-    near = written(in_arrow(near, likely, "a long, b long"), "pairs")
+    near = written(in_arrow(near, likely(percent), "a long, b long"), "pairs")
     full = near.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a").select("a", "b", "text_a", "text_b")
     return written(in_arrow(full.sortWithinPartitions("a"), linked(percent), "u long, v long"), "links")
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import ann, bpe, langid, line_dedup, mixing, near_dup, quality, sharding, url_filter
+from flagstone.llm import ann, bpe, langid, line_dedup, mixing, near_dup, passages, quality, sharding, url_filter
 from flagstone.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -23,7 +23,7 @@ URL_RULES = [
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(read(spark, sf_dir, "documents"), RANKS, PATTERN)
+    return bpe.digests(bpe.round_trip(read(spark, sf_dir, "documents"), RANKS, PATTERN))
 
 
 def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,11 @@ def op9_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in fields])
 
 
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.near_passages(read(spark, sf_dir, "documents"))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +90,7 @@ QUERIES = {
         op7_language_id,
         op8_super_min_hash,
         op9_line_first_quality,
+        op10_compact_windows,
     )
 }
 
