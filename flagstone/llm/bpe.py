@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 from flagstone.llm.common import in_arrow
 
 #: States and pieces that a worker keeps before it starts afresh; both only save time.
-MAX_STATES = 400_000
-MAX_PIECES = 400_000
+MAX_STATES = 250_000
+MAX_PIECES = 150_000
+#: Longer pieces go through the transducer one by one.
+LONG_PIECE = 64
+#: Texts that are split before their pieces are encoded.
+TEXTS = 512
 #: Largest rank file that is sent to the executors.
 MAX_RANK_BYTES = 64 * 1024 * 1024
 
@@ -92,6 +96,58 @@ class Steps(dict):
         return got
 
 
+class StepTable:
+    """The same for many keys at once: a hash table in arrays, open addressing."""
+
+    def __init__(self, transducer: Transducer, bits: int = 17):
+        self.transducer, self.size = transducer, 0
+        self.resize(bits)
+
+    def resize(self, bits: int) -> None:
+        self.bits, self.mask = bits, np.int64((1 << bits) - 1)
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.states, self.tokens = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or the empty slot where it would be."""
+        slot = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.keys[slot]
+        astray = np.flatnonzero((held != keys) & (held != -1))
+        while len(astray):
+            slot[astray] = (slot[astray] + 1) & self.mask
+            held = self.keys[slot[astray]]
+            astray = astray[(held != keys[astray]) & (held != -1)]
+        return slot
+
+    def add(self, keys: np.ndarray, states: np.ndarray, tokens: np.ndarray) -> None:
+        """Adds distinct keys that aren't held."""
+        if 2 * (self.size + len(keys)) > self.mask:
+            full = self.keys >= 0
+            old = self.keys[full], self.states[full], self.tokens[full]
+            self.size = 0
+            self.resize(self.bits + 1)
+            self.add(*old)
+            self.add(keys, states, tokens)
+            return
+        self.size += len(keys)
+        while len(keys):  # of keys that want the same slot one gets it, the others look again
+            slot = self.slots(keys)
+            self.keys[slot] = keys
+            won = self.keys[slot] == keys
+            self.states[slot[won]], self.tokens[slot[won]] = states[won], tokens[won]
+            keys, states, tokens = keys[~won], states[~won], tokens[~won]
+
+    def go(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states and the tokens that end there; unknown steps are made first."""
+        slot = self.slots(keys)
+        new = np.unique(keys[self.keys[slot] != keys])
+        if len(new):
+            made = [self.transducer.step(k >> 8, k & 255) for k in new.tolist()]
+            self.add(new, np.array([x[0] for x in made], np.int64), np.array([x[1] for x in made], np.int32))
+            slot = self.slots(keys)
+        return self.states[slot], self.tokens[slot]
+
+
 class Transducer:
     """Bytes of one piece in, tokens out.
 
@@ -116,11 +172,14 @@ class Transducer:
                 self.ends[node] = rank
         self.grows = {key >> 8 for key in self.child}
         self.longest = max(map(len, vocabulary.ranks))
+        self.lengths = np.zeros(max(vocabulary.token) + 1, np.int64)
+        for token, rank in vocabulary.ranks.items():
+            self.lengths[rank] = len(token)
         self.fits: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.known = Steps(self)
+        self.known, self.table = Steps(self), StepTable(self)
         self.states: list[tuple[int, ...]] = [(0,)]
         self.numbers = {(0,): 0}
 
@@ -167,6 +226,37 @@ class Transducer:
                 out += self.certain(marks)
         return out + self.back(marks, len(marks))
 
+    def run_many(self, pieces: list[bytes]) -> list[bytes]:
+        """The tokens of short pieces that aren't tokens themselves, as bytes of 32-bit numbers: all go in lock step."""
+        if len(self.states) >= MAX_STATES:
+            self.forget()
+        size = np.array([len(p) for p in pieces])
+        order = np.argsort(-size, kind="stable")  # those with bytes left are then always the first
+        size, flat = size[order], np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        begin = (np.cumsum([0, *map(len, pieces)])[:-1])[order]
+        marks, state = np.zeros((len(pieces), size[0]), np.int32), np.zeros(len(pieces), np.int64)
+        for j in range(size[0]):
+            n = int(np.searchsorted(-size, -j))
+            state[:n], marks[:n, j] = self.table.go(state[:n] | flat[begin[:n] + j])
+        end, back, live = size.copy(), [], np.arange(len(pieces))
+        while len(live):
+            token = marks[live, end[live] - 1]
+            back.append((live, token))
+            end[live] -= self.lengths[token]
+            live = live[end[live] > 0]
+        count = np.zeros(len(pieces), np.int64)
+        for row, _ in back:
+            count[row] += 1
+        ends = np.cumsum(count)
+        out = np.zeros(ends[-1], np.int32)
+        for k, (row, token) in enumerate(back):
+            out[ends[row] - 1 - k] = token
+        data, ends = out.tobytes(), (4 * ends).tolist()
+        got = [b""] * len(pieces)
+        for at, start, stop in zip(order.tolist(), [0, *ends[:-1]], ends, strict=True):
+            got[at] = data[start:stop]
+        return got
+
     def back(self, marks: list[int], end: int) -> list[int]:
         """The tokens that lead to ``end``."""
         token, out = self.vocabulary.token, []
@@ -189,22 +279,34 @@ class Transducer:
         return out
 
 
-class Pieces(dict):
-    """Tokens of the pieces met lately, in two generations: pieces that come back stay."""
+class Pieces:
+    """Tokens of the pieces met lately, as bytes of 32-bit numbers, in two generations: pieces that come back stay."""
 
     def __init__(self, transducer: Transducer):
-        super().__init__()
         self.transducer = transducer
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece) or tuple(self.transducer.run(piece.encode()))
-        if len(piece) <= 64:  # longer ones seldom come back
-            if len(self) >= MAX_PIECES:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.now: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The tokens of each text, given as its pieces."""
+        if len(self.now) >= MAX_PIECES:
+            self.older, self.now = self.now, {}
+        now, older, ranks, new = self.now, self.older, self.transducer.vocabulary.ranks, []
+        for piece in set(chain.from_iterable(texts)).difference(now):
+            ids = older.get(piece)
+            if ids is None:
+                data = piece.encode()
+                if data in ranks:
+                    ids = ranks[data].to_bytes(4, "little")
+                elif len(data) > LONG_PIECE:
+                    ids = np.array(self.transducer.run(data), np.int32).tobytes()
+                else:
+                    new.append(piece)
+                    continue
+            now[piece] = ids
+        if new:
+            now.update(zip(new, self.transducer.run_many([p.encode() for p in new]), strict=True))
+        return [np.frombuffer(b"".join(map(now.__getitem__, pieces)), "<i4") for pieces in texts]
 
 
 class Utf8Stream:
@@ -259,66 +361,85 @@ def schema_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """ident and ``ids``, the tokens of each whole text, row by row without a shuffle.
-
-    Each match of ``pattern`` is encoded by itself; there are no special tokens. A null text is
-    encoded like an empty one, to no tokens. Repeated rows and null or tied ids are kept as they
-    are; other columns are not read.
-    """
-    ranks = sent(docs, rank_file)
+def encoder(ranks, pattern: str):
+    """Batches (ident ..., text) to (ident ..., ids)."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pieces = loaded(ranks.value)
-        split, get = regex.compile(pattern).findall, pieces.__getitem__
+        split = regex.compile(pattern).findall
         for batch in batches:
-            parts = []
-            for value in batch.column(1):
-                found = split(value.as_py() or "")
-                parts.append(np.fromiter(chain.from_iterable(map(get, found)), np.int32))
-            ends = np.cumsum([0, *map(len, parts)], dtype=np.int64)
-            flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[ident, "ids"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                ids = pieces.encode([split(x.as_py() or "") for x in part.column(part.num_columns - 1)])
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*part.schema.names[:-1], "ids"])
 
-    rows = docs.select(F.col(ident), F.col(text).alias("__text"))
-    return in_arrow(rows, encoded, f"{schema_of(rows.select(ident))}, ids array<int>")
+    return encoded
 
 
-def decode(encoded: DataFrame, rank_file: str, ids: str = "ids", out: str = "text", chunk: int = 4096) -> DataFrame:
-    """``encoded`` with ``out``, the text of the tokens in ``ids``, in place of ``ids``.
-
-    The bytes go through :class:`Utf8Stream`, ``chunk`` tokens at a time. Null ids give a null
-    text, no ids an empty one; an id outside the vocabulary is an error.
-    """
-    ranks = sent(encoded, rank_file)
-    others = [c for c in encoded.columns if c != ids]
+def decoder(ranks, out: str, keep_ids: bool, chunk: int = 4096):
+    """Batches (..., ids) to (..., out), or (..., ids, out)."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = loaded(ranks.value)[0].token.__getitem__
         for batch in batches:
             texts = []
-            for value in batch.column(len(others)):
+            for value in batch.column(batch.num_columns - 1):
                 if not value.is_valid:
                     texts.append(None)
                     continue
-                stream, got = Utf8Stream(), value.values.to_numpy(zero_copy_only=False).tolist()
-                parts = [stream.feed(b"".join(map(token, got[i : i + chunk]))) for i in range(0, len(got), chunk)]
+                stream, got = Utf8Stream(), value.values.to_numpy(zero_copy_only=False)
+                parts = [stream.feed(b"".join(map(token, got[i : i + chunk].tolist()))) for i in range(0, len(got), chunk)]
                 texts.append("".join([*parts, stream.end()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*others, out])
+            kept = batch.num_columns - (not keep_ids)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(texts, pa.string())], names=[*batch.schema.names[:kept], out])
+
+    return decoded
 
-    rows = encoded.select(*[F.col(f"`{c}`") for c in others], F.col(ids))
-    return in_arrow(rows, decoded, ", ".join(x for x in (schema_of(rows.drop(ids)), f"`{out}` string") if x))
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """ident and ``ids``, the tokens of each whole text, row by row without a shuffle.
+
+    Each match of ``pattern`` is encoded by itself; there are no special tokens. A null text is
+    encoded like an empty one, to no tokens. Repeated rows and null or tied ids are kept as they
+    are; other columns are not read.
+    """
+    rows = docs.select(F.col(ident), F.col(text).alias("__text"))
+    return in_arrow(rows, encoder(sent(docs, rank_file), pattern), f"{schema_of(rows.select(ident))}, ids array<int>")
+
+
+def decode(encoded: DataFrame, rank_file: str, ids: str = "ids", out: str = "text") -> DataFrame:
+    """``encoded`` with ``out``, the text of the tokens in ``ids``, in place of ``ids``.
+
+    The bytes go through :class:`Utf8Stream`. Null ids give a null text, no ids an empty one; an id
+    outside the vocabulary is an error.
+    """
+    rows = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c != ids], F.col(ids))
+    schema = ", ".join(x for x in (schema_of(rows.drop(ids)), f"`{out}` string") if x)
+    return in_arrow(rows, decoder(sent(encoded, rank_file), out, False), schema)
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: ident, n_tokens long, ids_sha256 and decoded_sha256 of the encoded and decoded text."""
-    ids = encode(docs, rank_file, pattern, text, ident).select(
+    """ident, ``ids`` and ``decoded``: the tokens of each whole text and the text decoded from them.
+
+    :func:`encode` and :func:`decode` in one pass; their docstrings hold for nulls and the like.
+    """
+    ranks = sent(docs, rank_file)
+    first, second = encoder(ranks, pattern), decoder(ranks, "decoded", True)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return second(first(batches))
+
+    rows = docs.select(F.col(ident), F.col(text).alias("__text"))
+    return in_arrow(rows, both, f"{schema_of(rows.select(ident))}, ids array<int>, decoded string")
+
+
+def digests(encoded: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """ident, n_tokens long, ids_sha256 and decoded_sha256 of the rows of :func:`round_trip`."""
+    return encoded.select(
         ident,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        "ids",
-    )
-    return decode(ids, rank_file, out="__decoded").select(
-        ident, "n_tokens", "ids_sha256", F.sha2(F.col("__decoded").cast("binary"), 256).alias("decoded_sha256")
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
