@@ -2,17 +2,43 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Unicode-aware trim: Spark's ``trim`` strips only spaces, the warehouse strips all blanks.
-_EDGE_BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+# What the warehouse's TRIM strips (Unicode white space) and what the trim of a form
+# field strips (the blanks and line ends of a script, among them U+FEFF but not U+0085).
+_WAREHOUSE_BLANKS = r"[\s\p{Z}\x{85}]"
+_FORM_BLANKS = r"[\s\p{Z}\x{FEFF}]"
 
 
-def blank_trim(c: Column | str) -> Column:
-    """Trim every Unicode blank from both ends."""
+def _edges(c: Column | str, blanks: str) -> Column:
     col = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(col, _EDGE_BLANKS, "")
+    return F.regexp_replace(col, f"^{blanks}+|{blanks}+$", "")
+
+
+def blank_trim(c: Column | str) -> Column:
+    """Strip every Unicode blank from both ends, as the warehouse does."""
+    return _edges(c, _WAREHOUSE_BLANKS)
+
+
+def form_trim(c: Column | str) -> Column:
+    """Strip the blanks of a form field from both ends."""
+    return _edges(c, _FORM_BLANKS)
+
+
+def utc_date(c: Column, dtype: T.DataType) -> Column:
+    """Date in UTC: of an instant whatever the session time zone, of a wall clock as it stands."""
+    if isinstance(dtype, T.TimestampType):
+        return F.date_add(F.lit(dt.date(1970, 1, 1)), F.floor(F.unix_micros(c) / F.lit(86_400_000_000)).cast("int"))
+    return F.to_date(c)
+
+
+def utf16_length(c: Column) -> Column:
+    """Length in UTF-16 units: characters above U+FFFF count twice."""
+    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
 def key_part(spec: str) -> Column:

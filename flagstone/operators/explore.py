@@ -18,13 +18,11 @@ from flagstone.operators.render import resolve_columns
 PAGE_SIZE = 50
 PERSON_KEYS = ("sales_person", "assignedTo", "first_assignee")
 NUMERIC_TYPES = ("money", "num", "int")
-DIGIT_RUN_WIDTH = 40  # digit runs are left-padded to this width for numeric comparison
 
-# Own scale limits (not from the reference). Rows one task may hold for the top-k of a page; ranges per refinement step (a collected
-# table of one small row per range); refinement steps before the top-k is taken as is.
-MAX_TASK_ROWS = 1_000_000
+# Own scale limits. Rows one task may hold for the top-k of a page; ranges per refinement step (a
+# collected table of one small row per range).
+MAX_TASK_ROWS = 10_000
 MAX_RANGES = 4096
-MAX_REFINE_STEPS = 8
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -64,12 +62,16 @@ def search_rows(df: DataFrame, text: str | None, types: dict[str, str] | None =
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key comparing digit runs as numbers: each run is left-padded to a fixed width."""
+    """Sort key comparing text by language rules (a1 before B1) and digit runs as numbers of any
+    length: each run is written without leading zeros behind its own length."""
     runs = F.regexp_extract_all(c.cast("string"), F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    padded = F.transform(
-        runs, lambda r: F.when(r.rlike("^[0-9]+$"), F.lpad(r, DIGIT_RUN_WIDTH, "0")).otherwise(r)
-    )
-    return F.array_join(padded, "")
+
+    def sized(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    key = F.transform(runs, lambda r: F.when(r.rlike("^[0-9]+$"), sized(r)).otherwise(r))
+    return F.collate(F.array_join(key, ""), "UNICODE")
 
 
 SortKey = tuple[Column, bool]  # (expression, descending)
@@ -125,33 +127,32 @@ def page(
     total_rows: int | None = None,
     max_task_rows: int = MAX_TASK_ROWS,
 ) -> DataFrame:
-    """One page of ``df`` in the order of ``keys`` (G4); the page number is clamped to the last
-    page. While the rows that may precede the page exceed ``max_task_rows``, the rows are
-    range-partitioned on the sort keys and counted per range (one small row per range); only
-    the range(s) covering the page are kept, by a filter on their first and last key. The
-    page is then a top-k (offset + limit after the sort) inside those rows, so no task holds
-    more than about ``max_task_rows`` rows whatever the page number. Nothing numbers all rows
-    in one partition. ``keys`` should end in a unique column; exact ties are split by a hash
-    of the whole row, and a page inside one tie group takes any rows of that group."""
+    """One page of ``df`` in the order of ``keys`` (G4); the page number is clamped to the last page.
+
+    Rows that tie on the keys are ordered by a hash of the whole row, on every page, so that pages
+    neither repeat nor skip rows; only identical rows tie after that, and any of them will do. While
+    more than ``max_task_rows`` rows may precede the page, the rows are range-partitioned on the
+    keys and counted per range (one small row per range); only the ranges that cover the page are
+    kept, by a filter on their first and last key. The page is then a top-k inside those rows, so
+    neither a task nor the one that merges their rows holds more than about ``max_task_rows`` of
+    each task, whatever the page number."""
     n = total_rows if total_rows is not None else df.count()
     last = max(1, -(-n // page_size)) - 1
     safe = min(max(number, 0), last)
     start = safe * page_size
     size = max(0, min(page_size, n - start))
-    if start + size <= max_task_rows:
-        return df.orderBy(*_order(keys)).offset(start).limit(page_size)
     keys = keys + [(F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]), False)]
     part, rows = df, n
-    for _ in range(MAX_REFINE_STEPS):
+    while start + size > max_task_rows:
         lo_text, hi_text, types, skipped, covered = _covering_ranges(part, keys, start, size, rows, max_task_rows)
         lo = [_restore(v, t) for v, t in zip(lo_text, types)]
         hi = [_restore(v, t) for v, t in zip(hi_text, types)]
-        if lo_text == hi_text:  # the page lies inside one group of equal keys: any rows of it
+        if lo_text == hi_text:  # the page lies inside one group of identical rows: any of them
             return part.where(_lex_equal(keys, lo)).limit(size)
+        if covered >= rows:  # the page needs all ranges there are: two or three, as small as they get
+            break
         part = part.where(~_lex_cmp(keys, lo, _before) & ~_lex_cmp(keys, hi, _after))
         start, rows = start - skipped, covered
-        if start + size <= max_task_rows:
-            break
     return part.orderBy(*_order(keys)).offset(start).limit(size)
 
 

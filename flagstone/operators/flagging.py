@@ -32,8 +32,9 @@ _EXPRESSIONS: dict[tuple, object] = {}
 
 def _built_once(key: tuple, build):
     """A Column expression tree depends only on the rule specs and parameters, not on any
-    DataFrame, but building one costs many JVM round trips; each is built once per gateway."""
-    k = (id(SparkContext._gateway),) + key
+    DataFrame, but building one costs many JVM round trips; each is built once per application."""
+    sc = SparkContext._active_spark_context
+    k = (sc.applicationId if sc is not None else None,) + key
     if k not in _EXPRESSIONS:
         _EXPRESSIONS[k] = build()
     return _EXPRESSIONS[k]
@@ -116,8 +117,8 @@ def flag_all(
 ) -> DataFrame:
     """All predicate rules over one base table in one scan -> (rule_id, case_key, base columns...).
 
-    Rules sharing a key share one key expression; the predicate array is evaluated inside the
-    same whole-stage-codegen span as the scan filter, and ``explode`` emits one row per hit.
+    Each predicate runs once per row. Rules sharing a key share one key expression. The array has one entry per rule, NULL where
+    the rule does not hit; generator and filter run inside the scan's whole-stage-codegen span.
     """
     specs = specs if specs is not None else rules_on(base_name)
     if not specs:
@@ -125,23 +126,17 @@ def flag_all(
     key_cols = {s.key_cols for s in specs}
     if len(key_cols) != 1:
         raise ValueError("flag_all needs rules with one shared key")
-    any_hit, ids, key = _built_once(
+    ids, key = _built_once(
         ("flag_all", tuple(_spec_key(s) for s in specs), params), lambda: _flag_all_columns(specs, params)
     )
-    return (
-        base.where(any_hit)  # cheap disjunction first: pushed to the scan where possible
-        .select(F.explode(ids).alias("rule_id"), key.alias("case_key"), "*")
-    )
+    hit = base.select(F.explode(ids).alias("rule_id"), "*").where(F.col("rule_id").isNotNull())
+    return hit.select("rule_id", key.alias("case_key"), *[F.col(f"`{c}`") for c in base.columns])
 
 
-def _flag_all_columns(specs: list[RuleSpec], params: RuleParams) -> tuple[Column, Column, Column]:
-    """(any rule hits, array of the ids of the rules hit, case key) of ``flag_all``."""
-    preds = [s.predicate(params) for s in specs]
-    ids = F.array_compact(F.array(*[F.when(p, F.lit(s.id)) for p, s in zip(preds, specs)]))
-    any_hit = preds[0]
-    for p in preds[1:]:
-        any_hit = any_hit | p
-    return any_hit, ids, case_key(specs[0].key_cols)
+def _flag_all_columns(specs: list[RuleSpec], params: RuleParams) -> tuple[Column, Column]:
+    """(array with the id of each rule hit, NULL for the others; case key) of ``flag_all``."""
+    ids = F.array(*[F.when(s.predicate(params), F.lit(s.id)) for s in specs])
+    return ids, case_key(specs[0].key_cols)
 
 
 def counts(flagged_keys: DataFrame, spark: SparkSession, rule_ids: list[str] | None = None) -> DataFrame:

@@ -23,9 +23,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from flagstone.functions.keys import blank_trim, case_key
+from flagstone.functions.keys import blank_trim, case_key, key_part, utc_date
 from flagstone.operators.rules import LEAD_1_KEY, LEAD_2_KEY, MISROUTE_FLAG, REOPEN_MIN_GAP_DAYS
 
 CLOSED = "closed"
@@ -93,9 +94,11 @@ def lead_transitions(
     # total_rows / max_events_per_task of them; the count below is the runtime proof.
     if heavy_leads.limit(1).count() == 0:
         return _transitions_window(history, tie, ["lead_id"]).drop("_first")
-    keys = heavy_leads.select("lead_id")
-    normal = _transitions_window(history.join(keys, "lead_id", "left_anti"), tie, ["lead_id"]).drop("_first")
-    heavy = _transitions_segmented(history.join(keys, "lead_id", "left_semi"), tie, max_events_per_task, bucket_seconds)
+    keys = heavy_leads.select(F.col("lead_id").alias("_heavy"))
+    # events without a lead are one group as well, and often the largest: NULL matches NULL
+    is_heavy = F.col("lead_id").eqNullSafe(F.col("_heavy"))
+    normal = _transitions_window(history.join(keys, is_heavy, "left_anti"), tie, ["lead_id"]).drop("_first")
+    heavy = _transitions_segmented(history.join(keys, is_heavy, "left_semi"), tie, max_events_per_task, bucket_seconds)
     return normal.unionByName(heavy)
 
 
@@ -114,7 +117,9 @@ def _transitions_segmented(heavy: DataFrame, tie: str | None, max_rows: int, buc
         F.lit(0),
     )
     seg_of_bucket = hist.select("lead_id", "_bucket", F.floor(before / F.lit(max_rows)).cast("long").alias("_seg"))
-    segmented = rows.join(seg_of_bucket, ["lead_id", "_bucket"]).drop("_bucket")
+    segs = seg_of_bucket.select(F.col("lead_id").alias("_l"), F.col("_bucket").alias("_b"), "_seg")
+    segmented = rows.join(segs, F.col("lead_id").eqNullSafe(F.col("_l")) & (F.col("_bucket") == F.col("_b")))
+    segmented = segmented.drop("_bucket", "_l", "_b")
     local = _transitions_window(segmented, tie, ["lead_id", "_seg"])
 
     open_state = _not_closed(F.col("state"))
@@ -126,14 +131,14 @@ def _transitions_segmented(heavy: DataFrame, tie: str | None, max_rows: int, buc
     w = Window.partitionBy("lead_id").orderBy("_seg")
     later = w.rowsBetween(1, Window.unboundedFollowing)
     carries = summary.select(
-        "lead_id",
-        "_seg",
+        F.col("lead_id").alias("_l"),
+        F.col("_seg").alias("_s"),
         F.lag("_last_state", 1).over(w).alias("_carry_prev"),
         F.first("_open_t", ignorenulls=True).over(later).alias("_carry_t"),
         F.first("_open_state", ignorenulls=True).over(later).alias("_carry_state"),
     )
     # one row per segment: at most (heavy rows / max_rows + heavy leads) rows
-    stitched = local.join(carries, ["lead_id", "_seg"], "left")
+    stitched = local.join(carries, F.col("lead_id").eqNullSafe(F.col("_l")) & (F.col("_seg") == F.col("_s")), "left")
     return stitched.select(
         *[c for c in heavy.columns],
         F.when(F.col("_first"), F.col("_carry_prev")).otherwise(F.col("prev_state")).alias("prev_state"),
@@ -156,9 +161,9 @@ def lead_transitions_forward(history: DataFrame, tie: str | None = "event_id") -
     )
 
 
-def day_gap(later: Column, earlier: Column) -> Column:
-    """Calendar-day difference of two timestamps."""
-    return F.datediff(F.to_date(later), F.to_date(earlier))
+def day_gap(later: Column, earlier: Column, dtype: T.DataType) -> Column:
+    """Calendar-day difference in UTC of two times of one type, as the declared 64-bit integer."""
+    return F.datediff(utc_date(later, dtype), utc_date(earlier, dtype)).cast("long")
 
 
 def lead_reopened_cases(
@@ -170,7 +175,8 @@ def lead_reopened_cases(
     t = lead_transitions(history, tie)
     state = F.lower(F.col("state"))
     prev = F.lower(F.col("prev_state"))
-    gap = day_gap(F.col("next_state_updatedAt"), F.col("updatedAt"))
+    dtype = history.schema["updatedAt"].dataType
+    gap = day_gap(F.col("next_state_updatedAt"), F.col("updatedAt"), dtype)
     entries = t.where(
         (state == CLOSED)
         & (F.col("prev_state").isNull() | (prev != CLOSED))
@@ -188,7 +194,9 @@ def lead_reopened_cases(
         "assignedTo",
         *extra,
     )
-    return out.select(F.lit("L1").alias("rule_id"), case_key(LEAD_1_KEY).alias("case_key"), "*")
+    closed_on = F.date_format(utc_date(F.col("closed_at"), dtype), "yyyy-MM-dd")
+    key = F.concat_ws("|", key_part(LEAD_1_KEY[0]), F.coalesce(closed_on, F.lit("")))
+    return out.select(F.lit("L1").alias("rule_id"), key.alias("case_key"), "*")
 
 
 def lead_first_per_agent(history: DataFrame, tie: str | None = "event_id") -> DataFrame:
@@ -313,7 +321,9 @@ def _norm(c: Column) -> Column:
 
 def lead_misrouted_cases(history: DataFrame, bands: DataFrame, tie: str | None = "event_id") -> DataFrame:
     """Leads with more than one agent where the first agent's category equals the budget
-    category and no later agent's does; before review exclusion (``rule_id``, ``case_key``)."""
+    category and no later agent's does; before review exclusion (``rule_id``, ``case_key``).
+    Agents and values meet on the lead, so events without a lead take no part."""
+    history = history.where(F.col("lead_id").isNotNull())
     # one row per (lead, non-blank agent, band holding the lead's latest value)
     ranked = lead_expected_category(lead_ranked_agents(history, tie), bands).where(
         F.col("expected_category").isNotNull()

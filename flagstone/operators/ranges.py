@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # The listing's floor date and its presets (days back; 0 = everything).
 VIEW_START = "2025-07-01"
+DATE_MONTH = "date_month"  # partition column: the month of ``date`` itself
 PRESETS = {"7": 7, "30": 30, "90": 90, "all": 0}
 _ISO_DATE = re.compile(r"^\d{4}-\d{2}-\d{2}$")
 
@@ -28,11 +29,13 @@ def check_range(date_from: str, date_to: str) -> tuple[dt.date, dt.date]:
 
 def orders_in_range(df: DataFrame, date_from: str, date_to: str, date_col: str = "date") -> DataFrame:
     """Rows with ``date`` in [from, to] (both included), newest first. The bounds are literals,
-    so the filter reaches the Parquet scan (and prunes month partitions of a snapshot)."""
+    so the filter reaches the Parquet scan. A snapshot's ``order_month`` comes from the order time,
+    which may lie in another month than ``date`` or be NULL, so it says nothing here; a snapshot
+    partitioned by ``date_month`` (see ``with_month``) is pruned."""
     lo, hi = check_range(date_from, date_to)
     cond = F.col(date_col).between(F.lit(lo), F.lit(hi))
-    if "order_month" in df.columns:
-        cond = cond & F.col("order_month").between(lo.isoformat()[:7], hi.isoformat()[:7])
+    if DATE_MONTH in df.columns:
+        cond = cond & F.col(DATE_MONTH).between(lo.isoformat()[:7], hi.isoformat()[:7])
     return df.where(cond).orderBy(F.col(date_col).desc())
 
 

@@ -17,12 +17,11 @@ class Col:
     label: str
     type: str
     default: bool = False
-    mono: bool = False
 
 
 # ---------------------------------------------------------------------------------------
 # Labels and display types of the known columns, in the reference's order
-# (key, label, display type, shown by default, monospace).
+# (key, label, display type, shown by default).
 # ---------------------------------------------------------------------------------------
 KNOWN_COLUMNS = (
     Col("order_date_time", "Order date & time", "timestamp"),
@@ -31,19 +30,19 @@ KNOWN_COLUMNS = (
     Col("sharing_percentage", "Sharing %", "num"),
     Col("amount_toward_sales_person", "Amount to sales person", "money"),
     Col("customer_type", "Customer type", "text"),
-    Col("oldest_order_number", "Oldest order no.", "text", True, True),
+    Col("oldest_order_number", "Oldest order no.", "text", True),
     Col("customer_name", "Customer name", "text", True),
     Col("status", "Status", "text"),
     Col("current_order_status", "Current order status", "text", True),
     Col("total_amount", "Total amount", "money", True),
     Col("order_type_in_mtd_form", "Order type (MTD form)", "text"),
-    Col("newest_order_no", "Newest order no.", "text", True, True),
+    Col("newest_order_no", "Newest order no.", "text", True),
     Col("payment_method", "Payment method", "text"),
-    Col("tickets_id", "Ticket ID", "text", True, True),
+    Col("tickets_id", "Ticket ID", "text", True),
     Col("approval_timestamp", "Approval time", "datetime"),
     Col("mtd_form_filled_timestamp", "MTD form filled", "datetime"),
     Col("total_metal_amt", "Total metal amt", "money"),
-    Col("ticket_id_text", "Ticket ID (text)", "text", False, True),
+    Col("ticket_id_text", "Ticket ID (text)", "text"),
     Col("ticket_created_at", "Ticket created", "datetime"),
     Col("invoice_status", "Invoice status", "text", True),
     Col("lead_sources", "Lead source", "text", True),
@@ -58,13 +57,13 @@ KNOWN_COLUMNS = (
     Col("true_false_02_vs_ticket_created_date", "Ticket after 02 pending", "bool"),
     Col("diff_min_1st_connect_vs_10_order_approved", "1st connect → approved (min)", "int"),
     Col("true_false_02_vs_1st_time_connect", "1st connect after 02 pending", "bool"),
-    Col("order_phone_number_1", "Order phone", "text", False, True),
-    Col("lead_phone_number", "Lead phone", "text", False, True),
+    Col("order_phone_number_1", "Order phone", "text"),
+    Col("lead_phone_number", "Lead phone", "text"),
     Col("order_phone_ne_lead_phone", "Order phone = lead phone", "bool"),
     Col("ticket_date_more_than_1_month_older_than_order_date", "Ticket >1 month older (days)", "int"),
     Col("lead_source_for_sales_report_data_category_1", "Lead source cat. 1", "text"),
     Col("lead_source_for_sales_report_data_category_2", "Lead source cat. 2", "text"),
-    Col("process_key", "Process key", "text", False, True),
+    Col("process_key", "Process key", "text"),
     Col("assigned_to", "Assigned to", "text"),
     Col("email_id", "Email", "text"),
     Col("lead_created_at", "Lead created", "date"),
@@ -74,7 +73,7 @@ KNOWN_COLUMNS = (
     Col("assigned_team_acc_to_budget", "Assigned team (budget)", "text"),
     Col("final_assigned_to_name", "Final assigned to", "text", True),
     Col("assigned_to_team", "Assigned to team", "text"),
-    Col("ticket_id_beyond_90_days", "Ticket beyond 90 days", "flag", False, True),
+    Col("ticket_id_beyond_90_days", "Ticket beyond 90 days", "flag"),
     Col("budget_team_mismatch_flag", "Budget / team mismatch", "flag", True),
     Col("invalid_sales_team_flag", "Invalid sales team", "flag", True),
 )
@@ -82,8 +81,8 @@ VIEW_ONLY_COLUMNS = (
     Col("purchase_date", "Purchase date", "date"),
     Col("amount", "Amount", "money"),
     Col("current_status", "Current status", "text"),
-    Col("newest_order_number", "Newest order no.", "text", False, True),
-    Col("lead_id", "Lead ID", "text", False, True),
+    Col("newest_order_number", "Newest order no.", "text"),
+    Col("lead_id", "Lead ID", "text"),
     Col("closed_state", "Closed state", "text"),
     Col("closed_at", "Closed at", "instant"),
     Col("next_state", "Next state", "text"),
@@ -171,20 +170,9 @@ def default_columns(df: DataFrame) -> DataFrame:
 
 def order_review_columns(df: DataFrame) -> DataFrame:
     """Order number, sales person, the four audit fields, the rest, then who / when."""
-
-    def rank(name: str) -> int:
-        if name == "oldest_order_number":
-            return 0
-        if name == "sales_person":
-            return 1
-        if name in REVIEW_AUDIT:
-            return 2 + REVIEW_AUDIT.index(name)
-        if name in REVIEW_META:
-            return 1000 + REVIEW_META.index(name)
-        return 100
-
-    names = sorted(df.columns, key=lambda n: (rank(n), df.columns.index(n)))
-    return df.select(*names)
+    head = ["oldest_order_number", "sales_person", *REVIEW_AUDIT]
+    body = [c for c in df.columns if c not in head and c not in REVIEW_META]
+    return df.select(*[c for c in (*head, *body, *REVIEW_META) if c in df.columns])
 
 
 def summary_columns(columns: list[str]) -> list[str]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flagstone.functions.keys import blank_trim, is_blank_key
+from flagstone.functions.keys import form_trim, is_blank_key, utf16_length
 from flagstone.operators.rules import RULES, RuleSpec
 
 # ---------------------------------------------------------------------------------------
@@ -34,6 +34,7 @@ MISSING_RECORD = "Missing record."
 NO_ORDER_NUMBER = "Record has no order number."
 MISSING_CASE = "Missing case."
 UNKNOWN_RULE = "Unknown investigation"
+UNKNOWN_ACTION = "Unknown action."  # own message: only creates and edits can be asked for
 ALREADY_REVIEWED = "This case has already been reviewed by someone else."
 NO_LONGER_EXISTS = "That case no longer exists."
 FIELD_MAX = 200
@@ -52,15 +53,19 @@ RESERVED = (
 AUDIT_FIELDS = ("auditor", "decision_types", "decided_sales_person", "comments")
 KEYS = ["rule_id", "case_key"]
 
+#: Columns of a decision that are not part of its record.
+DECISION_COLUMNS = ("seq", "action", "rule_id", "has_record", "user_email", "submitted_at", *RESERVED)
+
 OUTCOME_COLUMNS = ("seq", "action", "rule_id", "case_key", "status", "reason")
 
 
-def _record_key(spec: RuleSpec) -> Column:
-    """Case key from a text record: NULL -> '', ``:date`` keeps the first 10 characters."""
+def _record_key(spec: RuleSpec, columns: list[str]) -> Column:
+    """Case key from a text record: NULL or a missing column -> '', ``:date`` keeps the first 10
+    characters."""
     parts = []
     for k in spec.key_cols:
         name, _, kind = k.partition(":")
-        c = F.col(name).cast("string")
+        c = F.col(name).cast("string") if name in columns else F.lit(None).cast("string")
         parts.append(F.coalesce(F.substring(c, 1, 10) if kind == "date" else c, F.lit("")))
     return F.concat_ws("|", *parts)
 
@@ -69,25 +74,24 @@ def _create_key(decisions: DataFrame, rules: tuple[RuleSpec, ...]) -> Column:
     """Key of a create, by the key columns of its rule (one branch per key shape)."""
     shapes: dict[tuple[str, ...], list[str]] = {}
     for spec in rules:
-        names = [k.partition(":")[0] for k in spec.key_cols]
-        if all(n in decisions.columns for n in names):
-            shapes.setdefault(spec.key_cols, []).append(spec.id)
+        shapes.setdefault(spec.key_cols, []).append(spec.id)
     expr = None
     for key_cols, ids in shapes.items():
         spec = next(r for r in rules if r.key_cols == key_cols)
         cond = F.col("rule_id").isin(ids)
-        expr = F.when(cond, _record_key(spec)) if expr is None else expr.when(cond, _record_key(spec))
-    return expr if expr is not None else F.lit(None).cast("string")
+        key = _record_key(spec, decisions.columns)
+        expr = F.when(cond, key) if expr is None else expr.when(cond, key)
+    return F.lit("") if expr is None else expr.otherwise(F.lit(""))
 
 
 def validate_decisions(decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES) -> DataFrame:
     """Trim the four fields, compute the create key, and give the first failing check.
 
-    Order: rule known -> fields (auditor, decision, lengths, comments) -> record present ->
+    Order: rule known -> action known -> fields (auditor, decision, lengths, comments) -> record present ->
     key not blank (creates) / key present (edits). Adds ``reason`` (NULL when valid), ``valid``.
     """
-    known = F.col("rule_id").isin([r.id for r in rules])
-    trimmed = {f: F.coalesce(blank_trim(F.col(f)), F.lit("")) for f in AUDIT_FIELDS}
+    known = F.coalesce(F.col("rule_id").isin([r.id for r in rules]), F.lit(False))
+    trimmed = {f: F.coalesce(form_trim(F.col(f)), F.lit("")) for f in AUDIT_FIELDS}
     d = decisions.select(
         *[c for c in decisions.columns if c not in AUDIT_FIELDS and c != "case_key"],
         *[trimmed[f].alias(f) for f in AUDIT_FIELDS],
@@ -96,17 +100,19 @@ def validate_decisions(decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES
         .alias("case_key"),
     )
     create = F.col("action") == "create"
+    acts = F.coalesce(F.col("action").isin("create", "edit"), F.lit(False))
     too_long = (
-        (F.length("auditor") > FIELD_MAX)
-        | (F.length("decision_types") > FIELD_MAX)
-        | (F.length("decided_sales_person") > FIELD_MAX)
+        (utf16_length(F.col("auditor")) > FIELD_MAX)
+        | (utf16_length(F.col("decision_types")) > FIELD_MAX)
+        | (utf16_length(F.col("decided_sales_person")) > FIELD_MAX)
     )
     reason = (
         F.when(~known, F.lit(UNKNOWN_RULE))
+        .when(~acts, F.lit(UNKNOWN_ACTION))
         .when(F.col("auditor") == "", F.lit(AUDITOR_REQUIRED))
         .when(F.col("decision_types") == "", F.lit(DECISION_REQUIRED))
         .when(too_long, F.lit(FIELDS_TOO_LONG))
-        .when(F.length("comments") > COMMENTS_MAX, F.lit(COMMENTS_TOO_LONG))
+        .when(utf16_length(F.col("comments")) > COMMENTS_MAX, F.lit(COMMENTS_TOO_LONG))
         .when(create & ~F.coalesce(F.col("has_record"), F.lit(False)), F.lit(MISSING_RECORD))
         .when(create & is_blank_key(F.col("case_key")), F.lit(NO_ORDER_NUMBER))
         .when(~create & F.coalesce(F.col("case_key") == "", F.lit(True)), F.lit(MISSING_CASE))
@@ -132,31 +138,28 @@ def _typed_record(creates: DataFrame, target: T.StructType) -> list[Column]:
 
 
 def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES):
-    """-> (new_reviews, outcomes). ``reviews`` must already carry every record column
-    (see ``evolve_schema``).
+    """-> (new_reviews, outcomes). Record columns of the batch that the review table lacks are
+    appended to it first (as text, NULL for old rows), so no column of a saved record is lost.
+    Every decision has one outcome.
 
     One aggregation per case named by the batch (partial before the shuffle) gives the first
     create and the last edit; the review keys say whether the case existed before the batch.
     Each decision is joined back to its case's row once for its outcome."""
+    reviews = evolve_schema(reviews, T.StructType([f for f in decisions.schema.fields if f.name not in DECISION_COLUMNS]), retype=False)
     v = validate_decisions(decisions, rules)
     create = F.col("action") == "create"
     edit = F.col("action") == "edit"
-    valid = v.where(F.col("valid") & (create | edit))
-    # Only review keys named by the batch matter: the semi join (the batch keys are the small
-    # side) filters the review table before its keys are made distinct, so a batch never
-    # shuffles every key of a large review table.
-    existing = (
-        reviews.select(*KEYS).join(valid.select(*KEYS), KEYS, "left_semi").distinct().withColumn("_old", F.lit(True))
-    )
+    valid = v.where(F.col("valid"))
     last_edit_of = F.struct(*AUDIT_FIELDS, "user_email", "submitted_at", F.col("seq").alias("_seq"))
-    per_case = (
-        valid.groupBy(*KEYS)
-        .agg(
-            F.min(F.when(create, F.col("seq"))).alias("win_seq"),
-            F.max_by(last_edit_of, F.when(edit, F.col("seq"))).alias("_e"),
-        )
-        .join(existing, KEYS, "left")
+    cases = valid.groupBy(*KEYS).agg(
+        F.min(F.when(create, F.col("seq"))).alias("win_seq"),
+        F.max_by(last_edit_of, F.when(edit, F.col("seq"))).alias("_e"),
     )
+    # Only review keys named by the batch matter: the semi join with the batch's cases (one row
+    # each, however many decisions a case has) filters the review table before its keys are made
+    # distinct, so a batch never shuffles every key of a large review table.
+    existing = reviews.select(*KEYS).join(cases.select(*KEYS), KEYS, "left_semi").distinct().withColumn("_old", F.lit(True))
+    per_case = cases.join(existing, KEYS, "left")
     old = F.col("_old").isNotNull()
     d = valid.join(per_case, KEYS, "left")
     # a create wins when the case is new and it is the case's first create; an edit finds its
@@ -217,10 +220,11 @@ def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleS
     return new_reviews, outcomes
 
 
-def evolve_schema(reviews: DataFrame, view_schema: T.StructType) -> DataFrame:
+def evolve_schema(reviews: DataFrame, view_schema: T.StructType, retype: bool = True) -> DataFrame:
     """Additive schema evolution: view columns missing from the review table are appended
     (typed, NULL for old rows). Reserved names are never copied; struct columns and a changed
-    type of an existing column are refused."""
+    type of an existing column are refused (the latter not if ``retype`` is false, for records that
+    come as text)."""
     have = {f.name: f.dataType for f in reviews.schema.fields}
     adds = []
     for f in view_schema.fields:
@@ -229,7 +233,7 @@ def evolve_schema(reviews: DataFrame, view_schema: T.StructType) -> DataFrame:
         if isinstance(f.dataType, (T.StructType, T.MapType)):
             raise TypeError(f"Unsupported column type {f.dataType.simpleString()} for {f.name}")
         if f.name in have:
-            if have[f.name] != f.dataType:
+            if retype and have[f.name] != f.dataType:
                 raise TypeError(
                     f"column {f.name} is {have[f.name].simpleString()} in the review table "
                     f"but {f.dataType.simpleString()} in the view"

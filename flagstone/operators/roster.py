@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from flagstone.functions.keys import blank_trim
 
-# Fixed value: default system name of the roster filter.
-DEFAULT_SYSTEM = "order_verification"
 
-
-def roster_members(employees: DataFrame, system: str = DEFAULT_SYSTEM) -> DataFrame:
+def roster_members(employees: DataFrame, system: str) -> DataFrame:
     """(work_email, email_key, name) of members: the comma list holds the system (trimmed, any
     case; a prefix does not count). The name falls back to the e-mail."""
     wanted = system.lower()
@@ -23,7 +20,7 @@ def roster_members(employees: DataFrame, system: str = DEFAULT_SYSTEM) -> DataFr
     )
 
 
-def lookup_member(employees: DataFrame, email: str, system: str = DEFAULT_SYSTEM) -> DataFrame:
+def lookup_member(employees: DataFrame, email: str, system: str) -> DataFrame:
     """At most one roster row for an e-mail (case-insensitive), first by e-mail order; the name
     falls back to the e-mail as given."""
     m = roster_members(employees, system).where(F.col("email_key") == F.lit(email.lower()))

@@ -351,9 +351,12 @@ def report_render_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the review report in their order, with the reviews that hold a value."""
     from flagstone.operators.render import order_review_columns
 
-    return order_review_columns(reviews_list(spark, sf_dir))
+    report = order_review_columns(reviews_list(spark, sf_dir))
+    names = spark.createDataFrame(list(enumerate(report.columns)), "position int, column string")
+    return names.join(F.broadcast(filled(report)), "column")
 
 
 def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,21 +367,64 @@ def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rebuild the order snapshot as a new version and read it back (A2)."""
-    from flagstone.sources.snapshot import default_root, read_snapshot, refresh_snapshot
+    from flagstone.sources.snapshot import default_root, prune_versions, read_snapshot, refresh_snapshot
 
     root = default_root(spark, "assisted_orders_" + sf_dir.rstrip("/").rsplit("/", 1)[-1])
     refresh_snapshot(scan_assisted_orders(spark, sf_dir), root)
+    prune_versions(spark, root, keep=2)  # this one, and the one that readers may still have open
     return read_snapshot(spark, root)
 
 
+def filled(df: DataFrame) -> DataFrame:
+    """(column, filled): how many rows of ``df`` hold a value, from one aggregation."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("filled")) for i, c in enumerate(df.columns)]
+    return counts.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+
+
 def snapshot_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from flagstone.sources.snapshot import committed_versions, default_root, refresh_snapshot
+    """Columns of the newest version with their types, how many of its rows hold a value, and
+    whether its refresh time is known (A3)."""
+    from flagstone.sources.snapshot import default_root
     from flagstone.sources.snapshot import snapshot_info as info
 
+    snapshot = snapshot_refresh(spark, sf_dir)
     root = default_root(spark, "assisted_orders_" + sf_dir.rstrip("/").rsplit("/", 1)[-1])
-    if not committed_versions(spark, root):
-        refresh_snapshot(scan_assisted_orders(spark, sf_dir), root)
-    return info(spark, root)
+    known = info(spark, root).withColumn("refresh_known", F.col("refreshed_at").isNotNull()).drop("refreshed_at")
+    return known.join(F.broadcast(filled(snapshot)), "column")  # a row per column
+
+
+def report_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved columns of rule 3's report, in order, with the rows that hold a value."""
+    from flagstone.operators.render import resolve_columns
+
+    report = _flagged_3(spark, sf_dir)
+    cols = [(i, c.key, c.label, c.type) for i, c in enumerate(resolve_columns(report.schema))]
+    known = spark.createDataFrame(cols, "position int, column string, label string, display_type string")
+    return known.join(F.broadcast(filled(report)), "column")
+
+
+def review_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole save: validate, evolve, insert and edit, write the next version, read it back (J)."""
+    from flagstone.operators.reviews import apply_decisions
+    from flagstone.sources.review_store import read_reviews, write_reviews_version
+    from flagstone.sources.snapshot import default_root, prune_versions
+
+    reviews, batch = review_inputs(spark, sf_dir)
+    root = default_root(spark, "reviews_" + sf_dir.rstrip("/").rsplit("/", 1)[-1])
+    new_reviews, _ = apply_decisions(reviews, batch)
+    write_reviews_version(new_reviews, root)
+    prune_versions(spark, root, keep=2)
+    return read_reviews(spark, root)
+
+
+def _look_back(preset: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from flagstone.operators.ranges import recent
+
+        return recent(scan_assisted_orders(spark, sf_dir), preset, AS_OF)
+
+    return run
 
 
 MORE_QUERIES: dict[str, Query] = {
@@ -407,6 +453,11 @@ MORE_QUERIES: dict[str, Query] = {
     "case_summary": case_summary,
     "snapshot_refresh": snapshot_refresh,
     "snapshot_info": snapshot_info,
+    "report_columns": report_columns,
+    "review_save": review_save,
+    "orders_last_7_days": _look_back("7"),
+    "orders_last_90_days": _look_back("90"),
+    "orders_since_start": _look_back("all"),
 }
 
 

@@ -34,7 +34,7 @@ UNASSISTED_ORDERS = T.StructType(
 )
 LEAD_HISTORY = T.StructType(
     [T.StructField(n, t, True) for n, t in [
-        ("event_id", L), ("lead_id", S), ("state", S), ("updatedAt", NTZ), ("assignedTo", S), ("category", S),
+        ("event_id", L), ("lead_id", S), ("state", S), ("updatedAt", T.TimestampType()), ("assignedTo", S), ("category", S),
         ("final_order_value", D),
     ]]
 )

@@ -13,7 +13,8 @@ from pyspark.sql import SparkSession
 
 
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "flagstone") -> SparkSession:
-    """Local session with AQE on, UI off and UTC session zone."""
+    """Local session with AQE on, UI off, UTC session zone and, where the defaults name none, a
+    checkpoint folder of its own."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -28,20 +29,18 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flagstone-ckpt-"))
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``, or that its caller gave
+    to ``setCheckpointDir``.
 
-    On a cluster this setting names shared storage and is read as is. Only when it is
-    unset (local tests) a private folder is created.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    The library only reads the setting: without it there is no folder that all executors share,
+    so this raises instead of using a machine-local one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="flagstone-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
+        raise ValueError("spark.checkpoint.dir is unset; name a folder that driver and executors share")
+    return path.rstrip("/")

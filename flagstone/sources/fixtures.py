@@ -5,7 +5,8 @@ arguments, the DuckDB oracle inlines it as CTEs over the pre-registered views. T
 operator under test is written separately on each side; only the inputs are shared.
 
 Placeholders: ``{orders}``, ``{customer}``, ``{events}``, ``{supplier}`` are source
-tables, ``{NTZ}`` is the wall-clock timestamp literal keyword of the dialect.
+tables, ``{NTZ}`` is the wall-clock timestamp literal keyword of the dialect and ``{UTC}`` the
+instant at which the lead history begins.
 """
 
 from __future__ import annotations
@@ -91,15 +92,14 @@ SELECT o_orderkey AS k,
   o_totalprice AS amount,
   CASE WHEN o_orderkey%83=0 THEN NULL ELSE 'N' || LPAD(CAST(o_orderkey AS STRING),8,'0') END AS newest_order_number
 FROM {orders} JOIN {customer} ON c_custkey=o_custkey
-WHERE o_orderkey%4=1
 """
 
 LEAD_HISTORY_SQL = """
 SELECT event_id,
-  'L' || LPAD(CAST(user_id*20 + event_id%20 AS STRING),6,'0') AS lead_id,
+  CASE WHEN event_id%211<>7 THEN 'L' || LPAD(CAST(user_id*20 + event_id%20 AS STRING),6,'0') END AS lead_id,
   CASE WHEN event_id%31=0 THEN NULL WHEN event_type='click' AND event_id%2=0 THEN 'CLOSED' WHEN event_type='click' THEN 'Closed'
     WHEN event_type='error' THEN 'closed' WHEN event_type='purchase' THEN 'Won' WHEN event_type='signup' THEN 'New' ELSE 'Follow up' END AS state,
-  {NTZ} '2025-01-01 00:00:00' + (ts - {NTZ} '2024-01-01 00:00:00') * 12 AS updatedAt,
+  {UTC} + (ts - {NTZ} '2024-01-01 00:00:00') * 12 AS updatedAt,
   CASE event_id%7 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE 'agent' || CAST(CAST(FLOOR(event_id/20) AS BIGINT)%5 AS STRING) END AS assignedTo,
   CASE WHEN event_id%29=0 THEN NULL ELSE CASE (event_id*7)%3 WHEN 0 THEN ' silver ' WHEN 1 THEN 'GOLD' ELSE 'Platinum' END END AS category,
   CASE WHEN CAST(FLOOR(event_id/20) AS BIGINT)%3<>0 THEN value*500 ELSE NULL END AS final_order_value
@@ -152,7 +152,7 @@ def source_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived business table as a lazy DataFrame over the parquet sources."""
     text, sources = FIXTURE_SQL[name]
-    text = text.replace("{NTZ}", "TIMESTAMP_NTZ")
+    text = text.replace("{NTZ}", "TIMESTAMP_NTZ").replace("{UTC}", "TIMESTAMP_LTZ '2025-01-01 00:00:00Z'")
     frames = {s: source_table(spark, sf_dir, s) for s in sources}
     return spark.sql(text, **frames)
 
@@ -183,7 +183,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, materialize: bool | Non
     fingerprint of its SQL and sources) and read back from there; the order table carries the
     ``order_month`` partition column. ``materialize=False`` returns the lazy derivation.
     Committed versions never change, so the resolved read is reused within a session."""
-    from flagstone.session import ensure_checkpoint_dir
+    from flagstone.session import checkpoint_dir
     from flagstone.sources.snapshot import committed_versions, read_snapshot, refresh_snapshot, with_month
 
     if materialize is None:
@@ -191,10 +191,10 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, materialize: bool | Non
     if not materialize or not FIXTURE_SQL[name][1]:
         return derive(spark, sf_dir, name)
     fp = _fingerprint(spark, sf_dir, name)
-    cache_key = (id(spark), sf_dir, name, fp)
+    cache_key = (spark.sparkContext.applicationId, sf_dir, name, fp)
     if cache_key in _RESOLVED:
         return _RESOLVED[cache_key]
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flagstone/fixtures/{name}-{fp}"
+    root = f"{checkpoint_dir(spark)}/flagstone/fixtures/{name}-{fp}"
     if not committed_versions(spark, root):
         df = derive(spark, sf_dir, name)
         if name in MONTH_PARTITIONED:
@@ -213,7 +213,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, materialize: bool | Non
 def duckdb_fixture(name: str) -> str:
     """The same fixture as DuckDB text over the pre-registered source views."""
     text, sources = FIXTURE_SQL[name]
-    text = text.replace("{NTZ}", "TIMESTAMP")
+    text = text.replace("{NTZ}", "TIMESTAMP").replace("{UTC}", "TIMESTAMP '2025-01-01 00:00:00'")
     for s in sources:
         text = text.replace("{" + s + "}", s)
     return text.strip()
@@ -283,7 +283,7 @@ def decisions(spark: SparkSession, sf_dir: str, materialize: bool | None = None)
     under ``spark.checkpoint.dir`` (keyed by its SQL, the session zone of its instants and the
     order fixture it reads) and read back, as a submitted batch would be a stored file; the
     review jobs then read it instead of re-deriving it in every branch of their plans."""
-    from flagstone.session import ensure_checkpoint_dir
+    from flagstone.session import checkpoint_dir
     from flagstone.sources.snapshot import committed_versions, read_snapshot, refresh_snapshot
 
     if materialize is None:
@@ -293,10 +293,10 @@ def decisions(spark: SparkSession, sf_dir: str, materialize: bool | None = None)
     h = hashlib.sha1((DECISIONS_SQL + RULE3_ROWS_SQL + spark.conf.get("spark.sql.session.timeZone")).encode())
     h.update(_fingerprint(spark, sf_dir, "assisted_orders").encode())
     fp = h.hexdigest()[:16]
-    cache_key = (id(spark), sf_dir, "decisions", fp)
+    cache_key = (spark.sparkContext.applicationId, sf_dir, "decisions", fp)
     if cache_key in _RESOLVED:
         return _RESOLVED[cache_key]
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flagstone/fixtures/decisions-{fp}"
+    root = f"{checkpoint_dir(spark)}/flagstone/fixtures/decisions-{fp}"
     if not committed_versions(spark, root):
         df = _derive_decisions(spark, sf_dir)
         cores = spark.sparkContext.defaultParallelism

@@ -73,7 +73,7 @@ def seed_reviews(
     (partitioned by rule_id, keyed by its sources, parameters and the code deriving it) and read
     back, as a stored review table would be. A relative cutoff (no ``as_of_date``) is never
     materialised."""
-    from flagstone.session import ensure_checkpoint_dir
+    from flagstone.session import checkpoint_dir
     from flagstone.sources.fixtures import FIXTURE_SQL, _fingerprint
     from flagstone.sources.snapshot import committed_versions, read_snapshot, refresh_snapshot
 
@@ -89,10 +89,10 @@ def seed_reviews(
         h.update(_fingerprint(spark, sf_dir, name).encode())
     h.update(FIXTURE_SQL["team_budget"][0].encode())
     fp = h.hexdigest()[:16]
-    key = (id(spark), sf_dir, fp)
+    key = (spark.sparkContext.applicationId, sf_dir, fp)
     if key in _RESOLVED:
         return _RESOLVED[key]
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flagstone/seed_reviews/{fp}"
+    root = f"{checkpoint_dir(spark)}/flagstone/seed_reviews/{fp}"
     if not committed_versions(spark, root):
         built = _build_seed_reviews(spark, sf_dir, ids, with_record, params)
         refresh_snapshot(built, root, version=uuid.uuid4().hex, partition_col="rule_id")

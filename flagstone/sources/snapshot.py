@@ -17,18 +17,19 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flagstone.session import ensure_checkpoint_dir
+from flagstone.session import checkpoint_dir
 
 MONTH_PARTITION = "order_month"
 
 
 def default_root(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/flagstone/snapshots/{name}"
+    return f"{checkpoint_dir(spark)}/flagstone/snapshots/{name}"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -37,22 +38,37 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def committed_versions(spark: SparkSession, root: str) -> list[str]:
-    """Versions under ``root`` whose write committed (have ``_SUCCESS``), oldest first."""
+def _natural(name: str) -> list:
+    """Sort key of a version name: digit runs by their value, so v9 comes before v10."""
+    return [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.findall(r"[0-9]+|[^0-9]+", name)]
+
+
+def commits(spark: SparkSession, root: str) -> list[tuple[str, dt.datetime]]:
+    """(version, commit time in UTC) of the versions under ``root`` whose write committed, oldest first.
+
+    The commit time is that of the committer's ``_SUCCESS`` marker; versions committed in the same
+    millisecond are ordered by name, digits by value."""
     fs, p = _fs(spark, root)
     if not fs.exists(p):
         return []
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            out.append(name[2:])
-    return sorted(out)
+        marker = st.getPath().suffix("/_SUCCESS")
+        if st.isDirectory() and name.startswith("v=") and fs.exists(marker):
+            out.append((fs.getFileStatus(marker).getModificationTime(), _natural(name[2:]), name[2:]))
+    epoch = dt.datetime(1970, 1, 1)
+    return [(name, epoch + dt.timedelta(milliseconds=ms)) for ms, _, name in sorted(out)]
+
+
+def committed_versions(spark: SparkSession, root: str) -> list[str]:
+    """Committed versions under ``root``, oldest commit first."""
+    return [name for name, _ in commits(spark, root)]
 
 
-def with_month(df: DataFrame, ts_col: str = "order_date_time") -> DataFrame:
-    """Add the month partition column derived from the order time."""
-    return df.withColumn(MONTH_PARTITION, F.date_format(F.col(ts_col), "yyyy-MM"))
+def with_month(df: DataFrame, ts_col: str = "order_date_time", month_col: str = MONTH_PARTITION) -> DataFrame:
+    """Add a month partition column derived from a time or date column."""
+    return df.withColumn(month_col, F.date_format(F.col(ts_col), "yyyy-MM"))
 
 
 def refresh_snapshot(
@@ -65,10 +81,10 @@ def refresh_snapshot(
     """Write ``df`` (all its columns, so a new source column is picked up by itself) as the
     next version; returns the version.
 
-    The rows are range-partitioned on (partition value, row hash) before the write: each
-    partition value is spread over as many tasks as its size needs (a month or a rule holding a
-    third of the data is written by many tasks, never one), while a task still writes few
-    partition folders, so files stay few and bounded (``max_records_per_file``)."""
+    The rows are rebalanced by partition value before the write: adaptive execution splits a
+    value that holds much of the data over as many tasks as its measured size needs and puts
+    small values together, so files stay few and bounded (``max_records_per_file``). The source
+    is computed once (no sampling pass)."""
     version = version or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%fZ")
     spark = df.sparkSession
     if version in committed_versions(spark, root):
@@ -77,7 +93,7 @@ def refresh_snapshot(
     if partition_col:
         if partition_col not in df.columns:
             w = with_month(df)
-        w = w.repartitionByRange(F.col(partition_col), F.xxhash64(*[F.col(c) for c in w.columns]))
+        w = w.hint("rebalance", partition_col)
     _write_schema(spark, root, version, w.schema)
     writer = w.write.mode("errorifexists").option("maxRecordsPerFile", max_records_per_file)
     if partition_col:
@@ -139,15 +155,12 @@ def read_snapshot(
 
 
 def snapshot_info(spark: SparkSession, root: str) -> DataFrame:
-    """Column names and types of the newest version, with its refresh time (NULL if unknown)."""
-    versions = committed_versions(spark, root)
-    df = read_snapshot(spark, root)
-    refreshed = None
-    if versions:
-        try:
-            refreshed = dt.datetime.strptime(versions[-1], "%Y%m%dT%H%M%S%fZ")
-        except ValueError:
-            refreshed = None
+    """Column names and types of the newest version, with its refresh time: that of the commit, in UTC."""
+    versions = commits(spark, root)
+    if not versions:
+        raise FileNotFoundError(f"no committed snapshot under {root}")
+    version, refreshed = versions[-1]
+    df = read_snapshot(spark, root, version=version)
     rows = [(i, f.name, f.dataType.simpleString(), refreshed) for i, f in enumerate(df.schema.fields)]
     schema = T.StructType(
         [
@@ -165,6 +178,7 @@ def prune_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
     versions = committed_versions(spark, root)
     doomed = versions[:-keep] if keep > 0 else versions
     for v in doomed:
-        fs, p = _fs(spark, f"{root}/v={v}")
-        fs.delete(p, True)
+        for path in (f"{root}/v={v}", _schema_path(root, v)):
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
     return doomed

@@ -130,7 +130,7 @@ def test_ranked_agents_equal_the_separate_stages(spark):
     from flagstone.sources.fixtures import fixture
     from tests.conftest import SF001
 
-    history = fixture(spark, SF001, "lead_history")
+    history = fixture(spark, SF001, "lead_history").where("lead_id IS NOT NULL")
     fused = leads.lead_ranked_agents(history)
     separate = leads.lead_agent_rank(leads.lead_first_per_agent(history)).join(
         leads.lead_latest_value(history), "lead_id"
