@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flagstone.session import checkpoint_dir
+
 #: Blank characters of all word and line rules: space and tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 #: A word: a longest run of characters that are not blank.
@@ -54,21 +56,10 @@ def in_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Raises when ``spark.checkpoint.dir`` is unset: a machine-local folder must not stand in.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        raise ValueError("spark.checkpoint.dir is unset; name a folder that driver and executors share")
-    return path.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table under the shared folder, read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -44,8 +44,8 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     def digest(df: DataFrame):
         return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
 
-    # a task's links fit in its memory: it is one shuffle partition of pairs of numbers
-    now = written(in_arrow(links.select("u", "v").repartition("u"), union_find, "u long, v long").distinct(), "links")
+    # a task's links fit in its memory: pairs of numbers of one partition
+    now = written(in_arrow(links.select("u", "v"), union_find, "u long, v long").distinct(), "links")
     before = digest(now)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

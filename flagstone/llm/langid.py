@@ -25,7 +25,7 @@ from flagstone.llm.common import in_arrow, ship, written
 #: Hashed features and the lengths of n-grams.
 FEATURES, GRAMS = 1 << 15, (1, 2, 3)
 #: Training documents per language, and languages; more languages are an error.
-SAMPLE_PER_LANG, MAX_LANGS = 1500, 512
+SAMPLE_PER_LANG, MAX_LANGS = 1000, 512
 #: Every so many-th sampled document sets the temperature instead of the weights.
 CALIBRATION_EVERY = 5
 #: What a text without a letter is said to be.
@@ -164,16 +164,23 @@ def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(labelled: DataFrame, order: Column) -> Model | None:
     """The model of ``labelled`` (text, lang); None if no text with a language has a letter.
 
-    The sample are the first SAMPLE_PER_LANG texts of each language by ``order``.
+    The sample are the first SAMPLE_PER_LANG rows of each language by ``order``, a long that
+    spreads them evenly. How far that reaches is found without the texts.
     """
     ship(labelled.sparkSession)
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counted = in_arrow(usable.select("text"), document_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
-    ranked = usable.select("text", "lang", order.alias("order")).withColumn("place", place).filter(F.col("place") <= SAMPLE_PER_LANG)
-    sample = written(ranked.select("text", "lang", (F.col("place") % CALIBRATION_EVERY == 0).alias("calibrate")), "sample")
-    if sample.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
+    known = labelled.filter(F.col("lang").isNotNull()).select("lang", "text", order.alias("order"))
+    counted = in_arrow(known.select("text").filter(F.col("text").rlike(r"\p{L}")), document_counts, "feature long, n long")
+    counted = counted.groupBy("feature").agg(F.sum("n").alias("n"))
+    first = Window.partitionBy("lang").orderBy("order")
+    place = F.row_number().over(first)
+    # Spark drops all but the first rows of each task before the shuffle
+    reach = known.select("lang", "order").withColumn("place", place).filter(F.col("place") <= SAMPLE_PER_LANG)
+    reach = written(reach.groupBy("lang").agg(F.max("order").alias("last")), "reach")
+    if reach.count() > MAX_LANGS:
         raise ValueError(f"over {MAX_LANGS} languages")
+    near = known.join(F.broadcast(reach), "lang").filter(F.col("order") <= F.col("last")).filter(F.col("text").rlike(r"\p{L}"))
+    ranked = near.withColumn("place", place).filter(F.col("place") <= SAMPLE_PER_LANG)
+    sample = written(ranked.select("text", "lang", (F.col("place") % CALIBRATION_EVERY == 0).alias("calibrate")), "sample")
     frequencies = written(counted, "frequencies").groupBy(F.lit(0).alias("one"))
 
     def fitted(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -193,10 +200,11 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
     """Columns ``keep`` (all, if None) with lang_pred and score, the probability of the prediction.
 
     A text that is null or has no letter is 'und' with score 1, and so is any text without a model,
-    with score 0. Rows are judged one by one; only ``text`` is read.
+    with score 0. Rows are judged one by one; only ``text`` is read. Columns
+    named lang_pred or score are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns if keep is None else keep
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

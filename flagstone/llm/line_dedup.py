@@ -194,9 +194,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, ident: str = "doc_id", te
     """``docs`` with the struct column ``line_dedup``: n_lines, n_dropped and kept_text.
 
     Every row of ``docs`` comes back once, repeated rows included; kept_text is '' where all lines go.
+    A column of ``docs`` named line_dedup is replaced, the others stay.
     """
     maps = bitmaps.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.struct("n_lines", "n_dropped", "keep_bitmap").alias("__map"))
-    both = identity(docs, ident, text).join(maps, ["__doc", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns], "__map")
+    both = identity(docs, ident, text).join(maps, ["__doc", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns if c != "line_dedup"], "__map")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,5 +212,5 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, ident: str = "doc_id", te
             done = pa.StructArray.from_arrays([infos.field(0), infos.field(1), pa.array(kept, pa.string())], names=["n_lines", "n_dropped", "kept_text"])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], done], names=[*batch.schema.names[:-1], "line_dedup"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "line_dedup")
     return in_arrow(both, cut, f"{fields}, line_dedup struct<n_lines: bigint, n_dropped: bigint, kept_text: string>")

@@ -20,17 +20,26 @@ MISSING = "(none)"
 SWEEPS_PER_PLAN = 4
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic from the make of a text: none, code, figures, notes, essay or book."""
-    words = F.regexp_count(text, F.lit(WORD))
-    marks = F.length(text) - F.length(F.translate(text, "{}[]()<>=;#$%&*|_/\\", ""))
-    digits = F.length(text) - F.length(F.translate(text, "0123456789", ""))
+def measures(text: Column) -> Column:
+    """Struct of a text's words, characters, marks of code and digits; all 0 for null."""
+    text = F.coalesce(text, F.lit(""))
+    without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.struct(
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"),
+        F.length(text).alias("chars"),
+        without("{}[]()<>=;#$%&*|_/\\").alias("marks"),
+        without("0123456789").alias("digits"),
+    )
+
+
+def topic_of(m: Column) -> Column:
+    """A coarse topic from the make of a text (its measures): none, code, figures, notes, essay or book."""
     return (
-        F.when(F.coalesce(words, F.lit(0)) == 0, "none")
-        .when(20 * marks > F.length(text), "code")
-        .when(20 * digits > F.length(text), "figures")
-        .when(words < 200, "notes")
-        .when(words < 1000, "essay")
+        F.when(m["words"] == 0, "none")
+        .when(20 * m["marks"] > m["chars"], "code")
+        .when(20 * m["digits"] > m["chars"], "figures")
+        .when(m["words"] < 200, "notes")
+        .when(m["words"] < 1000, "essay")
         .otherwise("book")
     )
 
@@ -92,35 +101,33 @@ def keep_rates(cells: DataFrame, kept_share: float, rounds: int = 6) -> DataFram
     return now.withColumn("rate", rate).drop("scale", "full")
 
 
-def mix(
-    docs: DataFrame,
+def measured(docs: DataFrame, keep: list[str], text: str = "text", topic: Column | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the struct ``__cell``: source, lang, topic and n_tokens (words).
+
+    Nulls of a dimension count as the value '(none)'; a null or empty text has no tokens.
+    """
+    marked = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col(d).alias(f"__{d}") for d in ("source", "lang")], measures(F.col(text)).alias("__m"), *([] if topic is None else [topic.alias("__topic")]))
+    about = topic_of(F.col("__m")) if topic is None else F.col("__topic")
+    part = lambda c, d: F.coalesce(c, F.lit(MISSING)).alias(d)
+    cell = F.struct(part(F.col("__source"), "source"), part(F.col("__lang"), "lang"), part(about, "topic"), F.col("__m.words").alias("n_tokens"))
+    return marked.select(*[F.col(f"`{c}`") for c in keep], cell.alias("__cell"))
+
+
+def mix_measured(
+    rows: DataFrame,
     targets: dict[str, dict[str, float] | None] | None = None,
     flatten: float = 0.5,
     kept_share: float = 0.7,
     sweeps: int = 8,
     seed: int = 7,
     ident: str = "doc_id",
-    text: str = "text",
-    topic: Column | None = None,
 ) -> DataFrame:
-    """``docs`` with the struct column ``mix``: topic, n_tokens (words), rate, weight (1 / rate), sampled.
-
-    Marginals of source, lang and topic: ``targets`` per dimension, or the shares raised to
-    ``flatten`` (1: as they are, 0: all alike). Nulls of a dimension count as the value '(none)'.
-    A null or empty text has no tokens; cells without tokens keep all their documents. Repeated
-    rows and rows with the same id share their fate. All rows come back; ``sampled`` tells which
-    stay. Other columns are untouched, whatever their names.
-    """
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    about = topic_of(F.col(text)) if topic is None else topic
-    cell = F.struct(*[F.coalesce(F.col(d), F.lit(MISSING)).alias(d) for d in ("source", "lang")], F.coalesce(about, F.lit(MISSING)).alias("topic"), words.alias("n_tokens"))
-    marked = docs.withColumn("__cell", cell)
-    counted = marked.select("__cell.*").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
+    """The rows of :func:`measured` with the struct ``mix`` in place of ``__cell``; see :func:`mix`."""
+    counted = rows.select("__cell.*").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     cells = written(keep_rates(rake(written(counted, "counts"), targets or {}, flatten, sweeps), kept_share), "rates")
-    rates = cells.select(F.struct(*DIMENSIONS).alias("__key"), F.col("rate").alias("__rate"))
-    key = F.struct(*[F.col(f"__cell.{d}").alias(d) for d in DIMENSIONS])
     # one row per cell; Spark broadcasts them when it measures them small
-    both = marked.withColumn("__key", key).join(rates, "__key")
+    rates = cells.select(F.struct(*DIMENSIONS).alias("__key"), F.col("rate").alias("__rate"))
+    both = rows.withColumn("__key", F.struct(*[F.col(f"__cell.{d}").alias(d) for d in DIMENSIONS])).join(rates, "__key")
     out = F.struct(
         F.col("__cell.topic").alias("topic"),
         F.col("__cell.n_tokens").alias("n_tokens"),
@@ -128,4 +135,18 @@ def mix(
         F.when(F.col("__rate") > 0, 1 / F.col("__rate")).alias("weight"),
         (chance(F.col(ident), seed) < F.col("__rate")).alias("sampled"),
     )
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns], out.alias("mix"))
+    return both.select(*[F.col(f"`{c}`") for c in rows.columns if c not in ("__cell", "mix")], out.alias("mix"))
+
+
+def mix(docs: DataFrame, text: str = "text", topic: Column | None = None, **settings) -> DataFrame:
+    """``docs`` with the struct column ``mix``: topic, n_tokens (words), rate, weight (1 / rate), sampled.
+
+    Marginals of source, lang and topic: ``targets`` per dimension, or the shares raised to
+    ``flatten`` (1: as they are, 0: all alike). Cells without tokens keep all their documents.
+    Repeated rows and rows with the same id share their fate. All rows come back; ``sampled`` tells
+    which stay. Other columns are untouched, whatever their names; one named
+    ``mix`` is replaced.
+    ``settings`` are those of :func:`mix_measured`. The texts are scanned twice, for the counts and
+    for the rows; a caller who needs no texts can write the rows of :func:`measured` instead.
+    """
+    return mix_measured(measured(docs, docs.columns, text, topic), **settings)

@@ -3,8 +3,8 @@
 Texts with the same set of shingles are one class from the start, so a group of copies is one row
 in all that follows. In each bucket of a band the members are first compared with the smallest one
 alone; the links found join most of a bucket to one component. Only members that are still in
-different components are compared further, and buckets with many such pairs are split by a second
-band (and a third ...) first, so that no step makes all pairs of a large bucket.
+different components are compared further: by a join where such pairs are few, else by blocks of
+members in one task each, which gives out the links that join components and no pairs.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flagstone.llm.common import in_arrow, written
+from flagstone.llm.common import in_arrow, ship, written
 from flagstone.llm.components import components
 from flagstone.llm.shingles import GOLDEN, mix, shingles, word_hashes
 
@@ -27,12 +28,13 @@ POSITIONS = 257
 #: Bands of ROWS positions each. At similarity 0.85 a pair misses all bands once in 4e8 times.
 BANDS, ROWS = 42, 6
 #: A pair isn't compared in full if the share of equal positions lies this far below the least
-#: similarity: over six standard deviations.
-MARGIN = 0.15
-#: A bucket whose open pairs are more than this many times its members is split by another band.
-OPEN_PER_MEMBER = 32
-#: Splits after which the rest is compared whatever it is; a pair at 0.85 shares 16 bands on average.
-SPLITS = 3
+#: similarity: over five standard deviations.
+MARGIN = 0.12
+#: A bucket whose open pairs are no more than this many times its members is joined with itself.
+OPEN_PER_MEMBER = 2
+#: Members that are compared with each other in one task, and members from which on a bucket is
+#: split by a second band, a third ... first; a pair at similarity 0.85 shares 16 bands on average.
+BLOCK, SPLIT_FROM, SPLITS = 512, 8192, 3
 
 _INVERSE = np.array([0, *(pow(a, -1, POSITIONS) for a in range(1, POSITIONS))], np.int64)
 
@@ -97,9 +99,7 @@ def linked(percent: int):
                 left, right = left.as_py(), right.as_py()
                 if (a, left) != held:
                     held, held_set = (a, left), np.unique(shingles(word_hashes(left)))
-                other = np.unique(shingles(word_hashes(right)))
-                both = len(np.intersect1d(held_set, other, assume_unique=True))
-                good.append(100 * both >= percent * (len(held_set) + len(other) - both) and both > 0)
+                good.append(similar(held_set, np.unique(shingles(word_hashes(right))), percent))
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(good) for i in (0, 1)], names=["u", "v"])
 
@@ -110,6 +110,68 @@ def similar_size(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def linked_in_blocks(percent: int):
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The links that join components of one pair of blocks of a bucket (all pairs of one block, if both are the same).
+
+        Pairs are taken by falling likeness of their signatures and compared in full only while
+        their documents are still apart, so what comes out is a forest. A pair that shares several
+        bands is left to the first of them.
+        """
+        docs, names = pdf["doc"].to_numpy(), pdf["root"].to_numpy()
+        own, band = pdf["block"].to_numpy(), int(pdf["band"].iloc[0])
+        marks = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, POSITIONS)
+        rows: list[np.ndarray] = []
+        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        for at in range(0, len(docs), 32):
+            part = slice(at, at + 32)
+            equal = (marks[part, None] == marks[None]).sum(2)
+            good = (equal >= (percent / 100 - MARGIN) * POSITIONS) & (names[part, None] != names[None])
+            good &= np.arange(len(docs))[None] > np.arange(len(docs))[part, None]
+            if across:
+                good &= own[part, None] != own[None]
+            x, y = np.nonzero(good)
+            rows.append(np.column_stack([-equal[x, y], x + at, y]))
+        pairs = np.concatenate(rows)
+        if band >= 0 and len(pairs):
+            bands = marks[:, : BANDS * ROWS].reshape(len(docs), BANDS, ROWS)
+            pairs = np.concatenate([p[(bands[p[:, 1]] == bands[p[:, 2]]).all(2).argmax(1) == band] for p in np.array_split(pairs, 1 + len(pairs) // 20_000)])
+        pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+        top: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
+        texts = pdf["text"].tolist()
+
+        def find(x: int) -> int:
+            while (up := top.get(x, x)) != x:
+                top[x] = x = top.get(up, up)
+            return x
+
+        def full(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = np.unique(shingles(word_hashes(texts[k])))
+            return sets[k]
+
+        out = []
+        for x, y in pairs[:, 1:].tolist():
+            a, b = find(int(names[x])), find(int(names[y]))
+            if a != b and similar(full(x), full(y), percent):
+                top[a] = b
+                out.append((docs[x], docs[y]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return compare
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets that aren't empty."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared > 0 and 100 * shared >= percent * (len(both) - shared)
+
+
 def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links, as written (u, v)."""
     side = lambda df, k, c: df.select(F.col("doc").alias(k), F.col(c).alias(f"{c}_{k}"))
@@ -119,37 +181,49 @@ def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int)
     return written(in_arrow(full.sortWithinPartitions("a"), linked(percent), "u long, v long"), "links")
 
 
-def open_pairs(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that share a bucket but no component; ``members`` are (bucket, doc, n) of buckets of two or more.
+def open_links(members: DataFrame, roots: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members that share a bucket but no component; ``members`` are (bucket, band, doc, n).
 
-    Per bucket, the members outside its largest component meet all members of other components.
+    In a bucket with few open pairs, the members outside its largest component are joined with the
+    others. In a larger one, blocks of members are compared in one task each.
     """
     labelled = members.join(roots.select(F.col("node").alias("doc"), F.col("root")), "doc", "left")
-    labelled = written(labelled.select("bucket", "doc", "n", F.coalesce("root", "doc").alias("root")), "members")
-    found = None
-    level = labelled
+    labelled = written(labelled.select("bucket", "band", "doc", "n", F.coalesce("root", "doc").alias("root")), "members")
+    narrow, blocks, level = None, None, labelled
     for split in range(SPLITS + 1):
         parts = level.groupBy("bucket", "root").agg(F.count("*").alias("c"))
         stats = parts.groupBy("bucket").agg(
             F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("parts")
         )
-        stats = stats.filter("parts > 1").withColumn("wide", F.col("k") * F.col("k") - F.col("sq") > 2 * OPEN_PER_MEMBER * F.col("k"))
-        if split == SPLITS:
-            stats = stats.withColumn("wide", F.lit(False))
-        stats = written(stats.select("bucket", "main", "wide"), "buckets")
-        ready = level.join(stats.filter("not wide"), "bucket")
+        many = (F.col("k") >= SPLIT_FROM) & F.lit(split < SPLITS)
+        few = F.col("k") * F.col("k") - F.col("sq") <= 2 * OPEN_PER_MEMBER * F.col("k")
+        stats = written(stats.filter("parts > 1").select("bucket", "main", "k", F.when(few, 0).when(many, 2).otherwise(1).alias("kind")), "buckets")
+
+        ready = level.join(stats.filter("kind = 0"), "bucket")
         other = ready.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "root")])
         pairs = ready.filter("root <> main").join(other, "bucket")
         pairs = pairs.filter("root <> root_b and (root_b = main or doc < doc_b)").filter(similar_size(F.col("n"), F.col("n_b"), percent))
         pairs = pairs.select(F.least("doc", "doc_b").alias("a"), F.greatest("doc", "doc_b").alias("b"))
-        found = pairs if found is None else found.union(pairs)
-        wide = stats.filter("wide").select("bucket")
+        narrow = pairs if narrow is None else narrow.union(pairs)
+
+        count = (F.col("k") / F.lit(BLOCK)).cast("int") + 1
+        dealt = level.join(stats.filter("kind = 1").select("bucket", count.alias("count")), "bucket")
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("count")).cast("int"))
+        dealt = dealt.select("bucket", "band", "doc", "root", "block", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
+        dealt = dealt.select("bucket", "band", "doc", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        blocks = dealt if blocks is None else blocks.union(dealt)
+
+        wide = stats.filter("kind = 2").select("bucket")
         if split == SPLITS or wide.isEmpty():
             break
         second = labelled.select(F.col("bucket").alias("second"), F.col("doc"))
         level = level.join(wide, "bucket", "left_semi").join(second, "doc").filter("bucket <> second")
-        level = written(level.select(F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"), "doc", "n", "root").distinct(), "members")
-    return found.distinct()
+        key = F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket")
+        level = written(level.select(key, F.lit(-1).alias("band"), "doc", "n", "root").distinct(), "members")
+    links = verified(narrow.distinct(), sigs, texts, percent)
+    ship(members.sparkSession)
+    full = blocks.join(sigs, "doc").join(texts, "doc")
+    return links.union(written(full.groupBy("bucket", "i", "j").applyInPandas(linked_in_blocks(percent), "u long, v long"), "links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,11 +243,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, ident: str = "doc_id", t
     reps = full.join(classes.select(F.col("rep").alias("doc"), "set1", "set2"), ["doc", "set1", "set2"], "left_semi")
     reps = reps.dropDuplicates(["doc", "set1", "set2"]).select("doc", F.col("n_shingles").alias("n"), "sig")
 
-    band = lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * ROWS + 1, F.lit(ROWS)))
-    spread = reps.select("doc", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
+    band = lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(F.col("sig"), i * ROWS + 1, F.lit(ROWS))).alias("bucket"))
+    spread = reps.select("doc", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("x")).select("doc", "n", "x.*")
     shared = spread.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("least"), F.max("doc").alias("most"))
     shared = shared.filter("least.doc <> most").select("bucket", "least")
-    members = written(spread.join(shared, "bucket").select("bucket", "doc", "n", F.col("least.doc").alias("a"), F.col("least.n").alias("n_a")), "members")
+    members = written(spread.join(shared, "bucket").select("bucket", "band", "doc", "n", F.col("least.doc").alias("a"), F.col("least.n").alias("n_a")), "members")
 
     wanted = members.select("doc").distinct()
     sigs = written(reps.join(wanted, "doc", "left_semi").select("doc", "sig"), "signatures")
@@ -182,8 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, ident: str = "doc_id", t
 
     star = members.filter("a <> doc").filter(similar_size(F.col("n"), F.col("n_a"), percent)).select("a", F.col("doc").alias("b")).distinct()
     links = verified(star, sigs, texts, percent)
-    rest = open_pairs(members.select("bucket", "doc", "n"), components(links), percent)
-    more = verified(rest.join(star, ["a", "b"], "left_anti"), sigs, texts, percent)
+    more = open_links(members.select("bucket", "band", "doc", "n"), components(links), sigs, texts, percent)
     roots = components(links.union(more))
 
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("set1", "set2", F.coalesce("root", "rep").alias("class"))

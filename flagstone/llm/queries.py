@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flagstone.llm import ann, bpe, langid, line_dedup, mixing, near_dup, passages, quality, sharding, url_filter
-from flagstone.llm.common import read
+from flagstone.llm.common import read, written
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -42,7 +42,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    rows = mixing.measured(read(spark, sf_dir, "documents"), ["doc_id", "source", "lang"])
+    mixed = mixing.mix_measured(written(rows, "measures"))
     fields = ["topic", "n_tokens", F.round("mix.rate", 6).alias("rate"), "sampled"]
     return mixed.select("doc_id", "source", "lang", *[F.col(f"mix.{c}").alias(c) if isinstance(c, str) else c for c in fields])
 

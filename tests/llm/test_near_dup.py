@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from flagstone.llm import near_dup
 from flagstone.llm.components import components
@@ -64,9 +65,12 @@ def test_equals_all_pairs(spark):
     assert sorted(map(tuple, near_dup.near_duplicates(docs).collect())) == plain(rows, 85)
 
 
-def test_large_buckets_are_split(spark, monkeypatch):
-    """With hardly any pair allowed at first, all is found by splitting."""
-    monkeypatch.setattr(near_dup, "OPEN_PER_MEMBER", 0.1)
+@pytest.mark.parametrize(("block", "split_from"), [(512, 8192), (3, 8192), (5, 4)])
+def test_large_buckets_go_by_blocks_or_are_split(spark, monkeypatch, block, split_from):
+    """With no pairs allowed in a join, all is found by blocks."""
+    monkeypatch.setattr(near_dup, "OPEN_PER_MEMBER", 0)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "SPLIT_FROM", split_from)
     rows = fixture(6)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, near_dup.near_duplicates(docs, percent=80).collect())) == plain(rows, 80)
