@@ -5,7 +5,8 @@ group and shard are alike, so the state is one row per (group, shard) with a cou
 a group is. Documents without a link have no say in it and fill what room is left. In each round,
 a group's members ask for the shard with room that holds most of the group; a shard takes requests
 in order of the part of the group it has, up to its room. Loads thus never pass the quotas, which
-differ by one at most.
+differ by one at most. The start has whole groups side by side, so that only those at the borders of
+shards are split, also where linked documents fill the quotas and nothing can move.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def propagate(state: DataFrame, room: list[int], shards: int, blocks: int) -> Da
     return after.groupBy("g1", "g2", "shard").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-def assign(rows: DataFrame, shards: int, rounds: int = 12) -> DataFrame:
+def assign(rows: DataFrame, shards: int) -> DataFrame:
     """``rows`` (id long, salt long, g1 long, g2 long and others) with ``shard`` int and ``slot`` long.
 
     (id, salt) orders the rows; rows alike in both are taken in any order, which changes nothing.
@@ -74,21 +75,14 @@ def assign(rows: DataFrame, shards: int, rounds: int = 12) -> DataFrame:
     sizes = rows.filter("g1 is not null").groupBy("g1", "g2").agg(F.count("*").alias("members")).filter("members > 1")
     linked = written(rows.join(sizes, ["g1", "g2"], "left_semi"), "linked")
 
-    # the start: each linked document alone in a shard that its hash says
-    start = linked.groupBy("g1", "g2", F.pmod("turn", F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
-    state = written(start, "state")
+    # the start: whole groups, one after the other; at most one group is split at each border of shards
+    state = written(packed(sizes, linked.count(), shards, blocks), "state")
     held = loads(state, shards)
-    over = [max(0, h - q) for h, q in zip(held, quota, strict=True)]
-    if any(over):  # by chance a shard got too many: level every group over the shards
-        state = written(level(linked, shards, blocks), "state")
-        held = loads(state, shards)
     cut = cut_pairs(state)
-    for _ in range(rounds):
-        if not cut:
-            break
+    while cut:
         state = written(propagate(state, [q - h for q, h in zip(quota, held, strict=True)], shards, blocks), "state")
         held, before, cut = loads(state, shards), cut, cut_pairs(state)
-        if cut == before:
+        if cut >= before:
             break
 
     # members of a group take its shards in turn: the first n of them the first shard, and so on
@@ -110,10 +104,16 @@ def assign(rows: DataFrame, shards: int, rounds: int = 12) -> DataFrame:
     return running_total(out, ["shard"], ["turn", "id", "salt"], F.lit(1), "slot", blocks).drop("turn")
 
 
-def level(linked: DataFrame, shards: int, blocks: int) -> DataFrame:
-    """The linked documents dealt out evenly, in the order of their hashes."""
-    dealt = running_total(linked.withColumn("all", F.lit(0)), ["all"], ["turn", "id", "salt"], F.lit(1), "number", 8 * blocks)
-    return dealt.groupBy("g1", "g2", F.pmod("number", F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
+def packed(sizes: DataFrame, total: int, shards: int, blocks: int) -> DataFrame:
+    """Groups (g1, g2, members; ``total`` members) laid out in the order of their hashes and cut into even shards."""
+    placed = sizes.withColumn("all", F.lit(0)).withColumn("place", uniform("g1", "g2"))
+    placed = running_total(placed, ["all"], ["place", "g1", "g2"], F.col("members"), "start", 8 * blocks)
+    parts, low = [], 0
+    for s, size in enumerate(quotas(total, shards)):
+        inside = F.least(F.col("start") + F.col("members"), F.lit(low + size)) - F.greatest(F.col("start"), F.lit(low))
+        parts.append(F.struct(F.lit(s).alias("shard"), inside.cast("long").alias("n")))
+        low += size
+    return placed.select("g1", "g2", F.explode(F.array(*parts)).alias("p")).select("g1", "g2", "p.shard", "p.n").filter("n > 0")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -54,3 +54,11 @@ def test_nulls_repeated_rows_few_rows_and_none(spark):
     check(rows[:3], placed(spark, rows[:3]), 8)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sharding.shard_documents(docs.limit(0)).collect() == []
+
+
+def test_table_of_pairs_only_is_hardly_cut(spark):
+    rows = [(i, f"text {i // 2}") for i in range(800)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect()
+    shard = {r.doc_id: r.shard for r in got}
+    assert sorted(shard) == list(range(800)) and all(list(shard.values()).count(s) == 100 for s in range(8))
+    assert sum(shard[i] != shard[i + 1] for i in range(0, 800, 2)) <= 7
