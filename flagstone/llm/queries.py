@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import ann, bpe, langid, line_dedup, mixing, near_dup, passages, quality, sharding, url_filter
+from flagstone.llm import ann, bpe, langid, line_dedup, mixing, near_dup, passages, quality, sharding, url_filter, word_bpe
 from flagstone.llm.common import read, written
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 # The url rules as (verdict, host, path).
 URL_RULES = [
@@ -79,6 +80,10 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+def op12_tree_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(read(spark, sf_dir, "documents"), WORD_BPE)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,6 +97,7 @@ QUERIES = {
         op8_super_min_hash,
         op9_line_first_quality,
         op10_compact_windows,
+        op12_tree_concatenation,
     )
 }
 
