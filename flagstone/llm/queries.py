@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import ann, bpe, langid, line_dedup, mixing, near_dup, passages, quality, sharding, url_filter, word_bpe
+from flagstone.llm import ann, bpe, hard_negatives, langid, line_dedup, mixing, near_dup, passages, quality, sharding, url_filter, word_bpe
 from flagstone.llm.common import read, written
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -80,6 +80,12 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+def op11_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op12_tree_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(read(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -97,6 +103,7 @@ QUERIES = {
         op8_super_min_hash,
         op9_line_first_quality,
         op10_compact_windows,
+        op11_four_russians,
         op12_tree_concatenation,
     )
 }
@@ -127,6 +134,25 @@ SQL = {
                coalesce(arg_max(verdict, length(h || p)), 'allow') AS verdict
         FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
         GROUP BY page_id, host, path""",
+    "op11_four_russians": r"""
+        WITH vectors AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, b.label = a.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+            FROM vectors a JOIN vectors b ON len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, row_number() OVER best AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+        QUALIFY row_number() OVER best <= 3
+        WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)""",
 }
 
 
