@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagstone.llm import ann, bpe, hard_negatives, langid, line_dedup, mixing, near_dup, passages, quality, sharding, url_filter, word_bpe
+from flagstone.llm import ann, bpe, hard_negatives, langid, line_dedup, mixing, near_dup, passages, prefix_trie, quality, sharding, url_filter, word_bpe
 from flagstone.llm.common import read, written
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -90,6 +90,10 @@ def op12_tree_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"), family=5, longest=8)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,6 +109,7 @@ QUERIES = {
         op10_compact_windows,
         op11_four_russians,
         op12_tree_concatenation,
+        op13_prefix_trie,
     )
 }
 
@@ -151,8 +156,49 @@ SQL = {
         SELECT anchor_id, positive_id, row_number() OVER best AS rank, vec_id AS negative_id, positive_score, score AS negative_score
         FROM positives JOIN scored USING (anchor_id)
         WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
-        QUALIFY row_number() OVER best <= 3
-        WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)""",
+        WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER best <= 3""",
+    "op13_prefix_trie": r"""
+        WITH RECURSIVE ids AS (
+            SELECT conv_id AS c, count(*) AS n, conv_id::VARCHAR AS name FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), crc(c, name, read, bits, v) AS (  -- CRC-32, a byte or a bit a step
+            SELECT c, name, 0, 8, 4294967295 FROM ids
+            UNION ALL
+            SELECT c, name, CASE WHEN bits = 8 THEN read + 1 ELSE read END, CASE WHEN bits = 8 THEN 0 ELSE bits + 1 END,
+                   CASE WHEN bits = 8 THEN xor(v, ascii(name[read + 1])) WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+            FROM crc WHERE bits < 8 OR read < length(name)
+        ), turns AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS place, key, strlen(text) AS bytes
+            FROM (SELECT conv_id, turn, coalesce(text, '') AS text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key
+                  FROM conversations WHERE conv_id IS NOT NULL)
+        ), convs AS (
+            SELECT ids.c, h, least(h, coalesce(base.n, 0)) AS taken
+            FROM ids JOIN (SELECT c, xor(v, 4294967295) % 9 AS h FROM crc WHERE bits = 8 AND read = length(name)) USING (c)
+            LEFT JOIN ids base ON base.c = ids.c - ids.c % 5
+        ), rebuilt AS (
+            SELECT c, place - h + taken AS d, key, bytes FROM convs JOIN turns USING (c) WHERE place > h
+            UNION ALL SELECT convs.c, place, key, bytes FROM convs JOIN turns ON turns.c = convs.c - convs.c % 5 AND place <= taken
+            UNION ALL SELECT c, 0, '', 0 FROM convs
+        ), paths AS (
+            SELECT c, d, bytes, string_agg(key, ',') OVER (PARTITION BY c ORDER BY d) AS p, max(d) OVER (PARTITION BY c) AS last FROM rebuilt
+        ), linked AS (
+            SELECT *, lag(p) OVER (PARTITION BY c ORDER BY d) AS q FROM paths
+        ), nodes AS (
+            SELECT p, any_value(q) AS q, min(c) AS c, any_value(d) AS d, count(*) AS n_convs, any_value(bytes) AS bytes,
+                   coalesce(string_agg(c, ',' ORDER BY c) FILTER (d = last), '') AS ends FROM linked GROUP BY p
+        ), kids AS (
+            SELECT q AS p, count(*) AS n_children FROM nodes WHERE q IS NOT NULL GROUP BY q
+        ), below AS (  -- a node counts once, in the row of its smallest member, for all nodes above that row
+            SELECT linked.p, sum(CASE WHEN nodes.p IS NULL THEN 0 ELSE (n_convs - 1) * nodes.bytes END) OVER up AS saved,
+                   sum(CASE WHEN nodes.p IS NOT NULL AND n_children IS NULL THEN 1 ELSE 0 END) OVER up AS leaves
+            FROM linked LEFT JOIN nodes ON nodes.p = linked.p AND nodes.c = linked.c LEFT JOIN kids ON kids.p = nodes.p
+            WINDOW up AS (PARTITION BY linked.c ORDER BY linked.d DESC)
+        ), sums AS (
+            SELECT p, sum(saved)::BIGINT AS saved_tokens, sum(leaves)::BIGINT AS n_leaves FROM below GROUP BY p
+        )
+        SELECT nodes.c AS conv_id, nodes.d AS depth, above.c AS parent_conv_id, nodes.n_convs, coalesce(n_children, 0) AS n_children,
+               n_leaves, saved_tokens, sha256(nodes.ends) AS ends_sha256
+        FROM nodes JOIN sums USING (p) LEFT JOIN kids USING (p) LEFT JOIN nodes above ON above.p = nodes.q""",
 }
 
 
