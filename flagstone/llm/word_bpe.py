@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,9 @@ SPREAD = 65_536
 #: Neighbouring rows that one round puts together. Three rounds take the longest string that Spark has.
 FAN, ROUNDS = 32, 3
 #: Pieces that a worker keeps before it starts afresh; this only saves time.
-MAX_PIECES = 200_000
+MAX_PIECES = 400_000
+#: Above every rank.
+NO_MERGE = 1 << 64
 #: Largest tokenizer file that is sent to the executors.
 MAX_FILE_BYTES = 64 * 1024 * 1024
 
@@ -63,6 +66,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(0x100 + hidden.index(b)) for b in range(256)]
 
 
+def packed(ids: list[int]) -> bytes:
+    """Tokens as little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordBpe:
     """A tokenizer file: its special strings, its pieces and its merges."""
 
@@ -91,13 +99,13 @@ class WordBpe:
         self.letter = byte_letters()
         self.inner = [ids[c] for c in self.letter]
         self.last = [ids[c + end] for c in self.letter]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}  # pair to rank * 2**32 + the token that it makes
         self.parts: dict[int, tuple[int, int]] = {}
         for rank, (a, b) in enumerate(model["merges"]):
             pair, made = (ids[a], ids[b]), ids[a + b]
             if made in self.parts or pair in self.merges or any(p not in self.parts and len(self.token[p].removesuffix(end)) > 1 for p in pair):
                 raise ValueError(f"merge {rank} makes or uses a token out of order")
-            self.merges[pair], self.parts[made] = (rank, made), pair
+            self.merges[pair], self.parts[made] = rank << 32 | made, pair
         self.known: dict[str, bytes] = {}
 
     def symbols(self, piece: bytes, ends: bool = True) -> list[int]:
@@ -123,14 +131,16 @@ class WordBpe:
         """All merges in order of rank, ties from the left."""
         if len(ids) > SCAN:
             return self._merged_by_heap(ids)
-        ids, merges, none = list(ids), self.merges, (len(self.merges), -1)
-        while len(ids) > 1:
-            found = [merges.get(p, none) for p in zip(ids, ids[1:], strict=False)]
-            rank, made = min(found)
-            if made < 0:
-                break
-            at = found.index((rank, made))
-            ids[at : at + 2] = [made]
+        ids, get, none = list(ids), self.merges.get, NO_MERGE
+        ranks = [get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            ids[at : at + 2] = [best & 0xFFFFFFFF]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((ids[at - 1], ids[at]), none)
+            if at < len(ranks):
+                ranks[at] = get((ids[at], ids[at + 1]), none)
         return ids
 
     def _merged_by_heap(self, ids: list[int]) -> list[int]:
@@ -138,18 +148,18 @@ class WordBpe:
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
         def offer(i: int) -> None:
-            if i >= 0 and after[i] < n and (m := self.merges.get((ids[i], ids[after[i]]))):
-                heapq.heappush(heap, (m[0], i, ids[i], ids[after[i]], m[1]))
+            if i >= 0 and after[i] < n and (m := self.merges.get((ids[i], ids[after[i]]))) is not None:
+                heapq.heappush(heap, (m, i, ids[i], ids[after[i]]))
 
-        heap: list[tuple[int, int, int, int, int]] = []
+        heap: list[tuple[int, int, int, int]] = []
         for i in range(n):
             offer(i)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            merge, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue  # merged otherwise by now
-            ids[i], ids[j], after[i] = made, -1, after[j]
+            ids[i], ids[j], after[i] = merge & 0xFFFFFFFF, -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             offer(before[i])
@@ -191,18 +201,22 @@ class WordBpe:
 
     def encode_piece(self, piece: str) -> bytes:
         """Tokens of a piece as 32-bit numbers."""
-        return np.array(self.halved(self.symbols(piece.encode())), "<u4").tobytes()
+        return packed(self.halved(self.symbols(piece.encode())))
 
     def runs(self, text: str) -> Iterator[bytes | str]:
         """Tokens of neighbouring pieces together, and each piece of more than SPREAD characters as it is."""
         known, run = self.known, []
         for k, part in enumerate(self.cut(text)):
             if k % 2:
-                run.append(np.array([self.special[part]], "<u4").tobytes())
+                run.append(packed([self.special[part]]))
+                continue
+            pieces = self.pieces(part)
+            found = list(map(known.get, pieces))
+            if None not in found:
+                run += found
                 continue
-            for piece in self.pieces(part):
-                got = known.get(piece)
-                if got is None:
+            for piece, got in zip(pieces, found, strict=True):
+                if got is None and (got := known.get(piece)) is None:
                     if len(piece) > SPREAD:
                         yield b"".join(run)
                         yield piece
@@ -248,6 +262,12 @@ def id_lists(ids: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
 
 
+def id_rows(lists: pa.ListArray) -> list[np.ndarray | None]:
+    """The numbers of each row; None for a null row."""
+    flat, ends, valid = lists.values.to_numpy(), lists.offsets.to_numpy().tolist(), lists.is_valid().to_pylist()
+    return [flat[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], valid, strict=True)]
+
+
 def encoder(file):
     """Batches (ident, text) to (ident, ids)."""
 
@@ -268,7 +288,7 @@ def decoder(file):
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = loaded(file.value).token.__getitem__
         for batch in batches:
-            texts = [" ".join(map(token, x.values.to_pylist())) if x.is_valid else None for x in batch.column(1)]
+            texts = [None if x is None else " ".join(map(token, x.tolist())) for x in id_rows(batch.column(1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[batch.schema.names[0], "ids", "decoded"])
 
     return decoded
@@ -278,8 +298,9 @@ def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches (ident, ids, decoded) to (ident, n_tokens, ids_sha256, decoded_sha256)."""
     sha = lambda x: hashlib.sha256(x).hexdigest()
     for batch in batches:
-        counts = [len(x.values) for x in batch.column(1)]
-        ids = [sha(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for x in batch.column(1)]
+        rows = id_rows(batch.column(1))
+        counts = [len(x) for x in rows]
+        ids = [sha(x.astype("<u4").tobytes()) for x in rows]
         texts = [sha(x.as_py().encode()) for x in batch.column(2)]
         columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[0], "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -317,7 +338,7 @@ def spread_encoded(rows: DataFrame, file) -> DataFrame:
         for batch in batches:
             ids = []
             for raw, ends, done in zip(*batch.columns[4:], strict=True):
-                made = done.as_py() if done.is_valid else np.array(bpe.halved(bpe.symbols(raw.as_py(), ends.as_py())), "<u4").tobytes()
+                made = done.as_py() if done.is_valid else packed(bpe.halved(bpe.symbols(raw.as_py(), ends.as_py())))
                 ids.append(made)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.binary())], names=[*batch.schema.names[:4], "ids"])
 
@@ -325,7 +346,7 @@ def spread_encoded(rows: DataFrame, file) -> DataFrame:
         table = table.sort_by("node")
         if table.num_rows > 1:
             rows = [np.frombuffer(x, "<u4").tolist() for x in table.column("ids").to_pylist()]
-            whole = np.array(loaded(file.value).tree(rows), "<u4").tobytes()
+            whole = packed(loaded(file.value).tree(rows))
             table = table.slice(0, 1).set_column(table.schema.get_field_index("ids"), "ids", pa.array([whole], pa.binary()))
         return table.set_column(table.schema.get_field_index("node"), "node", pa.array([table.column("node")[0].as_py() // FAN], pa.int32()))
 
