@@ -117,8 +117,8 @@ def flag_all(
 ) -> DataFrame:
     """All predicate rules over one base table in one scan -> (rule_id, case_key, base columns...).
 
-    Each predicate runs once per row. Rules sharing a key share one key expression. The array has one entry per rule, NULL where
-    the rule does not hit; generator and filter run inside the scan's whole-stage-codegen span.
+    Each predicate runs once per row. Rules sharing a key share one key expression. The array holds the
+    rules that hit, so a row is copied once per hit and not at all without one.
     """
     specs = specs if specs is not None else rules_on(base_name)
     if not specs:
@@ -129,13 +129,15 @@ def flag_all(
     ids, key = _built_once(
         ("flag_all", tuple(_spec_key(s) for s in specs), params), lambda: _flag_all_columns(specs, params)
     )
-    hit = base.select(F.explode(ids).alias("rule_id"), "*").where(F.col("rule_id").isNotNull())
+    hit = base.select(F.explode(ids).alias("rule_id"), "*")
     return hit.select("rule_id", key.alias("case_key"), *[F.col(f"`{c}`") for c in base.columns])
 
 
 def _flag_all_columns(specs: list[RuleSpec], params: RuleParams) -> tuple[Column, Column]:
-    """(array with the id of each rule hit, NULL for the others; case key) of ``flag_all``."""
-    ids = F.array(*[F.when(s.predicate(params), F.lit(s.id)) for s in specs])
+    """(array of the ids of the rules hit; case key) of ``flag_all``."""
+    none = F.array().cast("array<string>")
+    # concat is compiled with the scan; filtering an array of all ids would be interpreted
+    ids = F.concat(*[F.when(s.predicate(params), F.array(F.lit(s.id))).otherwise(none) for s in specs])
     return ids, case_key(specs[0].key_cols)
 
 

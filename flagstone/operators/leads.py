@@ -15,8 +15,8 @@ Scale notes. K3/K5 are plain aggregations (partial aggregation before the shuffl
 lead costs one row per map task). K2 needs the events of a lead in order; it is one window
 over ``lead_id`` evaluated with a single descending sort and running frames only (O(n) per
 lead). A lead with more events than one task should hold is found by a pre-aggregated count
-and windowed in consecutive time segments, stitched at the edges (``lead_transitions``).
-K4/K7 work on one row per (lead, agent), bounded by the number of agents.
+and windowed in consecutive segments, stitched at the edges (``lead_transitions``). K4 ranks a lead
+with too many agents by range blocks. K7 decides leads by mergeable aggregates, without a window.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from flagstone.functions.keys import blank_trim, case_key, key_part, utc_date
+from flagstone.operators.bands import segment_tree_join
+from flagstone.operators.ranking import ranked_by_ranges
 from flagstone.operators.rules import LEAD_1_KEY, LEAD_2_KEY, MISROUTE_FLAG, REOPEN_MIN_GAP_DAYS
 
 CLOSED = "closed"
@@ -60,15 +62,13 @@ def _transitions_window(history: DataFrame, tie: str | None, part_cols: list[str
 
 
 DEFAULT_MAX_EVENTS_PER_TASK = 5_000_000
-DEFAULT_BUCKET_SECONDS = 60
 
 
-def lead_transitions(
-    history: DataFrame,
-    tie: str | None = "event_id",
-    max_events_per_task: int | None = None,
-    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-) -> DataFrame:
+def _max_rows(spark, name: str, given: int | None) -> int:
+    return int(spark.conf.get(f"flagstone.leads.{name}", str(DEFAULT_MAX_EVENTS_PER_TASK))) if given is None else given
+
+
+def lead_transitions(history: DataFrame, tie: str | None = "event_id", max_events_per_task: int | None = None) -> DataFrame:
     """Each event with ``prev_state`` and the first later non-closed ``next_state`` /
     ``next_state_updatedAt`` (searched strictly after the row, NULLs skipped).
 
@@ -78,13 +78,12 @@ def lead_transitions(
 
     Skew: a lead with more than ``max_events_per_task`` events (spark conf
     ``flagstone.leads.maxEventsPerTask``, default 5,000,000; 0 disables the check) is not
-    windowed as one partition. Its events are cut into consecutive time segments of about that
-    size (from a per-minute histogram, pre-aggregated before any shuffle), each segment is
-    windowed on its own, and the segment edges are stitched from one summary row per segment.
+    windowed as one partition. Its events are numbered in order of (time, tie) by range blocks
+    (``operators.ranking``) and cut at every ``max_events_per_task``-th of them, so no segment is
+    larger, whatever burst of equal times a lead has. Each segment is windowed on its own, and the
+    edges are stitched from one summary row per segment.
     """
-    if max_events_per_task is None:
-        conf = history.sparkSession.conf.get("flagstone.leads.maxEventsPerTask", str(DEFAULT_MAX_EVENTS_PER_TASK))
-        max_events_per_task = int(conf)
+    max_events_per_task = _max_rows(history.sparkSession, "maxEventsPerTask", max_events_per_task)
     if max_events_per_task <= 0:
         return _transitions_window(history, tie, ["lead_id"]).drop("_first")
     heavy_leads = (
@@ -98,32 +97,24 @@ def lead_transitions(
     # events without a lead are one group as well, and often the largest: NULL matches NULL
     is_heavy = F.col("lead_id").eqNullSafe(F.col("_heavy"))
     normal = _transitions_window(history.join(keys, is_heavy, "left_anti"), tie, ["lead_id"]).drop("_first")
-    heavy = _transitions_segmented(history.join(keys, is_heavy, "left_semi"), tie, max_events_per_task, bucket_seconds)
+    heavy = _transitions_segmented(history.join(keys, is_heavy, "left_semi"), tie, max_events_per_task)
     return normal.unionByName(heavy)
 
 
-def _transitions_segmented(heavy: DataFrame, tie: str | None, max_rows: int, bucket_seconds: int) -> DataFrame:
-    """Transitions of heavy leads, windowed per (lead, time segment) and stitched at the edges."""
+def segmented(heavy: DataFrame, tie: str | None, max_rows: int) -> DataFrame:
+    """Events with ``_seg``: consecutive stretches of at most ``max_rows`` events of a lead, in order of time and tie."""
+    numbered = ranked_by_ranges(heavy, ["lead_id"], _order_cols(tie, descending=False), "_place")
+    return numbered.withColumn("_seg", F.floor((F.col("_place") - 1) / max_rows).cast("long")).drop("_place")
+
+
+def _transitions_segmented(heavy: DataFrame, tie: str | None, max_rows: int) -> DataFrame:
+    """Transitions of heavy leads, windowed per (lead, segment) and stitched at the edges."""
     order_key = F.struct(*[F.col(c) for c in ["updatedAt"] + ([tie] if tie else [])])
-    # NULL times sort first: give them the lowest bucket
-    bucket = F.coalesce(
-        F.floor(F.unix_micros(F.col("updatedAt").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)),
-        F.lit(-(2**62)),
-    ).cast("long")
-    rows = heavy.withColumn("_bucket", bucket)
-    hist = rows.groupBy("lead_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(
-        F.sum("_n").over(Window.partitionBy("lead_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
-    )
-    seg_of_bucket = hist.select("lead_id", "_bucket", F.floor(before / F.lit(max_rows)).cast("long").alias("_seg"))
-    segs = seg_of_bucket.select(F.col("lead_id").alias("_l"), F.col("_bucket").alias("_b"), "_seg")
-    segmented = rows.join(segs, F.col("lead_id").eqNullSafe(F.col("_l")) & (F.col("_bucket") == F.col("_b")))
-    segmented = segmented.drop("_bucket", "_l", "_b")
-    local = _transitions_window(segmented, tie, ["lead_id", "_seg"])
+    rows = segmented(heavy, tie, max_rows)
+    local = _transitions_window(rows, tie, ["lead_id", "_seg"])
 
     open_state = _not_closed(F.col("state"))
-    summary = segmented.groupBy("lead_id", "_seg").agg(
+    summary = rows.groupBy("lead_id", "_seg").agg(
         F.max_by("state", order_key).alias("_last_state"),
         F.min_by(F.col("updatedAt"), F.when(open_state & F.col("updatedAt").isNotNull(), order_key)).alias("_open_t"),
         F.min_by(F.col("state"), F.when(open_state, order_key)).alias("_open_state"),
@@ -213,14 +204,27 @@ def lead_first_per_agent(history: DataFrame, tie: str | None = "event_id") -> Da
     )
 
 
-def lead_agent_rank(first_per_agent: DataFrame) -> DataFrame:
-    """``assign_rank`` by (first time, agent) and ``agent_count`` per lead."""
-    w = Window.partitionBy("lead_id").orderBy(F.col("first_assigned_at").asc_nulls_first(), F.col("assignedTo"))
-    return first_per_agent.select(
-        "*",
-        F.row_number().over(w).alias("assign_rank"),
-        F.count(F.lit(1)).over(Window.partitionBy("lead_id")).alias("agent_count"),
-    )
+def lead_agent_rank(first_per_agent: DataFrame, max_agents_per_task: int | None = None) -> DataFrame:
+    """``assign_rank`` by (first time, agent) and ``agent_count`` per lead.
+
+    A lead with more than ``max_agents_per_task`` agents (spark conf
+    ``flagstone.leads.maxAgentsPerTask``, default 5,000,000; 0 disables the check) is ranked by prefix
+    sums over range blocks instead of one window, and its count comes from an aggregation."""
+    limit = _max_rows(first_per_agent.sparkSession, "maxAgentsPerTask", max_agents_per_task)
+    order = [F.col("first_assigned_at").asc_nulls_first(), F.col("assignedTo")]
+    w = Window.partitionBy("lead_id")
+    plain = lambda df: df.select("*", F.row_number().over(w.orderBy(*order)).alias("assign_rank"), F.count(F.lit(1)).over(w).alias("agent_count"))
+    if limit <= 0:
+        return plain(first_per_agent)
+    counts = first_per_agent.groupBy("lead_id").agg(F.count(F.lit(1)).alias("agent_count")).where(F.col("agent_count") > limit)
+    if counts.limit(1).count() == 0:
+        return plain(first_per_agent)
+    heavy = counts.withColumnRenamed("lead_id", "_heavy")
+    is_heavy = F.col("lead_id").eqNullSafe(F.col("_heavy"))
+    light = plain(first_per_agent.join(heavy, is_heavy, "left_anti"))
+    # each heavy lead has more than ``limit`` rows: few rows to join, by size
+    ranked = ranked_by_ranges(first_per_agent.join(heavy, is_heavy, "left_semi"), ["lead_id"], order, "assign_rank")
+    return light.unionByName(ranked.withColumn("assign_rank", F.col("assign_rank").cast("int")).join(heavy, is_heavy).drop("_heavy"))
 
 
 def lead_latest_value(history: DataFrame, tie: str | None = "event_id") -> DataFrame:
@@ -230,47 +234,12 @@ def lead_latest_value(history: DataFrame, tie: str | None = "event_id") -> DataF
     return history.groupBy("lead_id").agg(F.max_by(v, F.when(v.isNotNull(), order_key)).alias("final_order_value"))
 
 
-def lead_ranked_agents(history: DataFrame, tie: str | None = "event_id") -> DataFrame:
-    """``lead_agent_rank(lead_first_per_agent(...))`` with the lead's ``final_order_value``
-    (``lead_latest_value``) on every row, from one scan and one shuffle of events.
-
-    Events are aggregated per (lead, agent) with blank agents kept as groups of their own
-    (partial aggregation before the shuffle, so a hot lead costs one row per agent and map
-    task). Each group carries its first time, first category and its own latest non-NULL value
-    with that value's order key. Windows over the lead's groups then give the lead's latest
-    value (latest over all groups) and the rank and count of its non-blank agents."""
-    v = F.col("final_order_value")
-    order_key = F.struct(*[F.col(c) for c in ["updatedAt"] + ([tie] if tie else [])])
-    value_key = F.when(v.isNotNull(), order_key)
-    per_agent = history.groupBy("lead_id", "assignedTo").agg(
-        F.min("updatedAt").alias("first_assigned_at"),
-        F.min_by("category", order_key).alias("agent_category"),
-        F.max_by(v, value_key).alias("_value"),
-        F.max(value_key).alias("_value_key"),
-    )
-    ok = F.col("assignedTo").isNotNull() & (blank_trim("assignedTo") != "")
-    agents = Window.partitionBy("lead_id", "_ok")
-    ranked = per_agent.withColumn("_ok", ok).select(
-        "lead_id",
-        "assignedTo",
-        "first_assigned_at",
-        "agent_category",
-        "_ok",
-        F.max_by("_value", "_value_key").over(Window.partitionBy("lead_id")).alias("final_order_value"),
-        F.row_number()
-        .over(agents.orderBy(F.col("first_assigned_at").asc_nulls_first(), F.col("assignedTo")))
-        .alias("assign_rank"),
-        F.count(F.lit(1)).over(agents).alias("agent_count"),
-    )
-    return ranked.where(F.col("_ok")).drop("_ok")
-
-
 def lead_expected_category(values: DataFrame, bands: DataFrame, max_broadcast_bands: int = 10000) -> DataFrame:
     """LEFT range join: value in [min_value, max_value), NULL max = open. Overlapping bands give
     one row per band; values in a gap get NULL.
 
     The band table is a small lookup; its row count is checked before it is broadcast. Above
-    the bound the join is an equi-join on value buckets instead (see ``_bucketed_band_join``).
+    the bound the join is an equi-join on the nodes of a segment tree (``operators.bands``).
     """
     cond = (F.col("v.final_order_value") >= F.col("b.min_value")) & (
         F.col("b.max_value").isNull() | (F.col("v.final_order_value") < F.col("b.max_value"))
@@ -279,40 +248,7 @@ def lead_expected_category(values: DataFrame, bands: DataFrame, max_broadcast_ba
     if b.count() <= max_broadcast_bands:
         joined = values.alias("v").join(F.broadcast(b).alias("b"), cond, "left")
         return joined.select("v.*", F.col("b.category").alias("expected_category"))
-    return _bucketed_band_join(values, b)
-
-
-def _bucketed_band_join(values: DataFrame, bands: DataFrame, buckets: int = 4096) -> DataFrame:
-    """Range join for a large band table without a nested loop: both sides get integer buckets
-    of one width, bands are exploded over the buckets they cover (open ends capped at the
-    largest value present), joined on the bucket and filtered by the exact condition."""
-    stats = values.agg(F.min("final_order_value").alias("lo"), F.max("final_order_value").alias("hi")).first()
-    lo, hi = stats["lo"], stats["hi"]
-    if lo is None:
-        return values.withColumn("expected_category", F.lit(None).cast("string"))
-    width = max((hi - lo) / buckets, 1e-9)
-
-    def bucket(c: Column) -> Column:
-        return F.floor((F.least(F.greatest(c, F.lit(lo)), F.lit(hi)) - F.lit(lo)) / F.lit(width)).cast("long")
-
-    b = bands.where(F.col("max_value").isNull() | (F.col("max_value") > F.lit(lo))).where(
-        F.col("min_value") <= F.lit(hi)
-    )
-    b = b.select(
-        "*",
-        F.explode(
-            F.sequence(bucket(F.col("min_value")), bucket(F.coalesce(F.col("max_value"), F.lit(hi))))
-        ).alias("bucket"),
-    )
-    v = values.select("*", bucket(F.col("final_order_value")).alias("bucket"))
-    cond = (
-        (F.col("v.bucket") == F.col("b.bucket"))
-        & (F.col("v.final_order_value") >= F.col("b.min_value"))
-        & (F.col("b.max_value").isNull() | (F.col("v.final_order_value") < F.col("b.max_value")))
-    )
-    return v.alias("v").join(b.alias("b"), cond, "left").select(
-        *[F.col(f"v.{c}") for c in values.columns], F.col("b.category").alias("expected_category")
-    )
+    return segment_tree_join(values, b)
 
 
 def _norm(c: Column) -> Column:
@@ -322,41 +258,57 @@ def _norm(c: Column) -> Column:
 def lead_misrouted_cases(history: DataFrame, bands: DataFrame, tie: str | None = "event_id") -> DataFrame:
     """Leads with more than one agent where the first agent's category equals the budget
     category and no later agent's does; before review exclusion (``rule_id``, ``case_key``).
-    Agents and values meet on the lead, so events without a lead take no part."""
-    history = history.where(F.col("lead_id").isNotNull())
-    # one row per (lead, non-blank agent, band holding the lead's latest value)
-    ranked = lead_expected_category(lead_ranked_agents(history, tie), bands).where(
-        F.col("expected_category").isNotNull()
+    Agents and values meet on the lead, so events without a lead take no part.
+
+    Leads are decided by mergeable aggregates alone: per (lead, agent), then per (lead, category of
+    the agents), then per lead (latest value, number of agents, first agent). The first agent's
+    category is the budget category, so no later agent has it just if that category has one agent.
+    Agents are listed for the leads that are flagged, and for no other; a lead's agents are never in
+    one window, and one with a million of them is aggregated by all tasks."""
+    order_key = F.struct(*[F.col(c) for c in ["updatedAt"] + ([tie] if tie else [])])
+    v = F.col("final_order_value")
+    value_key = F.when(v.isNotNull(), order_key)
+    per_agent = history.where(F.col("lead_id").isNotNull()).groupBy("lead_id", "assignedTo").agg(
+        F.min("updatedAt").alias("first_assigned_at"),
+        F.min_by("category", order_key).alias("agent_category"),
+        F.max_by(v, value_key).alias("_value"),
+        F.max(value_key).alias("_value_key"),
+    )
+    named = F.col("assignedTo").isNotNull() & (blank_trim("assignedTo") != "")
+    agent = F.struct("first_assigned_at", "assignedTo", "agent_category")
+    per_category = per_agent.groupBy("lead_id", F.when(named, _norm(F.coalesce("agent_category", F.lit("")))).alias("_category")).agg(
+        F.count_if(named).alias("_agents"),
+        F.min(F.when(named, agent)).alias("_first"),  # null times first, as in the ranking
+        F.max_by("_value", "_value_key").alias("_value"),
+        F.max("_value_key").alias("_value_key"),
     )
-    first = F.col("assign_rank") == 1
-    later = F.col("assign_rank") > 1
+    per_lead = per_category.groupBy("lead_id").agg(
+        F.max_by("_value", "_value_key").alias("final_order_value"),
+        F.sum("_agents").alias("agent_count"),
+        F.min("_first").alias("_first"),
+    )
+    may = per_lead.where((F.col("agent_count") > 1) & F.col("_first.agent_category").isNotNull())
+    decided = lead_expected_category(may, bands).where(_norm(F.col("_first.agent_category")) == _norm(F.col("expected_category")))
+    alone = per_category.where(F.col("_agents") == 1).select(F.col("lead_id").alias("_lead"), "_category")
+    flagged = decided.join(alone, (F.col("lead_id") == F.col("_lead")) & (_norm(F.col("expected_category")) == F.col("_category")), "left_semi")
+
+    # a lead can be in several bands: its agents are listed once, from the events of flagged leads alone
+    firsts = flagged.select("lead_id", F.col("_first.assignedTo").alias("_first_agent")).distinct()
     label = F.concat(F.col("assignedTo"), F.lit(" ("), F.coalesce(F.col("agent_category"), F.lit("NA")), F.lit(")"))
-    later_items = F.collect_list(F.when(later, F.struct("first_assigned_at", "assignedTo", label.alias("label"))))
-    grouped = (
-        ranked.groupBy("lead_id", "final_order_value", "expected_category", "agent_count")
-        .agg(
-            F.max(F.when(first, F.col("assignedTo"))).alias("first_assignee"),
-            F.max(F.when(first, F.col("agent_category"))).alias("first_assignee_category"),
-            later_items.alias("_later"),
-            F.count_if(
-                later & (_norm(F.coalesce(F.col("agent_category"), F.lit(""))) == _norm(F.col("expected_category")))
-            ).alias("_later_hits"),
-        )
-        .where(
-            (F.col("agent_count") > 1)
-            & (_norm(F.col("first_assignee_category")) == _norm(F.col("expected_category")))
-            & (F.col("_later_hits") == 0)
-        )
+    others = history.where(named).join(firsts, "lead_id").where(F.col("assignedTo") != F.col("_first_agent"))
+    listed = (
+        lead_first_per_agent(others, tie)
+        .groupBy("lead_id")
+        .agg(F.array_sort(F.collect_list(F.struct("first_assigned_at", "assignedTo", label.alias("label")))).alias("_others"))
     )
-    other = F.array_join(F.transform(F.array_sort(F.col("_later")), lambda x: x["label"]), ", ")
-    out = grouped.select(
+    out = flagged.join(listed, "lead_id").select(
         "lead_id",
         "final_order_value",
         "expected_category",
         "agent_count",
-        "first_assignee",
-        "first_assignee_category",
-        F.when(F.size("_later") > 0, other).alias("other_assignees"),
+        F.col("_first.assignedTo").alias("first_assignee"),
+        F.col("_first.agent_category").alias("first_assignee_category"),
+        F.array_join(F.transform("_others", lambda x: x["label"]), ", ").alias("other_assignees"),
         F.lit(MISROUTE_FLAG).alias("Assignment_Flag"),
     )
     return out.select(F.lit("L2").alias("rule_id"), case_key(LEAD_2_KEY).alias("case_key"), "*")

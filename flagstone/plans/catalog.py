@@ -7,6 +7,7 @@ seed reviews of FIXTURES.md §6, and the pinned as-of date 2026-10-03.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from flagstone.operators import flagging, leads
 from flagstone.operators.rules import RULES, RuleParams, find_rule, rules_on
+from flagstone.sources.decision_batch import decisions
 from flagstone.sources.fixtures import fixture
 from flagstone.sources.seeds import seed_reviews
 
@@ -100,18 +102,14 @@ REVIEW_RULE = "3"
 
 
 def review_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(seed reviews of rule 3 with their records, decision batch)."""
-    from flagstone.sources.fixtures import decisions
-
-    reviews = seed_reviews(spark, sf_dir, [REVIEW_RULE], with_record=True, params=PARAMS)
-    return reviews, decisions(spark, sf_dir)
+    """(seed reviews of all 18 rules with their records, decision batch over all of them)."""
+    return seed_reviews(spark, sf_dir, with_record=True, params=PARAMS), decisions(spark, sf_dir, PARAMS)
 
 
 def review_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flagstone.operators.reviews import validate_decisions
-    from flagstone.sources.fixtures import decisions
 
-    v = validate_decisions(decisions(spark, sf_dir))
+    v = validate_decisions(decisions(spark, sf_dir, PARAMS))
     return v.select("seq", "action", "rule_id", "case_key", *AUDIT, "valid", "reason")
 
 
@@ -142,24 +140,58 @@ def review_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged_after_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule 3 flagged against the review dataset produced by the batch."""
-    from flagstone.operators.reviews import apply_decisions
+    """(rule_id, case_key) still flagged, of all rules, against the reviews after the batch."""
+    return flagging.unreviewed(all_flagged_keys(spark, sf_dir), review_apply(spark, sf_dir))
+
+
+def _raced_log(spark: SparkSession, sf_dir: str):
+    """A review log in which two halves of the batch were decided on the same version.
+
+    The earlier half commits first. The later one loses the race and is decided again, so the log
+    ends as if the halves had come one after the other. -> (root, commits of both halves)"""
+    from flagstone.sources import review_log
+    from flagstone.sources.snapshot import default_root
 
     reviews, batch = review_inputs(spark, sf_dir)
-    new_reviews, _ = apply_decisions(reviews, batch)
-    base = fixture(spark, sf_dir, "assisted_orders")
-    return flagging.flag(find_rule(REVIEW_RULE), base, new_reviews, PARAMS)
+    root = default_root(spark, f"review_log-{uuid.uuid4().hex}")
+    review_log.create_log(reviews, root)
+    middle = batch.agg(F.median("seq")).first()[0] or 0
+    early, late = (review_log.stage(root, half) for half in (batch.where(F.col("seq") < middle), batch.where(F.col("seq") >= middle)))
+    commits = [review_log.commit_batch(root, half.decisions, staged=half) for half in (early, late)]
+    return root, commits
+
+
+def review_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews merged on read from a base and the deltas of two racing batches."""
+    from flagstone.sources import review_log
+
+    root, _ = _raced_log(spark, sf_dir)
+    return review_log.read_log(spark, root)
+
+
+def review_commit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of two racing batches: the loser's duplicates are conflicts."""
+    from flagstone.sources import review_log
+
+    root, (early, late) = _raced_log(spark, sf_dir)
+    return review_log.outcomes(spark, root, early).unionByName(review_log.outcomes(spark, root, late))
 
 
 AUDIT = ("auditor", "decision_types", "decided_sales_person", "comments")
 
 
-def reviews_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviewed cases of rule 3, last edited first, without the case key."""
-    from flagstone.operators.reviews import reviews_of
+def _reviews_list(rule_id: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Reviewed cases of a rule, last edited first, without the case key."""
+        from flagstone.operators.reviews import reviews_of
+
+        reviews = seed_reviews(spark, sf_dir, [rule_id], with_record=True, params=PARAMS)
+        return reviews_of(reviews, rule_id).drop("case_key", "rule_id")
 
-    reviews = seed_reviews(spark, sf_dir, [REVIEW_RULE], with_record=True, params=PARAMS)
-    return reviews_of(reviews, REVIEW_RULE).drop("case_key", "rule_id")
+    return run
+
+
+reviews_list = _reviews_list(REVIEW_RULE)
 
 
 def reviewed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +223,12 @@ REVIEW_QUERIES: dict[str, Query] = {
     "review_outcomes": review_outcomes,
     "review_edit": review_edit,
     "flagged_after_review": flagged_after_review,
+    "review_commit": review_commit,
+    "review_commit_outcomes": review_commit_outcomes,
     "reviews_list": reviews_list,
+    "reviews_list_11": _reviews_list("11"),
+    "reviews_list_L1": _reviews_list("L1"),
+    "reviews_list_L2": _reviews_list("L2"),
     "reviewed_counts": reviewed_counts,
     "distinct_decision_types": distinct_decision_types,
     "person_suggestions": person_suggestions,
@@ -351,12 +388,10 @@ def report_render_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns of the review report in their order, with the reviews that hold a value."""
+    """The reviewed cases of rule 3 with their columns in the order of the report."""
     from flagstone.operators.render import order_review_columns
 
-    report = order_review_columns(reviews_list(spark, sf_dir))
-    names = spark.createDataFrame(list(enumerate(report.columns)), "position int, column string")
-    return names.join(F.broadcast(filled(report)), "column")
+    return order_review_columns(reviews_list(spark, sf_dir))
 
 
 def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

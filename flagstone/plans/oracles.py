@@ -7,7 +7,8 @@ expressions) are shared text. Pinned as-of date: 2026-10-03.
 
 from __future__ import annotations
 
-from flagstone.schemas import ASSISTED_ORDERS
+from flagstone.schemas import ASSISTED_ORDERS, UNASSISTED_ORDERS
+from flagstone.sources.decision_batch import duckdb_decisions
 from flagstone.sources.fixtures import duckdb_with
 from flagstone.sources.seeds import AUDIT_FIELDS, AUDIT_META, L2_HELPER_SQL, seed_audit_sql
 
@@ -341,11 +342,34 @@ def seeded_reviews_r3_sql() -> str:
     )
 
 
+_DUCK_TYPES = {"timestamp_ntz": "TIMESTAMP", "date": "DATE", "double": "DOUBLE", "bigint": "BIGINT", "boolean": "BOOLEAN"}
+#: Columns of the views of all rules, and the types of those that are no text.
+REC_COLS = sorted({c.strip() for *_, cols, _ in ORACLE_RULES.values() for c in cols.split(",")} | {c.strip() for c in (L1_COLS + ", " + L2_COLS).split(",")})
+REC_TYPES = {f.name: _DUCK_TYPES[f.dataType.simpleString()] for t in (ASSISTED_ORDERS, UNASSISTED_ORDERS) for f in t.fields if f.dataType.simpleString() in _DUCK_TYPES} | {
+    "closed_at": "TIMESTAMP", "next_state_updatedAt": "TIMESTAMP", "day_gap": "BIGINT", "final_order_value": "DOUBLE", "agent_count": "BIGINT",
+}
+
+
+def flagged_rows_sql() -> str:
+    """Flagged rows of all rules with the columns of their views, NULL where a view lacks one."""
+    parts = [
+        f"SELECT '{rid}' AS rule_id, {key} AS case_key, k AS h, {'s' if base == _A else '0'} AS s, {cols} FROM {base} WHERE {pred}"
+        for rid, (base, pred, key, cols, _) in ORACLE_RULES.items()
+    ]
+    parts.append(f"SELECT 'L1' AS rule_id, {L1_KEY_SQL} AS case_key, event_id AS h, 0 AS s, {L1_COLS} FROM l1_cases")
+    parts.append(f"SELECT 'L2' AS rule_id, {L2_KEY_SQL} AS case_key, {L2_HELPER_SQL} AS h, 0 AS s, {L2_COLS} FROM l2_cases")
+    return "\nUNION ALL BY NAME\n".join(parts)
+
+
 def _validated_sql() -> str:
     order_ids = ", ".join(f"'{r}'" for r in ORDER_RULE_IDS)
     known = ", ".join(f"'{r}'" for r in REGISTRY_ORDER)
     t = {f: f"COALESCE({_ftrim(f)}, '')" for f in AUDIT4}
-    key = f"CASE WHEN action = 'create' THEN (CASE WHEN rule_id IN ({order_ids}) THEN {ORDER_KEY_SQL} ELSE '' END) ELSE case_key END"
+    key = (
+        f"CASE WHEN action <> 'create' THEN case_key WHEN rule_id IN ({order_ids}) THEN {ORDER_KEY_SQL}"
+        f" WHEN rule_id = '11' THEN {UNASSISTED_KEY_SQL} WHEN rule_id = 'L1' THEN COALESCE(lead_id,'') || '|' || COALESCE(substr(closed_at, 1, 10),'')"
+        f" WHEN rule_id = 'L2' THEN {L2_KEY_SQL} ELSE '' END"
+    )
     return f"""
 SELECT d.*, CASE
     WHEN NOT COALESCE(rule_id IN ({known}), FALSE) THEN 'Unknown investigation'
@@ -360,7 +384,7 @@ SELECT d.*, CASE
     WHEN action <> 'create' AND COALESCE(case_key = '', TRUE) THEN 'Missing case.'
   END AS reason
 FROM (
-  SELECT seq, action, rule_id, has_record, {', '.join(R3_COLS)}, user_email, submitted_at,
+  SELECT seq, action, rule_id, has_record, {', '.join(REC_COLS)}, user_email, submitted_at,
     {', '.join(f'{t[f]} AS {f}' for f in AUDIT4)},
     {key} AS case_key
   FROM decisions
@@ -369,17 +393,16 @@ FROM (
 
 
 def review_ctes(edits_only: bool = False) -> str:
-    from flagstone.sources.fixtures import duckdb_decisions_ctes
-
-    dec = duckdb_decisions_ctes()
+    batch = duckdb_decisions()
     if edits_only:
-        dec["decisions"] = f"SELECT * FROM ({dec['decisions']}) x WHERE action = 'edit'"
-    typed = ", ".join(
-        f"TRY_CAST({c} AS {R3_TYPES[c]}) AS {c}" if c in R3_TYPES else c for c in R3_COLS
-    )
+        batch = f"SELECT * FROM ({batch}) x WHERE action = 'edit'"
+    typed = ", ".join(f"TRY_CAST({c} AS {REC_TYPES[c]}) AS {c}" if c in REC_TYPES else c for c in REC_COLS)
     extra = {
-        **dec,
-        "reviews": seeded_reviews_r3_sql(),
+        "l1_cases": L1_CASES_SQL,
+        "l2_cases": L2_CASES_SQL,
+        "flagged_rows": flagged_rows_sql(),
+        "decisions": batch,
+        "reviews": f"SELECT rule_id, case_key, {', '.join(REC_COLS)}, {_audit_select()} FROM flagged_rows WHERE h%7=3",
         "v": _validated_sql(),
         "existing": "SELECT DISTINCT rule_id, case_key FROM reviews",
         "creates": "SELECT * FROM v WHERE reason IS NULL AND action = 'create'",
@@ -398,14 +421,14 @@ def review_ctes(edits_only: bool = False) -> str:
         "merged": "SELECT * FROM reviews UNION ALL SELECT rule_id, case_key, " + typed + ", "
                   + ", ".join(AUDIT4) + ", user_email AS created_by, submitted_at AS created_at,"
                   " user_email AS updated_by, submitted_at AS updated_at FROM saved",
-        "new_reviews": "SELECT m.rule_id, m.case_key, " + ", ".join(f"m.{c}" for c in R3_COLS) + ", "
+        "new_reviews": "SELECT m.rule_id, m.case_key, " + ", ".join(f"m.{c}" for c in REC_COLS) + ", "
                        + ", ".join(f"CASE WHEN l.case_key IS NOT NULL THEN l.{c} ELSE m.{c} END AS {c}" for c in AUDIT4)
                        + ", m.created_by, m.created_at,"
                        " CASE WHEN l.case_key IS NOT NULL THEN l.user_email ELSE m.updated_by END AS updated_by,"
                        " CASE WHEN l.case_key IS NOT NULL THEN l.submitted_at ELSE m.updated_at END AS updated_at"
                        " FROM merged m LEFT JOIN last_edit l ON l.rule_id = m.rule_id AND l.case_key = m.case_key",
     }
-    return duckdb_with("assisted_orders", extra=extra)
+    return duckdb_with("assisted_orders", "unassisted_orders", "lead_history", "team_budget", extra=extra)
 
 
 def review_validate_sql() -> str:
@@ -440,14 +463,25 @@ FROM edits
 
 
 def flagged_after_review_sql() -> str:
-    base, pred, key, cols, order = ORACLE_RULES["3"]
     return (
         review_ctes()
-        + f"SELECT {cols} FROM assisted_orders o WHERE ({pred}) AND NOT EXISTS (SELECT 1 FROM new_reviews r"
-        f" WHERE r.rule_id = '3' AND r.case_key = {key.replace('COALESCE(', 'COALESCE(o.')}) ORDER BY {order}"
+        + "SELECT f.rule_id, f.case_key FROM flagged_rows f WHERE NOT EXISTS"
+        " (SELECT 1 FROM new_reviews r WHERE r.rule_id = f.rule_id AND r.case_key = f.case_key)"
     )
 
 
+def reviews_list_of_sql(rule_id: str) -> str:
+    if rule_id == "11":
+        table, key, cols, h = f"unassisted_orders WHERE ({ORACLE_RULES['11'][1]})", UNASSISTED_KEY_SQL, ORACLE_RULES["11"][3], "k"
+    elif rule_id == "L1":
+        table, key, cols, h = "l1_cases WHERE TRUE", L1_KEY_SQL, L1_COLS, "event_id"
+    else:
+        table, key, cols, h = "l2_cases WHERE TRUE", L2_KEY_SQL, L2_COLS, L2_HELPER_SQL
+    rows = f"SELECT {key} AS case_key, {h} AS h, {cols} FROM {table} AND {h}%7=3"
+    lead = {"L1": {"l1_cases": L1_CASES_SQL}, "L2": {"l2_cases": L2_CASES_SQL}}.get(rule_id, {})
+    return duckdb_with(*_needs([rule_id]), extra={**lead, "s": rows}) + f"SELECT {cols}, {_audit_select()} FROM s ORDER BY updated_at DESC NULLS LAST, case_key"
+
+
 def reviews_list_sql() -> str:
     return (
         duckdb_with("assisted_orders", extra={"reviews": seeded_reviews_r3_sql()})
@@ -485,7 +519,12 @@ REVIEW_ORACLES = {
     "review_outcomes": review_outcomes_sql,
     "review_edit": review_edit_sql,
     "flagged_after_review": flagged_after_review_sql,
+    "review_commit": review_apply_sql,
+    "review_commit_outcomes": review_outcomes_sql,
     "reviews_list": reviews_list_sql,
+    "reviews_list_11": lambda: reviews_list_of_sql("11"),
+    "reviews_list_L1": lambda: reviews_list_of_sql("L1"),
+    "reviews_list_L2": lambda: reviews_list_of_sql("L2"),
     "reviewed_counts": reviewed_counts_sql,
     "distinct_decision_types": distinct_decision_types_sql,
     "person_suggestions": person_suggestions_sql,
@@ -705,10 +744,6 @@ R3_LABELS = [
 # the declared order table, and the partition column at its end
 SNAPSHOT_TYPES = [(f.name, f.dataType.simpleString()) for f in ASSISTED_ORDERS.fields] + [("order_month", "string")]
 
-_REVIEW_REPORT = ["oldest_order_number", "sales_person", *AUDIT4,
-                  *[c for c in R3_COLS if c not in ("oldest_order_number", "sales_person")],
-                  "created_by", "created_at", "updated_by", "updated_at"]
-
 EXPLORE_ORACLES = {
     "table_search": lambda: search_sql("  Jan 2026, 1"),
     "table_search_amount": lambda: search_sql(",50,"),
@@ -717,8 +752,7 @@ EXPLORE_ORACLES = {
     "table_page_middle": page_middle_sql,
     "report_render": render_sql,
     "report_render_leads": render_leads_sql,
-    "reviews_report": lambda: duckdb_with("assisted_orders", extra={"reviews": seeded_reviews_r3_sql()})
-    + filled_sql(_REVIEW_REPORT, "reviews", "position"),
+    "reviews_report": reviews_list_sql,
     "report_columns": lambda: flagged3_ctes() + "SELECT f.position, f.\"column\", f.filled, l.label, l.display_type FROM ("
     + filled_sql(R3_VIEW, "flagged3", "position") + ") f JOIN (VALUES "
     + ", ".join(f"('{c}', '{label}', '{kind}')" for c, label, kind in R3_LABELS)

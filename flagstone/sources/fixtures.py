@@ -225,107 +225,3 @@ def duckdb_with(*names: str, extra: dict[str, str] | None = None) -> str:
     for n, body in (extra or {}).items():
         parts.append(f"{n} AS (\n{body.strip()}\n)")
     return "WITH " + ",\n".join(parts) + "\n"
-
-
-# Decision batch (FIXTURES.md §7): actions on cases flagged by rule 3, seq = (k*2+s)*8 + variant.
-# Variants: 0 create; 1 second create of the same case; 2 edit of a seeded case; 3 edit of a case
-# never saved; 4 edit after a create in the same batch; 5 create whose key parts are all NULL;
-# 6 edit with an empty key; 7 create without a record. Field edge cases ride on k: blank
-# auditor, missing decision, 201 characters, 200 characters inside blanks, 4001-character comment,
-# unknown rule, unparseable amount. Each rule 3 row is read once and expanded into the eight
-# variants by a generator ({VARIANTS}: explode on Spark, unnest on DuckDB), then filtered.
-DECISIONS_SQL = """
-SELECT (k*2+s)*8 + v AS seq,
-  CASE WHEN v IN (2,3,4,6) THEN 'edit' ELSE 'create' END AS action,
-  CASE WHEN k%31=0 THEN '4' ELSE '3' END AS rule_id,
-  CASE WHEN v=6 THEN '' WHEN v IN (2,3,4) THEN COALESCE(oldest_order_number,'') || '|' || COALESCE(newest_order_no,'') || '|' || COALESCE(sales_person,'') END AS case_key,
-  v <> 7 AS has_record,
-  CASE WHEN v IN (0,1,5) THEN CAST(approval_timestamp AS STRING) END AS approval_timestamp,
-  CASE WHEN v IN (0,1) THEN sales_person END AS sales_person,
-  CASE WHEN v IN (0,1) THEN oldest_order_number END AS oldest_order_number,
-  CASE WHEN v IN (0,1,5) THEN CAST(order_date_time AS STRING) END AS order_date_time,
-  CASE WHEN v IN (0,1,5) THEN CASE WHEN k%41=0 THEN 'n/a' ELSE CAST(total_amount AS STRING) END END AS total_amount,
-  CASE WHEN v IN (0,1) THEN newest_order_no END AS newest_order_no,
-  CASE WHEN v IN (0,1,5) THEN tickets_id END AS tickets_id,
-  CASE WHEN v IN (0,1,5) THEN CAST(ticket_created_at AS STRING) END AS ticket_created_at,
-  CASE WHEN v IN (0,1,5) THEN CAST(first_connected_time AS STRING) END AS first_connected_time,
-  CASE WHEN v IN (0,1,5) THEN CAST(mtd_form_filled_timestamp AS STRING) END AS mtd_form_filled_timestamp,
-  CASE WHEN v IN (0,1,5) THEN username_frontend END AS username_frontend,
-  CASE WHEN v IN (0,1,5) THEN lead_sources END AS lead_sources,
-  CASE WHEN k%13=0 THEN '   ' ELSE 'Auditor ' || CAST((k+v)%4 AS STRING) END AS auditor,
-  CASE WHEN k%17=0 THEN NULL WHEN (k+v)%3=0 THEN 'Genuine' WHEN (k+v)%3=1 THEN 'Fraud' ELSE ' Needs follow-up ' END AS decision_types,
-  CASE WHEN k%19=0 THEN REPEAT('x', 201) WHEN k%23=0 THEN '  ' || REPEAT('y', 200) || '  ' ELSE sales_person END AS decided_sales_person,
-  CASE WHEN k%29=0 THEN REPEAT('c', 4001) ELSE ' note ' || CAST(k AS STRING) || '/' || CAST(v AS STRING) || ' ' END AS comments,
-  'auditor' || CAST((k+v)%4 AS STRING) || '@example.com' AS user_email,
-  CAST({NTZ} '2026-10-01 00:00:00' + INTERVAL '1' SECOND * ((k*2+s)*8 + v) AS TIMESTAMP) AS submitted_at
-FROM (
-  SELECT r.*, {VARIANTS} AS v FROM assisted_orders_r3 r
-) a
-WHERE (v=0 AND (k%3=0 OR k%89=0 OR k%97=0))
-   OR (v=1 AND (k%9=0))
-   OR (v=2 AND (k%7=3 AND k%2=0))
-   OR (v=3 AND (k%7=5 AND k%3=1))
-   OR (v=4 AND (k%3=0 AND k%4=0))
-   OR (v=5 AND (k%37=0))
-   OR (v=6 AND (k%53=0))
-   OR (v=7 AND (k%43=0))
-"""
-
-# Rows of rule 3 (before review exclusion), the source of the decision batch.
-RULE3_ROWS_SQL = (
-    "SELECT * FROM {assisted_orders} WHERE order_limit_team_wise_investigate = 'Investigate'"
-    " AND order_date_time >= {NTZ} '2026-01-01 00:00:00'"
-)
-
-
-def decisions(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> DataFrame:
-    """The decision batch of FIXTURES.md §7. Like the other derived inputs it is written once
-    under ``spark.checkpoint.dir`` (keyed by its SQL, the session zone of its instants and the
-    order fixture it reads) and read back, as a submitted batch would be a stored file; the
-    review jobs then read it instead of re-deriving it in every branch of their plans."""
-    from flagstone.session import checkpoint_dir
-    from flagstone.sources.snapshot import committed_versions, read_snapshot, refresh_snapshot
-
-    if materialize is None:
-        materialize = spark.conf.get("flagstone.fixtures.materialize", "true").lower() == "true"
-    if not materialize:
-        return _derive_decisions(spark, sf_dir)
-    h = hashlib.sha1((DECISIONS_SQL + RULE3_ROWS_SQL + spark.conf.get("spark.sql.session.timeZone")).encode())
-    h.update(_fingerprint(spark, sf_dir, "assisted_orders").encode())
-    fp = h.hexdigest()[:16]
-    cache_key = (spark.sparkContext.applicationId, sf_dir, "decisions", fp)
-    if cache_key in _RESOLVED:
-        return _RESOLVED[cache_key]
-    root = f"{checkpoint_dir(spark)}/flagstone/fixtures/decisions-{fp}"
-    if not committed_versions(spark, root):
-        df = _derive_decisions(spark, sf_dir)
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-        refresh_snapshot(df, root, version=uuid.uuid4().hex, partition_col=None)
-    out = read_snapshot(spark, root, version=committed_versions(spark, root)[0])
-    _RESOLVED[cache_key] = out
-    return out
-
-
-def _derive_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r3 = spark.sql(
-        RULE3_ROWS_SQL.replace("{NTZ}", "TIMESTAMP_NTZ"), assisted_orders=fixture(spark, sf_dir, "assisted_orders")
-    )
-    text = (
-        DECISIONS_SQL.replace("{NTZ}", "TIMESTAMP_NTZ")
-        .replace("{VARIANTS}", "explode(sequence(0, 7))")
-        .replace("assisted_orders_r3", "{r3}")
-    )
-    return spark.sql(text, r3=r3)
-
-
-def duckdb_decisions_ctes() -> dict[str, str]:
-    """CTEs (after ``assisted_orders``) defining ``decisions`` for the oracle."""
-    r3 = RULE3_ROWS_SQL.replace("{NTZ}", "TIMESTAMP").replace("{assisted_orders}", "assisted_orders")
-    return {
-        "assisted_orders_r3": r3,
-        "decisions": DECISIONS_SQL.replace("{NTZ}", "TIMESTAMP")
-        .replace("{VARIANTS}", "unnest(range(0, 8))")
-        .replace("STRING", "VARCHAR"),
-    }

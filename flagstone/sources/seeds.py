@@ -101,39 +101,49 @@ def seed_reviews(
     return out
 
 
-def _build_seed_reviews(
+def flagged_rows(
     spark: SparkSession, sf_dir: str, rule_ids: list[str], with_record: bool, params: RuleParams
 ) -> DataFrame:
+    """Flagged rows of the given rules before review exclusion: rule_id, case_key, [record], h, s.
+
+    (h, s) tells the rows of a rule apart. Columns that a rule's view lacks are NULL."""
     ids = set(rule_ids)
     parts: list[DataFrame] = []
+    none = F.lit(0).alias("s")
     order_specs = [r for r in rules_on("assisted_orders") if r.id in ids]
     if order_specs:
-        a = fixture(spark, sf_dir, "assisted_orders")
-        h = flag_all(a, order_specs, params).where(F.col("k") % 7 == 3)
+        hit = flag_all(fixture(spark, sf_dir, "assisted_orders"), order_specs, params)
         record = []
         if with_record:
             cols = sorted({c for s in order_specs for c in s.columns})
             for c in cols:
                 owners = [s.id for s in order_specs if c in s.columns]
                 record.append(F.when(F.col("rule_id").isin(owners), F.col(c)).alias(c))
-        parts.append(h.select("rule_id", "case_key", *record, F.col("k").alias("h")))
+        parts.append(hit.select("rule_id", "case_key", *record, F.col("k").alias("h"), F.col("s").cast("int").alias("s")))
     if "11" in ids:
         spec = find_rule("11")
-        u = fixture(spark, sf_dir, "unassisted_orders")
         rec = list(spec.columns) if with_record else []
-        parts.append(hits(spec, u, params).where(F.col("k") % 7 == 3).select("rule_id", "case_key", *rec, F.col("k").alias("h")))
+        hit = hits(spec, fixture(spark, sf_dir, "unassisted_orders"), params)
+        parts.append(hit.select("rule_id", "case_key", *rec, F.col("k").alias("h"), none))
     if ids & {"L1", "L2"}:
         history = fixture(spark, sf_dir, "lead_history")
         if "L1" in ids:
             rec = list(find_rule("L1").columns) if with_record else []
-            l1 = lead_reopened_cases(history, params.reopen_min_gap_days).where(F.col("event_id") % 7 == 3)
-            parts.append(l1.select("rule_id", "case_key", *rec, F.col("event_id").alias("h")))
+            l1 = lead_reopened_cases(history, params.reopen_min_gap_days)
+            parts.append(l1.select("rule_id", "case_key", *rec, F.col("event_id").alias("h"), none))
         if "L2" in ids:
             bands = fixture(spark, sf_dir, "team_budget")
             rec = list(find_rule("L2").columns) if with_record else []
-            l2 = lead_misrouted_cases(history, bands).select("*", F.expr(L2_HELPER_SQL).alias("h"))
-            parts.append(l2.where(F.col("h") % 7 == 3).select("rule_id", "case_key", *rec, "h"))
+            parts.append(lead_misrouted_cases(history, bands).select("rule_id", "case_key", *rec, F.expr(L2_HELPER_SQL).alias("h"), none))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return _with_audit(out)
+    return out
+
+
+def _build_seed_reviews(
+    spark: SparkSession, sf_dir: str, rule_ids: list[str], with_record: bool, params: RuleParams
+) -> DataFrame:
+    reviewed = flagged_rows(spark, sf_dir, rule_ids, with_record, params).where(F.col("h") % 7 == 3)
+    # the record first, then the audit fields
+    return _with_audit(reviewed.drop("s"))
