@@ -1,23 +1,33 @@
 """Mixing by iterative proportional fitting: weights raked to marginals, then calibrated sampling.
 
 Documents are counted into cells (source, language, topic) with their tokens. The cells' weights
-are scaled to the target of each marginal in turn until all hold; a document is then kept with the
-probability that its cell's weight calls for, by a hash of its id.
+are scaled to the target of each marginal in turn until all hold. As no document can be kept more
+than once, this is done under the bound that a cell keeps at most all its tokens: what a full cell
+cannot give, the others of the marginal do in the next sweep. If the wanted share of tokens is too
+large for the targets, the largest share for which they hold is kept; if they contradict each other
+at any share, the closest weights are used and the gaps are told by :func:`gaps`. A document is
+then kept with the probability of its cell, by a hash of its id.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from flagstone.llm.common import WORD, written
+from flagstone.llm.common import WORD, ship, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: What stands for null in a dimension.
 MISSING = "(none)"
-#: Sweeps over the marginals in one plan; after each lot the cells are written.
-SWEEPS_PER_PLAN = 4
+#: Cells that the task which rakes them takes; the counts of cells, not documents, go there.
+MAX_CELLS = 1_000_000
+#: A marginal holds if its shares are this near to their targets. Sweeps end when all hold, when
+#: nothing moves any more, or after so many.
+TOLERANCE, MAX_SWEEPS = 1e-3, 3000
+#: Steps in the search for the largest share that the targets allow.
+SHARE_STEPS = 12
 
 
 def measures(text: Column) -> Column:
@@ -50,55 +60,117 @@ def chance(ident: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(2**48))
 
 
-def targets_of(cells: DataFrame, dimension: str, explicit: dict[str, float] | None, flatten: float) -> DataFrame:
-    """(dimension, target): shares of the tokens, adding up to 1 over the values that occur.
+def target_shares(tokens: np.ndarray, values: np.ndarray, explicit: dict[str, float] | None, flatten: float) -> np.ndarray:
+    """Share of each value of a dimension, adding up to 1 over the values that occur.
 
     Explicit weights if given (values without one share nothing), else the values' own shares
     raised to ``flatten``.
     """
-    sums = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("t"))
     if explicit is None:
-        weighted = sums.withColumn("t", F.pow("t", F.lit(flatten)))
+        wanted = np.where(tokens > 0, np.maximum(tokens, 1e-300) ** flatten, 0.0)
     else:
-        pairs = [x for k, v in explicit.items() for x in (F.lit(k), F.lit(float(v)))]
-        weighted = sums.withColumn("t", F.coalesce(F.element_at(F.create_map(*pairs), F.col(dimension)), F.lit(0.0)))
-    return weighted.select(dimension, (F.col("t") / F.sum("t").over(Window.partitionBy())).alias(f"target_{dimension}"))
+        wanted = np.array([float(explicit.get(v, 0.0)) for v in values])
+        wanted = np.where(tokens > 0, wanted, 0.0)  # nothing can stand for a value without tokens
+    total = wanted.sum()
+    return wanted / total if total > 0 else wanted
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], flatten: float, sweeps: int) -> DataFrame:
-    """``cells`` (dimensions, tokens) with ``weight``: shares that add up to 1 and fit the marginals.
+def raked(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], kept: float) -> tuple[np.ndarray, float]:
+    """Rates in [0, 1] of the cells whose kept tokens fit ``kept`` of all times the targets, and the largest gap left.
 
-    The cells are counted before, so they are as few as the values of the dimensions allow and do
-    not grow with the documents.
+    ``places`` gives each cell's value in each dimension. A rate is a product of one factor a value,
+    cut at 1; each sweep scales the factors of every dimension to its targets.
     """
-    now = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
-    for d in DIMENSIONS:
-        now = now.join(targets_of(cells, d, targets.get(d), flatten), d)
-    now = written(now, "cells")
-    for sweep in range(sweeps):
-        for d in DIMENSIONS:
-            total = F.sum("weight").over(Window.partitionBy(d))
-            now = now.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{d}") / total).otherwise(0.0))
-        if sweep % SWEEPS_PER_PLAN == SWEEPS_PER_PLAN - 1:
-            now = written(now, "cells")
-    return now.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy()))
-
-
-def keep_rates(cells: DataFrame, kept_share: float, rounds: int = 6) -> DataFrame:
-    """``cells`` with ``rate``: what part of a cell's tokens stays, so that ``kept_share`` of all do.
-
-    rate = scale * weight / share, at most 1. What full cells leave is spread over the others in
-    each of ``rounds``, which keeps them in proportion to their weights.
+    goals = [kept * tokens.sum() * t for t in targets]
+    factor, before = np.full(len(tokens), kept), None
+    for _ in range(MAX_SWEEPS):
+        for place, goal in zip(places, goals, strict=True):
+            have = np.bincount(place, tokens * np.minimum(factor, 1.0), len(goal))
+            scale = np.divide(goal, have, out=np.zeros(len(goal)), where=have > 0)
+            factor = np.minimum(factor * scale[place], 1e12)
+        rate = np.minimum(factor, 1.0)
+        gap = largest_gap(tokens, places, targets, rate)
+        if gap <= TOLERANCE / 10 or (before is not None and np.abs(rate - before).max(initial=0) < 1e-9):
+            break
+        before = rate
+    return rate, gap
+
+
+def largest_gap(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], rate: np.ndarray) -> float:
+    """The largest distance of a value's share of the kept tokens to its target."""
+    kept = tokens * rate
+    total = kept.sum()
+    if total <= 0:
+        return 1.0
+    return max(float(np.abs(np.bincount(p, kept, len(t)) / total - t).max(initial=0)) for p, t in zip(places, targets, strict=True))
+
+
+def best_rates(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], kept: float) -> tuple[np.ndarray, bool]:
+    """Rates for the largest share up to ``kept`` at which the targets hold; if there is none, the closest at ``kept``."""
+    rate, gap = raked(tokens, places, targets, kept)
+    if gap <= TOLERANCE:
+        return rate, True
+    small, found = 0.0, None
+    large = kept
+    # a value cannot keep more than all its tokens: no larger share can do
+    for p, t in zip(places, targets, strict=True):
+        have = np.bincount(p, tokens, len(t)) / tokens.sum()
+        large = min(large, float(np.min(np.divide(have, t, out=np.full(len(t), np.inf), where=t > 0), initial=np.inf)))
+    tried = large
+    for _ in range(SHARE_STEPS):
+        now, gap = raked(tokens, places, targets, tried)
+        if gap <= TOLERANCE:
+            small, found = tried, now
+            if tried == large:
+                break
+        else:
+            large = tried
+        tried = (small + large) / 2
+    return (rate, False) if found is None else (found, True)
+
+
+def keep_rates(cells: DataFrame, targets: dict[str, dict[str, float] | None], flatten: float, kept_share: float) -> DataFrame:
+    """``cells`` (dimensions, tokens) with ``rate``, what part of a cell's tokens stays, and ``fits``, whether all targets hold.
+
+    Cells without tokens keep all their documents. One task takes all cells, which are as few as the
+    values of the dimensions allow and do not grow with the documents; their number is checked.
     """
-    whole = Window.partitionBy()
-    now = cells.withColumn("scale", kept_share * F.sum("tokens").over(whole)).withColumn("full", F.lit(False))
-    for _ in range(rounds):
-        now = now.withColumn("full", F.col("full") | (F.col("scale") * F.col("weight") >= F.col("tokens")))
-        used = F.sum(F.when(F.col("full"), F.col("tokens")).otherwise(0)).over(whole)
-        rest = F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0.0)).over(whole)
-        now = now.withColumn("scale", F.when(rest > 0, (kept_share * F.sum("tokens").over(whole) - used) / rest).otherwise(0.0))
-    rate = F.when(F.col("full") | (F.col("tokens") == 0), 1.0).otherwise(F.least(F.lit(1.0), F.col("scale") * F.col("weight") / F.col("tokens")))
-    return now.withColumn("rate", rate).drop("scale", "full")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(DIMENSIONS), ignore_index=True)
+        tokens = pdf["tokens"].to_numpy(float)
+        rate, fits = np.ones(len(pdf)), True
+        if tokens.sum() > 0:
+            places, shares = [], []
+            for d in DIMENSIONS:
+                values, place = np.unique(pdf[d].to_numpy(str), return_inverse=True)
+                places.append(place)
+                shares.append(target_shares(np.bincount(place, tokens, len(values)), values, targets.get(d), flatten))
+            rate, fits = best_rates(tokens, places, shares, kept_share)
+        pdf["rate"] = np.where(tokens > 0, rate, 1.0)
+        pdf["fits"] = fits
+        return pdf[[*DIMENSIONS, "tokens", "rate", "fits"]]
+
+    if (count := cells.count()) > MAX_CELLS:
+        raise ValueError(f"{count} cells of source, language and topic; at most {MAX_CELLS}: give coarser values")
+    schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", tokens long, rate double, fits boolean"
+    ship(cells.sparkSession)
+    return cells.select(*DIMENSIONS, "tokens", F.lit(0).alias("one")).groupBy("one").applyInPandas(fit, schema)
+
+
+def gaps(rates: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, flatten: float = 0.5) -> DataFrame:
+    """(dimension, value, target, share) of the kept tokens of :func:`keep_rates`: what the rates make of each target."""
+    out = None
+    for d in DIMENSIONS:
+        explicit = (targets or {}).get(d)
+        sums = rates.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("rate")).alias("k"))
+        pairs = [x for k, v in (explicit or {}).items() for x in (F.lit(k), F.lit(float(v)))]
+        own = F.pow("t", F.lit(flatten)) if explicit is None else F.coalesce(F.element_at(F.create_map(*pairs), F.col("value")), F.lit(0.0))
+        sums = sums.withColumn("w", F.when(F.col("t") > 0, own).otherwise(0.0))
+        whole = sums.agg(F.sum("w").alias("all_w"), F.sum("k").alias("all_k"))  # one row
+        part = sums.join(F.broadcast(whole)).select(F.lit(d).alias("dimension"), "value", F.try_divide("w", "all_w").alias("target"), F.try_divide("k", "all_k").alias("share"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text", topic: Column | None = None) -> DataFrame:
@@ -118,15 +190,14 @@ def mix_measured(
     targets: dict[str, dict[str, float] | None] | None = None,
     flatten: float = 0.5,
     kept_share: float = 0.7,
-    sweeps: int = 8,
     seed: int = 7,
     ident: str = "doc_id",
 ) -> DataFrame:
     """The rows of :func:`measured` with the struct ``mix`` in place of ``__cell``; see :func:`mix`."""
     counted = rows.select("__cell.*").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    cells = written(keep_rates(rake(written(counted, "counts"), targets or {}, flatten, sweeps), kept_share), "rates")
+    cells = written(keep_rates(written(counted, "counts"), targets or {}, flatten, kept_share), "rates")
     # one row per cell; Spark broadcasts them when it measures them small
-    rates = cells.select(F.struct(*DIMENSIONS).alias("__key"), F.col("rate").alias("__rate"))
+    rates = cells.select(F.struct(*DIMENSIONS).alias("__key"), F.col("rate").alias("__rate"), F.col("fits").alias("__fits"))
     both = rows.withColumn("__key", F.struct(*[F.col(f"__cell.{d}").alias(d) for d in DIMENSIONS])).join(rates, "__key")
     out = F.struct(
         F.col("__cell.topic").alias("topic"),
@@ -134,15 +205,18 @@ def mix_measured(
         F.col("__rate").alias("rate"),
         F.when(F.col("__rate") > 0, 1 / F.col("__rate")).alias("weight"),
         (chance(F.col(ident), seed) < F.col("__rate")).alias("sampled"),
+        F.col("__fits").alias("fits"),
     )
     return both.select(*[F.col(f"`{c}`") for c in rows.columns if c not in ("__cell", "mix")], out.alias("mix"))
 
 
 def mix(docs: DataFrame, text: str = "text", topic: Column | None = None, **settings) -> DataFrame:
-    """``docs`` with the struct column ``mix``: topic, n_tokens (words), rate, weight (1 / rate), sampled.
+    """``docs`` with the struct column ``mix``: topic, n_tokens (words), rate, weight (1 / rate), sampled, fits.
 
     Marginals of source, lang and topic: ``targets`` per dimension, or the shares raised to
-    ``flatten`` (1: as they are, 0: all alike). Cells without tokens keep all their documents.
+    ``flatten`` (1: as they are, 0: all alike). ``kept_share`` of the tokens stay, or the largest
+    smaller share for which all marginals hold; if none does, ``fits`` is false on all rows and the
+    rates are the closest. Cells without tokens keep all their documents.
     Repeated rows and rows with the same id share their fate. All rows come back; ``sampled`` tells
     which stay. Other columns are untouched, whatever their names; one named
     ``mix`` is replaced.

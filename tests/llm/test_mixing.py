@@ -1,11 +1,13 @@
 """Raking against a plain version, and what sampling keeps."""
 
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from flagstone.llm import mixing
+from tests.conftest import SF01
 
 
 def docs(spark, n=1500):
@@ -17,58 +19,95 @@ def docs(spark, n=1500):
     return spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, topic string, rate double")
 
 
-def plain(cells, flatten, sweeps):
-    """Weights of (source, lang, topic) cells by the textbook."""
-    total = sum(cells.values())
-    weight = {c: t / total for c, t in cells.items()}
-    targets = []
-    for d in range(3):
-        sums = defaultdict(float)
-        for c, t in cells.items():
-            sums[c[d]] += t
-        flat = {k: t**flatten for k, t in sums.items()}
-        targets.append({k: t / sum(flat.values()) for k, t in flat.items()})
-    for _ in range(sweeps):
+def counted(spark, table=None):
+    cells = mixing.measured(table or docs(spark), ["doc_id"]).select("__cell.*").groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
+    return cells, {(r.source, r.lang, r.topic): r.tokens for r in cells.collect()}
+
+
+def marginals(cells, weights):
+    out = defaultdict(float)
+    for c in cells:
         for d in range(3):
-            sums = defaultdict(float)
-            for c, w in weight.items():
-                sums[c[d]] += w
-            weight = {c: w * targets[d][c[d]] / sums[c[d]] if sums[c[d]] else 0.0 for c, w in weight.items()}
-    norm = sum(weight.values())
-    return {c: w / norm for c, w in weight.items()}, targets
+            out[d, c[d]] += weights[c]
+    return out
 
 
-def counted(spark):
-    cells = mixing.measured(docs(spark), ["doc_id"]).select("__cell.*").groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
-    return cells, {(r.source, r.lang, r.topic): r.tokens for r in cells.collect()}
+def crossed(spark, n=3000):
+    """All sources have all languages and lengths: the targets can hold."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["s0"] * 6 + ["s1", "s2", "s2"]), rng.choice(["en"] * 5 + ["de", "fr"]), " ".join(["w"] * rng.choice([20, 150, 400, 1200])), "t", 1.0) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, topic string, rate double")
 
 
-def test_weights_equal_plain_version_and_fit_the_marginals(spark):
+def plain_targets(cells, flatten):
+    sums = marginals(cells, cells)
+    flat = {k: v**flatten for k, v in sums.items() if v}
+    return {(d, v): x / sum(y for (e, _), y in flat.items() if e == d) for (d, v), x in flat.items()}
+
+
+def test_without_full_cells_the_rates_are_those_of_the_textbook(spark):
+    cells, counts = counted(spark, crossed(spark))
+    got = {(r.source, r.lang, r.topic): r.rate for r in mixing.keep_rates(cells, {}, 0.5, 0.1).collect()}
+    targets, weight = plain_targets(counts, 0.5), {c: t / sum(counts.values()) for c, t in counts.items()}
+    for _ in range(200):
+        for d in range(3):
+            have = marginals(counts, weight)
+            weight = {c: w * targets[d, c[d]] / have[d, c[d]] for c, w in weight.items()}
+    assert max(got.values()) < 1
+    for c, w in weight.items():
+        assert got[c] * counts[c] == pytest.approx(0.1 * sum(counts.values()) * w, rel=5e-3)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.7, 1.0])
+def test_kept_shares_fit_all_marginals_although_cells_are_full(spark, share):
+    cells, counts = counted(spark, crossed(spark))
+    rated = mixing.keep_rates(cells, {}, 0.5, share)
+    rates = {(r.source, r.lang, r.topic): r.rate for r in rated.collect()}
+    assert all(0 <= r <= 1 for r in rates.values()) and rated.first().fits
+    kept = {c: r * counts[c] for c, r in rates.items()}
+    have, targets = marginals(kept, kept), plain_targets(counts, 0.5)
+    assert all(have[k] / sum(kept.values()) == pytest.approx(t, abs=0.002) for k, t in targets.items())
+    assert sum(kept.values()) <= share * sum(counts.values()) * 1.001
+    if share == 1.0:  # the largest share: some value keeps nearly all its tokens
+        whole = marginals(counts, counts)
+        assert max(have[k] / whole[k] for k in targets) > 0.9 or max(rates.values()) == 1
+    told = {(r.dimension, r.value): (r.target, r.share) for r in mixing.gaps(rated).collect()}
+    for k, t in targets.items():
+        assert told[mixing.DIMENSIONS[k[0]], k[1]] == (pytest.approx(t), pytest.approx(have[k] / sum(kept.values())))
+
+
+def test_the_query_fits_its_marginals(spark):
+    """On the given table: kept token shares within 0.01 of the targets."""
+    table = spark.read.parquet(f"{SF01}/documents.parquet")
+    cells, counts = counted(spark, table)
+    rated = mixing.keep_rates(cells, {}, 0.5, 0.7)
+    told = mixing.gaps(rated).collect()
+    assert rated.first().fits
+    assert all(abs(r.target - r.share) < 0.01 for r in told) and len(told) > 8
+
+
+def test_targets_that_contradict_each_other_are_told(spark):
+    """Of ``docs``, the topic code lies wholly inside a source with a smaller target."""
     cells, counts = counted(spark)
-    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, {}, 0.5, 12).collect()}
-    want, targets = plain(counts, 0.5, 12)
-    assert got.keys() == want.keys()
-    assert all(got[c] == pytest.approx(w, abs=1e-12) for c, w in want.items())
-    for d in range(3):
-        for k, t in targets[d].items():
-            assert sum(w for c, w in got.items() if c[d] == k) == pytest.approx(t, abs=0.02)
+    rated = mixing.keep_rates(cells, {}, 0.5, 0.7)
+    assert not rated.first().fits
+    rows = mixing.gaps(rated).collect()
+    assert max(abs(r.target - r.share) for r in rows) > 0.01
+    assert all(0 <= r.rate <= 1 for r in rated.collect())
+    assert not mixing.mix(docs(spark)).first().mix.fits
 
 
 def test_explicit_targets(spark):
-    cells, _ = counted(spark)
-    got = mixing.rake(cells, {"lang": {"en": 3.0, "de": 1.0}}, 1.0, 12)
-    shares = {r.lang: r.w for r in got.groupBy("lang").agg(F.sum("weight").alias("w")).collect()}
-    assert shares["(none)"] == 0 and shares["en"] == pytest.approx(0.75, abs=0.02)
+    cells, _ = counted(spark, crossed(spark))
+    rated = mixing.keep_rates(cells, {"lang": {"en": 3.0, "de": 1.0}}, 1.0, 0.9)
+    told = {r.value: r.share for r in mixing.gaps(rated, {"lang": {"en": 3.0, "de": 1.0}}, 1.0).where("dimension = 'lang'").collect()}
+    assert told["fr"] == 0 and told["en"] == pytest.approx(0.75, abs=0.002) and told["de"] == pytest.approx(0.25, abs=0.002)
 
 
-def test_rates_keep_the_wanted_share(spark):
-    cells, counts = counted(spark)
-    rated = mixing.keep_rates(mixing.rake(cells, {}, 0.5, 8), 0.7).collect()
-    assert all(0 <= r.rate <= 1 for r in rated)
-    assert sum(r.rate * r.tokens for r in rated) == pytest.approx(0.7 * sum(counts.values()), rel=1e-6)
-    # cells that aren't full are in proportion to their weights
-    scales = [r.rate * r.tokens / r.weight for r in rated if r.rate < 1 and r.weight]
-    assert max(scales) == pytest.approx(min(scales))
+def test_too_many_cells_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_CELLS", 3)
+    with pytest.raises(ValueError, match="coarser"):
+        mixing.keep_rates(counted(spark)[0], {}, 0.5, 0.7)
 
 
 def test_all_rows_come_back_and_sampling_follows_the_rates(spark):
