@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flagstone.llm.common import in_arrow, ship, written
+from flagstone.llm.common import WORD, in_arrow, ship, written
 from flagstone.llm.components import components
 from flagstone.llm.shingles import GOLDEN, mix, shingles, word_hashes
 
@@ -32,9 +32,8 @@ BANDS, ROWS = 42, 6
 MARGIN = 0.12
 #: A bucket whose open pairs are no more than this many times its members is joined with itself.
 OPEN_PER_MEMBER = 2
-#: Members that are compared with each other in one task, and members from which on a bucket is
-#: split by a second band, a third ... first; a pair at similarity 0.85 shares 16 bands on average.
-BLOCK, SPLIT_FROM, SPLITS = 512, 8192, 3
+#: Members and shingles of a block; two blocks are compared in one task.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 
 _INVERSE = np.array([0, *(pow(a, -1, POSITIONS) for a in range(1, POSITIONS))], np.int64)
 
@@ -62,18 +61,18 @@ def super_min_hash(elements: np.ndarray) -> np.ndarray:
 
 
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to doc, n_shingles, 128 bits of the set's hash and one byte per position of the signature."""
+    """(doc, text1, text2, text) to doc, text1, text2, n_shingles, 128 bits of the set's hash and one byte per position of the signature."""
     for batch in batches:
         sizes, keys, marks = [], [], []
-        for text in batch.column(1):
+        for text in batch.column(3):
             found = np.unique(shingles(word_hashes(text.as_py())))
             sizes.append(len(found))
             keys.append(xxhash.xxh3_128_digest(found.tobytes()))
             marks.append((mix(super_min_hash(found)) >> np.uint64(56)).astype(np.uint8).tobytes() if len(found) else None)
         halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(marks, pa.binary())],
-            names=["doc", "n_shingles", "set1", "set2", "sig"],
+            [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(marks, pa.binary())],
+            names=["doc", "text1", "text2", "n_shingles", "set1", "set2", "sig"],
         )
 
 
@@ -112,28 +111,27 @@ def similar_size(a: Column, b: Column, percent: int) -> Column:
 
 def linked_in_blocks(percent: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The links that join components of one pair of blocks of a bucket (all pairs of one block, if both are the same).
+        """The links that join components between a block of open members of a bucket and a block of all its members.
 
         Pairs are taken by falling likeness of their signatures and compared in full only while
-        their documents are still apart, so what comes out is a forest. A pair that shares several
-        bands is left to the first of them.
+        their documents are still apart, so what comes out is a forest. A pair of two open members is
+        compared where the smaller one is on the open side, and a pair that shares several bands in
+        the first of them.
         """
-        docs, names = pdf["doc"].to_numpy(), pdf["root"].to_numpy()
-        own, band = pdf["block"].to_numpy(), int(pdf["band"].iloc[0])
+        docs, names, band = pdf["doc"].to_numpy(), pdf["root"].to_numpy(), int(pdf["band"].iloc[0])
         marks = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, POSITIONS)
-        rows: list[np.ndarray] = []
-        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        for at in range(0, len(docs), 32):
-            part = slice(at, at + 32)
-            equal = (marks[part, None] == marks[None]).sum(2)
-            good = (equal >= (percent / 100 - MARGIN) * POSITIONS) & (names[part, None] != names[None])
-            good &= np.arange(len(docs))[None] > np.arange(len(docs))[part, None]
-            if across:
-                good &= own[part, None] != own[None]
+        ours, theirs = np.flatnonzero(pdf["ours"]), np.flatnonzero(~pdf["ours"].to_numpy())
+        both_open = pdf["open"].to_numpy()[theirs]
+        rows = [np.zeros((0, 3), np.int64)]
+        for at in range(0, len(ours), 32):
+            part = ours[at : at + 32]
+            equal = (marks[part, None] == marks[None, theirs]).sum(2)
+            good = (equal >= (percent / 100 - MARGIN) * POSITIONS) & (names[part, None] != names[None, theirs])
+            good &= ~both_open[None] | (docs[part, None] < docs[None, theirs])
             x, y = np.nonzero(good)
-            rows.append(np.column_stack([-equal[x, y], x + at, y]))
+            rows.append(np.column_stack([-equal[x, y], part[x], theirs[y]]))
         pairs = np.concatenate(rows)
-        if band >= 0 and len(pairs):
+        if len(pairs):
             bands = marks[:, : BANDS * ROWS].reshape(len(docs), BANDS, ROWS)
             pairs = np.concatenate([p[(bands[p[:, 1]] == bands[p[:, 2]]).all(2).argmax(1) == band] for p in np.array_split(pairs, 1 + len(pairs) // 20_000)])
         pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
@@ -184,45 +182,38 @@ def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int)
 def open_links(members: DataFrame, roots: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between members that share a bucket but no component; ``members`` are (bucket, band, doc, n).
 
-    In a bucket with few open pairs, the members outside its largest component are joined with the
-    others. In a larger one, blocks of members are compared in one task each.
+    Members outside a bucket's largest component are open. With few open pairs they are joined with
+    the others. Else blocks of open members meet blocks of all members, a pair of blocks in each task;
+    blocks are bounded by members and by shingles.
     """
     labelled = members.join(roots.select(F.col("node").alias("doc"), F.col("root")), "doc", "left")
     labelled = written(labelled.select("bucket", "band", "doc", "n", F.coalesce("root", "doc").alias("root")), "members")
-    narrow, blocks, level = None, None, labelled
-    for split in range(SPLITS + 1):
-        parts = level.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        stats = parts.groupBy("bucket").agg(
-            F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("parts")
-        )
-        many = (F.col("k") >= SPLIT_FROM) & F.lit(split < SPLITS)
-        few = F.col("k") * F.col("k") - F.col("sq") <= 2 * OPEN_PER_MEMBER * F.col("k")
-        stats = written(stats.filter("parts > 1").select("bucket", "main", "k", F.when(few, 0).when(many, 2).otherwise(1).alias("kind")), "buckets")
-
-        ready = level.join(stats.filter("kind = 0"), "bucket")
-        other = ready.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "root")])
-        pairs = ready.filter("root <> main").join(other, "bucket")
-        pairs = pairs.filter("root <> root_b and (root_b = main or doc < doc_b)").filter(similar_size(F.col("n"), F.col("n_b"), percent))
-        pairs = pairs.select(F.least("doc", "doc_b").alias("a"), F.greatest("doc", "doc_b").alias("b"))
-        narrow = pairs if narrow is None else narrow.union(pairs)
-
-        count = (F.col("k") / F.lit(BLOCK)).cast("int") + 1
-        dealt = level.join(stats.filter("kind = 1").select("bucket", count.alias("count")), "bucket")
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("count")).cast("int"))
-        dealt = dealt.select("bucket", "band", "doc", "root", "block", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
-        dealt = dealt.select("bucket", "band", "doc", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        blocks = dealt if blocks is None else blocks.union(dealt)
-
-        wide = stats.filter("kind = 2").select("bucket")
-        if split == SPLITS or wide.isEmpty():
-            break
-        second = labelled.select(F.col("bucket").alias("second"), F.col("doc"))
-        level = level.join(wide, "bucket", "left_semi").join(second, "doc").filter("bucket <> second")
-        key = F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket")
-        level = written(level.select(key, F.lit(-1).alias("band"), "doc", "n", "root").distinct(), "members")
+    parts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    main = F.max(F.struct("c", "root", "n"))
+    stats = parts.groupBy("bucket").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.sum("n").alias("n"), main.alias("main"), F.count("*").alias("parts"))
+    few = F.col("k") * F.col("k") - F.col("sq") <= 2 * OPEN_PER_MEMBER * F.col("k")
+    blocks = lambda k, n: 1 + F.greatest(F.floor(k / BLOCK), F.floor(n / BLOCK_SHINGLES)).cast("int")
+    stats = stats.filter("parts > 1").select(
+        "bucket", F.col("main.root").alias("main"), few.alias("few"), blocks(F.col("k"), F.col("n")).alias("all_blocks"), blocks(F.col("k") - F.col("main.c"), F.col("n") - F.col("main.n")).alias("open_blocks")
+    )
+    stats = written(stats, "buckets")
+
+    ready = labelled.join(stats.filter("few"), "bucket")
+    other = ready.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "root")])
+    pairs = ready.filter("root <> main").join(other, "bucket")
+    pairs = pairs.filter("root <> root_b and (root_b = main or doc < doc_b)").filter(similar_size(F.col("n"), F.col("n_b"), percent))
+    narrow = pairs.select(F.least("doc", "doc_b").alias("a"), F.greatest("doc", "doc_b").alias("b"))
+
+    wide = labelled.join(stats.filter("not few"), "bucket").withColumn("open", F.col("root") != F.col("main"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    block = lambda c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
+    fields = ["bucket", "band", "doc", "root", "open", "ours", "i", "j"]
+    ours = wide.filter("open").withColumns({"ours": F.lit(True), "i": block("open_blocks")}).withColumn("j", every("all_blocks"))
+    theirs = wide.withColumns({"ours": F.lit(False), "j": block("all_blocks")}).withColumn("i", every("open_blocks"))
+    dealt = ours.select(fields).union(theirs.select(fields))
     links = verified(narrow.distinct(), sigs, texts, percent)
     ship(members.sparkSession)
-    full = blocks.join(sigs, "doc").join(texts, "doc")
+    full = dealt.join(sigs, "doc").join(texts, "doc")
     return links.union(written(full.groupBy("bucket", "i", "j").applyInPandas(linked_in_blocks(percent), "u long, v long"), "links"))
 
 
@@ -233,15 +224,58 @@ def near_duplicates(docs: DataFrame, percent: int = 85, ident: str = "doc_id", t
     shingles of five words, the whole sequence if it has fewer. Documents are linked when 100 *
     intersection >= ``percent`` * union, confirmed on the full sets. Null and empty texts have an
     empty set and are linked with nothing. Rows with a null id are linked with nothing; their
-    component is null and they are kept. Repeated rows are each returned; rows that share an id
-    are one node of the links. Columns beside ident (an integer) and text are not read.
+    component is null and they are kept. Repeated rows are each returned; rows that share an id are
+    linked with what any of their texts is. Columns beside ident (an integer) and text are not read.
+    """
+    kept = F.col(ident) == F.col("component_id")
+    return labelled_rows(docs, percent, ident, text).select(
+        F.col("doc").alias(ident), "n_shingles", F.col("component").alias("component_id")
+    ).withColumn("kept", F.coalesce(kept, F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, percent: int = 85, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row per group of linked texts, that of the smallest id; all their columns.
+
+    Rows with a null id take part here: of equal or linked texts without an id one row stays, and
+    none if one of the group has an id. Of equal rows one stays. Texts without words have no group:
+    all of them stay.
+    """
+    keys = ["no_id", "id", "text1", "text2"]
+    by_key = lambda doc: {"no_id": doc.isNull(), "id": F.coalesce(doc, F.lit(0))}
+    marks = labelled_rows(docs, percent, ident, text, null_ids=True).filter("n_shingles > 0").withColumns(by_key(F.col("doc")))
+    first = marks.groupBy("group").agg(F.min(F.struct(*keys)).alias("f")).select("f.*").distinct()
+    times = marks.groupBy(*keys).agg(F.count("*").alias("times"))
+    first = written(first.join(times, keys), "firsts")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{ident}`").cast("long").alias("doc"), *[c.alias(n) for c, n in zip(text_keys(F.col(f"`{text}`")), keys[2:], strict=True)])
+    row = row.withColumns(by_key(F.col("doc"))).drop("doc")
+    once = row.join(first.filter("times = 1"), keys, "left_semi").select("row.*")
+    # equal rows meet in part before the shuffle
+    more = row.join(first.filter("times > 1"), keys, "left_semi").dropDuplicates(keys).select("row.*")
+    empty = docs.filter(~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(WORD))
+    return once.union(more).union(empty)
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a text that are made from the text, not from each other; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)
+
+
+def labelled_rows(docs: DataFrame, percent: int, ident: str, text: str, null_ids: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc, text1, text2 (:func:`text_keys`), n_shingles, group (null without words), component (smallest id of the group).
+
+    Nodes of the links are the different sets of shingles. Rows with a null id have no group unless ``null_ids``.
     """
-    rows = docs.select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("text"))
-    marks = written(in_arrow(rows, sketched, "doc long, n_shingles long, set1 long, set2 long, sig binary"), "sketches")
-    full = marks.filter("doc is not null and n_shingles > 0")
-    classes = written(full.groupBy("set1", "set2").agg(F.min("doc").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc"), "set1", "set2"), ["doc", "set1", "set2"], "left_semi")
-    reps = reps.dropDuplicates(["doc", "set1", "set2"]).select("doc", F.col("n_shingles").alias("n"), "sig")
+    keys = [c.alias(n) for c, n in zip(text_keys(F.col(f"`{text}`")), ("text1", "text2"), strict=True)]
+    rows = docs.select(F.col(f"`{ident}`").cast("long").alias("doc"), *keys, F.col(f"`{text}`").alias("text"))
+    marks = written(in_arrow(rows, sketched, "doc long, text1 long, text2 long, n_shingles long, set1 long, set2 long, sig binary"), "sketches")
+    full = marks.filter("n_shingles > 0" if null_ids else "doc is not null and n_shingles > 0")
+    # the row whose text stands for a set: that of the smallest id
+    least = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "text1", "text2")).alias("rep")
+    classes = written(full.groupBy("set1", "set2").agg(least).withColumn("node", F.monotonically_increasing_id()), "classes")
+    chosen = classes.select("node", F.col("rep.doc").alias("d"), F.col("rep.text1").alias("text1"), F.col("rep.text2").alias("text2"), "set1", "set2")
+    is_rep = F.col("doc").eqNullSafe(F.col("d"))
+    reps = full.join(chosen, ["text1", "text2", "set1", "set2"]).filter(is_rep).dropDuplicates(["node"]).select(F.col("node").alias("doc"), F.col("n_shingles").alias("n"), "sig")
 
     band = lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(F.col("sig"), i * ROWS + 1, F.lit(ROWS))).alias("bucket"))
     spread = reps.select("doc", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("x")).select("doc", "n", "x.*")
@@ -251,17 +285,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, ident: str = "doc_id", t
 
     wanted = members.select("doc").distinct()
     sigs = written(reps.join(wanted, "doc", "left_semi").select("doc", "sig"), "signatures")
-    keyed = rows.filter("doc is not null").join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
-    texts = written(keyed.select("doc", "text"), "texts")
+    keyed = chosen.join(wanted.withColumnRenamed("doc", "node"), "node", "left_semi").select("node", "d", "text1", "text2")
+    texts = rows.join(keyed, ["text1", "text2"]).filter(is_rep).dropDuplicates(["node"])
+    texts = written(texts.select(F.col("node").alias("doc"), "text"), "texts")
 
     star = members.filter("a <> doc").filter(similar_size(F.col("n"), F.col("n_a"), percent)).select("a", F.col("doc").alias("b")).distinct()
     links = verified(star, sigs, texts, percent)
+    # texts that share an id are linked by it
+    nodes = full.filter("doc is not null").select("doc", "set1", "set2").distinct().join(classes.select("set1", "set2", "node"), ["set1", "set2"])
+    ends = nodes.groupBy("doc").agg(F.min("node").alias("u"), F.max("node").alias("m")).filter("u <> m")
+    links = links.union(written(nodes.join(ends, "doc").filter("node <> u").select("u", F.col("node").alias("v")), "same-ids"))
     more = open_links(members.select("bucket", "band", "doc", "n"), components(links), sigs, texts, percent)
     roots = components(links.union(more))
 
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("set1", "set2", F.coalesce("root", "rep").alias("class"))
-    out = marks.drop("sig").join(named, ["set1", "set2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc")).otherwise(F.when(F.col("doc").isNotNull(), F.col("class")))
-    return out.select(F.col("doc").alias(ident), "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col(ident) == F.col("component_id"), F.lit(True))
+    named = classes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("set1", "set2", "rep", F.coalesce("root", "node").alias("group"))
+    named = written(named, "groups")
+    smallest = named.groupBy("group").agg(F.min("rep.doc").alias("component"))
+    out = marks.drop("sig").join(named.join(smallest, "group").drop("rep"), ["set1", "set2"], "left").drop("set1", "set2")
+    alone = F.col("n_shingles") == 0
+    in_links = F.lit(True) if null_ids else F.col("doc").isNotNull()
+    return out.withColumn("component", F.when(alone, F.col("doc")).otherwise(F.when(F.col("doc").isNotNull(), F.col("component")))).withColumn(
+        "group", F.when(~alone & in_links, F.col("group"))
     )

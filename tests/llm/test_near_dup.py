@@ -65,12 +65,12 @@ def test_equals_all_pairs(spark):
     assert sorted(map(tuple, near_dup.near_duplicates(docs).collect())) == plain(rows, 85)
 
 
-@pytest.mark.parametrize(("block", "split_from"), [(512, 8192), (3, 8192), (5, 4)])
-def test_large_buckets_go_by_blocks_or_are_split(spark, monkeypatch, block, split_from):
-    """With no pairs allowed in a join, all is found by blocks."""
+@pytest.mark.parametrize(("block", "shingles_"), [(512, 2_000_000), (3, 2_000_000), (512, 150)])
+def test_large_buckets_go_by_blocks(spark, monkeypatch, block, shingles_):
+    """With no pairs allowed in a join, all is found by blocks, small by members or by shingles."""
     monkeypatch.setattr(near_dup, "OPEN_PER_MEMBER", 0)
     monkeypatch.setattr(near_dup, "BLOCK", block)
-    monkeypatch.setattr(near_dup, "SPLIT_FROM", split_from)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", shingles_)
     rows = fixture(6)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, near_dup.near_duplicates(docs, percent=80).collect())) == plain(rows, 80)
@@ -80,10 +80,47 @@ def test_null_and_tied_ids_and_clashing_columns(spark):
     rows = [(None, "a b c d e f", 1), (1, "a b c d e f", 2), (2, "A b c d e f", 3), (2, "A b c d e f", 3), (2, "p q r s t", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, bucket int").withColumnRenamed("bucket", "class")
     got = sorted(map(tuple, near_dup.near_duplicates(docs).collect()), key=str)
-    assert got == sorted([(None, 2, None, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (2, 1, 2, True)], key=str)
+    assert got == sorted([(None, 2, None, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (2, 1, 1, False)], key=str)
     assert near_dup.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_ids_with_several_texts_are_linked_with_what_any_of_them_is(spark):
+    rows = fixture(8)
+    by_id = {}
+    rng = random.Random(3)
+    tied = [(i if rng.random() < 0.9 else rng.choice([0, 3, 6, 9]), t) for i, t in rows]
+    for i, t in tied:
+        by_id.setdefault(i, []).append(shingle_set(t))
+    root = {i: i for i in by_id}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    flat = [(i, s) for i, sets in by_id.items() for s in sets if s]
+    for k, (a, x) in enumerate(flat):
+        for b, y in flat[k + 1 :]:
+            if 100 * len(x & y) >= 85 * len(x | y) and top(a) != top(b):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    want = sorted((i, len(shingle_set(t)), top(i) if shingle_set(t) else i) for i, t in tied)
+    got = near_dup.near_duplicates(spark.createDataFrame(tied, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_one_row_of_each_group(spark):
+    a, b, c = "a b c d e f g h i j", "p q r s t u v w x y", "k l m n o p"
+    rows = [(5, a, 1), (3, a, 2), (3, a, 2), (None, a, 3), (None, b, 4), (None, b, 4), (None, b, 5), (7, c, 6), (8, "", 7), (None, None, 8), (8, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, group int")
+    got = sorted(map(tuple, near_dup.one_of_each(docs).collect()), key=str)
+    assert [r for r in got if r[1] == b] in ([(None, b, 4)], [(None, b, 5)])
+    assert [r for r in got if r[1] != b] == sorted([(3, a, 2), (7, c, 6), (8, "", 7), (8, "", 7), (None, None, 8)], key=str)
+    rows = fixture(9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i for i, _, _, kept in plain(rows, 80) if kept}
+    assert {r.doc_id for r in near_dup.one_of_each(docs, 80).collect()} == want
+
+
 def test_signature_estimates_similarity_with_less_spread_than_independent_positions():
     rng = np.random.default_rng(0)
     gaps = []
