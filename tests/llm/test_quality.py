@@ -56,9 +56,10 @@ def test_rules_by_line(spark):
 def test_verdict_and_cleaned_text(spark):
     prose = " ".join(f"word{i}" for i in range(30))
     menu = "\n".join(f"item{i} | thing{i} | more{i} | rest{i}" for i in range(40))
-    rows = [prose, f"{prose}\nHome\n{prose[:40]}", f"{prose}\n{menu}", "too few words"]
+    tail, repeat = "and a tail of other words", prose[:40]  # the tail's windows come once, the repeat's twice
+    rows = [prose, f"{prose}\nHome\n{tail}", f"{prose}\nHome\n{repeat}", f"{prose}\n{menu}", "too few words"]
     got = [tuple(r) for r in judged(spark, rows).orderBy("doc_id").select("quality.kept", "quality.clean_text").collect()]
-    assert got == [(True, prose), (True, f"{prose}\n{prose[:40]}"), (False, prose), (False, "too few words")]
+    assert got == [(True, prose), (True, f"{prose}\n{tail}"), (False, f"{prose}\n{repeat}"), (False, prose), (False, "too few words")]
 
 
 def test_plan_is_native_and_has_no_shuffle(spark):
