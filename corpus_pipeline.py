@@ -37,9 +37,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked at similarity 0.8 or more the one with the smallest id stays."""
-    kept = near_dup.near_duplicates(docs, percent=80).filter("kept").select("doc_id").distinct()
-    # null ids are linked with nothing
-    return docs.join(kept, "doc_id", "left_semi").union(docs.filter("doc_id is null")).select(*docs.columns)
+    return near_dup.one_of_each(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
