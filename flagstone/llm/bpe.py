@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from flagstone.llm.common import in_arrow
 
 #: States and pieces that a worker keeps before it starts afresh; both only save time.
-MAX_STATES = 250_000
-MAX_PIECES = 150_000
+MAX_STATES = 120_000
+MAX_PIECES = 75_000
 #: Longer pieces go through the transducer one by one.
 LONG_PIECE = 64
 #: Texts that are split before their pieces are encoded.

@@ -67,17 +67,19 @@ def line_fails(line: Column, max_symbols: float) -> Column:
     exclamation marks where no word has a lower-case letter. Navigation: four or more pieces of at
     most four words between bars, or a menu word alone. Boilerplate: a stock phrase of web pages.
     """
-    low = F.lower(line)
     chars = F.length(line)
     symbols = chars - F.length(F.translate(line, SYMBOLS + "{}[]~^=_\\", ""))
     shouted = (F.upper(line) == line) & (F.length(line) - F.length(F.translate(line, "!", "")) >= 3)
     no_letter = ~line.rlike(r"\p{L}")
     bars = r"^(\s*[^\s|»›·]+(\s+[^\s|»›·]+){0,3}\s*[|»›·]){3,}"
-    menu = F.trim(low).isin(MENU_WORDS)
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | F.contains(low, F.lit(p))
-    failed = no_letter | (symbols > max_symbols * chars) | shouted | line.rlike(bars) | menu | phrase
+
+    def stock(low: Column) -> Column:
+        found = F.trim(low).isin(MENU_WORDS)
+        for p in BOILERPLATE:
+            found = found | F.contains(low, F.lit(p))
+        return found
+
+    failed = no_letter | (symbols > max_symbols * chars) | shouted | line.rlike(bars) | bind(F.lower(line), stock)
     return line.rlike(WORD) & failed
 
 
