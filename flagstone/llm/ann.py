@@ -24,6 +24,8 @@ from flagstone.llm.common import ship, uniform, written
 LINKS = 16
 #: Nodes kept in view while a node is inserted, and while a query is answered.
 VIEW_BUILD, VIEW_SEARCH = 96, 160
+#: A query keeps at least so many nodes in view for each dimension: near ones get rarer with it.
+VIEW_PER_DIMENSION = 6
 #: Distinct vectors of a shard, and queries that search one shard in one task, on average.
 SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
 #: Nodes expanded per query and step, and queries or new nodes that go in lock step.
@@ -172,7 +174,8 @@ class Graph:
         entry = np.zeros(len(query), np.int64)
         for layer in self.layers[:0:-1]:
             entry = walk(self.points, layer, wide, entry, 8)[0][:, 0]
-        met = walk(self.points, self.layers[0], wide, entry, max(VIEW_SEARCH, 2 * count))[0]
+        view = min(max(VIEW_SEARCH, VIEW_PER_DIMENSION * query.shape[1], 2 * count), len(self.ids) + WIDTH)
+        met = walk(self.points, self.layers[0], wide, entry, view)[0]
         exact = np.einsum("qij,qj->qi", self.vectors[met].astype(np.float64), query.astype(np.float64))
         exact = np.where(met >= 0, exact, -np.inf)
         order = np.lexsort((np.where(met >= 0, self.ids[met], 2**62), -exact))[:, :count]
