@@ -2,11 +2,11 @@
 
 Documents are counted into cells (source, language, topic) with their tokens. The cells' weights
 are scaled to the target of each marginal in turn until all hold. As no document can be kept more
-than once, this is done under the bound that a cell keeps at most all its tokens: what a full cell
-cannot give, the others of the marginal do in the next sweep. If the wanted share of tokens is too
-large for the targets, the largest share for which they hold is kept; if they contradict each other
-at any share, the closest weights are used and the gaps are told by :func:`gaps`. A document is
-then kept with the probability of its cell, by a hash of its id.
+than once, both targets and rates are bounded: a value's target is at most what all its tokens come to
+at the wanted share, the others of its dimension taking the rest, and a full cell leaves what it cannot
+give to the other cells of its marginals in the next sweep. If the marginals contradict each other all
+the same, the closest rates are used and the gaps are told by :func:`gaps`. A document is then kept
+with the probability of its cell, by a hash of its id.
 """
 
 from __future__ import annotations
@@ -25,9 +25,7 @@ MISSING = "(none)"
 MAX_CELLS = 1_000_000
 #: A marginal holds if its shares are this near to their targets. Sweeps end when all hold, when
 #: nothing moves any more, or after so many.
-TOLERANCE, MAX_SWEEPS = 1e-3, 3000
-#: Steps in the search for the largest share that the targets allow.
-SHARE_STEPS = 12
+TOLERANCE, MAX_SWEEPS = 2e-3, 3000
 
 
 def measures(text: Column) -> Column:
@@ -75,6 +73,18 @@ def target_shares(tokens: np.ndarray, values: np.ndarray, explicit: dict[str, fl
     return wanted / total if total > 0 else wanted
 
 
+def attainable(target: np.ndarray, tokens: np.ndarray, kept: float) -> np.ndarray:
+    """``target`` where no value has more than all its tokens at the ``kept`` share of all; the others take the rest in proportion."""
+    most = tokens / tokens.sum() / kept
+    got, full = target.copy(), np.zeros(len(target), bool)
+    while (over := ~full & (got > most)).any():
+        full |= over
+        rest = target[~full].sum()
+        left = 1 - most[full].sum()
+        got = np.where(full, most, target * (left / rest if rest > 0 else 0.0))
+    return got
+
+
 def raked(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], kept: float) -> tuple[np.ndarray, float]:
     """Rates in [0, 1] of the cells whose kept tokens fit ``kept`` of all times the targets, and the largest gap left.
 
@@ -90,7 +100,7 @@ def raked(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray
             factor = np.minimum(factor * scale[place], 1e12)
         rate = np.minimum(factor, 1.0)
         gap = largest_gap(tokens, places, targets, rate)
-        if gap <= TOLERANCE / 10 or (before is not None and np.abs(rate - before).max(initial=0) < 1e-9):
+        if gap <= TOLERANCE / 20 or (before is not None and np.abs(rate - before).max(initial=0) < 1e-9):
             break
         before = rate
     return rate, gap
@@ -105,32 +115,9 @@ def largest_gap(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.n
     return max(float(np.abs(np.bincount(p, kept, len(t)) / total - t).max(initial=0)) for p, t in zip(places, targets, strict=True))
 
 
-def best_rates(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], kept: float) -> tuple[np.ndarray, bool]:
-    """Rates for the largest share up to ``kept`` at which the targets hold; if there is none, the closest at ``kept``."""
-    rate, gap = raked(tokens, places, targets, kept)
-    if gap <= TOLERANCE:
-        return rate, True
-    small, found = 0.0, None
-    large = kept
-    # a value cannot keep more than all its tokens: no larger share can do
-    for p, t in zip(places, targets, strict=True):
-        have = np.bincount(p, tokens, len(t)) / tokens.sum()
-        large = min(large, float(np.min(np.divide(have, t, out=np.full(len(t), np.inf), where=t > 0), initial=np.inf)))
-    tried = large
-    for _ in range(SHARE_STEPS):
-        now, gap = raked(tokens, places, targets, tried)
-        if gap <= TOLERANCE:
-            small, found = tried, now
-            if tried == large:
-                break
-        else:
-            large = tried
-        tried = (small + large) / 2
-    return (rate, False) if found is None else (found, True)
-
-
 def keep_rates(cells: DataFrame, targets: dict[str, dict[str, float] | None], flatten: float, kept_share: float) -> DataFrame:
-    """``cells`` (dimensions, tokens) with ``rate``, what part of a cell's tokens stays, and ``fits``, whether all targets hold.
+    """``cells`` (dimensions, tokens) with ``rate``, what part of a cell's tokens stays, ``fits``, whether all
+    marginals hold, and for each dimension ``target_<dimension>``, the target of the cell's value.
 
     Cells without tokens keep all their documents. One task takes all cells, which are as few as the
     values of the dimensions allow and do not grow with the documents; their number is checked.
@@ -139,36 +126,34 @@ def keep_rates(cells: DataFrame, targets: dict[str, dict[str, float] | None], fl
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(DIMENSIONS), ignore_index=True)
         tokens = pdf["tokens"].to_numpy(float)
-        rate, fits = np.ones(len(pdf)), True
+        rate, gap, places, shares = np.ones(len(pdf)), 0.0, [], []
+        for d in DIMENSIONS:
+            values, place = np.unique(pdf[d].to_numpy(str), return_inverse=True)
+            sums = np.bincount(place, tokens, len(values))
+            share = target_shares(sums, values, targets.get(d), flatten)
+            places.append(place)
+            shares.append(attainable(share, sums, kept_share) if tokens.sum() > 0 else share)
+            pdf[f"target_{d}"] = shares[-1][place]
         if tokens.sum() > 0:
-            places, shares = [], []
-            for d in DIMENSIONS:
-                values, place = np.unique(pdf[d].to_numpy(str), return_inverse=True)
-                places.append(place)
-                shares.append(target_shares(np.bincount(place, tokens, len(values)), values, targets.get(d), flatten))
-            rate, fits = best_rates(tokens, places, shares, kept_share)
+            rate, gap = raked(tokens, places, shares, kept_share)
         pdf["rate"] = np.where(tokens > 0, rate, 1.0)
-        pdf["fits"] = fits
-        return pdf[[*DIMENSIONS, "tokens", "rate", "fits"]]
+        pdf["fits"] = gap <= TOLERANCE
+        return pdf[[*DIMENSIONS, "tokens", "rate", "fits", *[f"target_{d}" for d in DIMENSIONS]]]
 
     if (count := cells.count()) > MAX_CELLS:
         raise ValueError(f"{count} cells of source, language and topic; at most {MAX_CELLS}: give coarser values")
-    schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", tokens long, rate double, fits boolean"
+    schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", tokens long, rate double, fits boolean, " + ", ".join(f"target_{d} double" for d in DIMENSIONS)
     ship(cells.sparkSession)
     return cells.select(*DIMENSIONS, "tokens", F.lit(0).alias("one")).groupBy("one").applyInPandas(fit, schema)
 
 
-def gaps(rates: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, flatten: float = 0.5) -> DataFrame:
+def gaps(rates: DataFrame) -> DataFrame:
     """(dimension, value, target, share) of the kept tokens of :func:`keep_rates`: what the rates make of each target."""
+    whole = rates.agg(F.sum(F.col("tokens") * F.col("rate")).alias("all"))  # one row
     out = None
     for d in DIMENSIONS:
-        explicit = (targets or {}).get(d)
-        sums = rates.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("rate")).alias("k"))
-        pairs = [x for k, v in (explicit or {}).items() for x in (F.lit(k), F.lit(float(v)))]
-        own = F.pow("t", F.lit(flatten)) if explicit is None else F.coalesce(F.element_at(F.create_map(*pairs), F.col("value")), F.lit(0.0))
-        sums = sums.withColumn("w", F.when(F.col("t") > 0, own).otherwise(0.0))
-        whole = sums.agg(F.sum("w").alias("all_w"), F.sum("k").alias("all_k"))  # one row
-        part = sums.join(F.broadcast(whole)).select(F.lit(d).alias("dimension"), "value", F.try_divide("w", "all_w").alias("target"), F.try_divide("k", "all_k").alias("share"))
+        kept = rates.groupBy(F.col(d).alias("value")).agg(F.max(f"target_{d}").alias("target"), F.sum(F.col("tokens") * F.col("rate")).alias("k"))
+        part = kept.join(F.broadcast(whole)).select(F.lit(d).alias("dimension"), "value", "target", F.try_divide("k", "all").alias("share"))
         out = part if out is None else out.union(part)
     return out
 
@@ -214,9 +199,9 @@ def mix(docs: DataFrame, text: str = "text", topic: Column | None = None, **sett
     """``docs`` with the struct column ``mix``: topic, n_tokens (words), rate, weight (1 / rate), sampled, fits.
 
     Marginals of source, lang and topic: ``targets`` per dimension, or the shares raised to
-    ``flatten`` (1: as they are, 0: all alike). ``kept_share`` of the tokens stay, or the largest
-    smaller share for which all marginals hold; if none does, ``fits`` is false on all rows and the
-    rates are the closest. Cells without tokens keep all their documents.
+    ``flatten`` (1: as they are, 0: all alike), in both cases no more than all tokens of a value come to
+    when ``kept_share`` of all stay. If the marginals contradict each other, ``fits`` is false on all
+    rows and the rates are the closest. Cells without tokens keep all their documents.
     Repeated rows and rows with the same id share their fate. All rows come back; ``sampled`` tells
     which stay. Other columns are untouched, whatever their names; one named
     ``mix`` is replaced.

@@ -1,5 +1,6 @@
 """Raking against a plain version, and what sampling keeps."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -58,50 +59,72 @@ def test_without_full_cells_the_rates_are_those_of_the_textbook(spark):
         assert got[c] * counts[c] == pytest.approx(0.1 * sum(counts.values()) * w, rel=5e-3)
 
 
-@pytest.mark.parametrize("share", [0.3, 0.7, 1.0])
+def check_targets(rated, counts, flat, share):
+    """Targets add up to 1, ask for no more than there is, and are in proportion where there is enough; gaps are those of the rates."""
+    told = {(mixing.DIMENSIONS.index(r.dimension), r.value): (r.target, r.share) for r in mixing.gaps(rated).collect()}
+    rates = {(r.source, r.lang, r.topic): r.rate for r in rated.collect()}
+    assert all(0 <= r <= 1 for r in rates.values())
+    kept = {c: r * counts[c] for c, r in rates.items()}
+    have, supply = marginals(kept, kept), marginals(counts, counts)
+    total = sum(counts.values())
+    for d in range(3):
+        mine = {v: told[e, v][0] for e, v in told if e == d and (d, v) in flat}
+        assert sum(mine.values()) == pytest.approx(1)
+        open_ = [v for v in mine if mine[v] < supply[d, v] / total / share * (1 - 1e-9)]
+        assert all(mine[v] <= supply[d, v] / total / share * (1 + 1e-9) for v in mine)
+        ratios = [mine[v] / flat[d, v] for v in open_]
+        assert not ratios or max(ratios) == pytest.approx(min(ratios))
+        assert all(mine[v] <= flat[d, v] * max(ratios, default=math.inf) * (1 + 1e-9) for v in mine)
+    for key, (_, got) in told.items():
+        assert got == pytest.approx(have[key] / sum(kept.values()))
+    return told, kept
+
+
+@pytest.mark.parametrize("share", [0.3, 0.7, 0.9, 1.0])
 def test_kept_shares_fit_all_marginals_although_cells_are_full(spark, share):
     cells, counts = counted(spark, crossed(spark))
     rated = mixing.keep_rates(cells, {}, 0.5, share)
-    rates = {(r.source, r.lang, r.topic): r.rate for r in rated.collect()}
-    assert all(0 <= r <= 1 for r in rates.values()) and rated.first().fits
-    kept = {c: r * counts[c] for c, r in rates.items()}
-    have, targets = marginals(kept, kept), plain_targets(counts, 0.5)
-    assert all(have[k] / sum(kept.values()) == pytest.approx(t, abs=0.002) for k, t in targets.items())
-    assert sum(kept.values()) <= share * sum(counts.values()) * 1.001
-    if share == 1.0:  # the largest share: some value keeps nearly all its tokens
-        whole = marginals(counts, counts)
-        assert max(have[k] / whole[k] for k in targets) > 0.9 or max(rates.values()) == 1
-    told = {(r.dimension, r.value): (r.target, r.share) for r in mixing.gaps(rated).collect()}
-    for k, t in targets.items():
-        assert told[mixing.DIMENSIONS[k[0]], k[1]] == (pytest.approx(t), pytest.approx(have[k] / sum(kept.values())))
-
-
-def test_the_query_fits_its_marginals(spark):
-    """On the given table: kept token shares within 0.01 of the targets."""
-    table = spark.read.parquet(f"{SF01}/documents.parquet")
-    cells, counts = counted(spark, table)
-    rated = mixing.keep_rates(cells, {}, 0.5, 0.7)
-    told = mixing.gaps(rated).collect()
+    told, kept = check_targets(rated, counts, plain_targets(counts, 0.5), share)
     assert rated.first().fits
-    assert all(abs(r.target - r.share) < 0.01 for r in told) and len(told) > 8
+    assert all(abs(t - got) <= mixing.TOLERANCE for t, got in told.values())
+    assert sum(kept.values()) == pytest.approx(share * sum(counts.values()), rel=0.005)
+
+
+@pytest.mark.parametrize("share", [0.7, 0.8])
+def test_the_query_fits_its_marginals(spark, share):
+    """On a given table: kept token shares within 0.01 of the targets."""
+    cells, counts = counted(spark, spark.read.parquet(f"{SF01}/documents.parquet"))
+    rated = mixing.keep_rates(cells, {}, 0.5, share)
+    told, kept = check_targets(rated, counts, plain_targets(counts, 0.5), share)
+    assert rated.first().fits and len(told) > 8
+    assert all(abs(t - got) < 0.01 for t, got in told.values())
+    assert sum(kept.values()) == pytest.approx(share * sum(counts.values()), rel=0.005)
 
 
 def test_targets_that_contradict_each_other_are_told(spark):
     """Of ``docs``, the topic code lies wholly inside a source with a smaller target."""
     cells, counts = counted(spark)
-    rated = mixing.keep_rates(cells, {}, 0.5, 0.7)
+    rated = mixing.keep_rates(cells, {}, 0.5, 0.3)
+    told, _ = check_targets(rated, counts, plain_targets(counts, 0.5), 0.3)
     assert not rated.first().fits
-    rows = mixing.gaps(rated).collect()
-    assert max(abs(r.target - r.share) for r in rows) > 0.01
-    assert all(0 <= r.rate <= 1 for r in rated.collect())
-    assert not mixing.mix(docs(spark)).first().mix.fits
+    assert max(abs(t - got) for t, got in told.values()) > 0.01
+    assert {r.mix.fits for r in mixing.mix(docs(spark), kept_share=0.3).select("mix").collect()} == {False}
+
+
+def test_rare_values_do_not_shrink_the_mixture(spark):
+    """A language with one document in a thousand is kept whole; the wanted share of tokens stays."""
+    table = crossed(spark).withColumn("lang", F.when(F.col("doc_id") < 3, "rare").otherwise(F.col("lang")))
+    cells, counts = counted(spark, table)
+    rated = mixing.keep_rates(cells, {}, 0.5, 0.8)
+    _, kept = check_targets(rated, counts, plain_targets(counts, 0.5), 0.8)
+    assert sum(kept.values()) == pytest.approx(0.8 * sum(counts.values()), rel=0.01)
+    assert all(r.rate > 0.99 for r in rated.where("lang = 'rare'").collect())
 
 
 def test_explicit_targets(spark):
     cells, _ = counted(spark, crossed(spark))
-    rated = mixing.keep_rates(cells, {"lang": {"en": 3.0, "de": 1.0}}, 1.0, 0.9)
-    told = {r.value: r.share for r in mixing.gaps(rated, {"lang": {"en": 3.0, "de": 1.0}}, 1.0).where("dimension = 'lang'").collect()}
-    assert told["fr"] == 0 and told["en"] == pytest.approx(0.75, abs=0.002) and told["de"] == pytest.approx(0.25, abs=0.002)
+    told = {r.value: r.share for r in mixing.gaps(mixing.keep_rates(cells, {"lang": {"en": 3.0, "de": 1.0}}, 1.0, 0.5)).where("dimension = 'lang'").collect()}
+    assert told["fr"] == 0 and told["en"] == pytest.approx(0.75, abs=0.003) and told["de"] == pytest.approx(0.25, abs=0.003)
 
 
 def test_too_many_cells_are_refused(spark, monkeypatch):
