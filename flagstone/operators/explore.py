@@ -5,6 +5,9 @@ run where the data is, and only the page the caller asks for leaves Spark.
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,9 +129,13 @@ def page(
     page_size: int = PAGE_SIZE,
     total_rows: int | None = None,
     max_task_rows: int = MAX_TASK_ROWS,
+    directory: PageDirectory | None = None,
 ) -> DataFrame:
     """One page of ``df`` in the order of ``keys`` (G4); the page number is clamped to the last page.
 
+    With the ``directory`` of these rows and keys (:func:`page_directory`) the rows are neither counted
+    nor shuffled: it names the keys between which the page lies.
+
     Rows that tie on the keys are ordered by a hash of the whole row, on every page, so that pages
     neither repeat nor skip rows; only identical rows tie after that, and any of them will do. While
     more than ``max_task_rows`` rows may precede the page, the rows are range-partitioned on the
@@ -136,15 +143,19 @@ def page(
     kept, by a filter on their first and last key. The page is then a top-k inside those rows, so
     neither a task nor the one that merges their rows holds more than about ``max_task_rows`` of
     each task, whatever the page number."""
+    if directory is not None:
+        total_rows = directory.rows
     n = total_rows if total_rows is not None else df.count()
     last = max(1, -(-n // page_size)) - 1
     safe = min(max(number, 0), last)
     start = safe * page_size
     size = max(0, min(page_size, n - start))
-    keys = keys + [(F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]), False)]
+    keys = _total(df, keys)
     part, rows = df, n
     while start + size > max_task_rows:
-        lo_text, hi_text, types, skipped, covered = _covering_ranges(part, keys, start, size, rows, max_task_rows)
+        known = directory or page_directory(part, keys, max_task_rows, rows, total=True)
+        lo_text, hi_text, types, skipped, covered = known.covering(start, size)
+        directory = None
         lo = [_restore(v, t) for v, t in zip(lo_text, types)]
         hi = [_restore(v, t) for v, t in zip(hi_text, types)]
         if lo_text == hi_text:  # the page lies inside one group of identical rows: any of them
@@ -156,13 +167,48 @@ def page(
     return part.orderBy(*_order(keys)).offset(start).limit(size)
 
 
-def _covering_ranges(part: DataFrame, keys: list[SortKey], start: int, size: int, rows: int, max_task_rows: int):
-    """Range-partition ``part`` on the sort keys, count rows per range and return the first key
-    of the range holding row ``start`` and the last key of the range holding the page's last row
-    (as exact text, with the key types), the rows before the first range and the rows of the
-    covering ranges."""
+def _total(df: DataFrame, keys: list[SortKey]) -> list[SortKey]:
+    """``keys`` with a hash of the whole row behind them, so that only identical rows tie."""
+    return keys + [(F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]), False)]
+
+
+@dataclass(frozen=True)
+class PageDirectory:
+    """Where the rows of one order lie: ranges of it, each with its rows and its first and last key as exact text."""
+
+    rows: int
+    types: tuple[T.DataType, ...]
+    ranges: tuple[tuple[int, tuple, tuple], ...]
+
+    def covering(self, start: int, size: int) -> tuple[list, list, list[T.DataType], int, int]:
+        """The first key of the range holding row ``start`` and the last key of the range holding the
+        last of ``size`` rows, the key types, the rows before the first range and those of the ranges."""
+        seen, first, skipped = 0, None, 0
+        for n, lo, hi in self.ranges:
+            if first is None and seen + n > start:
+                first, skipped = lo, seen
+            seen += n
+            if first is not None and seen >= start + size:
+                return list(first), list(hi), list(self.types), skipped, seen - skipped
+        raise RuntimeError("rows changed between the count and the range statistics")
+
+    def text(self) -> str:
+        return json.dumps({"rows": self.rows, "types": [t.json() for t in self.types], "ranges": self.ranges})
+
+    @staticmethod
+    def parsed(text: str) -> PageDirectory:
+        fields = json.loads(text)
+        types = tuple(T._parse_datatype_json_string(t) for t in fields["types"])
+        return PageDirectory(fields["rows"], types, tuple((n, tuple(lo), tuple(hi)) for n, lo, hi in fields["ranges"]))
+
+
+def page_directory(df: DataFrame, keys: list[SortKey], max_task_rows: int = MAX_TASK_ROWS, rows: int | None = None, total: bool = False) -> PageDirectory:
+    """Range-partitions ``df`` on the sort keys once and keeps the ranges' counts and border keys (one
+    small row a range), for any number of pages of this order. Belongs to one version of the rows."""
+    keys = keys if total else _total(df, keys)
+    rows = df.count() if rows is None else rows
     names = [f"_k{i}" for i in range(len(keys))]
-    kdf = part.select(*[e.alias(nm) for (e, _), nm in zip(keys, names)])
+    kdf = df.select(*[e.alias(nm) for (e, _), nm in zip(keys, names)])
     order = _order([(F.col(nm), d) for nm, (_, d) in zip(names, keys)])
     ranges = min(MAX_RANGES, max(2, -(-2 * rows // max_task_rows)))
     types = [f.dataType for f in kdf.schema.fields]
@@ -176,14 +222,7 @@ def _covering_ranges(part: DataFrame, keys: list[SortKey], start: int, size: int
         .orderBy("_p")
         .collect()
     )
-    seen, first, skipped = 0, None, 0
-    for r in stats:
-        if first is None and seen + r._n > start:
-            first, skipped = r, seen
-        seen += r._n
-        if first is not None and seen >= start + size:
-            return list(first._lo), list(r._hi), types, skipped, seen - skipped
-    raise RuntimeError("rows changed between the count and the range statistics")
+    return PageDirectory(sum(r._n for r in stats), tuple(types), tuple((r._n, tuple(r._lo), tuple(r._hi)) for r in stats))
 
 
 def _carry(c: Column, t: T.DataType) -> Column:

@@ -177,6 +177,19 @@ def review_commit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_log.outcomes(spark, root, early).unionByName(review_log.outcomes(spark, root, late))
 
 
+def open_case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open cases per rule after the batch, by changes to stored counts instead of a recount."""
+    from flagstone.sources import case_counts, review_log
+    from flagstone.sources.snapshot import default_root
+
+    reviews, batch = review_inputs(spark, sf_dir)
+    log, root = (default_root(spark, f"{name}-{uuid.uuid4().hex}") for name in ("review_log", "case_counts"))
+    review_log.create_log(reviews, log)
+    case_counts.start_counts(all_flagged_keys(spark, sf_dir), log, root)
+    review_log.commit_batch(log, batch)
+    return case_counts.open_counts(spark, log, root)
+
+
 AUDIT = ("auditor", "decision_types", "decided_sales_person", "comments")
 
 
@@ -225,6 +238,7 @@ REVIEW_QUERIES: dict[str, Query] = {
     "flagged_after_review": flagged_after_review,
     "review_commit": review_commit,
     "review_commit_outcomes": review_commit_outcomes,
+    "open_case_counts": open_case_counts,
     "reviews_list": reviews_list,
     "reviews_list_11": _reviews_list("11"),
     "reviews_list_L1": _reviews_list("L1"),
@@ -375,6 +389,33 @@ def table_page_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(df, keys, middle, total_rows=n, max_task_rows=500).drop("case_key")
 
 
+def table_page_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle page of rule 3 sorted by amount, between keys from a kept directory: no count and no sort of all rows."""
+    from flagstone.operators.explore import PAGE_SIZE, page, sort_keys
+    from flagstone.sources.page_store import kept_directory
+    from flagstone.sources.snapshot import default_root
+
+    df = _flagged_3(spark, sf_dir, with_key=True)
+    keys = sort_keys(df, "total_amount", False, base_order=[("order_date_time", False), ("case_key", False)])
+    root = default_root(spark, f"pages-{uuid.uuid4().hex}")
+    kept = kept_directory(df, keys, root, "1", "rule 3 by total_amount", max_task_rows=500)
+    middle = (max(1, -(-kept.rows // PAGE_SIZE)) - 1) // 2
+    return page(df, keys, middle, max_task_rows=500, directory=kept).drop("case_key")
+
+
+def _search_indexed(text: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Rows of rule 3 that contain a text, by trigram postings."""
+        from flagstone.sources.search_index import build_search_index, search_indexed
+        from flagstone.sources.snapshot import default_root
+
+        root = default_root(spark, f"search-{uuid.uuid4().hex}")
+        build_search_index(_flagged_3(spark, sf_dir), root)
+        return search_indexed(spark, root, text)
+
+    return run
+
+
 def report_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flagstone.operators.render import render_report
 
@@ -410,6 +451,59 @@ def snapshot_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_snapshot(spark, root)
 
 
+#: What the first refresh of :func:`snapshot_refresh_changed` sees differently.
+LATE_MONTH, CHANGED_MONTH = "2026-06", "2026-03"
+
+
+def _changed_snapshot(spark: SparkSession, sf_dir: str) -> str:
+    """A snapshot refreshed twice: before the second time the orders had no late month, and other
+    amounts in one month. The second refresh writes these two months and no other."""
+    from flagstone.sources.manifest import refresh_changed
+    from flagstone.sources.snapshot import default_root, with_month
+
+    orders = with_month(scan_assisted_orders(spark, sf_dir))
+    month = F.col("order_month")
+    earlier = orders.where(month.isNull() | (month != LATE_MONTH)).withColumn("total_amount", F.when(month == CHANGED_MONTH, F.col("total_amount") + 1).otherwise(F.col("total_amount")))
+    root = default_root(spark, f"manifest-{uuid.uuid4().hex}")
+    refresh_changed(earlier, root)
+    refresh_changed(orders, root)
+    return root
+
+
+def snapshot_refresh_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order table after a refresh that wrote the changed months alone (A2)."""
+    from flagstone.sources.manifest import read_manifest
+
+    return read_manifest(spark, _changed_snapshot(spark, sf_dir))
+
+
+def snapshot_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each month of that snapshot, counted from its files, and the refresh that wrote them (A2, A3)."""
+    from flagstone.sources.manifest import manifest_parts, read_manifest
+
+    root = _changed_snapshot(spark, sf_dir)
+    counted = read_manifest(spark, root).groupBy("order_month").agg(F.count(F.lit(1)).alias("rows"))
+    return manifest_parts(spark, root).drop("rows").join(counted, "order_month")
+
+
+def lead_expected_category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order amounts joined to overlapping bands, one per customer balance, over the segment tree."""
+    from flagstone.operators.bands import segment_tree_join
+
+    values = scan_assisted_orders(spark, sf_dir).groupBy("oldest_order_number").agg(F.max("total_amount").alias("final_order_value"))
+    return segment_tree_join(values, customer_bands(spark, sf_dir)).groupBy("oldest_order_number", "final_order_value").agg(
+        F.count("expected_category").alias("n_bands"), F.min("expected_category").alias("first_band"), F.max("expected_category").alias("last_band")
+    )
+
+
+def customer_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A band per customer: from 40 times the balance on, as wide as the balance; without end where it is above 9,900."""
+    balance = F.col("c_acctbal").cast("double")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_name").alias("category"), (balance * 40).alias("min_value"), F.when(balance <= 9900, balance * 41).alias("max_value")
+    )
+
+
 def filled(df: DataFrame) -> DataFrame:
     """(column, filled): how many rows of ``df`` hold a value, from one aggregation."""
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
@@ -479,6 +573,9 @@ MORE_QUERIES: dict[str, Query] = {
     "roster_members": roster_members,
     "table_search": table_search,
     "table_search_amount": table_search_amount,
+    "table_search_indexed": _search_indexed(SEARCH_TEXT),
+    "table_search_amount_indexed": _search_indexed(SEARCH_AMOUNT),
+    "table_page_directory": table_page_directory,
     "table_sort_natural": table_sort_natural,
     "table_page": table_page,
     "table_page_middle": table_page_middle,
@@ -487,6 +584,9 @@ MORE_QUERIES: dict[str, Query] = {
     "reviews_report": reviews_report,
     "case_summary": case_summary,
     "snapshot_refresh": snapshot_refresh,
+    "snapshot_refresh_changed": snapshot_refresh_changed,
+    "snapshot_parts": snapshot_parts,
+    "lead_expected_category_tree": lead_expected_category_tree,
     "snapshot_info": snapshot_info,
     "report_columns": report_columns,
     "review_save": review_save,

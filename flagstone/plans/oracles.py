@@ -470,6 +470,15 @@ def flagged_after_review_sql() -> str:
     )
 
 
+def open_case_counts_sql() -> str:
+    registry = " UNION ALL ".join(f"SELECT '{rid}' AS rule_id, '{TITLES[rid]}' AS title" for rid in REGISTRY_ORDER)
+    return (
+        review_ctes()
+        + f"SELECT g.rule_id, g.title, CAST(COUNT(f.case_key) AS BIGINT) AS flagged FROM ({registry}) g LEFT JOIN flagged_rows f ON f.rule_id = g.rule_id"
+        " AND NOT EXISTS (SELECT 1 FROM new_reviews r WHERE r.rule_id = f.rule_id AND r.case_key = f.case_key) GROUP BY g.rule_id, g.title"
+    )
+
+
 def reviews_list_of_sql(rule_id: str) -> str:
     if rule_id == "11":
         table, key, cols, h = f"unassisted_orders WHERE ({ORACLE_RULES['11'][1]})", UNASSISTED_KEY_SQL, ORACLE_RULES["11"][3], "k"
@@ -521,6 +530,7 @@ REVIEW_ORACLES = {
     "flagged_after_review": flagged_after_review_sql,
     "review_commit": review_apply_sql,
     "review_commit_outcomes": review_outcomes_sql,
+    "open_case_counts": open_case_counts_sql,
     "reviews_list": reviews_list_sql,
     "reviews_list_11": lambda: reviews_list_of_sql("11"),
     "reviews_list_L1": lambda: reviews_list_of_sql("L1"),
@@ -744,9 +754,23 @@ R3_LABELS = [
 # the declared order table, and the partition column at its end
 SNAPSHOT_TYPES = [(f.name, f.dataType.simpleString()) for f in ASSISTED_ORDERS.fields] + [("order_month", "string")]
 
+_WITH_MONTH = "SELECT * EXCLUDE (k, s), strftime(order_date_time, '%Y-%m') AS order_month FROM assisted_orders"
+
 EXPLORE_ORACLES = {
+    "snapshot_refresh_changed": lambda: duckdb_with("assisted_orders") + _WITH_MONTH,
+    "snapshot_parts": lambda: duckdb_with("assisted_orders")
+    + f"SELECT order_month, CASE WHEN order_month IN ('2026-06', '2026-03') THEN 1 ELSE 0 END AS written_by, count(*) AS rows FROM ({_WITH_MONTH}) GROUP BY order_month",
+    "lead_expected_category_tree": lambda: duckdb_with("assisted_orders")
+    + """SELECT v.oldest_order_number, v.final_order_value, count(c_name) AS n_bands, min(c_name) AS first_band, max(c_name) AS last_band
+FROM (SELECT oldest_order_number, max(total_amount) AS final_order_value FROM assisted_orders GROUP BY oldest_order_number) v
+LEFT JOIN (SELECT c_name, c_acctbal::DOUBLE AS balance FROM customer) c
+  ON v.final_order_value >= balance * 40 AND (balance > 9900 OR v.final_order_value < balance * 41)
+GROUP BY v.oldest_order_number, v.final_order_value""",
     "table_search": lambda: search_sql("  Jan 2026, 1"),
     "table_search_amount": lambda: search_sql(",50,"),
+    "table_search_indexed": lambda: search_sql("  Jan 2026, 1"),
+    "table_search_amount_indexed": lambda: search_sql(",50,"),
+    "table_page_directory": page_middle_sql,
     "table_sort_natural": sort_natural_sql,
     "table_page": page_sql,
     "table_page_middle": page_middle_sql,
