@@ -72,9 +72,10 @@ class DigestArray:
         return out
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and its parent domains."""
-    out, at = [host], host.find(".")
+def suffixes(host: str, longest: int) -> list[str]:
+    """The host and its parent domains of at most ``longest`` characters, so that a host of many dots makes few."""
+    spare = len(host) - longest
+    out, at = ([host], host.find(".")) if spare <= 0 else ([], host.find(".", spare - 1))
     while at >= 0:
         out.append(host[at + 1 :])
         at = host.find(".", at + 1)
@@ -107,11 +108,11 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = DigestArray(SparkFiles.get(name))
-        lengths = [int(x) for x in store.lengths]
+        lengths, longest = [int(x) for x in store.lengths], int(max(store.host_chars, default=0))
         for batch in batches:
             owner, texts, chars = [], [], []
             for row, (host, path) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for part in suffixes(host) if host else ():
+                for part in suffixes(host, longest) if host else ():
                     for n in lengths:
                         if n <= len(path):
                             owner.append(row)

@@ -59,3 +59,11 @@ def test_too_many_rules_are_refused(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "MAX_PACKED_BYTES", 10)
     with pytest.raises(ValueError):
         url_filter.judge_urls(spark, spark.createDataFrame([(1, "u")], "page_id long, url string"), URL_RULES)
+
+
+def test_parent_domains_are_bounded_by_the_longest_rule():
+    for host in ("", "org", "a.org", "x.example.org", ".", "..", "a..b", "example.org."):
+        every = [host] + [host[i + 1 :] for i, c in enumerate(host) if c == "."]
+        for longest in (0, 1, 3, 5, 11, 50):
+            assert url_filter.suffixes(host, longest) == [x for x in every if len(x) <= longest]
+    assert len(url_filter.suffixes("." * 100_000, 11)) == 12
