@@ -212,11 +212,13 @@ def _drop(spark: SparkSession, path: str) -> None:
 def stage(root: str, decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES, batch: str | None = None) -> Staged:
     """Decides a batch on the newest version and writes its outcomes and delta, without a commit.
 
-    Only reviews of cases named by the batch are taken from the table, and only cases that it saved
-    or edited are written. ``decisions`` are read more than once: they have to be stored rows."""
+    Only reviews of cases named by the batch are taken from the table (base folders of other rules are
+    not read), and only cases that it saved or edited are written. ``decisions`` are read more than once: they have to be stored rows."""
     spark, name = decisions.sparkSession, uuid.uuid4().hex
     read = latest(spark, root)
-    touched = read_log(spark, root, read).join(_named(decisions, rules), KEYS, "left_semi")
+    named = _named(decisions, rules)
+    rule_ids = [r.rule_id for r in named.select("rule_id").distinct().collect()]  # of the registry
+    touched = read_log(spark, root, read, rule_ids).join(named, KEYS, "left_semi")
     rows, outcomes = apply_decisions(touched, decisions, rules)
     _write(outcomes, f"{root}/outcomes/{name}", False)
     done = spark.read.schema(outcomes.schema).parquet(f"{root}/outcomes/{name}").where(F.col("status").isin("saved", "edited"))
