@@ -26,6 +26,8 @@ from flagstone.llm.common import in_arrow, ship, written
 FEATURES, GRAMS = 1 << 15, (1, 2, 3)
 #: Training documents per language, and languages; more languages are an error.
 SAMPLE_PER_LANG, MAX_LANGS = 1000, 512
+#: Bits of the order by which a step counts a language's rows: at most 256 counts a language and step.
+RANGE_BITS = 8
 #: Every so many-th sampled document sets the temperature instead of the weights.
 CALIBRATION_EVERY = 5
 #: What a text without a letter is said to be.
@@ -161,24 +163,55 @@ def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(counts[found], texts))], names=["feature", "n"])
 
 
+def sample_ends(rows: DataFrame) -> dict[str, int]:
+    """For each language the value of ``order`` up to which its first SAMPLE_PER_LANG rows (lang, order) reach, or little more.
+
+    Counts per range of ``order`` tell in which range the last of them lies; ranges that hold more
+    than SAMPLE_PER_LANG rows are counted anew by finer ones. So no task gets the rows of a language, only
+    their counts, and what is left of one is at most twice the sample, unless rows have equal orders.
+    """
+    # the order without its sign: as unsigned bits it sorts alike
+    rows = rows.select("lang", F.col("order").bitwiseXOR(F.lit(-(2**63))).alias("bits"))
+    ends: dict[str, int] = {}
+    open_: dict[str, tuple[int, int]] | None = None  # language: range that holds the last row, rows wanted of it
+    for width in range(RANGE_BITS, 65, RANGE_BITS):
+        part = F.shiftrightunsigned("bits", 64 - width)
+        if open_ is None:
+            held, need = rows, F.lit(SAMPLE_PER_LANG).cast("long")
+        else:
+            wanted = rows.sparkSession.createDataFrame([(k, *v) for k, v in open_.items()], "lang string, range long, need long")
+            held = rows.join(F.broadcast(wanted), "lang").filter(F.shiftrightunsigned("bits", 64 - width + RANGE_BITS) == F.col("range"))
+            need = F.col("need")
+        counts = held.groupBy("lang", part.alias("part"), need.alias("need")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("lang").orderBy("part"))
+        reached = counts.withColumn("upto", upto).withColumn("enough", F.col("upto") >= F.col("need"))
+        # the first range with enough rows, else the last one
+        best = F.min(F.struct(~F.col("enough"), F.when(F.col("enough"), F.col("part")).otherwise(-F.col("part")), "part", "n", (F.col("need") - F.col("upto") + F.col("n")).alias("need")))
+        found = reached.groupBy("lang").agg(best.alias("b")).select("lang", "b.part", "b.n", "b.need").limit(MAX_LANGS + 1).collect()
+        if len(found) > MAX_LANGS:
+            raise ValueError(f"over {MAX_LANGS} languages")
+        open_ = {r["lang"]: (r["part"], r["need"]) for r in found if r["n"] > SAMPLE_PER_LANG and width + RANGE_BITS <= 64}
+        ends |= {r["lang"]: (r["part"] + 1 << 64 - width) - 1 - 2**63 for r in found if r["lang"] not in open_}
+        if not open_:
+            break
+    return ends
+
+
 def train(labelled: DataFrame, order: Column) -> Model | None:
     """The model of ``labelled`` (text, lang); None if no text with a language has a letter.
 
-    The sample are the first SAMPLE_PER_LANG rows of each language by ``order``, a long that
-    spreads them evenly. How far that reaches is found without the texts.
+    The sample are those with a letter of the first SAMPLE_PER_LANG rows of each language by
+    ``order``, a long that spreads them evenly. How far that reaches is found without the texts.
     """
     ship(labelled.sparkSession)
     known = labelled.filter(F.col("lang").isNotNull()).select("lang", "text", order.alias("order"))
     counted = in_arrow(known.select("text").filter(F.col("text").rlike(r"\p{L}")), document_counts, "feature long, n long")
     counted = counted.groupBy("feature").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy("lang").orderBy("order")
-    place = F.row_number().over(first)
-    # Spark drops all but the first rows of each task before the shuffle
-    reach = known.select("lang", "order").withColumn("place", place).filter(F.col("place") <= SAMPLE_PER_LANG)
-    reach = written(reach.groupBy("lang").agg(F.max("order").alias("last")), "reach")
-    if reach.count() > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} languages")
-    near = known.join(F.broadcast(reach), "lang").filter(F.col("order") <= F.col("last")).filter(F.col("text").rlike(r"\p{L}"))
+    last = sample_ends(known.select("lang", "order"))
+    near = known.filter(F.col("text").rlike(r"\p{L}"))
+    ends = known.sparkSession.createDataFrame(list(last.items()), "lang string, last long")
+    near = near.join(F.broadcast(ends), "lang").filter(F.col("order") <= F.col("last"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
     ranked = near.withColumn("place", place).filter(F.col("place") <= SAMPLE_PER_LANG)
     sample = written(ranked.select("text", "lang", (F.col("place") % CALIBRATION_EVERY == 0).alias("calibrate")), "sample")
     frequencies = written(counted, "frequencies").groupBy(F.lit(0).alias("one"))

@@ -31,6 +31,24 @@ def test_edge_rows_and_no_model(spark):
     assert {(r.lang_pred, r.score) for r in langid.predict(docs.filter("doc_id = 1"), none).collect()} == {("und", 0.0)}
 
 
+def test_sample_ends_of_hot_and_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_PER_LANG", 30)
+    monkeypatch.setattr(langid, "RANGE_BITS", 4)
+    hashed = F.xxhash64("id")
+    rows = spark.range(20000).select(F.when(F.col("id") % 100 < 90, "hot").when(F.col("id") % 100 < 99, "some").otherwise("rare").alias("lang"), hashed.alias("order"))
+    rows = rows.union(spark.range(5).select(F.lit("few").alias("lang"), hashed)).union(spark.range(500).select(F.lit("equal").alias("lang"), F.lit(-7).cast("long")))
+    ends = langid.sample_ends(rows)
+    held: dict[str, list[int]] = {}
+    for r in rows.collect():
+        held.setdefault(r["lang"], []).append(r["order"])
+    assert set(ends) == set(held)
+    for lang, orders in held.items():
+        orders.sort()
+        assert ends[lang] >= orders[min(30, len(orders)) - 1]
+        assert sum(x <= ends[lang] for x in orders) <= (500 if lang == "equal" else 60)
+    assert langid.sample_ends(rows.limit(0)) == {}
+
+
 def test_penalties_make_the_weights_sparse():
     rng = np.random.default_rng(0)
     kept = []
