@@ -1,5 +1,6 @@
 """Sharding: quotas, slots, linked documents together."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -62,3 +63,84 @@ def test_table_of_pairs_only_is_hardly_cut(spark):
     shard = {r.doc_id: r.shard for r in got}
     assert sorted(shard) == list(range(800)) and all(list(shard.values()).count(s) == 100 for s in range(8))
     assert sum(shard[i] != shard[i + 1] for i in range(0, 800, 2)) <= 7
+
+
+def state_of(spark, groups, shards):
+    """State of ``groups``: for each the numbers of its members in the shards."""
+    rows = [(g, g, s, n) for g, parts in enumerate(groups) for s, n in enumerate(parts) if n]
+    return spark.createDataFrame(rows, "g1 long, g2 long, shard int, n long")
+
+
+def least_cut(groups, quota):
+    """Smallest number of cut pairs of any placement of whole or split groups under the quotas."""
+
+    def placements(size, room):
+        if not room:
+            yield () if size == 0 else None
+            return
+        for n in range(min(size, room[0]) + 1):
+            for rest in placements(size - n, room[1:]):
+                if rest is not None:
+                    yield (n, *rest)
+
+    states = {tuple(quota): 0}
+    for size in map(sum, groups):
+        after: dict[tuple[int, ...], int] = {}
+        for room, cut in states.items():
+            for part in placements(size, room):
+                if part is not None:
+                    key = tuple(r - p for r, p in zip(room, part, strict=True))
+                    after[key] = min(after.get(key, 10**9), cut + (size * size - sum(p * p for p in part)) // 2)
+        states = after
+    return min(states.values())
+
+
+def test_cut_of_small_tables_is_near_the_least(spark):
+    rng, got, least, start = random.Random(3), 0, 0, 0
+    for _ in range(4):
+        quota = [6, 6, 6]
+        groups, room = [], list(quota)
+        for size in rng.choices([2, 3, 4, 5], k=4):
+            parts = [0, 0, 0]
+            for _ in range(size):
+                s = rng.choice([s for s in range(3) if room[s]])
+                parts[s] += 1
+                room[s] -= 1
+            groups.append(parts)
+        state, cuts = sharding.settled(state_of(spark, groups, 3), quota, 1)
+        assert all(a >= b for a, b in zip(cuts, cuts[1:], strict=False)) and cuts[-1] == sharding.cut_pairs(state)
+        assert all(h <= q for h, q in zip(sharding.loads(state, 3), quota, strict=True))
+        assert sorted(r["n"] for r in state.groupBy("g1").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()) == sorted(map(sum, groups))
+        start, got, least = start + cuts[0], got + cuts[-1], least + least_cut(groups, quota)
+    assert least <= got <= least + (start - least) / 3
+
+
+@pytest.mark.parametrize("lone", [0, 100])
+def test_cut_falls_round_by_round_from_a_hashed_start(spark, lone):
+    groups, rng = [], random.Random(1)
+    for _ in range(120):
+        parts = [0] * 4
+        for _ in range(2):
+            parts[rng.randrange(4)] += 1
+        groups.append(parts)
+    groups.append([40, 42, 39, 41])  # a hot group
+    loads = [sum(p[s] for p in groups) for s in range(4)]
+    quota = [x + lone // 4 for x in loads]
+    state, cuts = sharding.settled(state_of(spark, groups, 4), quota, 1)
+    assert len(cuts) > 2 and all(a >= b for a, b in zip(cuts, cuts[1:], strict=False))
+    # the hot group, 162 of 402 documents, has most of the pairs and must be split
+    assert cuts[1] < cuts[0] and cuts[-1] < 0.9 * cuts[0]
+    split = state.filter("g1 < 120").groupBy("g1").count().filter("count > 1").count()
+    assert split <= 5
+    assert all(h <= q for h, q in zip(sharding.loads(state, 4), quota, strict=True))
+
+
+def test_granted_moves_keep_the_quotas():
+    rng = random.Random(0)
+    for _ in range(200):
+        asked = [[0 if a == b else rng.choice([0, 0, 1, 5, 30]) for b in range(5)] for a in range(5)]
+        room = [rng.choice([0, 0, 3]) for _ in range(5)]
+        got = sharding.granted_moves(asked, room)
+        assert all(0 <= got[a][b] <= asked[a][b] for a in range(5) for b in range(5))
+        assert all(sum(x[s] for x in got) - sum(got[s]) <= room[s] for s in range(5))
+    assert sharding.granted_moves([[0, 2, 0], [0, 0, 3], [1, 0, 0]], [0, 0, 0]) == [[0, 1, 0], [0, 0, 1], [1, 0, 0]]
