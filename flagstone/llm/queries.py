@@ -113,7 +113,65 @@ QUERIES = {
     )
 }
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SPLIT_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+
+def any_of(texts: list[str], test: str) -> str:
+    """SQL that holds if ``test`` does for one of ``texts``."""
+    return " OR ".join(test.format(f"'{t}'") for t in texts)
+
+
 SQL = {
+    "op8_super_min_hash": rf"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), {SPLIT_WORDS}) AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, len(w) AS n_words, unnest(CASE WHEN len(w) = 0 THEN [NULL] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
+        ), shingles AS (
+            SELECT DISTINCT doc_id, s FROM sets WHERE s IS NOT NULL
+        ), sizes AS (
+            SELECT doc_id, count(s) AS n FROM (SELECT DISTINCT doc_id, s FROM sets) GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+        ), links AS (
+            SELECT u, v FROM shared JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * shared.n >= 85 * (a.n + b.n - shared.n)
+        ), reach(doc_id, r) AS (
+            SELECT doc_id, doc_id FROM sizes UNION SELECT reach.doc_id, v FROM reach JOIN links ON r = u
+        )
+        SELECT doc_id, any_value(n) AS n_shingles, min(r) AS component_id, min(r) = doc_id AS kept
+        FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id""",
+    "op9_line_first_quality": rf"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {SPLIT_WORDS}) AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS times
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) >= 5)
+        ), repeated AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range(5) AS steps(k) WHERE times > 1 GROUP BY doc_id
+        ), lines AS (
+            SELECT doc_id, line, lower(line) AS low, trim(lower(line), ' ') AS bare, length(line) AS n,
+                   length(regexp_replace(line, '[ 	-]', '', 'g')) AS chars
+            FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, {SPLIT_WORDS})
+        ), judged AS (
+            SELECT doc_id, line, chars,
+                   NOT regexp_matches(line, '\p{{L}}')
+                   OR n - length(translate(line, '{quality.SYMBOLS}{{}}[]~^=_', '')) > 0.15::DOUBLE * n
+                   OR (upper(line) = line AND n - length(replace(line, '!', '')) >= 3)
+                   OR regexp_matches(line, '^([ 	-]*[^ 	-|»›·]+([ 	-]+[^ 	-|»›·]+){{0,3}}[ 	-]*[|»›·]){{3,}}')
+                   OR {any_of(quality.MENU_WORDS, "bare = {}")}
+                   OR {any_of(quality.BOILERPLATE, "contains(low, {})")} AS failed FROM lines
+        ), per_doc AS (
+            SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup, sum(chars) AS chars, coalesce(sum(chars) FILTER (failed), 0) AS lost FROM judged GROUP BY doc_id
+        ), measured AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(chars, 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^{quality.SYMBOLS}]', '', 'g')) AS n_symbols,
+                   coalesce(n_dup, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_chars
+            FROM docs LEFT JOIN per_doc USING (doc_id) LEFT JOIN repeated USING (doc_id)
+        )
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_chars <= 0.5 * word_chars AS kept
+        FROM measured""",
     "op3_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, pos, line, translate(trim(line, e' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
