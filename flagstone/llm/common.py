@@ -64,6 +64,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(docs: DataFrame) -> str:
+    """Underscores with which no column of ``docs`` begins, for the names of columns that come and go."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, also inside lambdas of ``body``."""
     return F.transform(F.array(value), body)[0]

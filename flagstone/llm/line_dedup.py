@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flagstone.llm.common import BLANKS, in_arrow, written
+from flagstone.llm.common import BLANKS, free_prefix, in_arrow, written
 
 DROP, EDGE, MARK = 0, 1, 2
 ROWS = "doc long, row long, pos int, kind int, h1 long, h2 long, n_docs long"
@@ -141,12 +141,12 @@ def dropped_lines(rows: DataFrame, least: int, keep_first: bool, partitions: int
     return decided.filter(F.col("kind") == DROP).select("doc", "row", "pos").union(edges.select("doc", "row", "pos"))
 
 
-def identity(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """``docs`` with __doc (the id, the least long if null) and __row (a hash of the text).
+def identity(ident: str, text: str) -> tuple[Column, Column]:
+    """The id, the least long if null, and a hash of the text.
 
     Both together tell documents apart, also those with the same id; repeated rows share them.
     """
-    return docs.withColumns({"__doc": F.coalesce(F.col(ident).cast("long"), F.lit(-(2**63))), "__row": F.xxhash64(F.col(text))})
+    return F.coalesce(F.col(f"`{ident}`").cast("long"), F.lit(-(2**63))), F.xxhash64(F.col(f"`{text}`"))
 
 
 def keep_bitmaps(
@@ -167,7 +167,8 @@ def keep_bitmaps(
     is an id like any other; columns beside ident (an integer) and text are not read.
     """
     text_col = F.coalesce(F.col("text"), F.lit(""))
-    rows = identity(docs, ident, text).select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.col(text).alias("text"))
+    doc, row = identity(ident, text)
+    rows = docs.select(doc.alias("doc"), row.alias("row"), F.col(f"`{text}`").alias("text"))
     lost = dropped_lines(rows, min_docs, keep_first, partitions).groupBy("doc", "row").agg(F.collect_set("pos").alias("lost"))
     size = (F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1).cast("long")
     sizes = rows.select("doc", "row", size.alias("n_lines")).distinct()
@@ -196,8 +197,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, ident: str = "doc_id", te
     Every row of ``docs`` comes back once, repeated rows included; kept_text is '' where all lines go.
     A column of ``docs`` named line_dedup is replaced, the others stay.
     """
-    maps = bitmaps.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.struct("n_lines", "n_dropped", "keep_bitmap").alias("__map"))
-    both = identity(docs, ident, text).join(maps, ["__doc", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns if c != "line_dedup"], "__map")
+    own = free_prefix(docs)
+    keys = [own + "doc", own + "row"]
+    maps = bitmaps.select(F.col("doc").alias(keys[0]), F.col("row").alias(keys[1]), F.struct("n_lines", "n_dropped", "keep_bitmap").alias(own + "map"))
+    both = docs.withColumns(dict(zip(keys, identity(ident, text), strict=True))).join(maps, keys)
+    both = both.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "line_dedup"], own + "map")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,5 +216,5 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, ident: str = "doc_id", te
             done = pa.StructArray.from_arrays([infos.field(0), infos.field(1), pa.array(kept, pa.string())], names=["n_lines", "n_dropped", "kept_text"])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], done], names=[*batch.schema.names[:-1], "line_dedup"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "line_dedup")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name.lower() != "line_dedup")
     return in_arrow(both, cut, f"{fields}, line_dedup struct<n_lines: bigint, n_dropped: bigint, kept_text: string>")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flagstone.llm.common import BLANKS, WORD, bind
+from flagstone.llm.common import BLANKS, WORD, bind, free_prefix
 
 # Fixed values of the line rules.
 SYMBOLS = "#*$%&|<>"
@@ -100,7 +100,8 @@ def judge(
     words), or if failing lines hold more than ``max_lost`` of all characters in words.
 
     A null text counts as empty: no words, base_failed, clean_text ''. Repeated rows and tied ids
-    are judged one by one. Other columns are neither read nor changed, whatever their names.
+    are judged one by one. A column named quality is replaced, other columns are neither read nor
+    changed, whatever their names.
     """
     lines = bind(
         F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1),
@@ -109,26 +110,27 @@ def judge(
             F.filter(ls, lambda x: ~line_fails(x, max_symbols)).alias("good"),
         ),
     )
-    words = F.col("__words")
+    own = free_prefix(docs)
     got = docs.select(
-        *([F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]),
-        F.coalesce(F.col(text), F.lit("")).alias("__text"),
-        word_list(F.col(text)).alias("__words"),
-        lines.alias("__lines"),
+        *[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c.lower() != "quality"],
+        F.coalesce(F.col(text), F.lit("")).alias(own + "text"),
+        word_list(F.col(text)).alias(own + "words"),
+        lines.alias(own + "lines"),
     )
-    full, good = F.col("__lines.full"), F.col("__lines.good")
+    body, words = F.col(own + "text"), F.col(own + "words")
+    full, good = F.col(own + "lines.full"), F.col(own + "lines.good")
     measured = got.withColumn(
-        "__m",
+        own + "m",
         F.struct(
             F.size(words).cast("long").alias("n_words"),
-            word_chars(F.col("__text")).cast("long").alias("word_chars"),
-            (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            word_chars(body).cast("long").alias("word_chars"),
+            (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
             repeated_words(words).cast("long").alias("n_repeat_words"),
             F.array_join(good, "\n").alias("clean_text"),
         ),
-    ).drop("__text", "__words", "__lines")
-    m = lambda c: F.col(f"__m.{c}")
+    ).drop(own + "text", own + "words", own + "lines")
+    m = lambda c: F.col(f"{own}m.{c}")
     base = (m("n_words") < min_words) | (100 * m("n_repeat_words") > max_repeated * m("n_words"))
     lost = (m("word_chars") - word_chars(m("clean_text"))).cast("long")
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -141,4 +143,4 @@ def judge(
             lost.alias("lost_chars"),
             m("clean_text").alias("clean_text"),
         ),
-    ).drop("__m")
+    ).drop(own + "m")

@@ -93,3 +93,13 @@ def test_stream_in_any_cuts(keep_first):
         for n in (1, 2, 7, 30):
             at = sorted(rng.choice(cuts, n, replace=False))
             assert decided(np.split(rows, at), size) == want
+
+
+def test_clashing_names_stay(spark):
+    names = ["__doc", "__row", "__map", "doc", "row", "keep_bitmap"]
+    rows = [(i, f"own {i}\nshared", *names) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    assert done.columns == [*docs.columns, "line_dedup"]
+    for r in done.collect():
+        assert [r[n] for n in names] == names and r["line_dedup"]["kept_text"] == f"own {r['doc_id']}"

@@ -69,3 +69,12 @@ def test_plan_is_native_and_has_no_shuffle(spark):
 
 def test_empty_table(spark):
     assert judged(spark, texts()).limit(0).collect() == []
+
+
+def test_clashing_names_stay(spark):
+    names = ["__text", "__words", "__lines", "__m", "___m"]
+    text = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, 5, *names)], "doc_id long, text string, Quality int, " + ", ".join(f"{n} string" for n in names))
+    got = quality.judge(docs).first()
+    assert [got[n] for n in names] == names and got["quality"]["kept"] and got["quality"]["clean_text"] == text
+    assert got.asDict().keys() == {"doc_id", "text", "quality", *names}
