@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,15 @@ def test_pages_without_rows_and_beyond_the_end(spark):
     assert last.count() == 10
     none = df.where(F.lit(False))
     assert X.page(none, keys, 0, directory=X.page_directory(none, keys)).collect() == []
+
+
+def test_grams_are_all_stretches_in_one_pass(spark):
+    texts = ["", "ab", "abc", "a\nb\r c d", "äöü₹12", "\U0001f600\U0001f601a\U0001f602b", "aaaaaa", "(..)[x]", None]
+    wanted = [sorted({t[i : i + 3] for i in range(len(t) - 2)}) if t is not None else [] for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    found = [r.g or [] for r in df.select("n", S.grams_of(F.col("t")).alias("g")).orderBy("n").collect()]
+    assert [sorted(g) for g in found] == wanted and all(len(g) == len(set(g)) for g in found)
+    started = time.monotonic()
+    long = spark.range(1).select(F.lpad(F.lit(""), 400_000, "äbcd").alias("t"))
+    assert long.select(F.size(S.grams_of(F.col("t"))).alias("n")).first().n == 4
+    assert time.monotonic() - started < 15  # counting to each place from the start took minutes
