@@ -16,12 +16,15 @@ comments, user_email, submitted_at.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flagstone.functions.keys import form_trim, is_blank_key, utf16_length
 from flagstone.operators.rules import RULES, RuleSpec
+from flagstone.session import checkpoint_dir
 
 # ---------------------------------------------------------------------------------------
 # Messages, limits and reserved names of the reference's review writes.
@@ -137,16 +140,30 @@ def _typed_record(creates: DataFrame, target: T.StructType) -> list[Column]:
     return cols
 
 
-def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES):
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under ``spark.checkpoint.dir`` and read back: what several steps read is worked out once."""
+    path = f"{checkpoint_dir(df.sparkSession)}/flagstone/scratch/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def validated_decisions(decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES) -> DataFrame:
+    """:func:`validate_decisions`, stored: the checks of a batch's texts cost more than all that follows."""
+    return stored(validate_decisions(decisions, rules), "decisions")
+
+
+def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES, validated: DataFrame | None = None):
     """-> (new_reviews, outcomes). Record columns of the batch that the review table lacks are
     appended to it first (as text, NULL for old rows), so no column of a saved record is lost.
     Every decision has one outcome.
 
     One aggregation per case named by the batch (partial before the shuffle) gives the first
     create and the last edit; the review keys say whether the case existed before the batch.
-    Each decision is joined back to its case's row once for its outcome."""
+    Each decision is joined back to its case's row once for its outcome. The validated batch
+    (``validated``, if the caller has it stored) and its cases are stored, as both results and
+    several joins of each read them."""
     reviews = evolve_schema(reviews, T.StructType([f for f in decisions.schema.fields if f.name not in DECISION_COLUMNS]), retype=False)
-    v = validate_decisions(decisions, rules)
+    v = validated_decisions(decisions, rules) if validated is None else validated
     create = F.col("action") == "create"
     edit = F.col("action") == "edit"
     valid = v.where(F.col("valid"))
@@ -159,7 +176,7 @@ def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleS
     # each, however many decisions a case has) filters the review table before its keys are made
     # distinct, so a batch never shuffles every key of a large review table.
     existing = reviews.select(*KEYS).join(cases.select(*KEYS), KEYS, "left_semi").distinct().withColumn("_old", F.lit(True))
-    per_case = cases.join(existing, KEYS, "left")
+    per_case = stored(cases.join(existing, KEYS, "left"), "cases")
     old = F.col("_old").isNotNull()
     d = valid.join(per_case, KEYS, "left")
     # a create wins when the case is new and it is the case's first create; an edit finds its

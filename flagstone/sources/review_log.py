@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flagstone.operators.reviews import KEYS, apply_decisions, validate_decisions
+from flagstone.operators.reviews import KEYS, apply_decisions, validated_decisions
 from flagstone.operators.rules import RULES, RuleSpec
 from flagstone.sources.snapshot import _fs
 
@@ -66,12 +66,15 @@ class Entry:
 
 @dataclass(frozen=True)
 class Staged:
-    """A batch decided on version ``read``: its written delta and outcomes, not yet committed."""
+    """A batch decided on version ``read``: its written delta and outcomes, not yet committed.
+
+    ``validated``: the batch's stored checks, which do not change when it is decided again."""
 
     read: int
     entry: Entry
     decisions: DataFrame
     rules: tuple[RuleSpec, ...]
+    validated: DataFrame | None = None
 
 
 def _log_path(root: str, version: int) -> str:
@@ -209,26 +212,28 @@ def _drop(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def stage(root: str, decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES, batch: str | None = None) -> Staged:
+def stage(root: str, decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES, batch: str | None = None, validated: DataFrame | None = None) -> Staged:
     """Decides a batch on the newest version and writes its outcomes and delta, without a commit.
 
     Only reviews of cases named by the batch are taken from the table (base folders of other rules are
-    not read), and only cases that it saved or edited are written. ``decisions`` are read more than once: they have to be stored rows."""
+    not read), and only cases that it saved or edited are written. The batch is validated once and stored
+    (or taken as ``validated``, from a time when it was staged before)."""
     spark, name = decisions.sparkSession, uuid.uuid4().hex
     read = latest(spark, root)
-    named = _named(decisions, rules)
+    validated = validated_decisions(decisions, rules) if validated is None else validated
+    named = _named(validated)
     rule_ids = [r.rule_id for r in named.select("rule_id").distinct().collect()]  # of the registry
     touched = read_log(spark, root, read, rule_ids).join(named, KEYS, "left_semi")
-    rows, outcomes = apply_decisions(touched, decisions, rules)
+    rows, outcomes = apply_decisions(touched, decisions, rules, validated)
     _write(outcomes, f"{root}/outcomes/{name}", False)
     done = spark.read.schema(outcomes.schema).parquet(f"{root}/outcomes/{name}").where(F.col("status").isin("saved", "edited"))
     schema = _write(rows.join(done.select(*KEYS).distinct(), KEYS, "left_semi").select(*rows.columns), f"{root}/data/{name}", False)
-    return Staged(read, Entry(read + 1, DELTA, name, schema, read + 1, batch, name), decisions, rules)
+    return Staged(read, Entry(read + 1, DELTA, name, schema, read + 1, batch, name), decisions, rules, validated)
 
 
-def _named(decisions: DataFrame, rules: tuple[RuleSpec, ...]) -> DataFrame:
+def _named(validated: DataFrame) -> DataFrame:
     """Cases that the batch's valid decisions name."""
-    return validate_decisions(decisions, rules).where("valid").select(*KEYS).distinct()
+    return validated.where("valid").select(*KEYS).distinct()
 
 
 def publish(root: str, staged: Staged) -> bool:
@@ -242,7 +247,7 @@ def rebase(root: str, staged: Staged) -> Staged | None:
     A batch may then also not have a column that one of them added with another type."""
     spark = staged.decisions.sparkSession
     since = [entry(spark, root, v) for v in versions(spark, root) if v > staged.read]
-    named = _named(staged.decisions, staged.rules)
+    named = _named(validated_decisions(staged.decisions, staged.rules) if staged.validated is None else staged.validated)
     types = {f.name: f.dataType for f in staged.entry.schema.fields}
     for e in since:
         if any(types.get(f.name, f.dataType) != f.dataType for f in e.schema.fields):
@@ -276,12 +281,14 @@ def commit_batch(
     of a run that ended before it got its answer, that commit is returned. ``staged`` continues a batch
     that was staged already. After ``attempts`` lost races LostRace is raised and nothing is left."""
     spark = decisions.sparkSession
+    validated = staged.validated if staged else None
     for _ in range(attempts):
         if batch is not None and (done := committed(spark, root, batch)):
             if staged:
                 discard(root, staged)
             return done
-        staged = staged or stage(root, decisions, rules, batch)
+        staged = staged or stage(root, decisions, rules, batch, validated)
+        validated = staged.validated
         if publish(root, staged):
             return staged.entry
         moved = rebase(root, staged)

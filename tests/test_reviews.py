@@ -127,3 +127,28 @@ def test_hot_case_with_a_third_of_the_batch(spark, applied):
     assert len(hot_row) == 1
     assert hot_row[0].auditor == "edit299" and hot_row[0].created_by == "u0@x"
     assert new_reviews.count() == seeds.count() + 301
+
+
+def test_checks_of_a_batch_run_once(spark, monkeypatch):
+    runs = spark.sparkContext.accumulator(0)
+    checked = R.validate_decisions
+
+    def counted(decisions, rules=R.RULES):
+        def seen(parts):
+            for p in parts:
+                runs.add(p.num_rows)
+                yield p
+
+        return checked(decisions, rules).mapInArrow(seen, checked(decisions, rules).schema)
+
+    monkeypatch.setattr(R, "validate_decisions", counted)
+    audit = "auditor string, decision_types string, decided_sales_person string, comments string"
+    batch = spark.createDataFrame(
+        [(1, "edit", "3", "a", False, "A", "Fraud", None, None, "u", None), (2, "edit", "3", "b", False, "A", "Fraud", None, None, "u", None), (3, "edit", "3", "", False, "A", "Fraud", None, None, "u", None)],
+        f"seq long, action string, rule_id string, case_key string, has_record boolean, {audit}, user_email string, submitted_at timestamp",
+    )
+    reviews = spark.createDataFrame([("3", "a", "B", "Genuine", None, None, "x", None, "x", None)], f"rule_id string, case_key string, {audit}, created_by string, created_at timestamp, updated_by string, updated_at timestamp")
+    rows, outcomes = R.apply_decisions(reviews, batch)
+    assert sorted((r.seq, r.status) for r in outcomes.collect()) == [(1, "edited"), (2, "not_found"), (3, "invalid")]
+    assert [(r.case_key, r.auditor) for r in rows.collect()] == [("a", "A")]
+    assert runs.value == 3
