@@ -195,25 +195,28 @@ def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleS
         .otherwise(F.lit(NO_LONGER_EXISTS))
         .alias("reason"),
     )
-    saved = d.where(won)
-    new_rows = saved.select(
+    # The records of the creates go with the reviews through one join with the cases, which says both
+    # which creates were saved and which edit a review ends with, so a record is shuffled once.
+    creates = valid.where(create)
+    new_rows = creates.select(
         "rule_id",
         "case_key",
-        *_typed_record(saved, reviews.schema),
+        *_typed_record(creates, reviews.schema),
         *AUDIT_FIELDS,
         F.col("user_email").alias("created_by"),
         F.col("submitted_at").alias("created_at"),
         F.col("user_email").alias("updated_by"),
         F.col("submitted_at").alias("updated_at"),
+        F.col("seq").alias("_create"),
+        F.lit(True).alias("_new"),
     )
+    kept = reviews.select("*", F.lit(None).cast(v.schema["seq"].dataType).alias("_create"), F.lit(False).alias("_new"))
+    merged = kept.unionByName(new_rows.select(*kept.columns)).join(per_case, KEYS, "left")
+    saved = ~old & (F.col("_create") == F.col("win_seq"))
     # the case's last edit applies when it found the case (the last edit overall is the last
     # found one whenever any edit found it: found edits are those after the first create)
-    last_edit = per_case.where(
-        F.col("_e").isNotNull() & (old | F.coalesce(F.col("_e._seq") > F.col("win_seq"), F.lit(False)))
-    ).select(*KEYS, "_e")
-
-    merged = reviews.unionByName(new_rows.select(*reviews.columns))
-    edited = merged.join(last_edit, KEYS, "left")
+    edits = F.col("_e").isNotNull() & (old | F.coalesce(F.col("_e._seq") > F.col("win_seq"), F.lit(False)))
+    edited = merged.where(~F.col("_new") | saved).withColumn("_e", F.when(edits, F.col("_e")))
     out_cols = []
     for name in reviews.columns:
         if name in AUDIT_FIELDS:
