@@ -78,11 +78,20 @@ def manifest(spark: SparkSession, root: str, version: int | None = None) -> Mani
     return Manifest.parsed(read_text(spark, _path(root, known[-1] if version is None else version)))
 
 
+def _hash_sum(seed: int, row: Column) -> Column:
+    """Exact sum of a group's 64-bit row hashes as text, from sums of three parts that fit a long each:
+    a sum of decimals makes objects for each row."""
+    h, part = F.xxhash64(F.lit(seed), row), (1 << 22) - 1
+    sums = [F.sum(F.shiftright(h, 44)), F.sum(F.shiftright(h, 22).bitwiseAND(F.lit(part))), F.sum(h.bitwiseAND(F.lit(part)))]
+    high, middle, low = (x.cast("decimal(20,0)") for x in sums)
+    scale = lambda bits: F.lit(1 << bits).cast("decimal(14,0)")
+    return (high * scale(44) + middle * scale(22) + low).cast("decimal(38,0)").cast("string")
+
+
 def _digest(columns: list[str]) -> list[Column]:
     """Count and two sums of hashes of whole rows: the same for any order and split of the same rows."""
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    sums = [F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)")).cast("string") for seed in (1, 2)]
-    return [F.count(F.lit(1)).alias("rows"), F.concat_ws("/", *sums).alias("digest")]
+    return [F.count(F.lit(1)).alias("rows"), F.concat_ws("/", *[_hash_sum(seed, row) for seed in (1, 2)]).alias("digest")]
 
 
 def partition_digests(df: DataFrame, column: str) -> dict[str | None, tuple[int, str]]:
