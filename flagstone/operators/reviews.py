@@ -211,12 +211,12 @@ def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleS
         F.lit(True).alias("_new"),
     )
     kept = reviews.select("*", F.lit(None).cast(v.schema["seq"].dataType).alias("_create"), F.lit(False).alias("_new"))
-    merged = kept.unionByName(new_rows.select(*kept.columns)).join(per_case, KEYS, "left")
-    saved = ~old & (F.col("_create") == F.col("win_seq"))
     # the case's last edit applies when it found the case (the last edit overall is the last
     # found one whenever any edit found it: found edits are those after the first create)
     edits = F.col("_e").isNotNull() & (old | F.coalesce(F.col("_e._seq") > F.col("win_seq"), F.lit(False)))
-    edited = merged.where(~F.col("_new") | saved).withColumn("_e", F.when(edits, F.col("_e")))
+    decided = per_case.select(*KEYS, F.when(~old, F.col("win_seq")).alias("_win"), F.when(edits, F.col("_e")).alias("_e"))
+    merged = kept.unionByName(new_rows.select(*kept.columns)).join(decided.where("_win is not null or _e is not null"), KEYS, "left")
+    edited = merged.where(~F.col("_new") | (F.col("_create") == F.col("_win")))
     out_cols = []
     for name in reviews.columns:
         if name in AUDIT_FIELDS:
