@@ -7,9 +7,10 @@ import io
 import os
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +51,26 @@ def ship(spark: SparkSession) -> None:
     sc._flagstone_shipped = True
 
 
+def released(function: Callable) -> Callable:
+    """``function`` of batches, after each of which the memory that Arrow keeps unused goes back to the system.
+
+    Workers are used again by later tasks and wait for them meanwhile, beside the executor's own memory."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        for made in function(batches):
+            yield made
+            del made
+            pool.release_unused()
+        pool.release_unused()
+
+    return lean
+
+
 def in_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand on the workers."""
+    """``df.mapInArrow`` with this package at hand on the workers, which keep no unused memory."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(released(function), schema)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
