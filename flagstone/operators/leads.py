@@ -282,15 +282,16 @@ def lead_misrouted_cases(history: DataFrame, bands: DataFrame, tie: str | None =
         F.max_by("_value", "_value_key").alias("_value"),
         F.max("_value_key").alias("_value_key"),
     )
+    # the first agent comes with the number of agents in its category
     per_lead = per_category.groupBy("lead_id").agg(
         F.max_by("_value", "_value_key").alias("final_order_value"),
         F.sum("_agents").alias("agent_count"),
-        F.min("_first").alias("_first"),
+        F.min(F.when(F.col("_first").isNotNull(), F.struct("_first", "_agents"))).alias("_start"),
     )
-    may = per_lead.where((F.col("agent_count") > 1) & F.col("_first.agent_category").isNotNull())
-    decided = lead_expected_category(may, bands).where(_norm(F.col("_first.agent_category")) == _norm(F.col("expected_category")))
-    alone = per_category.where(F.col("_agents") == 1).select(F.col("lead_id").alias("_lead"), "_category")
-    flagged = decided.join(alone, (F.col("lead_id") == F.col("_lead")) & (_norm(F.col("expected_category")) == F.col("_category")), "left_semi")
+    per_lead = per_lead.select("lead_id", "final_order_value", "agent_count", "_start._first", F.col("_start._agents").alias("_alike"))
+    may = per_lead.where((F.col("agent_count") > 1) & (F.col("_alike") == 1) & F.col("_first.agent_category").isNotNull())
+    flagged = lead_expected_category(may, bands).where(_norm(F.col("_first.agent_category")) == _norm(F.col("expected_category")))
+    flagged = flagged.drop("_alike")
 
     # a lead can be in several bands: its agents are listed once, from the events of flagged leads alone
     firsts = flagged.select("lead_id", F.col("_first.assignedTo").alias("_first_agent")).distinct()
@@ -301,7 +302,8 @@ def lead_misrouted_cases(history: DataFrame, bands: DataFrame, tie: str | None =
         .groupBy("lead_id")
         .agg(F.array_sort(F.collect_list(F.struct("first_assigned_at", "assignedTo", label.alias("label")))).alias("_others"))
     )
-    out = flagged.join(listed, "lead_id").select(
+    # a flagged lead has other agents, so each finds its list; keys alone don't need the lists, and an outer join tells so
+    out = flagged.join(listed, "lead_id", "left").select(
         "lead_id",
         "final_order_value",
         "expected_category",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF001
 from tests.test_regressions import DECISION, decision, reviews_table
 
+from flagstone.operators import leads
 from flagstone.operators import reviews as R
 from flagstone.sources import fixtures, manifest
 
@@ -50,3 +51,28 @@ def test_digest_is_the_exact_sum_of_the_hashes(spark, parts):
     assert {r.m: r.x for r in want.collect()} == {r.m: r.digest for r in got.collect()}
     aggregated = plan_nodes(got, "Aggregate")[0].toString()
     assert "decimal" not in aggregated.split("sum(")[1].split(")")[0]
+
+
+def test_keys_of_misrouted_leads_read_the_history_once(spark):
+    history = fixtures.fixture(spark, SF001, "lead_history")
+    cases = leads.lead_misrouted_cases(history, fixtures.fixture(spark, SF001, "team_budget"))
+    keys = cases.select("rule_id", "case_key")
+    assert len(plan_nodes(keys, "LogicalRelation")) == 1
+    assert sorted(keys.collect()) == sorted(r[:2] for r in cases.collect()) != []
+
+
+def test_first_agent_alone_in_its_category_among_nulls_and_blanks(spark):
+    rows = [
+        ("A", 1, "p", "gold"), ("A", 2, "q", "iron"),  # flagged
+        ("B", 1, "p", "gold"), ("B", 2, "q", " GOLD "),  # a later agent fits as well
+        ("C", 1, None, "gold"), ("C", 2, " ", "gold"), ("C", 3, "p", "gold"), ("C", 4, "q", None),  # flagged: nobody else counts
+        ("D", 1, "p", "gold"),  # alone
+        ("E", 1, "p", None), ("E", 2, "q", "gold"),  # the first has no category
+        (None, 1, "p", "gold"), (None, 2, "q", "iron"),
+    ]
+    rows = [(n, lead, dt.datetime(2026, 1, day), who, what, 5.0) for n, (lead, day, who, what) in enumerate(rows)] * 2
+    history = spark.createDataFrame(rows, "event_id long, lead_id string, updatedAt timestamp, assignedTo string, category string, final_order_value double")
+    bands = spark.createDataFrame([("Gold", 0.0, None), ("gold ", 1.0, 9.0), ("iron", 0.0, None)], "category string, min_value double, max_value double")
+    got = leads.lead_misrouted_cases(history, bands)
+    want = [("A", "Gold", "q (iron)"), ("A", "gold ", "q (iron)"), ("C", "Gold", "q (NA)"), ("C", "gold ", "q (NA)")]
+    assert sorted((r.lead_id, r.expected_category, r.other_assignees) for r in got.collect()) == want
