@@ -10,13 +10,14 @@ from pyspark.sql import types as T
 
 # What the warehouse's TRIM strips (Unicode white space) and what the trim of a form
 # field strips (the blanks and line ends of a script, among them U+FEFF but not U+0085).
-_WAREHOUSE_BLANKS = r"[\s\p{Z}\x{85}]"
-_FORM_BLANKS = r"[\s\p{Z}\x{FEFF}]"
+_BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_WAREHOUSE_BLANKS = _BLANKS + "\u0085"
+_FORM_BLANKS = _BLANKS + "\ufeff"
 
 
 def _edges(c: Column | str, blanks: str) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(col, f"^{blanks}+|{blanks}+$", "")
+    # a trim looks at the ends of a text, a pattern tries each of its places
+    return F.trim(F.col(c) if isinstance(c, str) else c, F.lit(blanks))
 
 
 def blank_trim(c: Column | str) -> Column:
@@ -41,6 +42,11 @@ def utf16_length(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
+def longer_in_utf16(c: Column, most: int) -> Column:
+    """Whether a text has more than ``most`` UTF-16 units; only one of more bytes can, and is counted."""
+    return (F.octet_length(c) > most) & (utf16_length(c) > most)
+
+
 def key_part(spec: str) -> Column:
     """One key column as text; ``name:date`` keeps only the date of a timestamp. NULL -> ''."""
     name, _, kind = spec.partition(":")
@@ -60,4 +66,4 @@ def case_key(key_cols: list[str] | tuple[str, ...]) -> Column:
 
 def is_blank_key(key: Column) -> Column:
     """True when a key holds nothing but separators (an all-blank record)."""
-    return F.regexp_replace(key, r"\|", "") == F.lit("")
+    return F.replace(key, F.lit("|"), F.lit("")) == F.lit("")

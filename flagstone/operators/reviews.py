@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flagstone.functions.keys import form_trim, is_blank_key, utf16_length
+from flagstone.functions.keys import form_trim, is_blank_key, longer_in_utf16
 from flagstone.operators.rules import RULES, RuleSpec
 from flagstone.session import checkpoint_dir
 
@@ -105,9 +105,9 @@ def validate_decisions(decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES
     create = F.col("action") == "create"
     acts = F.coalesce(F.col("action").isin("create", "edit"), F.lit(False))
     too_long = (
-        (utf16_length(F.col("auditor")) > FIELD_MAX)
-        | (utf16_length(F.col("decision_types")) > FIELD_MAX)
-        | (utf16_length(F.col("decided_sales_person")) > FIELD_MAX)
+        longer_in_utf16(F.col("auditor"), FIELD_MAX)
+        | longer_in_utf16(F.col("decision_types"), FIELD_MAX)
+        | longer_in_utf16(F.col("decided_sales_person"), FIELD_MAX)
     )
     reason = (
         F.when(~known, F.lit(UNKNOWN_RULE))
@@ -115,7 +115,7 @@ def validate_decisions(decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES
         .when(F.col("auditor") == "", F.lit(AUDITOR_REQUIRED))
         .when(F.col("decision_types") == "", F.lit(DECISION_REQUIRED))
         .when(too_long, F.lit(FIELDS_TOO_LONG))
-        .when(utf16_length(F.col("comments")) > COMMENTS_MAX, F.lit(COMMENTS_TOO_LONG))
+        .when(longer_in_utf16(F.col("comments"), COMMENTS_MAX), F.lit(COMMENTS_TOO_LONG))
         .when(create & ~F.coalesce(F.col("has_record"), F.lit(False)), F.lit(MISSING_RECORD))
         .when(create & is_blank_key(F.col("case_key")), F.lit(NO_ORDER_NUMBER))
         .when(~create & F.coalesce(F.col("case_key") == "", F.lit(True)), F.lit(MISSING_CASE))
@@ -152,7 +152,7 @@ def validated_decisions(decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULE
     return stored(validate_decisions(decisions, rules), "decisions")
 
 
-def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES, validated: DataFrame | None = None):
+def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES, validated: DataFrame | None = None, changed_only: bool = False):
     """-> (new_reviews, outcomes). Record columns of the batch that the review table lacks are
     appended to it first (as text, NULL for old rows), so no column of a saved record is lost.
     Every decision has one outcome.
@@ -161,7 +161,8 @@ def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleS
     create and the last edit; the review keys say whether the case existed before the batch.
     Each decision is joined back to its case's row once for its outcome. The validated batch
     (``validated``, if the caller has it stored) and its cases are stored, as both results and
-    several joins of each read them."""
+    several joins of each read them. With ``changed_only`` the reviews come without those of cases
+    that the batch neither saved nor edited."""
     reviews = evolve_schema(reviews, T.StructType([f for f in decisions.schema.fields if f.name not in DECISION_COLUMNS]), retype=False)
     v = validated_decisions(decisions, rules) if validated is None else validated
     create = F.col("action") == "create"
@@ -171,6 +172,7 @@ def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleS
     cases = valid.groupBy(*KEYS).agg(
         F.min(F.when(create, F.col("seq"))).alias("win_seq"),
         F.max_by(last_edit_of, F.when(edit, F.col("seq"))).alias("_e"),
+        F.max(edit).alias("_asked"),
     )
     # Only review keys named by the batch matter: the semi join with the batch's cases (one row
     # each, however many decisions a case has) filters the review table before its keys are made
@@ -214,8 +216,11 @@ def apply_decisions(reviews: DataFrame, decisions: DataFrame, rules: tuple[RuleS
     # the case's last edit applies when it found the case (the last edit overall is the last
     # found one whenever any edit found it: found edits are those after the first create)
     edits = F.col("_e").isNotNull() & (old | F.coalesce(F.col("_e._seq") > F.col("win_seq"), F.lit(False)))
-    decided = per_case.select(*KEYS, F.when(~old, F.col("win_seq")).alias("_win"), F.when(edits, F.col("_e")).alias("_e"))
-    merged = kept.unionByName(new_rows.select(*kept.columns)).join(decided.where("_win is not null or _e is not null"), KEYS, "left")
+    decided = per_case.select(
+        *KEYS, F.when(~old, F.col("win_seq")).alias("_win"), F.when(edits, F.col("_e")).alias("_e"), (old & F.col("_asked")).alias("_found")
+    )
+    some = "_win is not null or _e is not null" + (" or _found" if changed_only else "")
+    merged = kept.unionByName(new_rows.select(*kept.columns)).join(decided.where(some).drop("_found"), KEYS, "inner" if changed_only else "left")
     edited = merged.where(~F.col("_new") | (F.col("_create") == F.col("_win")))
     out_cols = []
     for name in reviews.columns:

@@ -18,10 +18,11 @@ import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flagstone.operators.rules import RULES, RuleParams
 from flagstone.sources.fixtures import _RESOLVED, _fingerprint
-from flagstone.sources.seeds import _code_hash, flagged_rows
+from flagstone.sources.seeds import _code_hash, flagged_parts, united
 
 #: All columns that a rule's view shows, as the batch carries them: text.
 RECORD_COLUMNS = sorted({c for r in RULES for c in r.columns})
@@ -89,9 +90,12 @@ def decisions(spark: SparkSession, sf_dir: str, params: RuleParams, materialize:
 
 
 def _derived(spark: SparkSession, sf_dir: str, params: RuleParams) -> DataFrame:
-    rows = flagged_rows(spark, sf_dir, [r.id for r in RULES], True, params)
+    """The text over each part of the flagged rows: where columns are known to be NULL little is left of it."""
     text = DECISIONS_SQL.format(NTZ="TIMESTAMP_NTZ", TICK="INTERVAL '0.000001' SECOND", VARIANTS="explode(sequence(0, 7))", flagged_rows="{flagged_rows}")
-    return spark.sql(text, flagged_rows=rows)
+    parts = flagged_parts(spark, sf_dir, [r.id for r in RULES], True, params)
+    whole = united(parts).schema
+    filled = [p.select(*[(F.col(f.name) if f.name in p.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in whole]) for p in parts]
+    return united([spark.sql(text, flagged_rows=p) for p in filled])
 
 
 def duckdb_decisions() -> str:

@@ -179,13 +179,22 @@ def read_log(spark: SparkSession, root: str, version: int | None = None, rule_id
 
     if not deltas:
         return rows(base)
-    changed = None
-    for e in deltas:
-        part = rows(e).withColumn("_version", F.lit(e.version))
-        changed = part if changed is None else changed.unionByName(part)
-    newest = changed.groupBy(*KEYS).agg(F.max("_version").alias("_version"))
-    kept = changed.join(newest, [*KEYS, "_version"], "left_semi").drop("_version")
-    return rows(base).join(newest, KEYS, "left_anti").unionByName(kept)
+    *older, last = [rows(e) for e in deltas]
+    touched = last.select(*KEYS)
+    if not older:
+        return rows(base).join(touched, KEYS, "left_anti").unionByName(last)
+    if len(older) == 1:
+        earlier, newest = older[0], older[0].select(*KEYS)
+    else:
+        changed = None
+        for e, part in zip(deltas[:-1], older, strict=True):
+            part = part.withColumn("_version", F.lit(e.version))
+            changed = part if changed is None else changed.unionByName(part)
+        newest = changed.groupBy(*KEYS).agg(F.max("_version").alias("_version"))
+        earlier = changed.join(newest, [*KEYS, "_version"], "left_semi").drop("_version")
+    # the newest delta is taken as it is, and the base goes to both joins by one shuffle
+    untouched = rows(base).join(newest, KEYS, "left_anti").join(touched, KEYS, "left_anti")
+    return untouched.unionByName(earlier.join(touched, KEYS, "left_anti")).unionByName(last)
 
 
 def _write(df: DataFrame, path: str, by_rule: bool) -> T.StructType:
@@ -215,19 +224,16 @@ def _drop(spark: SparkSession, path: str) -> None:
 def stage(root: str, decisions: DataFrame, rules: tuple[RuleSpec, ...] = RULES, batch: str | None = None, validated: DataFrame | None = None) -> Staged:
     """Decides a batch on the newest version and writes its outcomes and delta, without a commit.
 
-    Only reviews of cases named by the batch are taken from the table (base folders of other rules are
-    not read), and only cases that it saved or edited are written. The batch is validated once and stored
-    (or taken as ``validated``, from a time when it was staged before)."""
+    Base folders of rules that the batch does not name are not read, and only cases that it saved or
+    edited are written: the join that decides a record's row leaves the others out. The batch is validated
+    once and stored (or taken as ``validated``, from a time when it was staged before)."""
     spark, name = decisions.sparkSession, uuid.uuid4().hex
     read = latest(spark, root)
     validated = validated_decisions(decisions, rules) if validated is None else validated
-    named = _named(validated)
-    rule_ids = [r.rule_id for r in named.select("rule_id").distinct().collect()]  # of the registry
-    touched = read_log(spark, root, read, rule_ids).join(named, KEYS, "left_semi")
-    rows, outcomes = apply_decisions(touched, decisions, rules, validated)
+    rule_ids = [r.rule_id for r in validated.where("valid").select("rule_id").distinct().collect()]  # of the registry
+    rows, outcomes = apply_decisions(read_log(spark, root, read, rule_ids), decisions, rules, validated, changed_only=True)
     _write(outcomes, f"{root}/outcomes/{name}", False)
-    done = spark.read.schema(outcomes.schema).parquet(f"{root}/outcomes/{name}").where(F.col("status").isin("saved", "edited"))
-    schema = _write(rows.join(done.select(*KEYS).distinct(), KEYS, "left_semi").select(*rows.columns), f"{root}/data/{name}", False)
+    schema = _write(rows, f"{root}/data/{name}", False)
     return Staged(read, Entry(read + 1, DELTA, name, schema, read + 1, batch, name), decisions, rules, validated)
 
 

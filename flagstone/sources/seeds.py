@@ -101,12 +101,10 @@ def seed_reviews(
     return out
 
 
-def flagged_rows(
+def flagged_parts(
     spark: SparkSession, sf_dir: str, rule_ids: list[str], with_record: bool, params: RuleParams
-) -> DataFrame:
-    """Flagged rows of the given rules before review exclusion: rule_id, case_key, [record], h, s.
-
-    (h, s) tells the rows of a rule apart. Columns that a rule's view lacks are NULL."""
+) -> list[DataFrame]:
+    """:func:`flagged_rows` in parts, by what the rules read; each has the columns of its own rules' views alone."""
     ids = set(rule_ids)
     parts: list[DataFrame] = []
     none = F.lit(0).alias("s")
@@ -115,10 +113,12 @@ def flagged_rows(
         hit = flag_all(fixture(spark, sf_dir, "assisted_orders"), order_specs, params)
         record = []
         if with_record:
-            cols = sorted({c for s in order_specs for c in s.columns})
-            for c in cols:
-                owners = [s.id for s in order_specs if c in s.columns]
-                record.append(F.when(F.col("rule_id").isin(owners), F.col(c)).alias(c))
+            every = frozenset(s.id for s in order_specs)
+            owners = {c: frozenset(s.id for s in order_specs if c in s.columns) for c in sorted({c for s in order_specs for c in s.columns})}
+            # one test of the rule for all columns that the same rules show: with one a column, the JVM leaves the method uncompiled
+            tests = {shown: f"_shown_{n}" for n, shown in enumerate(sorted({*owners.values()} - {every}, key=sorted))}
+            hit = hit.select("*", *[F.col("rule_id").isin(*sorted(shown)).alias(name) for shown, name in tests.items()])
+            record = [F.col(c) if shown == every else F.when(F.col(tests[shown]), F.col(c)).alias(c) for c, shown in owners.items()]
         parts.append(hit.select("rule_id", "case_key", *record, F.col("k").alias("h"), F.col("s").cast("int").alias("s")))
     if "11" in ids:
         spec = find_rule("11")
@@ -135,12 +135,26 @@ def flagged_rows(
             bands = fixture(spark, sf_dir, "team_budget")
             rec = list(find_rule("L2").columns) if with_record else []
             parts.append(lead_misrouted_cases(history, bands).select("rule_id", "case_key", *rec, F.expr(L2_HELPER_SQL).alias("h"), none))
+    return parts
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    """All rows of ``parts``; columns that a part lacks are NULL."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
+def flagged_rows(
+    spark: SparkSession, sf_dir: str, rule_ids: list[str], with_record: bool, params: RuleParams
+) -> DataFrame:
+    """Flagged rows of the given rules before review exclusion: rule_id, case_key, [record], h, s.
+
+    (h, s) tells the rows of a rule apart. Columns that a rule's view lacks are NULL."""
+    return united(flagged_parts(spark, sf_dir, rule_ids, with_record, params))
+
+
 def _build_seed_reviews(
     spark: SparkSession, sf_dir: str, rule_ids: list[str], with_record: bool, params: RuleParams
 ) -> DataFrame:
